@@ -70,8 +70,8 @@ def _keyword_pattern(keyword: str) -> str:
     return lead + escaped + trail
 
 
-def _fixture_rows() -> tuple[str, str, str, str]:
-    roles, skills, keywords = [], [], []
+def _fixture_rows() -> tuple[str, str, str]:
+    roles, skills = [], []
     for role_ord, (role, profile) in enumerate(fixtures.PROFILES.items()):
         roles.append(f"({text(role)}, {role_ord})")
         for skill_ord, (skill, info) in enumerate(profile["skills"].items()):
@@ -82,19 +82,15 @@ def _fixture_rows() -> tuple[str, str, str, str]:
                 f"({text(role)}, {text(skill)}, {skill_ord}, {real(info.get('weight', DEFAULT_WEIGHT))},"
                 f" {len(words)}, {text(query)})"
             )
-            for i, word in enumerate(words):
-                keywords.append(
-                    f"({text(role)}, {text(skill)}, {i}, {text(word)}, {text(word.lower())}, {text(_keyword_pattern(word))})"
-                )
     material = [
         "(" + ", ".join([text(c["skill"]), text(c["fundamentals"]), text(c["applied"]), text(c["project"]),
                          text("|".join(c["topics"]))]) + ")"
         for c in fixtures.CURRICULUM
     ]
-    return ", ".join(roles), ", ".join(skills), ", ".join(keywords), ", ".join(material)
+    return ", ".join(roles), ", ".join(skills), ", ".join(material)
 
 
-_ROLES, _SKILLS, _KEYWORDS, _MATERIAL = _fixture_rows()
+_ROLES, _SKILLS, _MATERIAL = _fixture_rows()
 DIM, FLOOR, CEILING = fixtures.SEMANTIC.dim, fixtures.SEMANTIC.floor, fixtures.SEMANTIC.ceiling
 
 
@@ -112,10 +108,24 @@ def _score(semantic: str) -> str:
     return f"least({real(scoring.SCORE_MAX)}, greatest({real(scoring.SCORE_MIN)}, ({mixed}) * {real(100.0)}))"
 
 
+def _hits() -> str:
+    """One branch per keyword, as a constant pattern is compiled once and not per row."""
+    branches = [
+        f"SELECT resume_id, {text(skill)} AS skill, {i} AS kw_ord, {text(word)} AS keyword,"
+        f" regexp_matches(lower(text), {text(_keyword_pattern(word))}) AS hit"
+        f" FROM resumes WHERE target_role = {text(role)}"
+        for role, profile in fixtures.PROFILES.items()
+        for skill, info in profile["skills"].items()
+        for i, word in enumerate(info.get("keywords", []))
+    ]
+    return " UNION ALL ".join(branches)
+
+
+_HITS = _hits()
+
 CTES: dict[str, tuple[list[str], str]] = {
     "roles": ([], f"SELECT * FROM (VALUES {_ROLES}) t(role, role_ord)"),
     "skills": ([], f"SELECT * FROM (VALUES {_SKILLS}) t(role, skill, skill_ord, weight, n_keywords, query_text)"),
-    "keywords": ([], f"SELECT * FROM (VALUES {_KEYWORDS}) t(role, skill, kw_ord, keyword, needle, pattern)"),
     "material": ([], f"SELECT * FROM (VALUES {_MATERIAL}) t(skill, fundamentals, applied, project, topics)"),
     "texts": ([], f"""
         SELECT doc_id AS resume_id,
@@ -155,11 +165,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "asked": (["resumes", "skills"], """
         SELECT r.resume_id, r.target_role AS role, s.skill, s.skill_ord, s.weight, s.n_keywords, s.query_text
         FROM resumes r JOIN skills s ON r.target_role = s.role"""),
-    "hits": (["resumes", "keywords"], """
-        SELECT resume_id, skill, kw_ord, keyword,
-               CASE WHEN contains(lowered, needle) THEN regexp_matches(lowered, pattern) ELSE false END AS hit
-        FROM (SELECT resume_id, target_role, lower(text) AS lowered FROM resumes) r
-        JOIN keywords k ON r.target_role = k.role"""),
+    "hits": (["resumes"], _HITS),
     "coverage": (["asked", "hits"], f"""
         SELECT a.*, coalesce(matched, '') AS matched, coalesce(missing, '') AS missing,
                CAST(coalesce(n, 0) AS BIGINT) AS n_matched,

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MANTISSA = 1 << 52
 
 
+def built_once(build: Callable) -> Callable:
+    """Keep the columns a function builds from plain parameters for the running application.
+
+    A column is an unbound description, so it can serve any number of queries. Describing the
+    scoring expressions takes thousands of calls into the JVM, which is worth doing once.
+    """
+
+    @functools.lru_cache(maxsize=64)
+    def stored(application: str, *parameters):
+        return build(*parameters)
+
+    @functools.wraps(build)
+    def wrapper(*parameters):
+        session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        return stored(session.sparkContext.applicationId, *parameters)
+
+    return wrapper
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and hand it to `body`.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolemeter.functions.core import built_once
 from rolemeter.functions.scoring import WEAK_BELOW, gap
 
 MISSING_SHOWN = 5
@@ -30,6 +31,11 @@ def weak_skills(skills: Column) -> Column:
     return _ranked(shown, lambda s: -s.weight, lambda s: s.score)
 
 
+@built_once
+def weak_column() -> Column:
+    return weak_skills(F.col("skills"))
+
+
 def heaviest(skills: Column) -> Column:
     """Skills by weight, heaviest first."""
     return _ranked(skills, lambda s: -s.weight)

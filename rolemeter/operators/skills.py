@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemeter.functions.core import clip, round_exact
+from rolemeter.functions.core import built_once, clip, round_exact
 from rolemeter.functions.keywords import flagged, keyword_ratio, partition_keywords, probes
 from rolemeter.functions.scoring import MODEL_CEILING, MODEL_FLOOR, blend, calibrate, level
 from rolemeter.functions.text import chunks
@@ -37,17 +37,20 @@ class Semantic:
     chunk_size: int = 3
 
 
+@built_once
+def _prepared_columns(dim: int) -> tuple[Column, Column, Column]:
+    vector = sparse_vector(F.coalesce("query_text", F.lit("")), dim)
+    return probes(F.col("keywords")), vector, dense_counts(F.col("vector.buckets"), dim)
+
+
 def prepared_skills(role_skills: DataFrame, semantic: Semantic) -> DataFrame:
     """Role skills with keyword probes and, for the hashed provider, their query vector."""
-    ready = query_text(role_skills).select(
-        "role", "role_ord", "skill", "skill_ord", "weight",
-        probes(F.col("keywords")).alias("probes"),
-        sparse_vector(F.coalesce("query_text", F.lit("")), semantic.dim).alias("vector"),
-    )
-    return ready.select(
-        "role", "role_ord", "skill", "skill_ord", "weight", "probes",
-        dense_counts(F.col("vector.buckets"), semantic.dim).alias("counts"),
-        F.col("vector.norm").alias("query_norm"),
+    keyword_probes, vector, counts = _prepared_columns(semantic.dim)
+    kept = ["role", "role_ord", "skill", "skill_ord", "weight"]
+    return (
+        query_text(role_skills)
+        .select(*kept, keyword_probes.alias("probes"), vector.alias("vector"))
+        .select(*kept, "probes", counts.alias("counts"), F.col("vector.norm").alias("query_norm"))
     )
 
 
@@ -63,17 +66,24 @@ def role_rows(role_skills: DataFrame, semantic: Semantic) -> DataFrame:
     )
 
 
+@built_once
+def chunk_column(size: int) -> Column:
+    return chunks(F.col("text"), size)
+
+
+@built_once
+def vectors_column(dim: int) -> Column:
+    return F.transform("chunks", lambda c: sparse_vector(c, dim))
+
+
 def features(resumes: DataFrame, semantic: Semantic) -> DataFrame:
     """What scoring needs of a document: lower-cased text and chunk vectors."""
     lowered = F.lower("text").alias("lower_text")
     extra = [F.col(c) for c in ("similarities",) if c in resumes.columns]
     if semantic.provider != "hashed":
         return resumes.select("resume_id", "target_role", lowered, *extra)
-    cut = resumes.select("resume_id", "target_role", lowered, chunks(F.col("text"), semantic.chunk_size).alias("chunks"))
-    return cut.select(
-        "resume_id", "target_role", "lower_text",
-        F.transform("chunks", lambda c: sparse_vector(c, semantic.dim)).alias("vectors"),
-    )
+    cut = resumes.select("resume_id", "target_role", lowered, chunk_column(semantic.chunk_size).alias("chunks"))
+    return cut.select("resume_id", "target_role", "lower_text", vectors_column(semantic.dim).alias("vectors"))
 
 
 def similarity_of(semantic: Semantic) -> Callable[[Column], Column]:
@@ -87,9 +97,11 @@ def similarity_of(semantic: Semantic) -> Callable[[Column], Column]:
     return lambda skill: F.lit(0.0)
 
 
-def scored_entries(skills: Column, similarity: Callable[[Column], Column], semantic: Semantic) -> Column:
-    """Prepared skills to scored skills. Each step binds its values, so none is computed twice."""
-    evidence = F.transform(skills, lambda s: F.struct(
+@built_once
+def scored_entries(semantic: Semantic) -> Column:
+    """Prepared `skills` of the row to scored skills. Each step binds its values, so none is computed twice."""
+    similarity = similarity_of(semantic)
+    evidence = F.transform("skills", lambda s: F.struct(
         s.skill_ord.alias("skill_ord"), s.skill.alias("skill"), s.weight.alias("weight"),
         F.size(s.probes).alias("n_keywords"),
         partition_keywords(F.col("lower_text"), s.probes).alias("flags"),
@@ -123,10 +135,7 @@ def score_skills(resumes: DataFrame, roles: DataFrame, semantic: Semantic) -> Da
     matched = features(resumes, semantic).join(
         F.broadcast(roles), F.col("target_role") == F.col("role"), "inner"
     )
-    return matched.select(
-        "resume_id", "target_role",
-        scored_entries(F.col("skills"), similarity_of(semantic), semantic).alias("skills"),
-    )
+    return matched.select("resume_id", "target_role", scored_entries(semantic).alias("skills"))
 
 
 def weighted_mean(skills: Column) -> Column:
@@ -146,6 +155,11 @@ def readiness(skills: Column) -> Column:
     return round_exact(clip(weighted_mean(skills), 0.0, 100.0), 1)
 
 
+@built_once
+def readiness_column() -> Column:
+    return readiness(F.col("skills"))
+
+
 def skill_rows(scored: DataFrame) -> DataFrame:
     """One row per resume and skill."""
     return scored.select("resume_id", F.col("target_role").alias("role"), F.inline("skills"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolemeter.functions.core import built_once
 from rolemeter.operators.dimensions import is_small, lookup_join
 
 
@@ -234,6 +235,19 @@ def mastery_plan(top_names: Column, role: Column) -> Column:
     return F.array(*[_week(i + 1, MASTERY_WEEKS[i], slots, focus[i]) for i in range(4)])
 
 
+@built_once
+def plan_column() -> Column:
+    """The plan of a row: by gaps if there are any, else by weight, empty without skills."""
+    by_gap = gap_plan(
+        {rank: F.col(f"_{rank}") for rank in "pst"},
+        {rank: F.col(f"_{rank}_material") for rank in "pst"},
+        F.col("gap_names"), F.col("target_role"),
+    )
+    by_weight = mastery_plan(F.col("top_names"), F.col("target_role"))
+    none = F.filter(by_weight, lambda w: F.lit(False))
+    return F.when(F.size("gap_names") > 0, by_gap).when(F.size("top_names") > 0, by_weight).otherwise(none)
+
+
 def with_study_plan(ranked: DataFrame, curriculum: DataFrame) -> DataFrame:
     """Add `study_plan` to rows with `target_role, gap_names, top_names`.
 
@@ -248,16 +262,7 @@ def with_study_plan(ranked: DataFrame, curriculum: DataFrame) -> DataFrame:
             F.col("skill").alias(f"_{rank}"), F.struct(*FIELDS, "topics").alias(f"_{rank}_material")
         )
         rows = lookup_join(rows, material, f"_{rank}", "left", small)
-    by_gap = gap_plan(
-        {rank: F.col(f"_{rank}") for rank in ranks},
-        {rank: F.col(f"_{rank}_material") for rank in ranks},
-        F.col("gap_names"), F.col("target_role"),
-    )
-    by_weight = mastery_plan(F.col("top_names"), F.col("target_role"))
-    none = F.filter(by_weight, lambda w: F.lit(False))
-    plan = (
-        F.when(F.size("gap_names") > 0, by_gap).when(F.size("top_names") > 0, by_weight).otherwise(none)
-    )
+    plan = plan_column()
     helpers = [f"_{rank}" for rank in ranks] + [f"_{rank}_material" for rank in ranks]
     return rows.withColumn("study_plan", plan).drop(*helpers)
 

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemeter.functions.scoring import tier
-from rolemeter.operators.gaps import heaviest, names, weak_skills
-from rolemeter.operators.skills import Semantic, readiness, role_rows, score_skills
+from rolemeter.operators.gaps import heaviest, names, weak_column
+from rolemeter.operators.skills import Semantic, readiness_column, role_rows, score_skills
 from rolemeter.operators.study_plan import with_study_plan
 
 
 def roll_up(scored: DataFrame) -> DataFrame:
     """Add readiness, tier, ranked gaps and counts to `resume_id, target_role, skills`."""
-    rolled = scored.select(
-        "*", readiness(F.col("skills")).alias("readiness_score"), weak_skills(F.col("skills")).alias("gaps")
-    )
+    rolled = scored.select("*", readiness_column().alias("readiness_score"), weak_column().alias("gaps"))
     return rolled.select(
         "*",
         tier(F.col("readiness_score")).alias("readiness_tier"),
