@@ -337,19 +337,25 @@ CTES["checked"] = (["uploads"], f"""
     FROM uploads""")
 
 
-def statement(needs: list[str], body: str) -> str:
+_PAGED_RESUMES = """
+    SELECT doc_id AS resume_id, CASE doc_id % 3 WHEN 0 THEN 'Role EN' WHEN 1 THEN 'Role DE' ELSE 'Role FR' END AS target_role,
+           text FROM paged_texts"""
+
+
+def statement(needs: list[str], body: str, **replaced: tuple[list[str], str]) -> str:
     """A query with the common table expressions it needs, in dependency order."""
     order: list[str] = []
+    ctes = {**CTES, **replaced}
 
     def visit(name: str) -> None:
-        for parent in CTES[name][0]:
+        for parent in ctes[name][0]:
             visit(parent)
         if name not in order:
             order.append(name)
 
     for name in needs:
         visit(name)
-    shared = ", ".join(f"{name} AS MATERIALIZED ({CTES[name][1]})" for name in order)
+    shared = ", ".join(f"{name} AS MATERIALIZED ({ctes[name][1]})" for name in order)
     return f"WITH {shared} {body}"
 
 
@@ -453,4 +459,24 @@ ORACLE: dict[str, str] = {
         FROM paged_texts LEFT JOIN (SELECT doc_id, count(DISTINCT page_no) AS n_pages, count(*) AS n_lines
                                     FROM page_lines GROUP BY doc_id) USING (doc_id)"""),
 }
-ORACLE["q_stream_readiness"] = ORACLE["q_readiness"]
+for _same, _as in (
+    ("q_stream_readiness", "q_readiness"), ("q_large_scores", "q_skill_scores"), ("q_large_gaps", "q_gaps"),
+    ("q_large_study_plan", "q_study_plan"),
+):
+    ORACLE[_same] = ORACLE[_as]
+# In rows, a role without skills leaves no trace; its documents are reported as rejects.
+ORACLE["q_large_readiness"] = statement(["readiness"], f"""
+    SELECT resume_id, role, readiness_score, {_TIER} AS readiness_tier, n_skills, n_gaps FROM readiness WHERE n_skills > 0""")
+_PAGED = {"resumes": (["paged_texts"], _PAGED_RESUMES)}
+_LONG = {"resumes": (["paged_texts"], _PAGED_RESUMES + f" WHERE length(text) >= {pages.MIN_PAGED_CHARS}")}
+# Chunk numbers only order the chunks of a document: the start of the window, halved.
+ORACLE["q_paged_chunks"] = statement(["resumes", "sentences", "windows", "chunks"], """
+    SELECT resume_id, CAST(start // 2 AS BIGINT) AS chunk_no, chunk FROM windows WHERE length(chunk) > 15
+    UNION ALL
+    SELECT resume_id, chunk_no, chunk FROM chunks
+    WHERE resume_id NOT IN (SELECT resume_id FROM windows WHERE length(chunk) > 15)""", **_PAGED)
+ORACLE["q_paged_scores"] = statement(["scores"], """
+    SELECT resume_id, role, skill, CAST(skill_ord AS BIGINT) AS skill_ord, score, weight, level,
+           matched AS matched_keywords, missing AS missing_keywords, semantic_similarity FROM scores""", **_PAGED)
+ORACLE["q_paged_readiness"] = statement(["readiness"], f"""
+    SELECT resume_id, role, readiness_score, {_TIER} AS readiness_tier, n_skills, n_gaps FROM readiness""", **_LONG)

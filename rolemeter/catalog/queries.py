@@ -12,10 +12,10 @@ from rolemeter.functions.core import round_exact
 from rolemeter.functions.keywords import flagged, keyword_ratio
 from rolemeter.functions.text import normalize, sentences
 from rolemeter.functions.vectors import sparse_vector
-from rolemeter.operators import embeddings, gaps, report, study_plan
+from rolemeter.operators import embeddings, gaps, long_form, report, study_plan
 from rolemeter.operators.layout import computed_once, spread
 from rolemeter.operators.skills import Semantic, skill_rows
-from rolemeter.plans.analysis import analyse, with_focus, with_plan
+from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_focus, with_plan
 from rolemeter.plans.validation import long_enough, resume_rejects
 from rolemeter.schemas import VECTORS
 from rolemeter.session import scratch_dir
@@ -184,10 +184,7 @@ def hashed_vectors(spark, sf_dir):
 
 @registered("q_skill_scores")
 def skill_scores(spark, sf_dir):
-    return skill_rows(analysed(spark, sf_dir)).select(
-        "resume_id", "role", "skill", long("skill_ord").alias("skill_ord"), "score", "weight", "level",
-        listed("matched_keywords"), listed("missing_keywords"), "semantic_similarity",
-    )
+    return score_table(skill_rows(analysed(spark, sf_dir)))
 
 
 @registered("q_levels")
@@ -323,6 +320,79 @@ def paged_documents(spark, sf_dir):
     )
 
 
+def paged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as segments of documents that ask for a role by their number."""
+    names = F.array(*[F.lit(name) for name in ("Role EN", "Role DE", "Role FR")])
+    return paged(spark, sf_dir).select(
+        F.col("doc_id").alias("resume_id"), F.get(names, (F.col("doc_id") % 3).cast("int")).alias("target_role"),
+        long("page_no").alias("segment_no"), F.col("page_text").alias("text"),
+    )
+
+
+@registered("q_paged_chunks")
+def paged_chunks(spark, sf_dir):
+    """Chunks of paged documents, cut across pages without putting a document together."""
+    return long_form.chunk_rows(paged_segments(spark, sf_dir)).select("resume_id", "chunk_no", "chunk")
+
+
+@registered("q_paged_scores")
+def paged_scores(spark, sf_dir):
+    scores = analyse_large(paged_segments(spark, sf_dir), fixtures.role_skills(spark), fixtures.SEMANTIC)
+    return score_table(scores)
+
+
+@registered("q_paged_readiness")
+def paged_readiness(spark, sf_dir):
+    """Paged documents put together where they are short enough, scored from pages where not."""
+    pages_ = paged(spark, sf_dir)
+    role = F.get(F.array(*[F.lit(n) for n in ("Role EN", "Role DE", "Role FR")]), (F.col("doc_id") % 3).cast("int"))
+    sizes = page_source.document_sizes(pages_)
+    short = page_source.assemble(pages_, sizes).select(F.col("doc_id").alias("resume_id"), role.alias("target_role"), "text")
+    whole = analyse(short, fixtures.role_skills(spark), fixtures.SEMANTIC).selectExpr(*READINESS)
+    long_lines = page_source.long_document_lines(pages_, sizes)
+    segments = long_lines.select(
+        F.col("doc_id").alias("resume_id"), role.alias("target_role"),
+        (F.col("page_no") * F.lit(1 << 31) + F.col("line_no")).alias("segment_no"), F.col("line").alias("text"),
+    )
+    parts = readiness_of(analyse_large(segments, fixtures.role_skills(spark), fixtures.SEMANTIC))
+    return whole.unionByName(parts)
+
+
+def score_table(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "resume_id", "role", "skill", long("skill_ord").alias("skill_ord"), "score", "weight", "level",
+        listed("matched_keywords"), listed("missing_keywords"), "semantic_similarity",
+    )
+
+
+def large_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = long_form.segments_of(resumes(spark, sf_dir))
+    return analyse_large(segments, fixtures.role_skills(spark), fixtures.SEMANTIC)
+
+
+@registered("q_large_scores")
+def large_score_rows(spark, sf_dir):
+    return score_table(large_scores(spark, sf_dir))
+
+
+@registered("q_large_readiness")
+def large_readiness(spark, sf_dir):
+    return readiness_of(large_scores(spark, sf_dir))
+
+
+@registered("q_large_gaps")
+def large_gaps(spark, sf_dir):
+    return gaps_of(large_scores(spark, sf_dir)).select(
+        "resume_id", "role", long("priority").alias("priority"), "skill", "score", "weight", "gap", "level",
+        listed("matched_keywords"), listed("missing_keywords"),
+    )
+
+
+@registered("q_large_study_plan")
+def large_study_plan(spark, sf_dir):
+    return plan_table(plan_of(large_scores(spark, sf_dir), fixtures.curriculum(spark)))
+
+
 @registered("q_stream_readiness")
 def stream_readiness(spark, sf_dir):
     """Documents read as a stream, scored and written; what was written is the result."""

@@ -26,7 +26,7 @@ def is_small(table: DataFrame, max_rows: int | None = None, max_bytes: int | Non
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
-    on: str,
+    on: str | list[str],
     how: str = "inner",
     small: bool | None = None,
     spread_by: str = "resume_id",
@@ -40,4 +40,5 @@ def lookup_join(
         return rows.join(F.broadcast(table), on, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_rows.join(salted_table, [on, "_salt"], how).drop("_salt")
+    keys = [on] if isinstance(on, str) else on
+    return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt")

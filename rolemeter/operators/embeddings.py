@@ -39,13 +39,16 @@ def chunk_similarities(chunk_vectors: DataFrame, queries: DataFrame) -> DataFram
     return joined.select("resume_id", "chunk_no", F.inline(scored))
 
 
-def best_chunks(similarities: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
-    """Mean of the k best chunks per resume and skill: `resume_id, skill, similarity`."""
+def best_chunks(similarities: DataFrame, k: int = TOP_CHUNKS, found_only: bool = False) -> DataFrame:
+    """Mean of the k best chunks per resume and skill: `resume_id, skill, similarity`.
+
+    With `found_only`, pairs of similarity 0 may be absent and the plain `total` is returned.
+    """
     order = Window.partitionBy("resume_id", "skill").orderBy(F.desc("similarity"), "chunk_no")
     best = similarities.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
-    return best.groupBy("resume_id", "skill").agg(
-        (F.sum("similarity") / F.count(F.lit(1))).alias("similarity")
-    )
+    total = F.sum("similarity")
+    value = total.alias("total") if found_only else (total / F.count(F.lit(1))).alias("similarity")
+    return best.groupBy("resume_id", "skill").agg(value)
 
 
 def as_map(similarities: DataFrame) -> DataFrame:

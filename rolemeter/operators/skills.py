@@ -112,7 +112,12 @@ def scored_entries(semantic: Semantic) -> Column:
         s.n_keywords.alias("n_keywords"), s.similarity.alias("similarity"),
         flagged(s.flags, True).alias("matched"), flagged(s.flags, False).alias("missing"),
     ))
-    scored = F.transform(parted, lambda s: F.struct(
+    return finished(parted, semantic)
+
+
+def finished(evidence: Column, semantic: Semantic) -> Column:
+    """Scores of skills from their keyword lists and similarity."""
+    scored = F.transform(evidence, lambda s: F.struct(
         s.skill_ord.alias("skill_ord"), s.skill.alias("skill"), s.weight.alias("weight"),
         round_exact(
             blend(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemeter.functions.scoring import tier
-from rolemeter.operators.gaps import heaviest, names, weak_column
+from rolemeter.functions.scoring import WEAK_BELOW, gap, tier
+from rolemeter.operators.gaps import FOCUS_SKILLS, MISSING_SHOWN, heaviest, names, weak_column
+from rolemeter.operators.long_form import score_rows
 from rolemeter.operators.skills import Semantic, readiness_column, role_rows, score_skills
 from rolemeter.operators.study_plan import with_study_plan
 
@@ -44,3 +45,56 @@ def with_focus(analysed: DataFrame) -> DataFrame:
 def with_plan(analysed: DataFrame, curriculum: DataFrame) -> DataFrame:
     """Add the four-week study plan."""
     return with_study_plan(with_focus(analysed), curriculum)
+
+
+def analyse_large(segments: DataFrame, role_skills: DataFrame, semantic: Semantic = Semantic()) -> DataFrame:
+    """Skill scores of documents and role tables of any size, one row per document and skill.
+
+    Same values as `analyse`. Several results are derived from these rows, so write them to a
+    table first and pass that to the functions below.
+    """
+    return score_rows(segments, role_skills, semantic)
+
+
+def readiness_of(scores: DataFrame) -> DataFrame:
+    """Readiness, tier and counts from skill scores in rows."""
+    ordered = F.array_sort(F.collect_list(F.struct("skill_ord", "score", "weight")))
+    rolled = scores.groupBy("resume_id", "role").agg(
+        ordered.alias("skills"),
+        F.count(F.lit(1)).alias("n_skills"),
+        F.count_if(F.col("score") < WEAK_BELOW).alias("n_gaps"),
+    )
+    scored = rolled.withColumn("readiness_score", readiness_column())
+    return scored.select(
+        "resume_id", "role", "readiness_score", tier(F.col("readiness_score")).alias("readiness_tier"), "n_skills", "n_gaps"
+    )
+
+
+def gaps_of(scores: DataFrame) -> DataFrame:
+    """Weak skills with their priority from skill scores in rows."""
+    order = Window.partitionBy("resume_id").orderBy(F.desc("weight"), "score", "skill_ord")
+    weak = scores.where(F.col("score") < WEAK_BELOW)
+    return weak.select(
+        "resume_id", "role", F.row_number().over(order).alias("priority"), "skill_ord", "skill", "score", "weight",
+        gap(F.col("score")).alias("gap"), "level", "matched_keywords",
+        F.slice("missing_keywords", 1, MISSING_SHOWN).alias("missing_keywords"),
+    )
+
+
+def plan_of(scores: DataFrame, curriculum: DataFrame) -> DataFrame:
+    """Study plans from skill scores in rows: `resume_id, target_role, study_plan`."""
+    by_weight = Window.partitionBy("resume_id").orderBy(F.desc("weight"), "skill_ord")
+    by_gap = Window.partitionBy("resume_id").orderBy(F.desc("weight"), "score", "skill_ord")
+
+    def first_three(rows: DataFrame, order, name: str) -> DataFrame:
+        ranked = rows.select("resume_id", "role", "skill", F.row_number().over(order).alias("place"))
+        kept = ranked.where(F.col("place") <= FOCUS_SKILLS).groupBy("resume_id", "role")
+        return kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "skill"))), lambda r: r.skill).alias(name))
+
+    top = first_three(scores, by_weight, "top_names")
+    weak = first_three(scores.where(F.col("score") < WEAK_BELOW), by_gap, "gap_names").drop("role")
+    none = F.array().cast("array<string>")
+    focused = top.join(weak, "resume_id", "left").select(
+        "resume_id", F.col("role").alias("target_role"), "top_names", F.coalesce("gap_names", none).alias("gap_names")
+    )
+    return with_study_plan(focused, curriculum)
