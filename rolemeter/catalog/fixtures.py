@@ -16,6 +16,7 @@ from rolemeter.operators.skills import Semantic
 from rolemeter.sources.profiles import profiles_from_json
 
 SEMANTIC = Semantic(dim=256, floor=0.05, ceiling=0.45)
+MODEL_SEMANTIC = Semantic(provider="given", floor=0.6, ceiling=1.0)
 
 PROFILES = {
     "Role EN": {
@@ -106,14 +107,26 @@ CURRICULUM = [
 ]
 
 
+_TABLES: dict[tuple[str, SparkSession], DataFrame] = {}
+
+
+def _kept(name: str, spark: SparkSession, table: DataFrame) -> DataFrame:
+    """Lookup tables are read by every query of a session, so they are cached in it."""
+    return _TABLES.setdefault((name, spark), table.persist())
+
+
 def role_skills(spark: SparkSession) -> DataFrame:
+    if ("roles", spark) in _TABLES:
+        return _TABLES["roles", spark]
     text = spark.range(1).select(F.lit(json.dumps(PROFILES, ensure_ascii=False)).alias("value"))
-    return profiles_from_json(text)
+    return _kept("roles", spark, profiles_from_json(text).coalesce(1))
 
 
 def curriculum(spark: SparkSession) -> DataFrame:
+    if ("curriculum", spark) in _TABLES:
+        return _TABLES["curriculum", spark]
     rows = F.from_json(
         F.lit(json.dumps(CURRICULUM, ensure_ascii=False)),
         "array<struct<skill string, fundamentals string, applied string, project string, topics array<string>>>",
     )
-    return spark.range(1).select(F.inline(rows))
+    return _kept("curriculum", spark, spark.range(1).select(F.inline(rows)).coalesce(1))

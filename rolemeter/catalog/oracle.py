@@ -362,6 +362,12 @@ def statement(needs: list[str], body: str, **replaced: tuple[list[str], str]) ->
 _TIER = banded(scoring.TIERS, scoring.LOWEST_TIER, "readiness_score")
 _FIVE = "array_to_string(string_split(missing, '|')[1:5], '|')"
 _PERCENT = "CAST(trunc(weight * 100) AS BIGINT)"
+
+
+def _list(column: str) -> str:
+    return f"CASE WHEN {column} = '' THEN [] ELSE string_split({column}, '|') END"
+
+
 _PLAN = "resume_id, role, week, title, focus_skills, theme, weekly_objectives, hands_on_project, key_resources"
 
 ORACLE: dict[str, str] = {
@@ -434,6 +440,28 @@ ORACLE: dict[str, str] = {
                {banded(scoring.SCREENING, scoring.LOWEST_SCREENING, 'readiness_score')} AS screening_probability,
                {banded(scoring.STRATEGIES, scoring.LOWEST_STRATEGY, 'readiness_score')} AS strategy
         FROM readiness r LEFT JOIN (SELECT * FROM ranked WHERE place = 1) b USING (resume_id)"""),
+    "q_result_json": statement(["readiness", "scores", "gaps", "gap_plan", "mastery_plan"], f"""
+        SELECT r.resume_id, to_json({{
+            'readiness_score': readiness_score,
+            'skill_breakdown': coalesce(breakdown, MAP {{}}),
+            'missing_skills': coalesce(missing_skills, []),
+            'readiness_tier': {_TIER},
+            'study_plan': coalesce(study_plan, [])}})::VARCHAR AS json
+        FROM readiness r
+        LEFT JOIN (
+            SELECT resume_id, map_from_entries(list({{'k': skill, 'v': {{
+                'score': score, 'weight': weight, 'level': level, 'matched_keywords': {_list('matched')},
+                'missing_keywords': {_list('missing')}, 'semantic_similarity': semantic_similarity}}}} ORDER BY skill_ord)) AS breakdown
+            FROM scores GROUP BY resume_id) USING (resume_id)
+        LEFT JOIN (
+            SELECT resume_id, list({{'skill': skill, 'score': score, 'weight': weight, 'gap': gap, 'level': level,
+                'matched_keywords': {_list('matched')}, 'missing_keywords': {_list('missing')}[1:5]}} ORDER BY priority) AS missing_skills
+            FROM gaps GROUP BY resume_id) USING (resume_id)
+        LEFT JOIN (
+            SELECT resume_id, list({{'week': week, 'title': title, 'focus_skills': string_split(focus_skills, '|'),
+                'theme': theme, 'weekly_objectives': string_split(weekly_objectives, '|'),
+                'hands_on_project': hands_on_project, 'key_resources': string_split(key_resources, '|')}} ORDER BY week) AS study_plan
+            FROM (SELECT * FROM gap_plan UNION ALL SELECT * FROM mastery_plan) GROUP BY resume_id) USING (resume_id)"""),
     "q_rejects": statement(["texts", "resumes", "roles", "skills"], f"""
         SELECT resume_id, 'analyse' AS stage, {text(validation.TOO_SHORT)} AS reason FROM texts
         WHERE resume_id NOT IN (SELECT resume_id FROM resumes)
@@ -459,6 +487,32 @@ ORACLE: dict[str, str] = {
         FROM paged_texts LEFT JOIN (SELECT doc_id, count(DISTINCT page_no) AS n_pages, count(*) AS n_lines
                                     FROM page_lines GROUP BY doc_id) USING (doc_id)"""),
 }
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(column: str) -> str:
+    counts = ", ".join(f"length(lower({column})) - length(replace(lower({column}), '{c}', ''))" for c in _LETTERS)
+    return f"[{counts}]::DOUBLE[]"
+
+
+_M = fixtures.MODEL_SEMANTIC
+ORACLE["q_model_provider"] = statement(
+    ["scores"], "SELECT resume_id, skill, score, semantic_similarity FROM scores",
+    letter_chunks=(["chunks"], f"""
+        SELECT resume_id, chunk_no, v, sqrt(list_dot_product(v, v)) AS norm
+        FROM (SELECT resume_id, chunk_no, {_letters('chunk')} AS v FROM chunks)"""),
+    letter_queries=(["skills"], f"""
+        SELECT role, skill, v, sqrt(list_dot_product(v, v)) AS norm
+        FROM (SELECT role, skill, {_letters('query_text')} AS v FROM skills)"""),
+    similarity=(["letter_chunks", "letter_queries", "resumes"], f"""
+        SELECT resume_id, skill, sum(sim) / count(*) AS similarity
+        FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, skill ORDER BY sim DESC) AS place
+              FROM (SELECT c.resume_id, q.skill, CASE WHEN q.norm * c.norm > 0
+                           THEN list_dot_product(q.v, c.v) / (q.norm * c.norm) ELSE {real(0.0)} END AS sim
+                    FROM letter_chunks c JOIN resumes r USING (resume_id) JOIN letter_queries q ON q.role = r.target_role))
+        WHERE place <= 2 GROUP BY resume_id, skill"""),
+    raw_scores=(["coverage", "similarity"], CTES["raw_scores"][1].replace(real(FLOOR), real(_M.floor)).replace(real(CEILING), real(_M.ceiling))),
+)
 for _same, _as in (
     ("q_stream_readiness", "q_readiness"), ("q_large_scores", "q_skill_scores"), ("q_large_gaps", "q_gaps"),
     ("q_large_study_plan", "q_study_plan"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolemeter.catalog import fixtures
 from rolemeter.functions.core import round_exact
@@ -13,6 +15,7 @@ from rolemeter.functions.keywords import flagged, keyword_ratio
 from rolemeter.functions.text import normalize, sentences
 from rolemeter.functions.vectors import sparse_vector
 from rolemeter.operators import embeddings, gaps, long_form, report, study_plan
+from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.layout import computed_once, spread
 from rolemeter.operators.skills import Semantic, skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_focus, with_plan
@@ -121,7 +124,8 @@ def keyword_readiness(spark, sf_dir):
 def query_texts(spark, sf_dir):
     asked = resumes(spark, sf_dir).select("resume_id", "target_role")
     skills = query_text(fixtures.role_skills(spark).where(F.col("skill").isNotNull()))
-    return asked.join(F.broadcast(skills), F.col("target_role") == F.col("role")).select("resume_id", "skill", "query_text")
+    keyed = skills.select(F.col("role").alias("target_role"), "skill", "query_text")
+    return lookup_join(asked, keyed, "target_role").select("resume_id", "skill", "query_text")
 
 
 @registered("q_roles")
@@ -393,6 +397,33 @@ def large_study_plan(spark, sf_dir):
     return plan_table(plan_of(large_scores(spark, sf_dir), fixtures.curriculum(spark)))
 
 
+def letter_model() -> Callable[[Column], Column]:
+    """A stand-in for a sentence encoder: how often each letter occurs, per batch in numpy."""
+
+    def load():
+        import numpy as np
+
+        letters = "abcdefghijklmnopqrstuvwxyz"
+
+        def predict(batch: np.ndarray) -> np.ndarray:
+            lowered = [text.lower() for text in batch]
+            return np.array([[text.count(letter) for letter in letters] for text in lowered], dtype=np.float64)
+
+        return predict
+
+    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=512)
+
+
+@registered("q_model_provider")
+def model_provider(spark, sf_dir):
+    """Scores with the vectors of a model in place of hashed term counts."""
+    found = resumes(spark, sf_dir)
+    role_skills = fixtures.role_skills(spark)
+    similarities = embeddings.model_similarities(found, role_skills, letter_model())
+    scored = analyse(found, role_skills, fixtures.MODEL_SEMANTIC, similarities)
+    return skill_rows(scored).select("resume_id", "skill", "score", "semantic_similarity")
+
+
 @registered("q_stream_readiness")
 def stream_readiness(spark, sf_dir):
     """Documents read as a stream, scored and written; what was written is the result."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rolemeter.functions.text import chunks
 from rolemeter.functions.vectors import TOP_CHUNKS, dense_cosine
+from rolemeter.operators.dimensions import is_small, lookup_join
 from rolemeter.sources.profiles import query_text
 
 
@@ -28,15 +29,19 @@ def chunk_similarities(chunk_vectors: DataFrame, queries: DataFrame) -> DataFram
     """Similarity of every chunk to the skills of its role: `resume_id, chunk_no, skill, similarity`.
 
     `chunk_vectors` has `resume_id, target_role, chunk_no, embedding`; `queries`, one row per
-    role skill with `role, skill, embedding`, is of checked size. All skills of a role travel
-    with the chunk as one array, so vectors are not copied per pair.
+    role skill, has `role, skill, embedding`. When the queries are small, the skills of a role
+    meet a chunk as one broadcast array and no vector is copied per pair.
     """
-    per_role = queries.groupBy("role").agg(F.collect_list(F.struct("skill", "embedding")).alias("queries"))
-    joined = chunk_vectors.join(F.broadcast(per_role), F.col("target_role") == F.col("role"))
-    scored = F.transform("queries", lambda q: F.struct(
-        q.skill.alias("skill"), dense_cosine(q.embedding, F.col("embedding")).alias("similarity")
-    ))
-    return joined.select("resume_id", "chunk_no", F.inline(scored))
+    if is_small(queries):
+        per_role = queries.groupBy("role").agg(F.collect_list(F.struct("skill", "embedding")).alias("queries"))
+        joined = chunk_vectors.join(F.broadcast(per_role), F.col("target_role") == F.col("role"))
+        scored = F.transform("queries", lambda q: F.struct(
+            q.skill.alias("skill"), dense_cosine(q.embedding, F.col("embedding")).alias("similarity")
+        ))
+        return joined.select("resume_id", "chunk_no", F.inline(scored))
+    keyed = queries.select(F.col("role").alias("target_role"), "skill", F.col("embedding").alias("query"))
+    pairs = lookup_join(chunk_vectors, keyed, "target_role", small=False, spread_by="chunk_no")
+    return pairs.select("resume_id", "chunk_no", "skill", dense_cosine(F.col("query"), F.col("embedding")).alias("similarity"))
 
 
 def best_chunks(similarities: DataFrame, k: int = TOP_CHUNKS, found_only: bool = False) -> DataFrame:
@@ -57,10 +62,8 @@ def as_map(similarities: DataFrame) -> DataFrame:
     return similarities.groupBy("resume_id").agg(F.map_from_entries(entries).alias("similarities"))
 
 
-def with_model(
-    resumes: DataFrame, role_skills: DataFrame, embed: Callable, size: int = 3
-) -> DataFrame:
-    """Add `similarities` computed by a model.
+def model_similarities(resumes: DataFrame, role_skills: DataFrame, embed: Callable, size: int = 3) -> DataFrame:
+    """`resume_id, similarities` computed by a model.
 
     `embed` maps a text column to a vector column, typically a `predict_batch_udf`, which loads
     the model once per Python worker. Skill queries are embedded once, not per resume.
@@ -69,7 +72,9 @@ def with_model(
         "role", "skill", embed(F.col("query_text")).alias("embedding")
     )
     vectors = chunk_rows(resumes, size).withColumn("embedding", embed(F.col("chunk"))).drop("chunk")
-    similarities = as_map(best_chunks(chunk_similarities(vectors, queries)))
-    return resumes.join(similarities, "resume_id", "left").withColumn(
-        "similarities", F.coalesce("similarities", F.create_map().cast("map<string,double>"))
-    )
+    return as_map(best_chunks(chunk_similarities(vectors, queries)))
+
+
+def stored_similarities(chunk_vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """`resume_id, similarities` from chunk and query vectors computed earlier."""
+    return as_map(best_chunks(chunk_similarities(chunk_vectors, queries)))

@@ -211,7 +211,9 @@ def document_similarities(chunks: DataFrame, role_skills: DataFrame, semantic: S
     )
 
 
-def score_rows(segments: DataFrame, role_skills: DataFrame, semantic: Semantic) -> DataFrame:
+def score_rows(
+    segments: DataFrame, role_skills: DataFrame, semantic: Semantic, similarities: DataFrame | None = None
+) -> DataFrame:
     """One row per document and skill, with the same columns as the row-local `skill_rows`."""
     skills = role_skills.where(F.col("skill").isNotNull()).select(
         F.col("role").alias("target_role"), "skill_ord", "skill", "weight", "keywords"
@@ -222,7 +224,10 @@ def score_rows(segments: DataFrame, role_skills: DataFrame, semantic: Semantic)
         F.collect_list("kw_ord").alias("hit_ords")
     )
     rows = asked.join(hits, ["resume_id", "skill_ord"], "left")
-    if semantic.provider == "hashed":
+    if similarities is not None:
+        given = similarities.select("resume_id", F.explode("similarities").alias("skill", "similarity"))
+        rows = rows.join(given, ["resume_id", "skill"], "left")
+    elif semantic.provider == "hashed":
         similar = document_similarities(chunk_rows(segments, semantic.chunk_size), role_skills, semantic)
         rows = rows.join(similar, ["resume_id", "skill_ord"], "left")
     else:

@@ -26,8 +26,8 @@ from rolemeter.sources.profiles import query_text
 class Semantic:
     """How texts become vectors, and the similarity range that counts as 0 to 1.
 
-    `provider` is "hashed" (term counts, no model), "given" (similarities computed outside, in
-    a map column `similarities` keyed by skill) or "none" (keywords only).
+    `provider` is "hashed" (term counts, no model), "given" (similarities computed outside, see
+    `operators.embeddings`) or "none" (keywords only).
     """
 
     provider: str = "hashed"
@@ -77,42 +77,55 @@ def vectors_column(dim: int) -> Column:
 
 
 def features(resumes: DataFrame, semantic: Semantic) -> DataFrame:
-    """What scoring needs of a document: lower-cased text and chunk vectors."""
+    """What scoring needs of a document: lower-cased text and, if hashed, chunk vectors."""
     lowered = F.lower("text").alias("lower_text")
-    extra = [F.col(c) for c in ("similarities",) if c in resumes.columns]
     if semantic.provider != "hashed":
-        return resumes.select("resume_id", "target_role", lowered, *extra)
+        return resumes.select("resume_id", "target_role", lowered)
     cut = resumes.select("resume_id", "target_role", lowered, chunk_column(semantic.chunk_size).alias("chunks"))
     return cut.select("resume_id", "target_role", "lower_text", vectors_column(semantic.dim).alias("vectors"))
 
 
-def similarity_of(semantic: Semantic) -> Callable[[Column], Column]:
-    """Unrounded similarity of a prepared skill and the document of the row."""
-    if semantic.provider == "hashed":
-        return lambda skill: best_mean(
-            F.transform(F.col("vectors"), lambda v: sparse_cosine(skill.counts, skill.query_norm, v))
-        )
-    if semantic.provider == "given":
-        return lambda skill: F.coalesce(F.try_element_at(F.col("similarities"), skill.skill), F.lit(0.0))
-    return lambda skill: F.lit(0.0)
+def hashed_similarity(skill: Column) -> Column:
+    """Mean cosine of a prepared skill and the two closest chunks of the row."""
+    return best_mean(F.transform(F.col("vectors"), lambda v: sparse_cosine(skill.counts, skill.query_norm, v)))
 
 
-@built_once
-def scored_entries(semantic: Semantic) -> Column:
-    """Prepared `skills` of the row to scored skills. Each step binds its values, so none is computed twice."""
-    similarity = similarity_of(semantic)
-    evidence = F.transform("skills", lambda s: F.struct(
+def _keyword_lists(skills: Column | str, similarity: Callable[[Column], Column]) -> Column:
+    """Prepared skills of the row with their keyword lists. Each step binds its values once."""
+    looked_up = F.transform(skills, lambda s: F.struct(
         s.skill_ord.alias("skill_ord"), s.skill.alias("skill"), s.weight.alias("weight"),
         F.size(s.probes).alias("n_keywords"),
         partition_keywords(F.col("lower_text"), s.probes).alias("flags"),
         similarity(s).alias("similarity"),
     ))
-    parted = F.transform(evidence, lambda s: F.struct(
+    return F.transform(looked_up, lambda s: F.struct(
         s.skill_ord.alias("skill_ord"), s.skill.alias("skill"), s.weight.alias("weight"),
         s.n_keywords.alias("n_keywords"), s.similarity.alias("similarity"),
         flagged(s.flags, True).alias("matched"), flagged(s.flags, False).alias("missing"),
     ))
-    return finished(parted, semantic)
+
+
+@built_once
+def scored_entries(semantic: Semantic) -> Column:
+    """Prepared `skills` of the row to scored skills."""
+    hashed = semantic.provider == "hashed"
+    return finished(_keyword_lists("skills", hashed_similarity if hashed else lambda s: F.lit(0.0)), semantic)
+
+
+@built_once
+def keyword_evidence() -> Column:
+    return _keyword_lists("skills", lambda s: F.lit(0.0))
+
+
+@built_once
+def given_entries(semantic: Semantic) -> Column:
+    """`evidence` of the row scored with `similarities`, a map from skill to similarity."""
+    given = F.transform("evidence", lambda s: F.struct(
+        s.skill_ord.alias("skill_ord"), s.skill.alias("skill"), s.weight.alias("weight"), s.n_keywords.alias("n_keywords"),
+        F.coalesce(F.try_element_at(F.col("similarities"), s.skill), F.lit(0.0)).alias("similarity"),
+        s.matched.alias("matched"), s.missing.alias("missing"),
+    ))
+    return finished(given, semantic)
 
 
 def finished(evidence: Column, semantic: Semantic) -> Column:
@@ -135,12 +148,21 @@ def finished(evidence: Column, semantic: Semantic) -> Column:
     ))
 
 
-def score_skills(resumes: DataFrame, roles: DataFrame, semantic: Semantic) -> DataFrame:
-    """`resume_id, target_role, skills` for resumes whose role is in `roles` (see `role_rows`)."""
-    matched = features(resumes, semantic).join(
-        F.broadcast(roles), F.col("target_role") == F.col("role"), "inner"
+def score_skills(
+    resumes: DataFrame, roles: DataFrame, semantic: Semantic, similarities: DataFrame | None = None
+) -> DataFrame:
+    """`resume_id, target_role, skills` for resumes whose role is in `roles` (see `role_rows`).
+
+    With `similarities` (`resume_id, similarities`), keywords are matched first, so that the
+    join by resume moves short rows and no texts.
+    """
+    matched = features(resumes, semantic).join(F.broadcast(roles), F.col("target_role") == F.col("role"), "inner")
+    if similarities is None:
+        return matched.select("resume_id", "target_role", scored_entries(semantic).alias("skills"))
+    evidence = matched.select("resume_id", "target_role", keyword_evidence().alias("evidence"))
+    return evidence.join(similarities, "resume_id", "left").select(
+        "resume_id", "target_role", given_entries(semantic).alias("skills")
     )
-    return matched.select("resume_id", "target_role", scored_entries(semantic).alias("skills"))
 
 
 def weighted_mean(skills: Column) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemeter.functions.scoring import WEAK_BELOW, gap, tier
+from rolemeter.operators.dimensions import is_small
 from rolemeter.operators.gaps import FOCUS_SKILLS, MISSING_SHOWN, heaviest, names, weak_column
-from rolemeter.operators.long_form import score_rows
+from rolemeter.operators.long_form import score_rows, segments_of
 from rolemeter.operators.skills import Semantic, readiness_column, role_rows, score_skills
 from rolemeter.operators.study_plan import with_study_plan
+from rolemeter.plans.validation import known_roles
 
 
 def roll_up(scored: DataFrame) -> DataFrame:
@@ -23,14 +25,28 @@ def roll_up(scored: DataFrame) -> DataFrame:
     )
 
 
-def analyse(resumes: DataFrame, role_skills: DataFrame, semantic: Semantic = Semantic()) -> DataFrame:
+def analyse(
+    resumes: DataFrame,
+    role_skills: DataFrame,
+    semantic: Semantic = Semantic(),
+    similarities: DataFrame | None = None,
+) -> DataFrame:
     """`resume_id, target_role, skills, readiness_score, gaps, readiness_tier, n_skills, n_gaps`.
 
-    One row per resume whose role is known. The role table is broadcast, one row per role, and
-    everything else is local to a resume, so nothing is shuffled and a stream works as well.
-    Call it for role tables that `is_small` accepts; `analyse_large` takes any size.
+    One row per resume whose role is known. With a role table of proven small size it is
+    broadcast, one row per role, and everything else is local to a resume: nothing is
+    shuffled, and a stream works as well. A larger role table goes through the long form.
     """
-    return roll_up(score_skills(resumes, role_rows(role_skills, semantic), semantic))
+    if is_small(role_skills):
+        return roll_up(score_skills(resumes, role_rows(role_skills, semantic), semantic, similarities))
+    rows = score_rows(segments_of(resumes), role_skills, semantic, similarities)
+    entry = F.struct(
+        "skill_ord", "skill", "score", "weight", "level", "matched_keywords", "missing_keywords", "semantic_similarity"
+    )
+    per_resume = rows.groupBy("resume_id").agg(F.array_sort(F.collect_list(entry)).alias("skills"))
+    known = known_roles(resumes.select("resume_id", "target_role"), role_skills, small=False)
+    none = F.array().cast(per_resume.schema["skills"].dataType)
+    return roll_up(known.join(per_resume, "resume_id", "left").withColumn("skills", F.coalesce("skills", none)))
 
 
 def with_focus(analysed: DataFrame) -> DataFrame:
