@@ -36,11 +36,9 @@ def rounded(column: str, digits: int) -> str:
     power, one = 10 ** digits, 1 << 52
     scaled = f"(({column} - floor({column})) * {real(float(one))})"
     product = f"(CAST(floor{scaled} AS BIGINT) * {power})"
-    rest = f"({product} & {one - 1})"
-    up = (
-        f"({rest} > {one // 2} OR ({rest} = {one // 2} AND ((({product} >> 52) & 1) = 1"
-        f" OR {scaled} > floor{scaled})))"
-    )
+    to_midpoint = f"({one // 2} - ({product} & {one - 1}))"
+    below = f"(({scaled} - floor{scaled}) * {real(float(power))})"
+    up = f"({below} > {to_midpoint} OR ({below} = {to_midpoint} AND (({product} >> 52) & 1) = 1))"
     return (
         f"(CAST(CAST(floor({column}) AS BIGINT) * {power} + ({product} >> 52)"
         f" + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / {real(float(power))})"
@@ -307,7 +305,8 @@ CTES["vectors"] = ([], """
            list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
              / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))
                 * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS similarity
-    FROM embeddings v CROSS JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q""")
+    FROM embeddings v JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q
+      ON v.label % 2 = q.label % 2""")
 _PAGE_LINE = rf"regexp_replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(8203), ''), '[ \t]+', ' ', 'g')"
 CTES["page_rows"] = ([], f"""
     SELECT conv_id AS doc_id, turn AS page_no, unnest(l) AS line, unnest(range(len(l))) AS i

@@ -142,14 +142,16 @@ def roles(spark, sf_dir):
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors grouped by label as the chunks of documents, and one query vector per label.
 
-    The query of a label is its first vector; every document is compared to all of them.
+    The query of a label is its first vector. Even and odd labels are two roles, and a document
+    is compared to the queries of its role.
     """
     vectors = spark.read.schema(VECTORS).parquet(f"{sf_dir}/embeddings.parquet")
+    role = F.when(F.col("label") % 2 == 0, "even").otherwise("odd")
     chunk_vectors = vectors.select(
-        long("label").alias("resume_id"), F.lit("labels").alias("target_role"), F.col("vec_id").alias("chunk_no"), "embedding"
+        long("label").alias("resume_id"), role.alias("target_role"), F.col("vec_id").alias("chunk_no"), "embedding"
     )
     queries = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
-        F.lit("labels").alias("role"), F.col("label").cast("string").alias("skill"), "embedding"
+        role.alias("role"), F.col("label").cast("string").alias("skill"), "embedding"
     )
     return chunk_vectors, queries
 

@@ -47,8 +47,8 @@ def round_exact(value: Column, digits: int) -> Column:
     """Half-even rounding of the exact binary value of a double, in integer arithmetic.
 
     SQL `round` is half-up and `bround` looks at the shortest decimal form; both differ from
-    IEEE round-half-even on some doubles. The fraction times 2**52 is an exact integer for
-    every |value| >= 1; below 1 the bits that fall off only matter for an exact tie.
+    IEEE round-half-even on some doubles. The fraction times 2**52 is a whole number, plus
+    some bits below it for values under 1, and so is compared to the midpoint exactly.
     """
     power = 10 ** digits
 
@@ -59,11 +59,10 @@ def round_exact(value: Column, digits: int) -> Column:
         mantissa = F.floor(scaled).cast("bigint")
         product = mantissa * F.lit(power).cast("bigint")
         quotient = F.shiftright(product, 52)
-        rest = product.bitwiseAND(F.lit(MANTISSA - 1))
-        half = F.lit(MANTISSA // 2).cast("bigint")
-        up = (rest > half) | (
-            (rest == half) & ((quotient.bitwiseAND(F.lit(1).cast("bigint")) == 1) | (scaled > mantissa))
-        )
+        to_midpoint = F.lit(MANTISSA // 2).cast("bigint") - product.bitwiseAND(F.lit(MANTISSA - 1))
+        below = (scaled - mantissa) * F.lit(float(power))
+        odd = quotient.bitwiseAND(F.lit(1).cast("bigint")) == 1
+        up = (below > to_midpoint) | ((below == to_midpoint) & odd)
         units = whole * F.lit(power).cast("bigint") + quotient + F.when(up, 1).otherwise(0)
         return F.when(v < 0, -units).otherwise(units).cast("double") / F.lit(float(power))
 

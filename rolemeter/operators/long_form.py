@@ -88,7 +88,7 @@ def document_heads(segments: DataFrame) -> DataFrame:
     joined = normalize(F.array_join(F.transform("tops", lambda t: t.top), "\n\n"))
     return without.join(first, "resume_id", "left").select(
         "resume_id", "target_role", F.lit(0).cast("bigint").alias("chunk_no"),
-        F.coalesce(F.left(joined, F.lit(FALLBACK_CHARS)), F.lit(EMPTY_TEXT_CHUNK)).alias("chunk"),
+        F.when(F.length(joined) > 0, F.left(joined, F.lit(FALLBACK_CHARS))).otherwise(F.lit(EMPTY_TEXT_CHUNK)).alias("chunk"),
     )
 
 
