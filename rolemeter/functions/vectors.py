@@ -11,32 +11,27 @@ from rolemeter.functions.text import tokens
 TOP_CHUNKS = 2
 
 
-def _digit(head: Column, place: int) -> Column:
-    return F.instr(F.lit("123456789abcdef"), F.substring(head, place, 1))
+def _digit(hexadecimal: Column, place: int) -> Column:
+    """Value of one hex digit: its character code modulo 39 counts on from 9 to 24."""
+    return F.ascii(F.substring(hexadecimal, place, 1)) % 39 - 9
 
 
 def buckets(words: Column, dim: int) -> Column:
     """Bucket of each word: the first 32 bits of its md5, modulo the dimension.
 
-    The hex digits are looked up one by one, as `conv` costs several times the md5 itself. Of a
-    power of two only the last digits decide.
+    The digits are decoded one by one, as `conv` costs several times the md5 itself. Of a power
+    of two only the last digits decide.
     """
     power_of_two = dim & (dim - 1) == 0
-    n = -(-(dim.bit_length() - 1) // 4) or 1 if power_of_two else 8
-    heads = F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 9 - n, n))
+    n = max(1, -(-(dim.bit_length() - 1) // 4)) if power_of_two else 8
 
-    def decode(head: Column) -> Column:
-        if n < 8:
-            value = _digit(head, 1)
-            for place in range(2, n + 1):
-                value = value * 16 + _digit(head, place)
-            return value if dim == 16 ** n else value % F.lit(dim)
-        value = _digit(head, 1).cast("bigint")
-        for place in range(2, 9):
-            value = value * 16 + _digit(head, place)
-        return (value % F.lit(dim)).cast("int")
+    def decode(digest: Column) -> Column:
+        value = _digit(digest, 9 - n).cast("bigint" if n == 8 else "int")
+        for place in range(10 - n, 9):
+            value = value * 16 + _digit(digest, place)
+        return value if dim == 16 ** n else (value % F.lit(dim)).cast("int")
 
-    return F.transform(heads, decode)
+    return F.transform(F.transform(words, lambda w: F.md5(w.cast("binary"))), decode)
 
 
 def term_buckets(text: Column, dim: int) -> Column:
@@ -45,16 +40,20 @@ def term_buckets(text: Column, dim: int) -> Column:
 
 
 def squared_norm(sorted_buckets: Column) -> Column:
-    """Sum of squared bucket counts: a run of length r adds 1 + 3 + ... + (2r - 1) = r * r."""
-    start = F.struct(
-        F.lit(-1).alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("total")
+    """Sum of squared bucket counts, from the places where a new bucket starts."""
+    starts = F.filter(
+        F.transform(
+            sorted_buckets, lambda b, i: F.when((i == 0) | (b != F.get(sorted_buckets, i - 1)), i)
+        ),
+        lambda i: i.isNotNull(),
     )
 
-    def step(acc: Column, b: Column) -> Column:
-        run = F.when(b == acc.last, acc.run + 1).otherwise(F.lit(1).cast("bigint"))
-        return F.struct(b.alias("last"), run.alias("run"), (acc.total + run * 2 - 1).alias("total"))
+    def total(places: Column) -> Column:
+        ends = F.concat(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), F.array(F.size(sorted_buckets)))
+        counts = F.zip_with(places, F.slice(ends, 1, F.size(places)), lambda start, end: end - start)
+        return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n * n)
 
-    return F.aggregate(sorted_buckets, start, step, lambda acc: acc.total)
+    return let(starts, total)
 
 
 def sparse_vector(text: Column, dim: int) -> Column:
@@ -73,6 +72,22 @@ def dense_counts(sorted_buckets: Column, dim: int) -> Column:
     )
 
 
+def any_counts(laid_out: Column) -> Column:
+    """For an array of laid-out counts, whether any of them has a bucket."""
+    return F.aggregate(
+        F.slice(laid_out, 2, F.greatest(F.size(laid_out) - 1, F.lit(0))),
+        F.transform(F.get(laid_out, F.lit(0)), lambda n: n > 0),
+        lambda acc, counts: F.zip_with(acc, counts, lambda seen, n: seen | (n > 0)),
+    )
+
+
+def only_buckets(vector: Column, wanted: Column) -> Column:
+    """A sparse vector without the buckets no query has; its norm stays that of the whole."""
+    return F.struct(
+        F.filter(vector.buckets, lambda b: F.get(wanted, b)).alias("buckets"), vector.norm.alias("norm")
+    )
+
+
 def sparse_cosine(counts: Column, query_norm: Column, vector: Column) -> Column:
     """Cosine of a laid-out query and a sparse vector. A zero norm gives 0.
 

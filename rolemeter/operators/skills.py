@@ -18,7 +18,9 @@ from rolemeter.functions.core import built_once, clip, round_exact
 from rolemeter.functions.keywords import flagged, keyword_ratio, partition_keywords, probes
 from rolemeter.functions.scoring import MODEL_CEILING, MODEL_FLOOR, blend, calibrate, level
 from rolemeter.functions.text import chunks
-from rolemeter.functions.vectors import best_mean, dense_counts, sparse_cosine, sparse_vector
+from rolemeter.functions.vectors import (
+    any_counts, best_mean, dense_counts, only_buckets, sparse_cosine, sparse_vector,
+)
 from rolemeter.sources.profiles import query_text
 
 
@@ -61,9 +63,8 @@ def role_rows(role_skills: DataFrame, semantic: Semantic) -> DataFrame:
     """
     entry = F.struct("skill_ord", "skill", "weight", "probes", "counts", "query_norm")
     entries = F.collect_list(F.when(F.col("skill").isNotNull(), entry))
-    return prepared_skills(role_skills, semantic).groupBy("role", "role_ord").agg(
-        F.array_sort(entries).alias("skills")
-    )
+    rows = prepared_skills(role_skills, semantic).groupBy("role", "role_ord").agg(F.array_sort(entries).alias("skills"))
+    return rows.withColumn("wanted", any_counts(F.transform("skills", lambda s: s.counts)))
 
 
 @built_once
@@ -158,6 +159,9 @@ def score_skills(
     """
     matched = features(resumes, semantic).join(F.broadcast(roles), F.col("target_role") == F.col("role"), "inner")
     if similarities is None:
+        if semantic.provider == "hashed":
+            relevant = F.transform("vectors", lambda v: only_buckets(v, F.col("wanted")))
+            matched = matched.select("resume_id", "target_role", "lower_text", "skills", relevant.alias("vectors"))
         return matched.select("resume_id", "target_role", scored_entries(semantic).alias("skills"))
     evidence = matched.select("resume_id", "target_role", keyword_evidence().alias("evidence"))
     return evidence.join(similarities, "resume_id", "left").select(
