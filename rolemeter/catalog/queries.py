@@ -338,7 +338,7 @@ def paged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("q_paged_chunks")
 def paged_chunks(spark, sf_dir):
     """Chunks of paged documents, cut across pages without putting a document together."""
-    return long_form.chunk_rows(paged_segments(spark, sf_dir)).select("resume_id", "chunk_no", "chunk")
+    return long_form.chunk_rows(long_form.prepared(paged_segments(spark, sf_dir))).select("resume_id", "chunk_no", "chunk")
 
 
 @registered("q_paged_scores")
@@ -429,10 +429,9 @@ def model_provider(spark, sf_dir):
 @registered("q_stream_readiness")
 def stream_readiness(spark, sf_dir):
     """Documents read as a stream, scored and written; what was written is the result."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").schema
-    arriving = normalised(
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    ).where(long_enough(F.col("text")))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    reader = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet")
+    arriving = normalised(spread(reader.parquet(sf_dir), "doc_id", sized_like=documents)).where(long_enough(F.col("text")))
     scored = score_stream(arriving, fixtures.role_skills(spark), fixtures.SEMANTIC).selectExpr(*READINESS)
     folder = scratch_dir(spark, "stream-readiness")
     write_stream(scored, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

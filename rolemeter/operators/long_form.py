@@ -21,6 +21,7 @@ from rolemeter.functions.text import (
 from rolemeter.functions.vectors import buckets, sparse_vector
 from rolemeter.operators.dimensions import is_small, lookup_join
 from rolemeter.operators.embeddings import best_chunks
+from rolemeter.operators.layout import stored
 from rolemeter.operators.skills import Semantic, finished
 from rolemeter.sources.profiles import query_text
 
@@ -58,42 +59,54 @@ def segment_offsets(counted: DataFrame) -> DataFrame:
     )
 
 
-def sentence_rows(segments: DataFrame) -> DataFrame:
-    """`resume_id, target_role, sentence_no, sentence, n_sentences`, numbered through the document."""
-    cut = segments.select("resume_id", "target_role", "segment_no", sentences(F.col("text")).alias("units"))
-    offsets = segment_offsets(cut.select("resume_id", "segment_no", F.size("units").cast("bigint").alias("n")))
-    return (
-        cut.join(offsets, ["resume_id", "segment_no"])
-        .select("resume_id", "target_role", "start", "n_sentences", F.posexplode("units").alias("pos", "sentence"))
-        .select("resume_id", "target_role", (F.col("start") + F.col("pos")).alias("sentence_no"), "sentence", "n_sentences")
+def prepared(segments: DataFrame) -> DataFrame:
+    """Segments with their sentences, stored, as scoring reads them several times."""
+    return stored(
+        segments.select("resume_id", "target_role", "segment_no", "text", sentences(F.col("text")).alias("units")),
+        "segments",
     )
 
 
-def document_heads(segments: DataFrame) -> DataFrame:
+def _placed(cut: DataFrame) -> DataFrame:
+    """Prepared segments with `start`, the sentences before them, and the document's `n_sentences`."""
+    offsets = segment_offsets(cut.select("resume_id", "segment_no", F.size("units").cast("bigint").alias("n")))
+    return cut.join(offsets, ["resume_id", "segment_no"])
+
+
+def sentence_rows(cut: DataFrame) -> DataFrame:
+    """`resume_id, target_role, sentence_no, sentence, n_sentences`, numbered through the document."""
+    placed = _placed(cut.drop("text").where(F.size("units") > 0))
+    return placed.select(
+        "resume_id", "target_role", "start", "n_sentences", F.posexplode("units").alias("pos", "sentence")
+    ).select("resume_id", "target_role", (F.col("start") + F.col("pos")).alias("sentence_no"), "sentence", "n_sentences")
+
+
+def document_heads(cut: DataFrame) -> DataFrame:
     """Chunk of documents without any sentence: the first characters of their text."""
-    sizes = segments.groupBy("resume_id", "target_role").agg(F.max(F.size(sentences(F.col("text")))).alias("most"))
-    without = sizes.where(F.col("most") == 0).select("resume_id", "target_role")
+    some = cut.where(F.size("units") > 0).select("resume_id").distinct()
     opening = F.regexp_replace(squeeze(F.col("text")), rf"\A({WS}*\n)+", "")
     top = F.left(F.regexp_replace(opening, rf"\n{WS}*\n", "\n\n"), F.lit(FALLBACK_CHARS + 2))
-    order = Window.partitionBy("resume_id").orderBy("segment_no")
-    first = (
-        segments.where(F.size(sentences(F.col("text"))) == 0)
-        .select("resume_id", "segment_no", top.alias("top"))
-        .where(strip(F.col("top")) != "")
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= HEAD_SEGMENTS)
-        .groupBy("resume_id")
-        .agg(F.array_sort(F.collect_list(F.struct("segment_no", "top"))).alias("tops"))
+    without = cut.where(F.size("units") == 0).select("resume_id", "target_role", "segment_no", top.alias("top")).join(
+        some, "resume_id", "left_anti"
     )
+    # Blank segments add nothing; they are ranked last so that a document of blanks keeps one.
+    blank = strip(F.col("top")) == ""
+    order = Window.partitionBy("resume_id").orderBy(blank, "segment_no")
     joined = normalize(F.array_join(F.transform("tops", lambda t: t.top), "\n\n"))
-    return without.join(first, "resume_id", "left").select(
-        "resume_id", "target_role", F.lit(0).cast("bigint").alias("chunk_no"),
-        F.when(F.length(joined) > 0, F.left(joined, F.lit(FALLBACK_CHARS))).otherwise(F.lit(EMPTY_TEXT_CHUNK)).alias("chunk"),
+    return (
+        without.withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= HEAD_SEGMENTS)
+        .groupBy("resume_id", "target_role")
+        .agg(F.array_sort(F.collect_list(F.when(~blank, F.struct("segment_no", "top")))).alias("tops"))
+        .select(
+            "resume_id", "target_role", F.lit(0).cast("bigint").alias("chunk_no"),
+            F.when(F.length(joined) > 0, F.left(joined, F.lit(FALLBACK_CHARS))).otherwise(F.lit(EMPTY_TEXT_CHUNK)).alias("chunk"),
+        )
     )
 
 
-def chunk_rows(segments: DataFrame, size: int = 3) -> DataFrame:
-    """Chunks over segment borders: `resume_id, target_role, chunk_no, chunk`.
+def chunk_rows(cut: DataFrame, size: int = 3) -> DataFrame:
+    """Chunks of prepared segments, over their borders: `resume_id, target_role, chunk_no, chunk`.
 
     Every sentence joins the one or two windows it belongs to, so a group is one window.
     `chunk_no` orders the chunks of a document; it can have gaps where a window was too short.
@@ -104,7 +117,7 @@ def chunk_rows(segments: DataFrame, size: int = 3) -> DataFrame:
     also_previous = (number % step == 0) & (number > 0) & F.lit(size > step)
     members = F.when(also_previous, F.array(own, own - 1)).otherwise(F.array(own))
     windows = (
-        sentence_rows(segments)
+        sentence_rows(cut)
         .withColumn("chunk_no", F.explode(members))
         .groupBy("resume_id", "target_role", "chunk_no")
         .agg(
@@ -123,7 +136,7 @@ def chunk_rows(segments: DataFrame, size: int = 3) -> DataFrame:
         F.when(single & (F.length(strip(F.col("joined"))) <= MIN_CHUNK), F.col("joined"))
         .otherwise(strip(F.col("joined"))).alias("chunk"),
     )
-    return kept.unionByName(document_heads(segments))
+    return kept.unionByName(document_heads(cut))
 
 
 def keyword_rows(role_skills: DataFrame) -> DataFrame:
@@ -161,12 +174,12 @@ def keyword_hits(segments: DataFrame, role_skills: DataFrame) -> DataFrame:
     )
     lowered = segments.select("resume_id", "segment_no", F.lower("text").alias("lower_text"))
     checked = doubtful.join(lowered, ["resume_id", "segment_no"]).where(found(F.col("lower_text"), F.col("probe")))
-    tokenless = lookup_join(
-        segments, probe.where(F.col("token").isNull()).drop("token"), "target_role", "inner", small
-    ).where(found(F.lower("text"), F.col("probe")))
-    hits = certain
-    for part in (checked, tokenless):
-        hits = hits.unionByName(part.select("resume_id", "skill_ord", "kw_ord"))
+    hits = certain.unionByName(checked.select("resume_id", "skill_ord", "kw_ord"))
+    tokenless = probe.where(F.col("token").isNull()).drop("token")
+    if not tokenless.isEmpty():
+        asked = lookup_join(segments, tokenless, "target_role", "inner", small)
+        seen = asked.where(found(F.lower("text"), F.col("probe")))
+        hits = hits.unionByName(seen.select("resume_id", "skill_ord", "kw_ord"))
     return hits.distinct()
 
 
@@ -218,9 +231,10 @@ def score_rows(
     skills = role_skills.where(F.col("skill").isNotNull()).select(
         F.col("role").alias("target_role"), "skill_ord", "skill", "weight", "keywords"
     )
-    documents = segments.select("resume_id", "target_role").distinct()
+    cut = prepared(segments)
+    documents = cut.select("resume_id", "target_role").distinct()
     asked = lookup_join(documents, skills, "target_role")
-    hits = keyword_hits(segments, role_skills).groupBy("resume_id", "skill_ord").agg(
+    hits = keyword_hits(cut, role_skills).groupBy("resume_id", "skill_ord").agg(
         F.collect_list("kw_ord").alias("hit_ords")
     )
     rows = asked.join(hits, ["resume_id", "skill_ord"], "left")
@@ -228,7 +242,7 @@ def score_rows(
         given = similarities.select("resume_id", F.explode("similarities").alias("skill", "similarity"))
         rows = rows.join(given, ["resume_id", "skill"], "left")
     elif semantic.provider == "hashed":
-        similar = document_similarities(chunk_rows(segments, semantic.chunk_size), role_skills, semantic)
+        similar = document_similarities(chunk_rows(cut, semantic.chunk_size), role_skills, semantic)
         rows = rows.join(similar, ["resume_id", "skill_ord"], "left")
     else:
         rows = rows.withColumn("similarity", F.lit(0.0))

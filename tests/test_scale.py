@@ -51,7 +51,7 @@ def test_long_form_chunks_equal_array_chunks(spark, sf_dir):
     )
     resumes = resumes.unionByName(odd)
     flat = embeddings.chunk_rows(resumes).select("resume_id", "chunk")
-    long = long_form.chunk_rows(long_form.segments_of(resumes)).select("resume_id", "chunk")
+    long = long_form.chunk_rows(long_form.prepared(long_form.segments_of(resumes))).select("resume_id", "chunk")
     assert rows(flat) == rows(long)
 
 
