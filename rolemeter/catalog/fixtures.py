@@ -115,11 +115,14 @@ def _kept(name: str, spark: SparkSession, table: DataFrame) -> DataFrame:
     return _TABLES.setdefault((name, spark), table.persist())
 
 
+def profile_text(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(json.dumps(PROFILES, ensure_ascii=False)).alias("value"))
+
+
 def role_skills(spark: SparkSession) -> DataFrame:
     if ("roles", spark) in _TABLES:
         return _TABLES["roles", spark]
-    text = spark.range(1).select(F.lit(json.dumps(PROFILES, ensure_ascii=False)).alias("value"))
-    return _kept("roles", spark, profiles_from_json(text).coalesce(1))
+    return _kept("roles", spark, profiles_from_json(profile_text(spark)).coalesce(1))
 
 
 def curriculum(spark: SparkSession) -> DataFrame:

@@ -6,6 +6,8 @@ on arrays inside a row, so they check the results along another route.
 
 from __future__ import annotations
 
+import json
+
 from rolemeter.catalog import fixtures
 from rolemeter.functions import scoring
 from rolemeter.functions.keywords import ALNUM, KEYWORD_TARGET, RATIO_WITHOUT_KEYWORDS, WORD
@@ -71,7 +73,8 @@ def _keyword_pattern(keyword: str) -> str:
 def _fixture_rows() -> tuple[str, str, str]:
     roles, skills = [], []
     for role_ord, (role, profile) in enumerate(fixtures.PROFILES.items()):
-        roles.append(f"({text(role)}, {role_ord})")
+        body = json.dumps(profile, ensure_ascii=False, separators=(",", ":"))
+        roles.append(f"({text(role)}, {role_ord}, {text(profile['title'])}, {text(body)})")
         for skill_ord, (skill, info) in enumerate(profile["skills"].items()):
             words = info.get("keywords", [])
             description = info.get("description", "")
@@ -122,7 +125,7 @@ def _hits() -> str:
 _HITS = _hits()
 
 CTES: dict[str, tuple[list[str], str]] = {
-    "roles": ([], f"SELECT * FROM (VALUES {_ROLES}) t(role, role_ord)"),
+    "roles": ([], f"SELECT * FROM (VALUES {_ROLES}) t(role, role_ord, title, profile)"),
     "skills": ([], f"SELECT * FROM (VALUES {_SKILLS}) t(role, skill, skill_ord, weight, n_keywords, query_text)"),
     "material": ([], f"SELECT * FROM (VALUES {_MATERIAL}) t(skill, fundamentals, applied, project, topics)"),
     "texts": ([], f"""
@@ -383,7 +386,8 @@ ORACLE: dict[str, str] = {
         SELECT r.role, CAST(role_ord AS BIGINT) AS role_ord,
                (SELECT count(*) FROM skills s WHERE s.role = r.role) AS n_skills,
                CAST((SELECT coalesce(sum(n_keywords), 0) FROM skills s WHERE s.role = r.role) AS BIGINT) AS n_keywords,
-               (SELECT count(*) FROM texts t WHERE t.target_role = r.role) AS n_resumes
+               (SELECT count(*) FROM texts t WHERE t.target_role = r.role) AS n_resumes,
+               title, profile
         FROM roles r"""),
     "q_dense_similarity": statement(["vectors"], f"""
         SELECT vec_id, skill, similarity FROM (

@@ -16,7 +16,7 @@ from rolemeter.functions.text import normalize, sentences
 from rolemeter.functions.vectors import sparse_vector
 from rolemeter.operators import embeddings, gaps, long_form, report, study_plan
 from rolemeter.operators.dimensions import lookup_join
-from rolemeter.operators.layout import computed_once, spread
+from rolemeter.operators.layout import computed_once, spread, stored
 from rolemeter.operators.skills import Semantic, skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_focus, with_plan
 from rolemeter.plans.validation import long_enough, resume_rejects
@@ -24,7 +24,7 @@ from rolemeter.schemas import VECTORS
 from rolemeter.session import scratch_dir
 from rolemeter.sources import files as file_source
 from rolemeter.sources import pages as page_source
-from rolemeter.sources.profiles import query_text, role_listing
+from rolemeter.sources.profiles import query_text, role_listing, role_payloads
 from rolemeter.streaming.readiness import score_stream, write_stream
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,9 +133,11 @@ def roles(spark, sf_dir):
     """Role listing with how many documents ask for each role."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     asked = documents.groupBy(target_role().alias("role")).agg(F.count(F.lit(1)).alias("n_resumes"))
-    return role_listing(fixtures.role_skills(spark)).join(asked, "role", "left").select(
+    listing = role_listing(fixtures.role_skills(spark)).join(role_payloads(fixtures.profile_text(spark)), "role")
+    return listing.join(asked, "role", "left").select(
         "role", long("role_ord").alias("role_ord"), long("n_skills").alias("n_skills"),
         long("n_keywords").alias("n_keywords"), F.coalesce("n_resumes", F.lit(0)).cast("bigint").alias("n_resumes"),
+        "title", "profile",
     )
 
 
@@ -153,7 +155,7 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     queries = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
         role.alias("role"), F.col("label").cast("string").alias("skill"), "embedding"
     )
-    return chunk_vectors, queries
+    return chunk_vectors, stored(queries, "label-queries")
 
 
 @registered("q_dense_similarity")
@@ -352,13 +354,13 @@ def paged_readiness(spark, sf_dir):
     """Paged documents put together where they are short enough, scored from pages where not."""
     pages_ = paged(spark, sf_dir)
     role = F.get(F.array(*[F.lit(n) for n in ("Role EN", "Role DE", "Role FR")]), (F.col("doc_id") % 3).cast("int"))
-    sizes = page_source.document_sizes(pages_)
+    sizes = stored(page_source.document_sizes(pages_), "page-sizes")
     short = page_source.assemble(pages_, sizes).select(F.col("doc_id").alias("resume_id"), role.alias("target_role"), "text")
     whole = analyse(short, fixtures.role_skills(spark), fixtures.SEMANTIC).selectExpr(*READINESS)
     long_lines = page_source.long_document_lines(pages_, sizes)
     segments = long_lines.select(
         F.col("doc_id").alias("resume_id"), role.alias("target_role"),
-        (F.col("page_no") * F.lit(1 << 31) + F.col("line_no")).alias("segment_no"), F.col("line").alias("text"),
+        page_source.line_order().alias("segment_no"), F.col("line").alias("text"),
     )
     parts = readiness_of(analyse_large(segments, fixtures.role_skills(spark), fixtures.SEMANTIC))
     return whole.unionByName(parts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemeter.functions.scoring import WEAK_BELOW, gap, tier
+from rolemeter.operators import dimensions
 from rolemeter.operators.dimensions import is_small
 from rolemeter.operators.gaps import FOCUS_SKILLS, MISSING_SHOWN, heaviest, names, weak_column
 from rolemeter.operators.long_form import score_rows, segments_of
@@ -25,6 +26,12 @@ def roll_up(scored: DataFrame) -> DataFrame:
     )
 
 
+def fits_rows(role_skills: DataFrame, semantic: Semantic) -> bool:
+    """Whether the role table can be broadcast, counting the query vector every skill gets."""
+    room = dimensions.MAX_BROADCAST_BYTES // (8 * semantic.dim)
+    return is_small(role_skills, max_rows=min(dimensions.MAX_BROADCAST_ROWS, room))
+
+
 def analyse(
     resumes: DataFrame,
     role_skills: DataFrame,
@@ -37,7 +44,7 @@ def analyse(
     broadcast, one row per role, and everything else is local to a resume: nothing is
     shuffled, and a stream works as well. A larger role table goes through the long form.
     """
-    if is_small(role_skills):
+    if fits_rows(role_skills, semantic):
         return roll_up(score_skills(resumes, role_rows(role_skills, semantic), semantic, similarities))
     rows = score_rows(segments_of(resumes), role_skills, semantic, similarities)
     entry = F.struct(

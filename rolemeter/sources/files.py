@@ -72,7 +72,7 @@ def file_rejects(files: DataFrame) -> DataFrame:
 
 
 def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """Pages of accepted PDF files as `filename, page_no, page_text, reason`.
+    """Pages of accepted PDF files as `path, page_no, page_text, reason`.
 
     `extract` turns the bytes of one file into its page texts; by default pypdf does, where it
     is installed. A file that cannot be read gives one row with a reason.
@@ -80,7 +80,7 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = N
     pdfs = (
         check_uploads(files)
         .where(F.col("reason").isNull() & has_extension(F.col("filename"), ".pdf"))
-        .select("filename", "content")
+        .select("path", "content")
     )
 
     def with_pypdf(content: bytes) -> list[str]:
@@ -104,11 +104,11 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = N
 
         for batch in batches:
             rows = []
-            for name, content in zip(batch["filename"], batch["content"]):
+            for name, content in zip(batch["path"], batch["content"]):
                 try:
                     rows += [(name, i, text, None) for i, text in enumerate(reader(bytes(content)))]
                 except Exception as error:
                     rows.append((name, 0, None, failed + str(error)))
-            yield pd.DataFrame(rows, columns=["filename", "page_no", "page_text", "reason"])
+            yield pd.DataFrame(rows, columns=["path", "page_no", "page_text", "reason"])
 
-    return pdfs.mapInPandas(pages, "filename string, page_no int, page_text string, reason string")
+    return pdfs.mapInPandas(pages, "path string, page_no int, page_text string, reason string")

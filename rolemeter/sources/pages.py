@@ -56,6 +56,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
     )
 
 
+def line_order() -> Column:
+    """Place of a line in its document as one number, whatever the page and line numbers."""
+    return F.col("page_no") * F.lit(1 << 31) + F.col("line_no")
+
+
 def document_sizes(pages: DataFrame) -> DataFrame:
     """Per document `n_pages`, `n_lines`, `n_chars` of its normalised text, and `reason`.
 

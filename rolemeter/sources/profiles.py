@@ -12,20 +12,25 @@ DEFAULT_WEIGHT = 0.1
 QUERY_KEYWORDS = 6
 
 
+def _roles(documents: DataFrame, column: str) -> DataFrame:
+    """`role, role_ord, profile`; of a repeated role the last profile, at the place of the first."""
+    parsed = documents.select(F.from_json(F.col(column), schemas.PROFILE_JSON).alias("profiles"))
+    return (
+        parsed.select(F.posexplode("profiles").alias("pos", "role", "profile"))
+        .groupBy("role")
+        .agg(F.min("pos").alias("role_ord"), F.max_by("profile", "pos").alias("profile"))
+    )
+
+
 def profiles_from_json(documents: DataFrame, column: str = "value") -> DataFrame:
     """Flatten role-profile JSON objects to one row per role skill, with defaults.
 
     File order is kept in `role_ord` and `skill_ord`. Of a repeated key the last value counts,
     at the place of the first. A role without skills keeps one row with a null skill.
     """
-    parsed = documents.select(F.from_json(F.col(column), schemas.PROFILE_JSON).alias("profiles"))
-    roles = (
-        parsed.select(F.posexplode("profiles").alias("pos", "role", "profile"))
-        .groupBy("role")
-        .agg(F.min("pos").alias("role_ord"), F.max_by("profile", "pos").alias("profile"))
-    )
     skills = (
-        roles.select("role", "role_ord", F.posexplode_outer("profile.skills").alias("pos", "skill", "info"))
+        _roles(documents, column)
+        .select("role", "role_ord", F.posexplode_outer("profile.skills").alias("pos", "skill", "info"))
         .groupBy("role", "role_ord", "skill")
         .agg(F.min("pos").alias("skill_ord"), F.max_by("info", "pos").alias("info"))
     )
@@ -40,6 +45,15 @@ def profiles_from_json(documents: DataFrame, column: str = "value") -> DataFrame
     )
 
 
+def role_payloads(documents: DataFrame, column: str = "value") -> DataFrame:
+    """`role, title, profile`: every role with its profile as JSON, absent fields left out."""
+    typed = F.transform_values("profile.skills", lambda name, info: F.struct(
+        info.weight.cast("double").alias("weight"), info.description.alias("description"), info.keywords.alias("keywords")
+    ))
+    body = F.struct("profile.title", "profile.description", typed.alias("skills"))
+    return _roles(documents, column).select("role", "profile.title", F.to_json(body).alias("profile"))
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Role skills of a JSON file that holds one object keyed by role."""
     return profiles_from_json(spark.read.text(path, wholetext=True))

@@ -44,7 +44,7 @@ def test_pdf_pages_with_a_supplied_reader(spark):
         return content.decode().split("|")
 
     rows = [("a.pdf", b"one|two"), ("b.PDF", b"bad"), ("c.txt", b"text file here")]
-    files = spark.createDataFrame(rows, "filename string, content binary")
+    files = spark.createDataFrame(rows, "filename string, content binary").withColumn("path", F.col("filename"))
     found = sorted(tuple(r) for r in S.pdf_pages(files, reader).collect())
     assert found == [
         ("a.pdf", 0, "one", None), ("a.pdf", 1, "two", None),
