@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,30 +53,53 @@ def sentences(text: Column) -> Column:
     return F.filter(cleaned, lambda s: F.length(s) > MIN_SENTENCE)
 
 
-def windows(units: Column, size: int) -> Column:
-    """Windows of `size` sentences, each overlapping the previous one by a sentence."""
+def window_starts(units: Column, size: int) -> Column:
+    """Where windows of `size` sentences start, each overlapping the previous by one sentence.
+
+    Windows whose text is too short are left out.
+    """
     step = max(1, size - 1)
     starts = F.sequence(F.lit(0), F.greatest(F.size(units) - 1, F.lit(0)), F.lit(step))
-    joined = F.transform(
-        starts, lambda i: strip(F.array_join(F.slice(units, i + 1, F.lit(size)), " "))
-    )
-    return F.filter(joined, lambda c: F.length(c) > MIN_CHUNK)
+    return F.filter(starts, lambda i: F.length(window_text(units, i, size)) > MIN_CHUNK)
 
 
-def chunks(text: Column, size: int = 3) -> Column:
-    """Overlapping chunks of a text, with the fallbacks for texts that have no sentence."""
+def window_text(units: Column, start: Column, size: int) -> Column:
+    return strip(F.array_join(F.slice(units, start + 1, F.lit(size)), " "))
+
 
-    def from_sentences(units: Column) -> Column:
-        return let(windows(units, size), lambda w: F.when(F.size(w) > 0, w).otherwise(units))
+def per_chunk(
+    text: Column,
+    size: int,
+    of_units: Callable[[Column], Column],
+    of_window: Callable[[Column, Column, Column], Column],
+) -> Column:
+    """An array with one value per chunk of a text.
 
-    def choose(units: Column) -> Column:
-        return (
-            F.when(F.size(units) > 0, from_sentences(units))
-            .when(F.length(text) > 0, F.array(F.left(text, F.lit(FALLBACK_CHARS))))
-            .otherwise(F.array(F.lit(EMPTY_TEXT_CHUNK)))
+    `of_units` turns texts into values; `of_window` makes the value of a window from the
+    sentences, their values and the start. Without any window the sentences are the chunks,
+    without any sentence the first characters of the text.
+    """
+
+    def from_units(units: Column, values: Column) -> Column:
+        return let(
+            window_starts(units, size),
+            lambda starts: F.when(
+                F.size(starts) > 0, F.transform(starts, lambda i: of_window(units, values, i))
+            ).otherwise(values),
         )
 
-    return let(sentences(text), choose)
+    head = F.when(F.length(text) > 0, F.left(text, F.lit(FALLBACK_CHARS))).otherwise(F.lit(EMPTY_TEXT_CHUNK))
+    return let(
+        sentences(text),
+        lambda units: F.when(
+            F.size(units) > 0, let(of_units(units), lambda values: from_units(units, values))
+        ).otherwise(of_units(F.array(head))),
+    )
+
+
+def chunks(text: Column, size: int = 3) -> Column:
+    """Overlapping chunks of a text, with the fallbacks for texts that have no sentence."""
+    return per_chunk(text, size, lambda texts: texts, lambda units, _, i: window_text(units, i, size))
 
 
 def tokens(text: Column) -> Column:

@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolemeter.functions.core import let
-from rolemeter.functions.text import tokens
+from rolemeter.functions.text import per_chunk, tokens
 
 TOP_CHUNKS = 2
 
 
 def _digit(hexadecimal: Column, place: int) -> Column:
-    """Value of one hex digit: its character code modulo 39 counts on from 9 to 24."""
-    return F.ascii(F.substring(hexadecimal, place, 1)) % 39 - 9
+    """Value of one hex digit: the low four bits of its character, and 9 more for a letter."""
+    code = F.ascii(F.substring(hexadecimal, place, 1))
+    return code.bitwiseAND(F.lit(15)) + F.shiftright(code, 6) * 9
 
 
 def buckets(words: Column, dim: int) -> Column:
@@ -56,14 +57,33 @@ def squared_norm(sorted_buckets: Column) -> Column:
     return let(starts, total)
 
 
-def sparse_vector(text: Column, dim: int) -> Column:
-    """Hashed term-count vector of a text as its sorted buckets and its norm."""
+def _with_norm(sorted_buckets: Column) -> Column:
     return let(
-        term_buckets(text, dim),
+        sorted_buckets,
         lambda b: F.struct(b.alias("buckets"), F.sqrt(squared_norm(b).cast("double")).alias("norm")),
     )
 
 
+def sparse_vector(text: Column, dim: int) -> Column:
+    """Hashed term-count vector of a text as its sorted buckets and its norm."""
+    return _with_norm(term_buckets(text, dim))
+
+
+def chunk_vectors(text: Column, size: int, dim: int) -> Column:
+    """Vectors of all chunks of a text.
+
+    Sentences are hashed once and their buckets put together per chunk, as tokens do not run
+    across the space between two sentences.
+    """
+    gathered = per_chunk(
+        text,
+        size,
+        lambda texts: F.transform(texts, lambda t: buckets(tokens(t), dim)),
+        lambda _, hashed, i: F.flatten(F.slice(hashed, i + 1, F.lit(size))),
+    )
+    return F.transform(gathered, lambda b: _with_norm(F.sort_array(b)))
+
+
 def dense_counts(sorted_buckets: Column, dim: int) -> Column:
     """Term counts laid out by bucket. Meant for the few, short skill queries."""
     return F.transform(

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from rolemeter.functions.core import built_once, clip, round_exact
 from rolemeter.functions.keywords import flagged, keyword_ratio, partition_keywords, probes
 from rolemeter.functions.scoring import MODEL_CEILING, MODEL_FLOOR, blend, calibrate, level
-from rolemeter.functions.text import chunks
 from rolemeter.functions.vectors import (
-    any_counts, best_mean, dense_counts, only_buckets, sparse_cosine, sparse_vector,
+    any_counts, best_mean, chunk_vectors, dense_counts, only_buckets, sparse_cosine, sparse_vector,
 )
 from rolemeter.sources.profiles import query_text
 
@@ -68,13 +67,8 @@ def role_rows(role_skills: DataFrame, semantic: Semantic) -> DataFrame:
 
 
 @built_once
-def chunk_column(size: int) -> Column:
-    return chunks(F.col("text"), size)
-
-
-@built_once
-def vectors_column(dim: int) -> Column:
-    return F.transform("chunks", lambda c: sparse_vector(c, dim))
+def vectors_column(size: int, dim: int) -> Column:
+    return chunk_vectors(F.col("text"), size, dim)
 
 
 def features(resumes: DataFrame, semantic: Semantic) -> DataFrame:
@@ -82,8 +76,8 @@ def features(resumes: DataFrame, semantic: Semantic) -> DataFrame:
     lowered = F.lower("text").alias("lower_text")
     if semantic.provider != "hashed":
         return resumes.select("resume_id", "target_role", lowered)
-    cut = resumes.select("resume_id", "target_role", lowered, chunk_column(semantic.chunk_size).alias("chunks"))
-    return cut.select("resume_id", "target_role", "lower_text", vectors_column(semantic.dim).alias("vectors"))
+    vectors = vectors_column(semantic.chunk_size, semantic.dim)
+    return resumes.select("resume_id", "target_role", lowered, vectors.alias("vectors"))
 
 
 def hashed_similarity(skill: Column) -> Column:
