@@ -186,3 +186,31 @@ def test_stream_continues_where_it_stopped(spark, sf_dir, tmp_path):
     flat = analyse(queries.resumes(spark, sf_dir), fixtures.role_skills(spark), fixtures.SEMANTIC)
     batch = with_plan(flat, fixtures.curriculum(spark)).select("resume_id", "readiness_score", "study_plan")
     assert rows(streamed) == rows(batch)
+
+
+def test_scratch_is_under_the_shared_folder(spark):
+    from rolemeter.operators.layout import stored
+    from rolemeter.session import scratch_dir
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(spark, "x").startswith(shared)
+    kept = stored(spark.range(3), "numbers")
+    assert kept.count() == 3 and shared in kept.inputFiles()[0]
+
+
+def test_a_large_scan_is_not_moved(spark, sf_dir):
+    from rolemeter.operators.layout import spread
+
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    many = spark.range(0, 1000, 1, 64)
+    assert "REPARTITION_BY_NUM" in shown(spread(few, "doc_id"))
+    assert "Exchange" not in shown(spread(many, "id"))
+
+
+def test_hot_role_and_duplicate_texts_stay_spread(spark, sf_dir):
+    """All documents alike and asking for one role: still one narrow stage, nothing grouped."""
+    same = spark.range(0, 4000, 1, 16).select(
+        F.col("id").alias("resume_id"), F.lit("Role EN").alias("target_role"), F.lit("that with this from over and out").alias("text")
+    )
+    scored = analyse(same, fixtures.role_skills(spark), fixtures.SEMANTIC)
+    assert scored.select("readiness_score").distinct().count() == 1 and scored.rdd.getNumPartitions() == 16
