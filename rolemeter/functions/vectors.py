@@ -121,21 +121,23 @@ def sparse_cosine(counts: Column, query_norm: Column, vector: Column) -> Column:
     return F.when(scale > 0, dot.cast("double") / scale).otherwise(F.lit(0.0))
 
 
+def doubles(vector: Column) -> Column:
+    return vector.cast("array<double>")
+
+
 def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+    """Dot product of two arrays of doubles."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda acc, p: acc + p)
 
 
 def dense_norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def dense_cosine(left: Column, right: Column) -> Column:
-    """Cosine of two dense vectors; a zero vector gives 0."""
-    return let(
-        dense_norm(left) * dense_norm(right),
-        lambda scale: F.when(scale > 0, dot(left, right) / scale).otherwise(F.lit(0.0)),
-    )
+def dense_cosine(left: Column, left_norm: Column, right: Column, right_norm: Column) -> Column:
+    """Cosine of two dense vectors with known norms; a zero vector gives 0."""
+    scale = left_norm * right_norm
+    return F.when(scale > 0, dot(left, right) / scale).otherwise(F.lit(0.0))
 
 
 def best_mean(similarities: Column, k: int = TOP_CHUNKS) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemeter.functions.text import chunks
-from rolemeter.functions.vectors import TOP_CHUNKS, dense_cosine
+from rolemeter.functions.vectors import TOP_CHUNKS, dense_cosine, dense_norm, doubles
 from rolemeter.operators.dimensions import is_small, lookup_join
 from rolemeter.sources.profiles import query_text
 
@@ -32,16 +32,21 @@ def chunk_similarities(chunk_vectors: DataFrame, queries: DataFrame) -> DataFram
     role skill, has `role, skill, embedding`. When the queries are small, the skills of a role
     meet a chunk as one broadcast array and no vector is copied per pair.
     """
+    chunk = chunk_vectors.select("resume_id", "target_role", "chunk_no", doubles(F.col("embedding")).alias("embedding"))
+    chunk = chunk.select("*", dense_norm(F.col("embedding")).alias("norm"))
+    query = queries.select("role", "skill", doubles(F.col("embedding")).alias("query"))
+    query = query.select("*", dense_norm(F.col("query")).alias("query_norm"))
     if is_small(queries):
-        per_role = queries.groupBy("role").agg(F.collect_list(F.struct("skill", "embedding")).alias("queries"))
-        joined = chunk_vectors.join(F.broadcast(per_role), F.col("target_role") == F.col("role"))
+        per_role = query.groupBy("role").agg(F.collect_list(F.struct("skill", "query", "query_norm")).alias("queries"))
+        joined = chunk.join(F.broadcast(per_role), F.col("target_role") == F.col("role"))
         scored = F.transform("queries", lambda q: F.struct(
-            q.skill.alias("skill"), dense_cosine(q.embedding, F.col("embedding")).alias("similarity")
+            q.skill.alias("skill"),
+            dense_cosine(q.query, q.query_norm, F.col("embedding"), F.col("norm")).alias("similarity"),
         ))
         return joined.select("resume_id", "chunk_no", F.inline(scored))
-    keyed = queries.select(F.col("role").alias("target_role"), "skill", F.col("embedding").alias("query"))
-    pairs = lookup_join(chunk_vectors, keyed, "target_role", small=False, spread_by="chunk_no")
-    return pairs.select("resume_id", "chunk_no", "skill", dense_cosine(F.col("query"), F.col("embedding")).alias("similarity"))
+    pairs = lookup_join(chunk, query.withColumnRenamed("role", "target_role"), "target_role", small=False, spread_by="chunk_no")
+    similarity = dense_cosine(F.col("query"), F.col("query_norm"), F.col("embedding"), F.col("norm"))
+    return pairs.select("resume_id", "chunk_no", "skill", similarity.alias("similarity"))
 
 
 def best_chunks(similarities: DataFrame, k: int = TOP_CHUNKS, found_only: bool = False) -> DataFrame:

@@ -156,9 +156,10 @@ def test_sparse_cosine_equals_dense_cosine_of_the_counts(spark):
         F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.col("id") % 7 + 1), lambda i: (i * 3 % 8).cast("string"))).alias("b"),
     )
     rows = texts.select(V.sparse_vector(F.col("a"), 64).alias("a"), V.sparse_vector(F.col("b"), 64).alias("b"))
+    dense = lambda name: V.doubles(V.dense_counts(F.col(f"{name}.buckets"), 64))
     both = rows.select(
         V.sparse_cosine(V.dense_counts(F.col("a.buckets"), 64), F.col("a.norm"), F.col("b")).alias("sparse"),
-        V.dense_cosine(V.dense_counts(F.col("a.buckets"), 64), V.dense_counts(F.col("b.buckets"), 64)).alias("dense"),
+        V.dense_cosine(dense("a"), V.dense_norm(dense("a")), dense("b"), V.dense_norm(dense("b"))).alias("dense"),
     )
     found = both.collect()
     assert len(found) == 40 and all(abs(r.sparse - r.dense) < 1e-12 for r in found)
