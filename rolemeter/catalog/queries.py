@@ -357,6 +357,8 @@ def paged_readiness(spark, sf_dir):
     sizes = stored(page_source.document_sizes(pages_), "page-sizes")
     short = page_source.assemble(pages_, sizes).select(F.col("doc_id").alias("resume_id"), role.alias("target_role"), "text")
     whole = analyse(short, fixtures.role_skills(spark), fixtures.SEMANTIC).selectExpr(*READINESS)
+    if not page_source.any_long(sizes):
+        return whole
     long_lines = page_source.long_document_lines(pages_, sizes)
     segments = long_lines.select(
         F.col("doc_id").alias("resume_id"), role.alias("target_role"),

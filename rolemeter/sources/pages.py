@@ -112,6 +112,11 @@ def assemble(pages: DataFrame, sizes: DataFrame | None = None, max_chars: int =
     return bounded.groupBy("doc_id").agg(joined.alias("joined")).select("doc_id", normalize(F.col("joined")).alias("text"))
 
 
+def any_long(sizes: DataFrame, max_chars: int = MAX_ASSEMBLED_CHARS) -> bool:
+    """Whether `assemble` leaves any accepted document out for its size."""
+    return not sizes.where(F.col("reason").isNull() & (F.col("n_chars") > max_chars)).isEmpty()
+
+
 def long_document_lines(
     pages: DataFrame, sizes: DataFrame | None = None, max_chars: int = MAX_ASSEMBLED_CHARS
 ) -> DataFrame:
