@@ -3,8 +3,10 @@
 A bounded sample of labelled training rows (`max_examples` of each label, by a hash of the id) gives
 the terms, the examples and the votes:
 
-* terms are words and their first 4, 5 and 6 bytes; the `max_terms` that mark the label 1 best by
-  chi-squared, and at least four times as frequent under it, are kept;
+* of near copies in the sample, found by the least hash of their five-word shingles, one is used;
+* terms are words and their first 4, 5 and 6 bytes; kept are the `max_terms` that mark the label 1
+  best by the likelihood ratio, are at least four times as frequent under it, and whose ratio
+  chance would not give even once among all terms of the sample;
 * an example is its TF-IDF vector over these terms, of length one. The inverted index holds for each
   term the examples by number, in blocks, with the largest weight of each block;
 * a text is compared with blocks in the order of the bound those weights give, until no block can
@@ -24,12 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemeter.llm.shared import checkpointed, fresh, kind, table
 
-MAX_EXAMPLES, MAX_TERMS, LEAST_DOCS, LIFT = 2048, 512, 8, 4.0
+MAX_EXAMPLES, MAX_TERMS, LIFT = 2048, 512, 4.0
+#: Twice the log likelihood ratio; beyond it lies 4e-8 of what chance gives one term.
+LEAST_RATIO = 30.0
+SHINGLE = 5
 PREFIXES = (4, 5, 6)
 K, BLOCK, WEAK_VOTE, CUT = 15, 64, 0.25, 0.7
 #: Sums of cosines are compared after rounding, so their order cannot depend on the order of adding.
@@ -48,6 +54,12 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
 
 
+def shingle_mark(text: str) -> int:
+    """The least hash of all runs of five words; near copies mostly share it."""
+    w = words(text)
+    return min(xxhash.xxh64_intdigest(b" ".join(w[i : i + SHINGLE])) for i in range(max(1, len(w) - SHINGLE + 1))) >> 1
+
+
 class Terms(dict):
     """The known terms of a word, remembered for a bounded number of words."""
 
@@ -199,23 +211,47 @@ def term_counts(examples: DataFrame) -> DataFrame:
     return examples.select("label", "body").mapInArrow(run, "term binary, zeros bigint, ones bigint").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
 
 
+def without_copies(examples: DataFrame) -> DataFrame:
+    """Of the examples of one label and mark, the one with the smallest key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = pa.array([shingle_mark(b.as_py()) for b in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=["key", "label", "body", "mark"])
+
+    marked = examples.mapInArrow(run, f"key {kind(examples, 'key')}, label int, body string, mark bigint")
+    return marked.groupBy("label", "mark").agg(F.min_by("body", F.struct("key", F.xxhash64("body"))).alias("body"), F.min("key").alias("key")).select("key", "label", "body")
+
+
+def likelihood_ratio(ones: Column, zeros: Column, all_ones: int, all_zeros: int) -> Column:
+    """Twice the log likelihood ratio of a term's counts under the labels, against one common share."""
+    share = (ones + zeros) / (all_ones + all_zeros)
+
+    def part(seen: Column, whole: int) -> Column:
+        missing = whole - seen
+        return F.when(seen > 0, seen * F.log(seen / (whole * share))).otherwise(0.0) + F.when(
+            missing > 0, missing * F.log(missing / (whole * (1 - share)))
+        ).otherwise(0.0)
+
+    return 2 * (part(ones, all_ones) + part(zeros, all_zeros))
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
     """The model. The driver receives `max_terms` terms and the vectors of the sample, no texts."""
     sample, counts = training_rows(labels, key, label, max_examples)
     bodies = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     # at most twice `max_examples` ids
-    examples = checkpointed(bodies.join(F.broadcast(sample), "key").select("key", "label", "body"))
+    examples = checkpointed(without_copies(bodies.join(F.broadcast(sample), "key").select("key", "label", "body")))
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
     if not zeros + ones:
         return Model([], [], (1.0, 1.0))
     a, b = F.col("ones"), F.col("zeros")
     share_one, share_zero = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
-    expected = (a + b) / (zeros + ones)
-    chi = (a - ones * expected) ** 2 / expected
+    ratio = F.round(likelihood_ratio(a, b, ones, zeros), 6)
     chosen = (
-        term_counts(examples).where((a >= min(LEAST_DOCS, max(1, ones // 20))) & (share_one >= LIFT * share_zero))
-        .orderBy(F.round(chi, 6).desc(), "term").limit(max_terms).select("term").collect()
+        term_counts(examples).where(share_one >= LIFT * share_zero).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+        .orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect()
     )
     terms = sorted(bytes(r["term"]) for r in chosen)
     known = {t: i for i, t in enumerate(terms)}
