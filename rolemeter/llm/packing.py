@@ -14,9 +14,11 @@ need no padding. So no sequence is padded at all.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from rolemeter.llm.shared import fresh, kind, table
 LENGTH = 4096
 END = 2
 WINDOW = 1 << 20
-#: Words of a generation whose ids a task remembers; two generations and two tables take some 150 MB.
-REMEMBERED = 200_000
+#: Words of a generation whose ids a task remembers; two generations and two tables take some 80 MB.
+REMEMBERED = 100_000
 
 
 def vocabulary() -> str:
@@ -40,8 +42,8 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words that need none of the vocabulary's normalising but lowering: precomposed letters and one mark.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Words that need none of the vocabulary's normalising but lowering: precomposed letters, then marks.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#-]*)")
 
 
 class Remembered:
@@ -79,30 +81,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # for lowered letters, what is left to do is the merging
         self.merging = Tokenizer(self.tokenizer.model)
-        self.merging.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.letters = Remembered(), Remembered()
-        self.marks = {m: self._ids(self.tokenizer.encode(m, add_special_tokens=False)) for m in ("", ".", ",")}
-
-    @staticmethod
-    def _ids(found) -> bytes:
-        return np.array(found.ids, dtype="<u4").tobytes()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merging.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.words, self.letters, self.marks = Remembered(), Remembered(), {"": b""}
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: encoded as one text, and parted where a token ends a word."""
+        out = []
+        for at in range(0, len(words), 2000):
+            ids = np.array(self.merging.encode(" ".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype="<u4")
+            data, start = ids.tobytes(), 0
+            for end in (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist():
+                out.append(data[start:end])
+                start = end
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _learn(self, new: list[bytes]) -> None:
         simple, other = [], []
         for word in new:
-            text = word.decode()
-            m = SIMPLE.fullmatch(text)
+            m = SIMPLE.fullmatch(text := word.decode())
             if m:
                 simple.append((word, m[1].lower(), m[2]))
             else:
                 other.append((word, text))
         missing = self.letters.absent({x for _, x, _ in simple})
-        for x, found in zip(missing, self.merging.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.letters.young[x] = self._ids(found)
-        for word, x, mark in simple:
-            self.words.young[word] = self.letters.young[x] + self.marks[mark]
-        for (word, _), found in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
-            self.words.young[word] = self._ids(found)
+        self.letters.young.update(zip(missing, self._merged(missing), strict=True))
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        marks = list({m for _, _, m in simple}.difference(self.marks))
+        self.marks.update(zip(marks, self._plain(marks), strict=True))
+        letters, known = self.letters.young, self.marks
+        self.words.young.update((word, letters[x] + known[m]) for word, x, m in simple)
+        self.words.young.update(zip((w for w, _ in other), self._plain([t for _, t in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
@@ -111,6 +128,12 @@ class Encoder:
         return [b"".join(map(look, words)) for words in split]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker: what a task has learned serves the next."""
+    return Encoder(path)
+
+
 def cost(n: int, length: int) -> float:
     return n + n * n / length
 
@@ -163,18 +186,18 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     key_type = docs.schema[key].dataType
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(fresh([key], "body")[0]))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bool]]:
-        """Documents as [key, ids, tokens, first token that is left]; and whether they are the last."""
-        encoder, held, total = Encoder(path), [], 0
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        """Documents as [key, ids, tokens, first token that is left, and the end of what is left if cut]."""
+        held, total = [], 0
         finish = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for k, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for k, ids in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist()), strict=True):
                     ids += finish
                     held.append([k, ids, len(ids) // 4, 0])
                     total += len(ids) // 4
-                    if total >= window:
+                    if total >= max(window, length):
                         over, carried = total % length, []
                         while over:  # the tail of the last documents goes to the next window
                             last = held[-1]
@@ -185,14 +208,14 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                                 held.pop()
                             else:
                                 held[-1] = [*last, last[2] - take]
-                        yield held, False
+                        yield held
                         held, total = carried, sum(x[2] - x[3] for x in carried)
         if held:
-            yield held, True
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for held, _ in windows(batches):
+        for held in windows(batches):
             stops = [x[4] if len(x) > 4 else x[2] for x in held]
             found = assign([stop - x[3] for x, stop in zip(held, stops, strict=True)], length)
             columns: list[list] = [[] for _ in names]
