@@ -77,6 +77,7 @@ def next_level(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     if len(symbols) > 2:
         up = label[1:] > label[:-1]
         np.greater(up[:-1], up[1:], out=cut[1:-1])
+    cut[starts[1:] - 1] = False  # what follows the last symbol of a text is another text
     cut[starts] = True
     begins = np.flatnonzero(cut)
     lengths = np.diff(begins, append=len(symbols))
