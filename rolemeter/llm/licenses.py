@@ -8,6 +8,7 @@ of the same priority and longer, or equal and earlier in the table) is dropped.
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ PHRASES = (
 #: In a name, "_" is any run of blanks, commas, hyphens or brackets, and "V" an optional word for version.
 FAMILIES = r"""
 mit | mit | mit_license | mit license | opensource\.org/licenses?/mit | opensource.org/license
-mit | x11 | x11_license | x11 license | |
+x11 | x11 | x11_license | x11 license | |
 mit-0 | mit-0 | mit_no_attribution | no attribution | opensource\.org/licenses?/mit-0 | mit-0
 expat | expat | expat_license | expat license | directory\.fsf\.org/wiki/license:expat | license:expat
 apache-1 | apache-1.1,apache-1.0 | apache_(?:software_)?license_V1\.[01] | apache | apache\.org/licenses/license-1\.[01] | license-1.
@@ -153,7 +154,7 @@ def rules() -> list[Rule]:
 
 def _cells(line: str) -> list[str]:
     """Six cells; trailing ones may be missing, and a bar inside brackets is part of a pattern."""
-    cells = re.split(r"\s\|\s?", line.strip())
+    cells = re.split(r"(?<=\s)\|(?=\s|$)", line.strip())
     return [c.strip() for c in cells] + [""] * (6 - len(cells))
 
 
@@ -231,6 +232,12 @@ class Scanner:
         ]
 
 
+@functools.cache
+def scanner() -> Scanner:
+    """One for all tasks of a Python worker."""
+    return Scanner()
+
+
 DETECTION = "struct<rule:string,label:string,base:boolean,start:bigint,end:bigint,word:bigint,confidence:double>"
 
 
@@ -245,9 +252,8 @@ def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
         for batch in batches:
-            found = [scanner.scan(t.as_py()) for t in batch.column(len(keep))]
+            found = [scanner().scan(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], HITS)],
                 names=[*keep, words, hits],
