@@ -52,12 +52,22 @@ ENCODINGS = (
 HOLDS = [(name, frozenset(a), np.array([a.find(chr(c)) for c in range(128)], dtype=np.int16), len(a)) for name, a in ENCODINGS]
 CLASS = np.array([0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 for c in range(128)], dtype=np.int8)
 
+
+
+def _changes(alphabet: str) -> float:
+    """How often neighbours of a random string are of different class, marks left out."""
+    counts = np.bincount(CLASS[[ord(c) for c in alphabet]], minlength=4)[:3]
+    return float(1 - ((counts / counts.sum()) ** 2).sum())
+
+
+CHANGES = {name: _changes(alphabet) for name, alphabet in ENCODINGS}
+
 #: Chance that two letters of prose are equal, and the least excess over a uniform alphabet.
 PROSE_REPEAT, LEAST_EXCESS = 0.0667, 0.6
 #: Share of neighbours of different class in words, identifiers and paths.
 PROSE_CHANGES = 0.1
-#: A random string fails one of the three conformity tests this rarely.
-CONFORM = 1e-4
+#: A random string exceeds this many standard deviations in one test of 10,000.
+CONFORM = 3.9
 #: Upper ends of the length bands.
 BANDS = (31, 47, 95)
 MOST_BIN = 400
@@ -94,34 +104,29 @@ def battery(run: str) -> tuple[str, float]:
     counts = np.bincount(symbols, minlength=size)
     chi = float(((counts - n / size) ** 2).sum() * size / n)
     classes = CLASS[codes]
+    classes = classes[classes < 3]  # marks part the words of a path, which are no change of class
     changes = int((classes[1:] != classes[:-1]).sum())
 
     # against a uniform random string
-    free = size - 1
-    spread = 2 * free * max(1 - 1 / n, 0.1)
-    shares = [sum(1 for c in HOLD_ALPHABET[name] if CLASS[ord(c)] == k) / size for k in range(4)]
-    rate = 1 - sum(s * s for s in shares)
-    z_runs = (changes - (n - 1) * rate) / math.sqrt(max((n - 1) * rate * (1 - rate), 1e-9)) if rate else 0.0
+    free, steps = size - 1, max(len(classes) - 1, 1)
+    rate = CHANGES[name]
+    z_runs = (changes - steps * rate) / math.sqrt(steps * rate * (1 - rate)) if rate else 0.0
     centred = symbols - symbols.mean()
     power = float((centred * centred).sum())
     z_serial = float((centred[1:] * centred[:-1]).sum()) / power * math.sqrt(n) if power else math.sqrt(n)
-    limit = 3.9 if CONFORM == 1e-4 else 4.5
     # chi-squared has a long upper tail at small n: the cube-root transform makes it near normal
     z_chi = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)) if free else 0.0
-    if max(abs(z_runs), abs(z_serial), z_chi) > limit or spread <= 0:
+    if max(abs(z_runs), abs(z_serial), z_chi) > CONFORM:
         return name, 1.0
 
     # against prose
     excess = max(size * PROSE_REPEAT - 1, LEAST_EXCESS) * n
     p_chi = normal_below((chi - free - excess) / math.sqrt(2 * free + 4 * excess))
-    p_runs = binomial_at_least(n - 1, PROSE_CHANGES, changes)
+    p_runs = binomial_at_least(steps, PROSE_CHANGES, changes)
     both = -math.log(max(p_chi, 1e-300)) - math.log(max(p_runs, 1e-300))
     return name, min(1.0, math.exp(-both) * (1 + both))
 
 
-HOLD_ALPHABET = dict(ENCODINGS)
-
-
 def band(length: int) -> int:
     return sum(length > b for b in BANDS)
 
