@@ -15,6 +15,7 @@ Tokens outside all sections are counted for the section null.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,12 @@ class Encoder:
             self.lengths[rank] = len(token)
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def byte_places(text: str, data: bytes, points: np.ndarray) -> np.ndarray:
     """Byte offsets of code point offsets."""
     if len(text) == len(data):
@@ -126,7 +133,7 @@ def section_tokens(
     share = rule == "share"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             take, number, start, end, tokens, crossing = [], [], [], [], [], []
             if not lines:
@@ -136,7 +143,7 @@ def section_tokens(
             for i, value in enumerate(batch.column(width)):
                 t = value.as_py()
                 data = t.encode()
-                lengths = encoder.lengths[np.asarray(encoder.encode(t), dtype=np.int64)]
+                lengths = own.lengths[np.asarray(own.encode(t), dtype=np.int64)]
                 if lines:
                     s, e = line_spans(t)
                 else:

@@ -67,6 +67,9 @@ class Terms(dict):
         super().__init__()
         self.known = known
 
+    def __reduce__(self):
+        return Terms, (self.known,)
+
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
             self.clear()
@@ -118,6 +121,7 @@ class Model:
                 self.bounds[t, n // BLOCK] = max(w, self.bounds[t, n // BLOCK])
             at += len(p)
         self.remembered: dict[tuple, tuple] = {}
+        self.look = Terms(self.terms)
 
     def _share(self, labels: list[int], none: float) -> float:
         ones, zeros = sum(labels) * self.weights[1], (len(labels) - sum(labels)) * self.weights[0]
@@ -280,7 +284,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
-        look = Terms(judge.terms)
+        look = judge.look
         for batch in batches:
             found = [judge.score(look.counts(v.as_py())) for v in batch.column(width)]
             yield pa.RecordBatch.from_arrays(
