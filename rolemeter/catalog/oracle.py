@@ -324,19 +324,37 @@ CTES["paged_texts"] = ([], f"""
     FROM conversations GROUP BY conv_id""")
 _KIND = "(doc_id % 20)"
 _STEM = "source || '_' || CAST(doc_id AS VARCHAR)"
+_ROLE = """CASE lang WHEN 'en' THEN 'Role EN' WHEN 'de' THEN 'Role DE' WHEN 'fr' THEN 'Role FR'
+    ELSE CASE WHEN doc_id % 2 = 0 THEN 'Role EMPTY' ELSE 'Role Unknown' END END"""
 CTES["uploads"] = ([], f"""
-    SELECT doc_id, CASE {_KIND} WHEN 1 THEN {_STEM} || '.docx' WHEN 2 THEN NULL WHEN 3 THEN {_STEM} || '.TXT'
-                   ELSE {_STEM} || '.txt' END AS filename,
-           CASE {_KIND} WHEN 4 THEN chr(10) WHEN 5 THEN left(text, 6) ELSE text END AS content
-    FROM documents""")
+    SELECT *, CAST(doc_id AS VARCHAR) || coalesce('/' || filename, '') AS path FROM (
+        SELECT doc_id, {_ROLE} AS target_role,
+               CASE WHEN {_KIND} = 1 THEN {_STEM} || '.docx' WHEN {_KIND} = 2 THEN NULL WHEN {_KIND} = 3 THEN {_STEM} || '.TXT'
+                    WHEN {_KIND} BETWEEN 9 AND 11 THEN {_STEM} || '.pdf' ELSE {_STEM} || '.txt' END AS filename,
+               text AS content, NULL AS fault
+        FROM documents
+        UNION ALL
+        SELECT doc_id, {_ROLE}, {_STEM} || ending, CASE {_KIND} WHEN 4 THEN chr(10) WHEN 5 THEN source ELSE ending END, ending
+        FROM documents JOIN (VALUES (4, '_blank.txt'), (5, '_tiny.txt'), (12, '_empty.pdf'), (13, '_locked.pdf'),
+                                    (14, '_broken.pdf'), (15, '_scan.pdf')) f(k, ending) ON k = {_KIND})""")
 CTES["checked"] = (["uploads"], f"""
     SELECT *, CASE WHEN coalesce(filename, '') = '' THEN {text(files.NO_FILE)}
                    WHEN NOT (lower(filename) LIKE '%.txt' OR lower(filename) LIKE '%.pdf')
                         THEN replace({text(files.UNSUPPORTED)}, '%s', filename)
                    WHEN trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = ''
                         THEN {text(files.EMPTY_FILE)} END AS refused,
-           {normal('content')} AS text
+           lower(filename) LIKE '%.pdf' AS is_pdf,
+           CASE WHEN lower(filename) LIKE '%.pdf' THEN {normal("replace(content, chr(10), chr(10) || chr(10))")}
+                ELSE {normal('content')} END AS text
     FROM uploads""")
+CTES["taken"] = (["checked"], f"""
+    SELECT *, CASE WHEN refused IS NOT NULL THEN refused
+                   WHEN fault = '_empty.pdf' THEN {text(files.NO_PAGES)}
+                   WHEN fault = '_locked.pdf' THEN {text(files.ENCRYPTED_PDF)}
+                   WHEN fault = '_broken.pdf' THEN {text(files.CORRUPT_PDF + 'no header')}
+                   WHEN is_pdf AND length(text) < {pages.MIN_PAGED_CHARS} THEN {text(pages.TOO_LITTLE_TEXT)}
+                   WHEN NOT is_pdf AND length(text) < 10 THEN {text(files.UNREADABLE_TXT)} END AS unread
+    FROM checked""")
 
 
 _PAGED_RESUMES = """
@@ -381,7 +399,8 @@ ORACLE: dict[str, str] = {
     "q_keyword_ratio": statement(["coverage"], "SELECT resume_id, skill, ratio FROM coverage"),
     "q_keyword_readiness": statement(["keyword_readiness"], f"""
         SELECT resume_id, role, readiness_score, {_TIER} AS readiness_tier FROM keyword_readiness"""),
-    "q_query_text": statement(["asked"], "SELECT resume_id, skill, query_text FROM asked"),
+    "q_query_text": statement(["skills", "resumes"], """
+        SELECT role, skill, query_text, (SELECT count(*) FROM resumes r WHERE r.target_role = s.role) AS n_resumes FROM skills s"""),
     "q_roles": statement(["roles", "skills", "texts"], """
         SELECT r.role, CAST(role_ord AS BIGINT) AS role_ord,
                (SELECT count(*) FROM skills s WHERE s.role = r.role) AS n_skills,
@@ -477,11 +496,11 @@ ORACLE: dict[str, str] = {
         WHERE target_role IN (SELECT role FROM roles) AND target_role NOT IN (SELECT role FROM skills)"""),
     "q_files": statement(["checked"], """
         SELECT doc_id, filename, md5(text) AS text_md5, length(text) AS n_chars FROM checked
-        WHERE refused IS NULL AND length(text) >= 10"""),
+        WHERE refused IS NULL AND NOT is_pdf AND length(text) >= 10"""),
     "q_file_rejects": statement(["checked"], f"""
         SELECT doc_id, filename, CASE WHEN refused IS NULL THEN 'parse' ELSE 'upload' END AS stage,
                coalesce(refused, {text(files.UNREADABLE_TXT)}) AS reason
-        FROM checked WHERE refused IS NOT NULL OR length(text) < 10"""),
+        FROM checked WHERE refused IS NOT NULL OR NOT is_pdf AND length(text) < 10"""),
     "q_pages": statement(["page_lines"], "SELECT doc_id, page_no, line_no, line, gap FROM page_lines"),
     "q_paged_documents": statement(["paged_texts", "page_lines"], f"""
         SELECT doc_id, CAST(coalesce(n_pages, 0) AS BIGINT) AS n_pages, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
@@ -499,8 +518,7 @@ def _letters(column: str) -> str:
 
 
 _M = fixtures.MODEL_SEMANTIC
-ORACLE["q_model_provider"] = statement(
-    ["scores"], "SELECT resume_id, skill, score, semantic_similarity FROM scores",
+_MODEL = dict(
     letter_chunks=(["chunks"], f"""
         SELECT resume_id, chunk_no, v, sqrt(list_dot_product(v, v)) AS norm
         FROM (SELECT resume_id, chunk_no, {_letters('chunk')} AS v FROM chunks)"""),
@@ -516,16 +534,15 @@ ORACLE["q_model_provider"] = statement(
         WHERE place <= 2 GROUP BY resume_id, skill"""),
     raw_scores=(["coverage", "similarity"], CTES["raw_scores"][1].replace(real(FLOOR), real(_M.floor)).replace(real(CEILING), real(_M.ceiling))),
 )
+ORACLE["q_model_provider"] = statement(["scores"], "SELECT resume_id, skill, score, semantic_similarity FROM scores", **_MODEL)
 for _same, _as in (
     ("q_stream_readiness", "q_readiness"), ("q_large_scores", "q_skill_scores"), ("q_large_gaps", "q_gaps"),
-    ("q_large_study_plan", "q_study_plan"),
+    ("q_large_study_plan", "q_study_plan"), ("q_large_readiness", "q_readiness"), ("q_stream_rejects", "q_rejects"),
 ):
     ORACLE[_same] = ORACLE[_as]
-# In rows, a role without skills leaves no trace; its documents are reported as rejects.
-ORACLE["q_large_readiness"] = statement(["readiness"], f"""
-    SELECT resume_id, role, readiness_score, {_TIER} AS readiness_tier, n_skills, n_gaps FROM readiness WHERE n_skills > 0""")
-_PAGED = {"resumes": (["paged_texts"], _PAGED_RESUMES)}
-_LONG = {"resumes": (["paged_texts"], _PAGED_RESUMES + f" WHERE length(text) >= {pages.MIN_PAGED_CHARS}")}
+_PAGED = {"resumes": (["paged_texts"], _PAGED_RESUMES + f" WHERE length(text) >= {pages.MIN_PAGED_CHARS}")}
+ORACLE["q_paged_texts"] = statement(["paged_texts"], f"""
+    SELECT doc_id, md5(text) AS text_md5 FROM paged_texts WHERE length(text) >= {pages.MIN_PAGED_CHARS}""")
 # Chunk numbers only order the chunks of a document: the start of the window, halved.
 ORACLE["q_paged_chunks"] = statement(["resumes", "sentences", "windows", "chunks"], """
     SELECT resume_id, CAST(start // 2 AS BIGINT) AS chunk_no, chunk FROM windows WHERE length(chunk) > 15
@@ -536,4 +553,40 @@ ORACLE["q_paged_scores"] = statement(["scores"], """
     SELECT resume_id, role, skill, CAST(skill_ord AS BIGINT) AS skill_ord, score, weight, level,
            matched AS matched_keywords, missing AS missing_keywords, semantic_similarity FROM scores""", **_PAGED)
 ORACLE["q_paged_readiness"] = statement(["readiness"], f"""
-    SELECT resume_id, role, readiness_score, {_TIER} AS readiness_tier, n_skills, n_gaps FROM readiness""", **_LONG)
+    SELECT resume_id, role, readiness_score, {_TIER} AS readiness_tier, n_skills, n_gaps FROM readiness""", **_PAGED)
+
+_TAKEN = {"resumes": (["taken"], "SELECT path AS resume_id, target_role, text FROM taken WHERE unread IS NULL")}
+ORACLE["q_intake_readiness"] = statement(["readiness"], f"""
+    SELECT resume_id AS path, role, readiness_score, {_TIER} AS readiness_tier, n_skills, n_gaps FROM readiness""", **_TAKEN)
+ORACLE["q_intake_rejects"] = statement(["taken", "resumes", "roles", "skills"], f"""
+    SELECT path, CASE WHEN refused IS NULL THEN 'parse' ELSE 'upload' END AS stage, unread AS reason FROM taken WHERE unread IS NOT NULL
+    UNION ALL
+    SELECT resume_id, 'role', 'Invalid target role ''' || target_role || '''. Available roles are: ['
+           || (SELECT string_agg('''' || role || '''', ', ' ORDER BY role_ord) FROM roles) || ']'
+    FROM resumes WHERE target_role NOT IN (SELECT role FROM roles)
+    UNION ALL
+    SELECT resume_id, 'plan', {text(validation.NO_SKILLS)} FROM resumes
+    WHERE target_role IN (SELECT role FROM roles) AND target_role NOT IN (SELECT role FROM skills)""", **_TAKEN)
+
+# Two requests of one resume are two rows with numbers of their own, so the statements stay as they are.
+_TWO = {"resumes": (["texts"], f"""
+    SELECT resume_id * 4 + k AS resume_id, role AS target_role, text
+    FROM (SELECT resume_id, text, unnest(roles) AS role, unnest(range(len(roles))) AS k
+          FROM (SELECT *, list_distinct([target_role, CASE resume_id % 3 WHEN 0 THEN 'Role EN' WHEN 1 THEN 'Role DE' ELSE 'Role FR' END]) AS roles
+                FROM texts WHERE length({strip('text')}) >= 10))""")}
+
+
+def _two_roles(form: str, **replaced: tuple[list[str], str]) -> str:
+    return statement(["readiness", "coverage", "gaps", "gap_plan", "mastery_plan"], f"""
+        SELECT {text(form)} AS form, r.resume_id // 4 AS resume_id, r.role, readiness_score, n_skills, n_gaps,
+               CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits, coalesce(gap_order, '') AS gap_order, coalesce(week1_focus, '') AS week1_focus
+        FROM readiness r
+        LEFT JOIN (SELECT resume_id, sum(n_matched) AS n_hits FROM coverage GROUP BY resume_id) USING (resume_id)
+        LEFT JOIN (SELECT resume_id, string_agg(skill, '|' ORDER BY priority) AS gap_order FROM gaps GROUP BY resume_id) USING (resume_id)
+        LEFT JOIN (SELECT resume_id, focus_skills AS week1_focus
+                   FROM (SELECT * FROM gap_plan UNION ALL SELECT * FROM mastery_plan) WHERE week = 1) USING (resume_id)""", **_TWO, **replaced)
+
+
+ORACLE["q_two_roles"] = " UNION ALL ".join(
+    f"SELECT * FROM ({body})" for body in (_two_roles("rows"), _two_roles("long"), _two_roles("model", **_MODEL))
+)

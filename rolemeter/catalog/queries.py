@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rolemeter.catalog import fixtures
 from rolemeter.functions.core import round_exact
-from rolemeter.functions.keywords import flagged, keyword_ratio
+from rolemeter.functions.keywords import keyword_ratio
 from rolemeter.functions.text import normalize, sentences
 from rolemeter.functions.vectors import sparse_vector
 from rolemeter.operators import embeddings, gaps, long_form, report, study_plan
@@ -19,13 +19,14 @@ from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.layout import computed_once, spread, stored
 from rolemeter.operators.skills import Semantic, skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_focus, with_plan
-from rolemeter.plans.validation import long_enough, resume_rejects
+from rolemeter.plans.intake import intake, readiness_of_files
+from rolemeter.plans.validation import known_roles, long_enough, resume_rejects, with_listing
 from rolemeter.schemas import VECTORS
 from rolemeter.session import scratch_dir
 from rolemeter.sources import files as file_source
 from rolemeter.sources import pages as page_source
 from rolemeter.sources.profiles import query_text, role_listing, role_payloads
-from rolemeter.streaming.readiness import score_stream, write_stream
+from rolemeter.streaming.readiness import run_stream, score_stream, write_stream
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -122,10 +123,11 @@ def keyword_readiness(spark, sf_dir):
 
 @registered("q_query_text")
 def query_texts(spark, sf_dir):
-    asked = resumes(spark, sf_dir).select("resume_id", "target_role")
+    """What every skill is embedded as, with how many resumes ask for its role."""
+    asked = resumes(spark, sf_dir).groupBy(F.col("target_role").alias("role")).agg(F.count(F.lit(1)).alias("n_resumes"))
     skills = query_text(fixtures.role_skills(spark).where(F.col("skill").isNotNull()))
-    keyed = skills.select(F.col("role").alias("target_role"), "skill", "query_text")
-    return lookup_join(asked, keyed, "target_role").select("resume_id", "skill", "query_text")
+    counted = lookup_join(skills.select("role", "skill", "query_text"), asked, "role", "left", spread_by="skill")
+    return counted.select("role", "skill", "query_text", F.coalesce("n_resumes", F.lit(0)).cast("bigint").alias("n_resumes"))
 
 
 @registered("q_roles")
@@ -161,11 +163,8 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 @registered("q_dense_similarity")
 def dense_similarity(spark, sf_dir):
     """Closest query of every vector."""
-    similarities = embeddings.chunk_similarities(*labelled_vectors(spark, sf_dir))
-    rounded = similarities.withColumn("similarity", round_exact(F.col("similarity"), 3))
-    return rounded.groupBy("chunk_no").agg(
-        F.max(F.struct("similarity", "skill")).alias("best")
-    ).select(F.col("chunk_no").alias("vec_id"), F.col("best.skill").alias("skill"), F.col("best.similarity").alias("similarity"))
+    best = embeddings.closest(*labelled_vectors(spark, sf_dir))
+    return best.select(F.col("chunk_no").alias("vec_id"), "skill", "similarity")
 
 
 @registered("q_dense_top2")
@@ -279,28 +278,60 @@ def result_json(spark, sf_dir):
 
 @registered("q_rejects")
 def rejects(spark, sf_dir):
-    return resume_rejects(texts(spark, sf_dir), fixtures.role_skills(spark))
+    role_skills = fixtures.role_skills(spark)
+    refused = resume_rejects(texts(spark, sf_dir), role_skills)
+    return with_listing(refused, role_skills).select("resume_id", "stage", "reason")
+
+
+# Endings of uploads with a fault of their own, by what is left of the document number divided by 20.
+FAULTS = {4: "_blank.txt", 5: "_tiny.txt", 12: "_empty.pdf", 13: "_locked.pdf", 14: "_broken.pdf", 15: "_scan.pdf"}
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as uploaded files. By document, the name or content has one of several faults."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    """Every document as an uploaded file, with its whole text, and further files with faults.
+
+    By document the name is one that is refused, or the file is a PDF (in this catalog: a page a
+    line, see `line_reader`), or the text is Latin-1 where that can hold it.
+    """
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     kind = F.col("doc_id") % 20
     stem = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"))
     latin = F.col("text").rlike(r"\A[\x00-\xff]*\z") & kind.isin(6, 7, 8)
-    return spread(documents, "doc_id").select(
-        "doc_id",
-        F.when(kind == 1, F.concat(stem, F.lit(".docx"))).when(kind == 2, F.lit(None))
-        .when(kind == 3, F.concat(stem, F.lit(".TXT"))).otherwise(F.concat(stem, F.lit(".txt"))).alias("filename"),
-        F.when(kind == 4, F.lit(" \n\t\n").cast("binary")).when(kind == 5, F.left("text", F.lit(6)).cast("binary"))
-        .when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.col("text").cast("binary")).alias("content"),
+    name = (
+        F.when(kind == 1, F.concat(stem, F.lit(".docx"))).when(kind == 2, F.lit(None)).when(kind == 3, F.concat(stem, F.lit(".TXT")))
+        .when(kind.isin(9, 10, 11), F.concat(stem, F.lit(".pdf"))).otherwise(F.concat(stem, F.lit(".txt")))
     )
+    content = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.col("text").cast("binary"))
+    file = lambda filename, data: F.struct(filename.alias("filename"), data.alias("content"))
+    own = F.array(file(name, content))
+    faulty = F.lit(None).cast("array<struct<filename:string,content:binary>>")
+    for remainder, ending in FAULTS.items():
+        data = F.lit(" \n\t\n") if ending == "_blank.txt" else F.col("source") if ending == "_tiny.txt" else F.lit(ending)
+        faulty = F.when(kind == remainder, F.array(file(F.concat(stem, F.lit(ending)), data.cast("binary")))).otherwise(faulty)
+    files = F.concat(own, F.coalesce(faulty, F.array().cast("array<struct<filename:string,content:binary>>")))
+    return spread(documents, "doc_id").select("doc_id", target_role().alias("target_role"), F.explode(files).alias("file")).select(
+        "doc_id", "target_role", F.concat_ws("/", F.col("doc_id").cast("string"), "file.filename").alias("path"), "file.filename", "file.content"
+    )
+
+
+def line_reader() -> Callable[[bytes], list[str]]:
+    """A stand-in for a PDF reader: every line is a page. Made here, so it reaches tasks by value."""
+    from rolemeter.sources.files import CorruptFile, EncryptedFile
+
+    def read(content: bytes) -> list[str]:
+        text = content.decode()
+        if text == "_locked.pdf":
+            raise EncryptedFile
+        if text == "_broken.pdf":
+            raise CorruptFile("no header")
+        return [] if text == "_empty.pdf" else text.split("\n")
+
+    return read
 
 
 @registered("q_files")
 def uploaded_texts(spark, sf_dir):
-    accepted = file_source.txt_documents(uploads(spark, sf_dir)).where(F.col("reason").isNull())
-    return accepted.select(
+    return file_source.txt_documents(uploads(spark, sf_dir)).select(
         "doc_id", "filename", F.md5(F.col("text").cast("binary")).alias("text_md5"), long(F.length("text")).alias("n_chars")
     )
 
@@ -310,6 +341,22 @@ def upload_rejects(spark, sf_dir):
     return file_source.file_rejects(uploads(spark, sf_dir)).select("doc_id", "filename", "stage", "reason")
 
 
+@registered("q_intake_readiness")
+def intake_readiness(spark, sf_dir):
+    """From uploaded files to readiness."""
+    role_skills = fixtures.role_skills(spark)
+    found = intake(uploads(spark, sf_dir), role_skills, line_reader())
+    return readiness_of_files(found, role_skills, fixtures.SEMANTIC).withColumnRenamed("resume_id", "path")
+
+
+@registered("q_intake_rejects")
+def intake_rejects(spark, sf_dir):
+    """Every file that was refused at some step, with the step and the reason."""
+    role_skills = fixtures.role_skills(spark)
+    found = intake(uploads(spark, sf_dir), role_skills, line_reader())
+    return with_listing(found.rejects, role_skills).select(F.col("resume_id").alias("path"), "stage", "reason")
+
+
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as paged documents, every turn a page."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -328,15 +375,24 @@ def paged_documents(spark, sf_dir):
     )
 
 
-def paged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as segments of documents that ask for a role by their number."""
+def role_by_number(number: str = "doc_id") -> Column:
     names = F.array(*[F.lit(name) for name in ("Role EN", "Role DE", "Role FR")])
-    return paged(spark, sf_dir).select(
-        F.col("doc_id").alias("resume_id"), F.get(names, (F.col("doc_id") % 3).cast("int")).alias("target_role"),
-        long("page_no").alias("segment_no"), F.col("page_text").alias("text"),
+    return F.get(names, (F.col(number) % 3).cast("int"))
+
+
+def paged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as segments of the accepted documents, which ask for a role by their number."""
+    return page_source.page_segments(paged(spark, sf_dir)).select(
+        F.col("doc_id").alias("resume_id"), role_by_number().alias("target_role"), "segment_no", "gap", "text"
     )
 
 
+@registered("q_paged_texts")
+def paged_texts(spark, sf_dir):
+    """Accepted paged documents put together."""
+    return page_source.assemble(paged(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @registered("q_paged_chunks")
 def paged_chunks(spark, sf_dir):
     """Chunks of paged documents, cut across pages without putting a document together."""
@@ -353,19 +409,17 @@ def paged_scores(spark, sf_dir):
 def paged_readiness(spark, sf_dir):
     """Paged documents put together where they are short enough, scored from pages where not."""
     pages_ = paged(spark, sf_dir)
-    role = F.get(F.array(*[F.lit(n) for n in ("Role EN", "Role DE", "Role FR")]), (F.col("doc_id") % 3).cast("int"))
     sizes = stored(page_source.document_sizes(pages_), "page-sizes")
-    short = page_source.assemble(pages_, sizes).select(F.col("doc_id").alias("resume_id"), role.alias("target_role"), "text")
-    whole = analyse(short, fixtures.role_skills(spark), fixtures.SEMANTIC).selectExpr(*READINESS)
+    asked = [F.col("doc_id").alias("resume_id"), role_by_number().alias("target_role")]
+    whole = analyse(page_source.assemble(pages_, sizes).select(*asked, "text"), fixtures.role_skills(spark), fixtures.SEMANTIC)
+    short = whole.selectExpr(*READINESS)
     if not page_source.any_long(sizes):
-        return whole
-    long_lines = page_source.long_document_lines(pages_, sizes)
-    segments = long_lines.select(
-        F.col("doc_id").alias("resume_id"), role.alias("target_role"),
-        page_source.line_order().alias("segment_no"), F.col("line").alias("text"),
+        return short
+    lines = page_source.long_document_lines(pages_, sizes).select(
+        *asked, page_source.line_order().alias("segment_no"), "gap", F.col("line").alias("text")
     )
-    parts = readiness_of(analyse_large(segments, fixtures.role_skills(spark), fixtures.SEMANTIC))
-    return whole.unionByName(parts)
+    scores = analyse_large(lines, fixtures.role_skills(spark), fixtures.SEMANTIC)
+    return short.unionByName(readiness_of(scores, lines))
 
 
 def score_table(rows: DataFrame) -> DataFrame:
@@ -375,24 +429,26 @@ def score_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def large_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = long_form.segments_of(resumes(spark, sf_dir))
-    return analyse_large(segments, fixtures.role_skills(spark), fixtures.SEMANTIC)
+def large_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Skill scores of the long form, and the resumes it was asked about."""
+    asked = resumes(spark, sf_dir)
+    return analyse_large(long_form.segments_of(asked), fixtures.role_skills(spark), fixtures.SEMANTIC), asked
 
 
 @registered("q_large_scores")
 def large_score_rows(spark, sf_dir):
-    return score_table(large_scores(spark, sf_dir))
+    return score_table(large_scores(spark, sf_dir)[0])
 
 
 @registered("q_large_readiness")
 def large_readiness(spark, sf_dir):
-    return readiness_of(large_scores(spark, sf_dir))
+    scores, asked = large_scores(spark, sf_dir)
+    return readiness_of(scores, known_roles(asked.select("resume_id", "target_role"), fixtures.role_skills(spark)))
 
 
 @registered("q_large_gaps")
 def large_gaps(spark, sf_dir):
-    return gaps_of(large_scores(spark, sf_dir)).select(
+    return gaps_of(large_scores(spark, sf_dir)[0]).select(
         "resume_id", "role", long("priority").alias("priority"), "skill", "score", "weight", "gap", "level",
         listed("matched_keywords"), listed("missing_keywords"),
     )
@@ -400,7 +456,8 @@ def large_gaps(spark, sf_dir):
 
 @registered("q_large_study_plan")
 def large_study_plan(spark, sf_dir):
-    return plan_table(plan_of(large_scores(spark, sf_dir), fixtures.curriculum(spark)))
+    scores = stored(large_scores(spark, sf_dir)[0], "scores")
+    return plan_table(plan_of(scores, fixtures.curriculum(spark)))
 
 
 def letter_model() -> Callable[[Column], Column]:
@@ -423,19 +480,73 @@ def letter_model() -> Callable[[Column], Column]:
 @registered("q_model_provider")
 def model_provider(spark, sf_dir):
     """Scores with the vectors of a model in place of hashed term counts."""
-    found = resumes(spark, sf_dir)
+    found = stored(resumes(spark, sf_dir), "resumes")
     role_skills = fixtures.role_skills(spark)
     similarities = embeddings.model_similarities(found, role_skills, letter_model())
     scored = analyse(found, role_skills, fixtures.MODEL_SEMANTIC, similarities)
     return skill_rows(scored).select("resume_id", "skill", "score", "semantic_similarity")
 
 
+def two_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every resume asks for its role and for one by its number."""
+    both = F.array_distinct(F.array("target_role", role_by_number("resume_id")))
+    return resumes(spark, sf_dir).withColumn("target_role", F.explode(both))
+
+
+TWO_ROLES = ["form", "resume_id", "role", "readiness_score", "n_skills", "n_gaps", "n_hits", "gap_order", "week1_focus"]
+
+
+@registered("q_two_roles")
+def two_roles_in_every_form(spark, sf_dir):
+    """One resume scored against two roles: row form, long form, and vectors of a model."""
+    asked = stored(two_roles(spark, sf_dir), "two-roles")
+    role_skills, curriculum = fixtures.role_skills(spark), fixtures.curriculum(spark)
+    focus = F.array_join(F.get("study_plan", F.lit(0)).focus_skills, "|")
+
+    def of_rows(form: str, analysed_: DataFrame) -> DataFrame:
+        hits = F.aggregate("skills", F.lit(0).cast("bigint"), lambda n, s: n + F.size(s.matched_keywords))
+        order = F.array_join(F.transform("gaps", lambda g: g.skill), "|")
+        return with_plan(analysed_, curriculum).select(
+            F.lit(form).alias("form"), "resume_id", F.col("target_role").alias("role"), "readiness_score", "n_skills", "n_gaps",
+            hits.alias("n_hits"), order.alias("gap_order"), F.coalesce(focus, F.lit("")).alias("week1_focus"),
+        )
+
+    scores = stored(analyse_large(long_form.segments_of(asked), role_skills, fixtures.SEMANTIC), "scores")
+    known = known_roles(asked.select("resume_id", "target_role"), role_skills)
+    ordered = F.array_sort(F.collect_list(F.struct("priority", "skill")))
+    weak = gaps_of(scores).groupBy("resume_id", "role").agg(F.array_join(F.transform(ordered, lambda g: g.skill), "|").alias("gap_order"))
+    hits = scores.groupBy("resume_id", "role").agg(F.sum(F.size("matched_keywords").cast("bigint")).alias("n_hits"))
+    plans = plan_of(scores, curriculum).select("resume_id", F.col("target_role").alias("role"), focus.alias("week1_focus"))
+    long_rows = readiness_of(scores, known)
+    for part in (weak, hits, plans):
+        long_rows = long_rows.join(part, ["resume_id", "role"], "left")
+    long_rows = long_rows.fillna({"gap_order": "", "week1_focus": "", "n_hits": 0}).withColumn("form", F.lit("long"))
+    similarities = embeddings.model_similarities(asked, role_skills, letter_model())
+    by_model = analyse(asked, role_skills, fixtures.MODEL_SEMANTIC, similarities)
+    rows = of_rows("rows", analyse(asked, role_skills, fixtures.SEMANTIC))
+    return rows.select(*TWO_ROLES).unionByName(long_rows.select(*TWO_ROLES)).unionByName(of_rows("model", by_model).select(*TWO_ROLES))
+
+
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    reader = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet")
+    return normalised(spread(reader.parquet(sf_dir), "doc_id", sized_like=documents))
+
+
+@registered("q_stream_rejects")
+def stream_rejects(spark, sf_dir):
+    """What a stream of documents refuses, written batch by batch."""
+    folder = scratch_dir(spark, "stream-rejects")
+    run_stream(
+        document_stream(spark, sf_dir), fixtures.role_skills(spark), folder, f"{folder}/checkpoint", fixtures.SEMANTIC
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/rejects").select("resume_id", "stage", "reason")
+
+
 @registered("q_stream_readiness")
 def stream_readiness(spark, sf_dir):
     """Documents read as a stream, scored and written; what was written is the result."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    reader = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet")
-    arriving = normalised(spread(reader.parquet(sf_dir), "doc_id", sized_like=documents)).where(long_enough(F.col("text")))
+    arriving = document_stream(spark, sf_dir).where(long_enough(F.col("text")))
     scored = score_stream(arriving, fixtures.role_skills(spark), fixtures.SEMANTIC).selectExpr(*READINESS)
     folder = scratch_dir(spark, "stream-readiness")
     write_stream(scored, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

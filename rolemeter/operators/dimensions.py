@@ -29,16 +29,17 @@ def lookup_join(
     on: str | list[str],
     how: str = "inner",
     small: bool | None = None,
-    spread_by: str = "resume_id",
+    spread_by: str | list[str] = "resume_id",
 ) -> DataFrame:
     """Join many rows to a table on `on`.
 
     A small table is broadcast and `rows` do not move. Otherwise both sides shuffle, and as one
-    key may hold a large share of `rows`, every key is split over `SALTS` partitions.
+    key may hold a large share of `rows`, every key is split over `SALTS` partitions by
+    `spread_by`, which should tell the rows of one key apart.
     """
     if is_small(table) if small is None else small:
         return rows.join(F.broadcast(table), on, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*([spread_by] if isinstance(spread_by, str) else spread_by)), F.lit(SALTS)).cast("int"))
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keys = [on] if isinstance(on, str) else on
     return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt")

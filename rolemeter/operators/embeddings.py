@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolemeter.functions.core import round_exact
 from rolemeter.functions.text import chunks
 from rolemeter.functions.vectors import TOP_CHUNKS, dense_cosine, dense_norm, doubles
 from rolemeter.operators.dimensions import is_small, lookup_join
@@ -25,50 +26,79 @@ def chunk_rows(resumes: DataFrame, size: int = 3) -> DataFrame:
     )
 
 
+def _with_norms(chunk_vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    chunk = chunk_vectors.select("resume_id", "target_role", "chunk_no", doubles(F.col("embedding")).alias("embedding"))
+    query = queries.select("role", "skill", doubles(F.col("embedding")).alias("query"))
+    return chunk.select("*", dense_norm(F.col("embedding")).alias("norm")), query.select("*", dense_norm(F.col("query")).alias("query_norm"))
+
+
+def _with_queries(chunk_vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks with all queries of their role as one array; for queries of checked size."""
+    chunk, query = _with_norms(chunk_vectors, queries)
+    per_role = query.groupBy("role").agg(F.collect_list(F.struct("skill", "query", "query_norm")).alias("queries"))
+    return chunk.join(F.broadcast(per_role), F.col("target_role") == F.col("role"))
+
+
+def _scored() -> Column:
+    return F.transform("queries", lambda q: F.struct(
+        q.skill.alias("skill"),
+        dense_cosine(q.query, q.query_norm, F.col("embedding"), F.col("norm")).alias("similarity"),
+    ))
+
+
 def chunk_similarities(chunk_vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Similarity of every chunk to the skills of its role: `resume_id, chunk_no, skill, similarity`.
+    """Similarity of every chunk to the skills of its role: `resume_id, target_role, chunk_no, skill, similarity`.
 
     `chunk_vectors` has `resume_id, target_role, chunk_no, embedding`; `queries`, one row per
     role skill, has `role, skill, embedding`. When the queries are small, the skills of a role
     meet a chunk as one broadcast array and no vector is copied per pair.
     """
-    chunk = chunk_vectors.select("resume_id", "target_role", "chunk_no", doubles(F.col("embedding")).alias("embedding"))
-    chunk = chunk.select("*", dense_norm(F.col("embedding")).alias("norm"))
-    query = queries.select("role", "skill", doubles(F.col("embedding")).alias("query"))
-    query = query.select("*", dense_norm(F.col("query")).alias("query_norm"))
+    chunk, query = _with_norms(chunk_vectors, queries)
     if is_small(queries):
-        per_role = query.groupBy("role").agg(F.collect_list(F.struct("skill", "query", "query_norm")).alias("queries"))
-        joined = chunk.join(F.broadcast(per_role), F.col("target_role") == F.col("role"))
-        scored = F.transform("queries", lambda q: F.struct(
-            q.skill.alias("skill"),
-            dense_cosine(q.query, q.query_norm, F.col("embedding"), F.col("norm")).alias("similarity"),
-        ))
-        return joined.select("resume_id", "chunk_no", F.inline(scored))
-    pairs = lookup_join(chunk, query.withColumnRenamed("role", "target_role"), "target_role", small=False, spread_by="chunk_no")
+        joined, scored = _with_queries(chunk_vectors, queries), _scored()
+        return joined.select("resume_id", "target_role", "chunk_no", F.inline(scored))
+    pairs = lookup_join(chunk, query.withColumnRenamed("role", "target_role"), "target_role", small=False, spread_by=["resume_id", "chunk_no"])
     similarity = dense_cosine(F.col("query"), F.col("query_norm"), F.col("embedding"), F.col("norm"))
-    return pairs.select("resume_id", "chunk_no", "skill", similarity.alias("similarity"))
+    return pairs.select("resume_id", "target_role", "chunk_no", "skill", similarity.alias("similarity"))
+
+
+def closest(chunk_vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The closest skill of every chunk: `resume_id, target_role, chunk_no, skill, similarity`.
+
+    Similarities are compared after rounding to three places, ties by the later skill. Where the
+    queries fit a broadcast, the maximum is taken in the chunk's own row and no pair leaves it.
+    """
+    best = F.struct(round_exact(F.col("similarity"), 3).alias("similarity"), "skill")
+    if not is_small(queries):
+        pairs = chunk_similarities(chunk_vectors, queries)
+        found = pairs.groupBy("resume_id", "target_role", "chunk_no").agg(F.max(best).alias("best"))
+    else:
+        scored = F.transform(_scored(), lambda p: F.struct(round_exact(p.similarity, 3).alias("similarity"), p.skill.alias("skill")))
+        found = _with_queries(chunk_vectors, queries).select("resume_id", "target_role", "chunk_no", F.array_max(scored).alias("best"))
+        found = found.where(F.col("best").isNotNull())
+    return found.select("resume_id", "target_role", "chunk_no", "best.skill", "best.similarity")
 
 
 def best_chunks(similarities: DataFrame, k: int = TOP_CHUNKS, found_only: bool = False) -> DataFrame:
-    """Mean of the k best chunks per resume and skill: `resume_id, skill, similarity`.
+    """Mean of the k best chunks per resume, role and skill: `resume_id, target_role, skill, similarity`.
 
     With `found_only`, pairs of similarity 0 may be absent and the plain `total` is returned.
     """
-    order = Window.partitionBy("resume_id", "skill").orderBy(F.desc("similarity"), "chunk_no")
+    order = Window.partitionBy("resume_id", "target_role", "skill").orderBy(F.desc("similarity"), "chunk_no")
     best = similarities.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
     total = F.sum("similarity")
     value = total.alias("total") if found_only else (total / F.count(F.lit(1))).alias("similarity")
-    return best.groupBy("resume_id", "skill").agg(value)
+    return best.groupBy("resume_id", "target_role", "skill").agg(value)
 
 
 def as_map(similarities: DataFrame) -> DataFrame:
-    """One row per resume with its similarities keyed by skill, for `Semantic("given")`."""
+    """One row per resume and role with its similarities keyed by skill, for `Semantic("given")`."""
     entries = F.collect_list(F.struct("skill", "similarity"))
-    return similarities.groupBy("resume_id").agg(F.map_from_entries(entries).alias("similarities"))
+    return similarities.groupBy("resume_id", "target_role").agg(F.map_from_entries(entries).alias("similarities"))
 
 
 def model_similarities(resumes: DataFrame, role_skills: DataFrame, embed: Callable, size: int = 3) -> DataFrame:
-    """`resume_id, similarities` computed by a model.
+    """`resume_id, target_role, similarities` computed by a model.
 
     `embed` maps a text column to a vector column, typically a `predict_batch_udf`, which loads
     the model once per Python worker. Skill queries are embedded once, not per resume.
@@ -81,5 +111,5 @@ def model_similarities(resumes: DataFrame, role_skills: DataFrame, embed: Callab
 
 
 def stored_similarities(chunk_vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """`resume_id, similarities` from chunk and query vectors computed earlier."""
+    """`resume_id, target_role, similarities` from chunk and query vectors computed earlier."""
     return as_map(best_chunks(chunk_similarities(chunk_vectors, queries)))

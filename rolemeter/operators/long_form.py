@@ -6,7 +6,8 @@ joined by key, broadcast only where its size was checked, else shuffled with sal
 step gathers a document or a role in one task: groups are the few sentences of a window, the
 keywords of a skill, the two best chunks, or the scores of one resume.
 
-Segments are `resume_id, target_role, segment_no, text`.
+Segments are `resume_id, target_role, segment_no, gap, text`, and a document is a resume with the
+role it asks for: all joins and groups are by both.
 """
 
 from __future__ import annotations
@@ -18,88 +19,92 @@ from rolemeter.functions.keywords import found, probes
 from rolemeter.functions.text import (
     FALLBACK_CHARS, MIN_CHUNK, WS, EMPTY_TEXT_CHUNK, normalize, sentences, squeeze, strip, tokens,
 )
-from rolemeter.functions.vectors import buckets, sparse_vector
+from rolemeter.functions.vectors import sparse_vector
 from rolemeter.operators.dimensions import is_small, lookup_join
 from rolemeter.operators.embeddings import best_chunks
 from rolemeter.operators.layout import stored
 from rolemeter.operators.skills import Semantic, finished
 from rolemeter.sources.profiles import query_text
 
+# One resume may ask for several roles; each pair is a document of its own.
+KEY = ["resume_id", "target_role"]
+SEGMENT = [*KEY, "segment_no"]
 BLOCK = 4096
-# A non-blank segment has at least one character and two line breaks before the next one.
-HEAD_SEGMENTS = FALLBACK_CHARS // 3 + 1
+# Lines of a page are numbered within a page's share of the numbers, see `pages.line_order`.
+PAGE_SHARE = 1 << 31
+# A non-blank segment has at least one character and one line break before the next one.
+HEAD_SEGMENTS = FALLBACK_CHARS // 2 + 1
 
 
 def segments_of(resumes: DataFrame) -> DataFrame:
     """Plain resumes as documents of one segment."""
-    return resumes.select("resume_id", "target_role", F.lit(0).cast("bigint").alias("segment_no"), "text")
+    return resumes.select(*KEY, F.lit(0).cast("bigint").alias("segment_no"), F.lit(True).alias("gap"), "text")
 
 
 def segment_offsets(counted: DataFrame) -> DataFrame:
     """Sentences before each segment and in its whole document.
 
-    `counted` is `resume_id, segment_no, n`. The running sum has two levels, so a document with
-    very many segments is not one window: blocks of segments first, segments in a block next.
+    `counted` is `resume_id, target_role, segment_no, n`. The running sum has three levels, so no
+    window holds a document with very many segments: segments in a block, blocks in a group of
+    BLOCK pages, groups. A document of a hundred thousand one-line pages has 25 groups.
     """
-    block = F.floor(F.col("segment_no") / BLOCK).alias("block")
-    per_block = counted.groupBy("resume_id", block).agg(F.sum("n").alias("block_n"))
-    document = Window.partitionBy("resume_id")
-    before = document.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select(
-        "resume_id", "block",
-        F.coalesce(F.sum("block_n").over(before), F.lit(0)).alias("block_start"),
-        F.sum("block_n").over(document).alias("n_sentences"),
-    )
-    inside = Window.partitionBy("resume_id", "block").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counted.withColumn("block", F.floor(F.col("segment_no") / BLOCK))
-        .withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(starts, ["resume_id", "block"])
-        .select("resume_id", "segment_no", (F.col("block_start") + F.col("inside")).alias("start"), "n_sentences")
+    blocks = counted.withColumn("block", F.floor(F.col("segment_no") / BLOCK)).withColumn(
+        "pages", F.floor(F.col("segment_no") / (BLOCK * PAGE_SHARE))
     )
 
+    def running(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
-def prepared(segments: DataFrame) -> DataFrame:
-    """Segments with their sentences, stored, as scoring reads them several times."""
-    return stored(
-        segments.select("resume_id", "target_role", "segment_no", "text", sentences(F.col("text")).alias("units")),
-        "segments",
-    )
+    per_block = blocks.groupBy(*KEY, "pages", "block").agg(F.sum("n").alias("block_n"))
+    per_group = per_block.groupBy(*KEY, "pages").agg(F.sum("block_n").alias("group_n"))
+    totals = per_group.groupBy(*KEY).agg(F.sum("group_n").alias("n_sentences"))
+    groups = running(per_group, KEY, "pages", "group_n", "group_start").drop("group_n")
+    inner = running(per_block, [*KEY, "pages"], "block", "block_n", "block_start").drop("block_n")
+    starts = inner.join(groups, [*KEY, "pages"]).join(totals, KEY)
+    placed = running(blocks, [*KEY, "block"], "segment_no", "n", "inside").join(starts.drop("pages"), [*KEY, "block"])
+    start = F.col("group_start") + F.col("block_start") + F.col("inside")
+    return placed.select(*SEGMENT, start.alias("start"), "n_sentences")
 
 
-def _placed(cut: DataFrame) -> DataFrame:
-    """Prepared segments with `start`, the sentences before them, and the document's `n_sentences`."""
-    offsets = segment_offsets(cut.select("resume_id", "segment_no", F.size("units").cast("bigint").alias("n")))
-    return cut.join(offsets, ["resume_id", "segment_no"])
+def prepared(segments: DataFrame) -> DataFrame:
+    """Segments with the number of their sentences, stored, as scoring reads them several times.
+
+    Texts are pieces of a normalised document: a plain resume, or pages or lines as
+    `sources.pages` gives them. `gap` tells whether a blank line comes before a segment.
+    """
+    gap = F.col("gap") if "gap" in segments.columns else F.lit(True).alias("gap")
+    return stored(segments.select(*SEGMENT, gap, "text", F.size(sentences(F.col("text"))).alias("n")), "segments")
 
 
 def sentence_rows(cut: DataFrame) -> DataFrame:
     """`resume_id, target_role, sentence_no, sentence, n_sentences`, numbered through the document."""
-    placed = _placed(cut.drop("text").where(F.size("units") > 0))
-    return placed.select(
-        "resume_id", "target_role", "start", "n_sentences", F.posexplode("units").alias("pos", "sentence")
-    ).select("resume_id", "target_role", (F.col("start") + F.col("pos")).alias("sentence_no"), "sentence", "n_sentences")
+    filled = cut.where("n > 0")
+    offsets = segment_offsets(filled.select(*SEGMENT, F.col("n").cast("bigint").alias("n")))
+    cut_up = filled.select(*SEGMENT, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    return cut_up.join(offsets, SEGMENT).select(
+        *KEY, (F.col("start") + F.col("pos")).alias("sentence_no"), "sentence", "n_sentences"
+    )
 
 
 def document_heads(cut: DataFrame) -> DataFrame:
     """Chunk of documents without any sentence: the first characters of their text."""
-    some = cut.where(F.size("units") > 0).select("resume_id").distinct()
+    some = cut.where("n > 0").select(*KEY).distinct()
     opening = F.regexp_replace(squeeze(F.col("text")), rf"\A({WS}*\n)+", "")
     top = F.left(F.regexp_replace(opening, rf"\n{WS}*\n", "\n\n"), F.lit(FALLBACK_CHARS + 2))
-    without = cut.where(F.size("units") == 0).select("resume_id", "target_role", "segment_no", top.alias("top")).join(
-        some, "resume_id", "left_anti"
-    )
+    without = cut.where("n = 0").select(*SEGMENT, "gap", top.alias("top")).join(some, KEY, "left_anti")
     # Blank segments add nothing; they are ranked last so that a document of blanks keeps one.
     blank = strip(F.col("top")) == ""
-    order = Window.partitionBy("resume_id").orderBy(blank, "segment_no")
-    joined = normalize(F.array_join(F.transform("tops", lambda t: t.top), "\n\n"))
+    order = Window.partitionBy(*KEY).orderBy(blank, "segment_no")
+    between = F.transform("tops", lambda t: F.concat(F.when(t.gap, F.lit("\n\n")).otherwise(F.lit("\n")), t.top))
+    joined = normalize(F.array_join(between, ""))
     return (
         without.withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= HEAD_SEGMENTS)
-        .groupBy("resume_id", "target_role")
-        .agg(F.array_sort(F.collect_list(F.when(~blank, F.struct("segment_no", "top")))).alias("tops"))
+        .groupBy(*KEY)
+        .agg(F.array_sort(F.collect_list(F.when(~blank, F.struct("segment_no", "gap", "top")))).alias("tops"))
         .select(
-            "resume_id", "target_role", F.lit(0).cast("bigint").alias("chunk_no"),
+            *KEY, F.lit(0).cast("bigint").alias("chunk_no"),
             F.when(F.length(joined) > 0, F.left(joined, F.lit(FALLBACK_CHARS))).otherwise(F.lit(EMPTY_TEXT_CHUNK)).alias("chunk"),
         )
     )
@@ -109,7 +114,8 @@ def chunk_rows(cut: DataFrame, size: int = 3) -> DataFrame:
     """Chunks of prepared segments, over their borders: `resume_id, target_role, chunk_no, chunk`.
 
     Every sentence joins the one or two windows it belongs to, so a group is one window.
-    `chunk_no` orders the chunks of a document; it can have gaps where a window was too short.
+    `chunk_no` orders the chunks of a document; it can have gaps where a window was too short. A
+    document all of whose windows are too short keeps its sentences as chunks.
     """
     step = max(1, size - 1)
     number = F.col("sentence_no")
@@ -119,22 +125,22 @@ def chunk_rows(cut: DataFrame, size: int = 3) -> DataFrame:
     windows = (
         sentence_rows(cut)
         .withColumn("chunk_no", F.explode(members))
-        .groupBy("resume_id", "target_role", "chunk_no")
+        .groupBy(*KEY, "chunk_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("sentence_no", "sentence"))).alias("parts"),
             F.max("n_sentences").alias("n_sentences"),
         )
-        .select(
-            "resume_id", "target_role", "chunk_no", "n_sentences",
-            F.array_join(F.transform("parts", lambda p: p.sentence), " ").alias("joined"),
-        )
+        .select(*KEY, "chunk_no", "n_sentences", F.array_join(F.transform("parts", lambda p: p.sentence), " ").alias("joined"))
     )
-    # Two sentences always exceed the minimum, so only a single sentence can be left over whole.
-    single = F.col("n_sentences") == 1
-    kept = windows.where(single | (F.length(strip(F.col("joined"))) > MIN_CHUNK)).select(
-        "resume_id", "target_role", "chunk_no",
-        F.when(single & (F.length(strip(F.col("joined"))) <= MIN_CHUNK), F.col("joined"))
-        .otherwise(strip(F.col("joined"))).alias("chunk"),
+    enough = F.length(strip(F.col("joined"))) > MIN_CHUNK
+    if size > 1:
+        # Two sentences always exceed the minimum, so only a single sentence can be left over whole.
+        windows = windows.withColumn("only_short", F.col("n_sentences") == 1)
+    else:
+        short = windows.groupBy(*KEY).agg((~F.bool_or(enough)).alias("only_short"))
+        windows = windows.join(short, KEY)
+    kept = windows.where(F.col("only_short") | enough).select(
+        *KEY, "chunk_no", F.when(enough, strip(F.col("joined"))).otherwise(F.col("joined")).alias("chunk")
     )
     return kept.unionByName(document_heads(cut))
 
@@ -154,44 +160,50 @@ def keyword_rows(role_skills: DataFrame) -> DataFrame:
 
 
 def keyword_hits(segments: DataFrame, role_skills: DataFrame) -> DataFrame:
-    """`resume_id, skill_ord, kw_ord` of every keyword a document has in any segment.
+    """`resume_id, target_role, skill_ord, kw_ord` of every keyword a document has in any segment.
 
-    Token equality finds the candidates; keywords of several tokens or with punctuation are
-    then checked against the segments they may be in.
+    A keyword that is one plain token is found by token equality. The others, with several tokens
+    or with punctuation, are looked for in the segment's own row where all of them fit a broadcast,
+    so that no text moves. Beyond that bound token equality finds their candidates first.
     """
     keywords = keyword_rows(role_skills)
     small = is_small(keywords)
-    words = segments.select(
-        "resume_id", "target_role", "segment_no", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")
-    )
+    hit = [*KEY, "skill_ord", "kw_ord"]
+    words = segments.select(*SEGMENT, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     by_token = keywords.where(F.col("token").isNotNull()).drop("probe")
-    candidates = lookup_join(words, by_token, ["target_role", "token"], "inner", small)
-    certain = candidates.where("exact").select("resume_id", "skill_ord", "kw_ord")
-    probe = keywords.where(~F.col("exact")).select("target_role", "skill_ord", "kw_ord", "probe", "token")
-    doubtful = lookup_join(
-        candidates.where("not exact").select("resume_id", "target_role", "segment_no", "skill_ord", "kw_ord"),
-        probe.drop("token"), ["target_role", "skill_ord", "kw_ord"], "inner", small,
+    doubtful = keywords.where(~F.col("exact")).select("target_role", "skill_ord", "kw_ord", "probe", "token")
+    if small:
+        certain = lookup_join(words, by_token.where("exact"), ["target_role", "token"], "inner", True).select(*hit)
+        per_role = doubtful.groupBy("target_role").agg(F.collect_list(F.struct("skill_ord", "kw_ord", "probe")).alias("probes"))
+        asked = segments.join(F.broadcast(per_role), "target_role").select(*KEY, F.lower("text").alias("lower_text"), "probes")
+        seen = F.filter("probes", lambda p: found(F.col("lower_text"), p.probe))
+        checked = asked.select(*KEY, F.explode(seen).alias("p")).select(*KEY, "p.skill_ord", "p.kw_ord")
+        return certain.unionByName(checked).distinct()
+    candidates = lookup_join(words, by_token, ["target_role", "token"], "inner", False, SEGMENT)
+    certain = candidates.where("exact").select(*hit)
+    unsure = lookup_join(
+        candidates.where("not exact").select(*SEGMENT, "skill_ord", "kw_ord"),
+        doubtful.drop("token"), ["target_role", "skill_ord", "kw_ord"], "inner", False, SEGMENT,
     )
-    lowered = segments.select("resume_id", "segment_no", F.lower("text").alias("lower_text"))
-    checked = doubtful.join(lowered, ["resume_id", "segment_no"]).where(found(F.col("lower_text"), F.col("probe")))
-    hits = certain.unionByName(checked.select("resume_id", "skill_ord", "kw_ord"))
-    tokenless = probe.where(F.col("token").isNull()).drop("token")
+    lowered = segments.select(*SEGMENT, F.lower("text").alias("lower_text"))
+    checked = unsure.join(lowered, SEGMENT).where(found(F.col("lower_text"), F.col("probe")))
+    hits = certain.unionByName(checked.select(*hit))
+    tokenless = doubtful.where(F.col("token").isNull()).drop("token")
     if not tokenless.isEmpty():
-        asked = lookup_join(segments, tokenless, "target_role", "inner", small)
-        seen = asked.where(found(F.lower("text"), F.col("probe")))
-        hits = hits.unionByName(seen.select("resume_id", "skill_ord", "kw_ord"))
+        asked = lookup_join(segments, tokenless, "target_role", "inner", False, SEGMENT)
+        hits = hits.unionByName(asked.where(found(F.lower("text"), F.col("probe"))).select(*hit))
     return hits.distinct()
 
 
 def chunk_similarities(chunks: DataFrame, role_skills: DataFrame, semantic: Semantic) -> DataFrame:
-    """Similarity of chunks and skills that share a bucket: `resume_id, skill, chunk_no, similarity`.
+    """Similarity of chunks and skills that share a bucket: `resume_id, target_role, skill, chunk_no, similarity`.
 
     Counts are never negative, so a pair that shares no bucket has similarity 0 and is left out.
     Summing the skill's count over the tokens of a chunk is the dot product of both.
     """
-    vectors = chunks.select("resume_id", "target_role", "chunk_no", sparse_vector(F.col("chunk"), semantic.dim).alias("v"))
+    vectors = chunks.select(*KEY, "chunk_no", sparse_vector(F.col("chunk"), semantic.dim).alias("v"))
     terms = vectors.select(
-        "resume_id", "target_role", "chunk_no", F.col("v.norm").alias("norm"), F.explode("v.buckets").alias("bucket")
+        *KEY, "chunk_no", F.col("v.norm").alias("norm"), F.explode("v.buckets").alias("bucket")
     )
     queries = query_text(role_skills.where(F.col("skill").isNotNull())).select(
         F.col("role").alias("target_role"), F.col("skill_ord").alias("skill"),
@@ -202,24 +214,24 @@ def chunk_similarities(chunks: DataFrame, role_skills: DataFrame, semantic: Sema
         .groupBy("target_role", "skill", "query_norm", "bucket")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    shared = lookup_join(terms, counts, ["target_role", "bucket"])
+    shared = lookup_join(terms, counts, ["target_role", "bucket"], spread_by=[*KEY, "chunk_no"])
     return (
-        shared.groupBy("resume_id", "skill", "chunk_no", "norm", "query_norm")
+        shared.groupBy(*KEY, "skill", "chunk_no", "norm", "query_norm")
         .agg(F.sum("tf").alias("dot"))
         .select(
-            "resume_id", "skill", "chunk_no",
+            *KEY, "skill", "chunk_no",
             (F.col("dot").cast("double") / (F.col("query_norm") * F.col("norm"))).alias("similarity"),
         )
     )
 
 
 def document_similarities(chunks: DataFrame, role_skills: DataFrame, semantic: Semantic) -> DataFrame:
-    """`resume_id, skill_ord, similarity`: mean of the two best chunks, implicit zeros included."""
+    """`resume_id, target_role, skill_ord, similarity`: mean of the two best chunks, implicit zeros included."""
     pairs = chunk_similarities(chunks, role_skills, semantic)
-    n_chunks = chunks.groupBy("resume_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    n_chunks = chunks.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_chunks"))
     best = best_chunks(pairs, found_only=True)
-    return best.join(n_chunks, "resume_id").select(
-        "resume_id", F.col("skill").alias("skill_ord"),
+    return best.join(n_chunks, KEY).select(
+        *KEY, F.col("skill").alias("skill_ord"),
         (F.col("total") / F.least(F.lit(2), F.col("n_chunks")).cast("double")).alias("similarity"),
     )
 
@@ -232,18 +244,16 @@ def score_rows(
         F.col("role").alias("target_role"), "skill_ord", "skill", "weight", "keywords"
     )
     cut = prepared(segments)
-    documents = cut.select("resume_id", "target_role").distinct()
+    documents = cut.select(*KEY).distinct()
     asked = lookup_join(documents, skills, "target_role")
-    hits = keyword_hits(cut, role_skills).groupBy("resume_id", "skill_ord").agg(
-        F.collect_list("kw_ord").alias("hit_ords")
-    )
-    rows = asked.join(hits, ["resume_id", "skill_ord"], "left")
+    hits = keyword_hits(cut, role_skills).groupBy(*KEY, "skill_ord").agg(F.collect_list("kw_ord").alias("hit_ords"))
+    rows = asked.join(hits, [*KEY, "skill_ord"], "left")
     if similarities is not None:
-        given = similarities.select("resume_id", F.explode("similarities").alias("skill", "similarity"))
-        rows = rows.join(given, ["resume_id", "skill"], "left")
+        given = similarities.select(*KEY, F.explode("similarities").alias("skill", "similarity"))
+        rows = rows.join(given, [*KEY, "skill"], "left")
     elif semantic.provider == "hashed":
         similar = document_similarities(chunk_rows(cut, semantic.chunk_size), role_skills, semantic)
-        rows = rows.join(similar, ["resume_id", "skill_ord"], "left")
+        rows = rows.join(similar, [*KEY, "skill_ord"], "left")
     else:
         rows = rows.withColumn("similarity", F.lit(0.0))
 
@@ -253,7 +263,7 @@ def score_rows(
         ))
         return F.transform(F.filter(has, lambda x: x.hit if hit else ~x.hit), lambda x: x.k)
 
-    evidence = rows.select("resume_id", "target_role", F.array(F.struct(
+    evidence = rows.select(*KEY, F.array(F.struct(
         "skill_ord", "skill", "weight", F.size("keywords").alias("n_keywords"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         chosen(True).alias("matched"), chosen(False).alias("missing"),

@@ -148,7 +148,7 @@ def score_skills(
 ) -> DataFrame:
     """`resume_id, target_role, skills` for resumes whose role is in `roles` (see `role_rows`).
 
-    With `similarities` (`resume_id, similarities`), keywords are matched first, so that the
+    With `similarities` (`resume_id, target_role, similarities`), keywords are matched first, so that the
     join by resume moves short rows and no texts.
     """
     matched = features(resumes, semantic).join(F.broadcast(roles), F.col("target_role") == F.col("role"), "inner")
@@ -158,7 +158,7 @@ def score_skills(
             matched = matched.select("resume_id", "target_role", "lower_text", "skills", relevant.alias("vectors"))
         return matched.select("resume_id", "target_role", scored_entries(semantic).alias("skills"))
     evidence = matched.select("resume_id", "target_role", keyword_evidence().alias("evidence"))
-    return evidence.join(similarities, "resume_id", "left").select(
+    return evidence.join(similarities, ["resume_id", "target_role"], "left").select(
         "resume_id", "target_role", given_entries(semantic).alias("skills")
     )
 

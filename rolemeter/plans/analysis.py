@@ -9,7 +9,7 @@ from rolemeter.functions.scoring import WEAK_BELOW, gap, tier
 from rolemeter.operators import dimensions
 from rolemeter.operators.dimensions import is_small
 from rolemeter.operators.gaps import FOCUS_SKILLS, MISSING_SHOWN, heaviest, names, weak_column
-from rolemeter.operators.long_form import score_rows, segments_of
+from rolemeter.operators.long_form import KEY, score_rows, segments_of
 from rolemeter.operators.skills import Semantic, readiness_column, role_rows, score_skills
 from rolemeter.operators.study_plan import with_study_plan
 from rolemeter.plans.validation import known_roles
@@ -50,10 +50,11 @@ def analyse(
     entry = F.struct(
         "skill_ord", "skill", "score", "weight", "level", "matched_keywords", "missing_keywords", "semantic_similarity"
     )
-    per_resume = rows.groupBy("resume_id").agg(F.array_sort(F.collect_list(entry)).alias("skills"))
+    # The result has a role's skills in one row, so this gathers what the row holds and no more.
+    per_resume = rows.withColumnRenamed("role", "target_role").groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("skills"))
     known = known_roles(resumes.select("resume_id", "target_role"), role_skills, small=False)
     none = F.array().cast(per_resume.schema["skills"].dataType)
-    return roll_up(known.join(per_resume, "resume_id", "left").withColumn("skills", F.coalesce("skills", none)))
+    return roll_up(known.join(per_resume, KEY, "left").withColumn("skills", F.coalesce("skills", none)))
 
 
 def with_focus(analysed: DataFrame) -> DataFrame:
@@ -79,14 +80,25 @@ def analyse_large(segments: DataFrame, role_skills: DataFrame, semantic: Semanti
     return score_rows(segments, role_skills, semantic)
 
 
-def readiness_of(scores: DataFrame) -> DataFrame:
-    """Readiness, tier and counts from skill scores in rows."""
+def readiness_of(scores: DataFrame, documents: DataFrame) -> DataFrame:
+    """Readiness, tier and counts from skill scores in rows.
+
+    `documents` holds `resume_id, target_role` of all resumes whose role is known; one whose role
+    has no skills gets 0.0, as in `analyse`.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("skill_ord", "score", "weight")))
     rolled = scores.groupBy("resume_id", "role").agg(
         ordered.alias("skills"),
         F.count(F.lit(1)).alias("n_skills"),
         F.count_if(F.col("score") < WEAK_BELOW).alias("n_gaps"),
     )
+    none = F.array().cast(rolled.schema["skills"].dataType)
+    asked = documents.select("resume_id", F.col("target_role").alias("role")).distinct()
+    zero = F.lit(0).cast("bigint")
+    rolled = asked.join(rolled, ["resume_id", "role"], "left").select(
+        "resume_id", "role", F.coalesce("skills", none).alias("skills"),
+        F.coalesce("n_skills", zero).alias("n_skills"), F.coalesce("n_gaps", zero).alias("n_gaps"),
+    )
     scored = rolled.withColumn("readiness_score", readiness_column())
     return scored.select(
         "resume_id", "role", "readiness_score", tier(F.col("readiness_score")).alias("readiness_tier"), "n_skills", "n_gaps"
@@ -95,7 +107,7 @@ def readiness_of(scores: DataFrame) -> DataFrame:
 
 def gaps_of(scores: DataFrame) -> DataFrame:
     """Weak skills with their priority from skill scores in rows."""
-    order = Window.partitionBy("resume_id").orderBy(F.desc("weight"), "score", "skill_ord")
+    order = Window.partitionBy("resume_id", "role").orderBy(F.desc("weight"), "score", "skill_ord")
     weak = scores.where(F.col("score") < WEAK_BELOW)
     return weak.select(
         "resume_id", "role", F.row_number().over(order).alias("priority"), "skill_ord", "skill", "score", "weight",
@@ -106,8 +118,8 @@ def gaps_of(scores: DataFrame) -> DataFrame:
 
 def plan_of(scores: DataFrame, curriculum: DataFrame) -> DataFrame:
     """Study plans from skill scores in rows: `resume_id, target_role, study_plan`."""
-    by_weight = Window.partitionBy("resume_id").orderBy(F.desc("weight"), "skill_ord")
-    by_gap = Window.partitionBy("resume_id").orderBy(F.desc("weight"), "score", "skill_ord")
+    by_weight = Window.partitionBy("resume_id", "role").orderBy(F.desc("weight"), "skill_ord")
+    by_gap = Window.partitionBy("resume_id", "role").orderBy(F.desc("weight"), "score", "skill_ord")
 
     def first_three(rows: DataFrame, order, name: str) -> DataFrame:
         ranked = rows.select("resume_id", "role", "skill", F.row_number().over(order).alias("place"))
@@ -115,9 +127,9 @@ def plan_of(scores: DataFrame, curriculum: DataFrame) -> DataFrame:
         return kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "skill"))), lambda r: r.skill).alias(name))
 
     top = first_three(scores, by_weight, "top_names")
-    weak = first_three(scores.where(F.col("score") < WEAK_BELOW), by_gap, "gap_names").drop("role")
+    weak = first_three(scores.where(F.col("score") < WEAK_BELOW), by_gap, "gap_names")
     none = F.array().cast("array<string>")
-    focused = top.join(weak, "resume_id", "left").select(
+    focused = top.join(weak, ["resume_id", "role"], "left").select(
         "resume_id", F.col("role").alias("target_role"), "top_names", F.coalesce("gap_names", none).alias("gap_names")
     )
     return with_study_plan(focused, curriculum)

@@ -5,25 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemeter.operators.layout import stored
-from rolemeter.plans.validation import resume_rejects
+from rolemeter.operators.skills import Semantic
+from rolemeter.plans.analysis import analyse, analyse_large, readiness_of
+from rolemeter.plans.validation import known_roles, resume_rejects
 from rolemeter.sources import files as file_source
 from rolemeter.sources import pages as page_source
 from rolemeter.sources.profiles import requested_role
 
 
 class Intake(NamedTuple):
-    """`resumes` can be analysed; `long_segments` too, through `analyse_large`.
+    """What becomes of every file.
 
-    `rejects` has `resume_id, stage, reason` for every other file, and also for the resumes of a
-    role without skills, which are scored but get no plan.
+    `resumes` (`resume_id, target_role, text`) can be analysed; `long_segments`, the lines of
+    documents too long for one value, through `analyse_large`. `long_resumes` names the latter,
+    `resume_id, target_role`. `rejects` has `resume_id, target_role, stage, reason` of every other
+    file, and also of resumes of a role without skills, which are scored but get no plan.
     """
 
     resumes: DataFrame
     long_segments: DataFrame
+    long_resumes: DataFrame
     rejects: DataFrame
 
 
@@ -32,34 +37,63 @@ def intake(
 ) -> Intake:
     """Check, decode and normalise files with `path, filename, content, target_role`.
 
-    The path is the resume id. TXT files are decoded in the JVM; the pages of PDF files, read by
-    `extract` or pypdf, are stored once and then treated as any paged document.
+    The path is the resume id. Contents are read in one pass, which stores each file's outcome: the
+    reason it is refused, the text of a TXT file, or what is left to read of a PDF file. The pages
+    of the latter, read by `extract`, are stored too and then treated as any paged document. A text
+    of any kind that is longer than `pages.MAX_ASSEMBLED_CHARS` is scored from its lines.
     """
     asked = files.withColumn("target_role", requested_role(F.col("target_role")))
-    roles = asked.select(F.col("path").alias("doc_id"), "target_role")
-    txt = file_source.txt_documents(asked).where(F.col("reason").isNull()).select(
-        F.col("path").alias("resume_id"), "target_role", "text"
+    seen = stored(file_source.classified(asked), "files")
+    names = [F.col("path").alias("resume_id"), "target_role"]
+    refused = seen.where(F.col("reason").isNotNull()).select(*names, "stage", "reason")
+    roles = seen.select(F.col("path").alias("doc_id"), "target_role")
+
+    bound = F.lit(page_source.MAX_ASSEMBLED_CHARS)
+    txt = seen.where(F.col("text").isNotNull() & F.col("reason").isNull())
+    short_txt = txt.where(F.length("text") <= bound).select(*names, "text")
+    long_txt = txt.where(F.length("text") > bound).select(
+        F.col("path").alias("doc_id"), F.lit(0).alias("page_no"), F.col("text").alias("page_text")
     )
-    refused = file_source.file_rejects(asked).select(F.col("path").alias("resume_id"), "stage", "reason")
 
-    pages = stored(file_source.pdf_pages(asked, extract).withColumnRenamed("path", "doc_id"), "pdf-pages")
-    broken = pages.where(F.col("reason").isNotNull()).select(F.col("doc_id").alias("resume_id"), "reason")
+    pdf = seen.where(F.col("pdf").isNotNull()).select("path", F.col("pdf").alias("content"))
+    pages = stored(file_source.read_pages(pdf, extract).withColumnRenamed("path", "doc_id"), "pdf-pages")
     readable = pages.where(F.col("reason").isNull()).drop("reason")
     sizes = stored(page_source.document_sizes(readable), "pdf-sizes")
-    too_little = sizes.where(F.col("reason").isNotNull()).select(F.col("doc_id").alias("resume_id"), "reason")
-    pdf = page_source.assemble(readable, sizes).join(roles, "doc_id").select(
+    broken = pages.where(F.col("reason").isNotNull()).select("doc_id", "reason").unionByName(
+        sizes.where(F.col("reason").isNotNull()).select("doc_id", "reason")
+    )
+    unreadable = broken.join(roles, "doc_id").select(
+        F.col("doc_id").alias("resume_id"), "target_role", F.lit("parse").alias("stage"), "reason"
+    )
+    short_pdf = page_source.assemble(readable, sizes).join(roles, "doc_id").select(
         F.col("doc_id").alias("resume_id"), "target_role", "text"
     )
-    lines = page_source.long_document_lines(readable, sizes).join(roles, "doc_id")
-    long_segments = lines.select(
-        F.col("doc_id").alias("resume_id"), "target_role", page_source.line_order().alias("segment_no"), F.col("line").alias("text")
+
+    lines = page_source.page_lines(long_txt).unionByName(page_source.long_document_lines(readable, sizes))
+    long_segments = lines.join(roles, "doc_id").select(
+        F.col("doc_id").alias("resume_id"), "target_role", page_source.line_order().alias("segment_no"), "gap", F.col("line").alias("text")
+    )
+    long_ids = long_txt.select("doc_id").unionByName(
+        sizes.where(F.col("reason").isNull() & (F.col("n_chars") > bound)).select("doc_id")
     )
+    long_resumes = long_ids.join(roles, "doc_id").select(F.col("doc_id").alias("resume_id"), "target_role")
 
-    resumes = txt.unionByName(pdf)
-    unreadable = broken.unionByName(too_little).select("resume_id", F.lit("parse").alias("stage"), "reason")
-    long_asked = sizes.where(F.col("reason").isNull() & (F.col("n_chars") > page_source.MAX_ASSEMBLED_CHARS)).join(roles, "doc_id")
+    resumes = short_txt.unionByName(short_pdf)
     # A long document is long enough by definition; only its role remains to be checked.
-    checked = resumes.unionByName(
-        long_asked.select(F.col("doc_id").alias("resume_id"), "target_role", F.lit(page_source.TOO_LITTLE_TEXT).alias("text"))
+    checked = resumes.unionByName(long_resumes.withColumn("text", F.lit(page_source.TOO_LITTLE_TEXT)))
+    rejects = refused.unionByName(unreadable).unionByName(resume_rejects(checked, role_skills))
+    return Intake(resumes, long_segments, long_resumes, rejects)
+
+
+def readiness_of_files(found: Intake, role_skills: DataFrame, semantic: Semantic = Semantic()) -> DataFrame:
+    """Readiness of every accepted file, short or long: the columns of `readiness_of`.
+
+    The long form is planned only where there is a long document.
+    """
+    short = analyse(found.resumes, role_skills, semantic).select(
+        "resume_id", F.col("target_role").alias("role"), "readiness_score", "readiness_tier", "n_skills", "n_gaps"
     )
-    return Intake(resumes, long_segments, refused.unionByName(unreadable).unionByName(resume_rejects(checked, role_skills)))
+    if found.long_resumes.isEmpty():
+        return short
+    scores = analyse_large(found.long_segments, role_skills, semantic)
+    return short.unionByName(readiness_of(scores, known_roles(found.long_resumes, role_skills)))

@@ -27,6 +27,16 @@ def role_names(role_skills: DataFrame) -> DataFrame:
     return roles.agg(F.array_join(F.transform(ordered, lambda r: r.quoted), ", ").alias("listed"))
 
 
+def with_listing(rejects: DataFrame, role_skills: DataFrame) -> DataFrame:
+    """Rejects with the full message, for those that report them.
+
+    Inside the plans a reject of an unknown role names only that role: the listing is the same in
+    every row and as long as the role table.
+    """
+    full = F.concat("reason", F.lit(UNKNOWN_ROLE.partition("%s'")[2].partition("%s")[0]), role_names(role_skills).scalar(), F.lit("]"))
+    return rejects.withColumn("reason", F.when(F.col("stage") == "role", full).otherwise(F.col("reason")))
+
+
 def role_sizes(role_skills: DataFrame) -> DataFrame:
     return role_skills.groupBy("role").agg(F.count("skill").alias("role_skills"))
 
@@ -38,23 +48,24 @@ def known_roles(resumes: DataFrame, role_skills: DataFrame, small: bool | None =
 
 
 def resume_rejects(resumes: DataFrame, role_skills: DataFrame, small: bool | None = None) -> DataFrame:
-    """`resume_id, stage, reason` of resumes that are too short, ask for an unknown role, or for
-    a role without skills, for which there is no plan. First check wins.
+    """`resume_id, target_role, stage, reason` of resumes that are too short, ask for an unknown role, or for
+    a role without skills, for which there is no plan. First check wins. `with_listing` completes
+    the message about unknown roles.
     """
     roles = role_sizes(role_skills).withColumnRenamed("role", "target_role")
     looked_up = lookup_join(resumes, roles, "target_role", "left", small)
-    listed = role_names(role_skills).scalar()
     checked = looked_up.select(
         "resume_id",
+        "target_role",
         F.when(~long_enough(F.col("text")), F.struct(F.lit("analyse").alias("stage"), F.lit(TOO_SHORT).alias("reason")))
         .when(
             F.col("role_skills").isNull(),
             F.struct(
                 F.lit("role").alias("stage"),
-                F.format_string(UNKNOWN_ROLE, F.coalesce("target_role", F.lit("")), listed).alias("reason"),
+                F.format_string(UNKNOWN_ROLE.partition("'.")[0] + "'", F.coalesce("target_role", F.lit(""))).alias("reason"),
             ),
         )
         .when(F.col("role_skills") == 0, F.struct(F.lit("plan").alias("stage"), F.lit(NO_SKILLS).alias("reason")))
         .alias("refusal"),
     )
-    return checked.where(F.col("refusal").isNotNull()).select("resume_id", "refusal.stage", "refusal.reason")
+    return checked.where(F.col("refusal").isNotNull()).select("resume_id", "target_role", "refusal.stage", "refusal.reason")

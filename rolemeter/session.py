@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import functools
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,34 @@ def build_session(app: str = "rolemeter", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under `spark.checkpoint.dir`, the storage every executor can reach.
+@functools.cache
+def _local_folder(application: str) -> tempfile.TemporaryDirectory:
+    """A temporary folder of a local session; gone when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="rolemeter-", ignore_cleanup_errors=True)
 
-    Only when the cluster names no such folder (local runs and tests) is a local one used.
+
+def scratch_root(spark: SparkSession, shared: str | None = None) -> str:
+    """The folder this application keeps intermediate tables in.
+
+    It lies under `shared` or `spark.checkpoint.dir`, storage that every executor can reach. A
+    session whose executors are other processes has to name one; only a local session, where
+    there is one process, may do without.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = shared or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="rolemeter-")
-    return os.path.join(shared, f"{purpose}-{uuid.uuid4().hex}")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _local_folder(context.applicationId).name
+    return f"{shared.rstrip('/')}/rolemeter-{context.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, purpose: str, shared: str | None = None) -> str:
+    """A fresh folder for one intermediate table."""
+    return f"{scratch_root(spark, shared)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession, shared: str | None = None) -> None:
+    """Delete the intermediate tables of this application, once no plan reads them any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark, shared))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

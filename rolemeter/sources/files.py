@@ -20,6 +20,17 @@ EMPTY_FILE = "The uploaded file is empty (0 bytes)."
 EXTRACTION = "Resume Extraction Error: "
 UNREADABLE_TXT = EXTRACTION + "The text file is empty or contains no readable text content."
 FAILED_PDF = EXTRACTION + "Failed to process PDF file: "
+CORRUPT_PDF = EXTRACTION + "Corrupt or invalid PDF file stream: "
+ENCRYPTED_PDF = EXTRACTION + "The PDF file is encrypted and password-protected. Please provide an unencrypted PDF."
+NO_PAGES = EXTRACTION + "The PDF document does not contain any pages."
+
+
+class CorruptFile(Exception):
+    """A caller's reader raises this for a file that is no valid PDF."""
+
+
+class EncryptedFile(Exception):
+    """A caller's reader raises this for a file it has no password for."""
 
 
 def read_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -52,63 +63,71 @@ def check_uploads(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", upload_reason(F.col("filename"), F.col("content")))
 
 
-def txt_documents(files: DataFrame) -> DataFrame:
-    """Accepted TXT files with their normalised `text`, and `reason` when that is too short."""
-    accepted = check_uploads(files).where(F.col("reason").isNull() & has_extension(F.col("filename"), ".txt"))
-    decoded = computed_once(accepted.drop("reason"), "text", normalize(decode_txt(F.col("content"))))
-    return decoded.drop("content").withColumn(
-        "reason", F.when(F.length("text") < MIN_TXT_CHARS, F.lit(UNREADABLE_TXT))
+def classified(files: DataFrame) -> DataFrame:
+    """The outcome of every file from one reading of its content.
+
+    All columns but the content, and `stage, reason` of a refused file, `text` of a TXT file, or
+    `pdf`, the content of a PDF file that is still to be read.
+    """
+    kept = [c for c in files.columns if c not in ("content", "reason")]
+    accepted = F.col("reason").isNull()
+    checked = check_uploads(files).withColumn("is_txt", F.coalesce(accepted & has_extension(F.col("filename"), ".txt"), F.lit(False)))
+    decoded = computed_once(checked, "text", F.when(F.col("is_txt"), normalize(decode_txt(F.col("content")))))
+    too_short = F.col("is_txt") & (F.length("text") < MIN_TXT_CHARS)
+    return decoded.select(
+        *kept,
+        F.when(~accepted, F.lit("upload")).when(too_short, F.lit("parse")).alias("stage"),
+        F.coalesce("reason", F.when(too_short, F.lit(UNREADABLE_TXT))).alias("reason"),
+        F.when(~too_short, F.col("text")).alias("text"),
+        F.when(accepted & ~F.col("is_txt"), F.col("content")).alias("pdf"),
     )
 
 
+def txt_documents(files: DataFrame) -> DataFrame:
+    """Accepted TXT files with their normalised `text`."""
+    return classified(files).where(F.col("text").isNotNull()).drop("stage", "reason", "pdf")
+
+
 def file_rejects(files: DataFrame) -> DataFrame:
     """Rows for the quarantine table: refused uploads and unreadable texts."""
-    kept = [c for c in files.columns if c != "content"]
-    refused = check_uploads(files).where(F.col("reason").isNotNull())
-    unreadable = txt_documents(files).where(F.col("reason").isNotNull())
-    return refused.select(*kept, F.lit("upload").alias("stage"), "reason").unionByName(
-        unreadable.select(*kept, F.lit("parse").alias("stage"), "reason")
-    )
+    return classified(files).where(F.col("reason").isNotNull()).drop("text", "pdf")
 
 
 def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """Pages of accepted PDF files as `path, page_no, page_text, reason`.
-
-    `extract` turns the bytes of one file into its page texts; by default pypdf does, where it
-    is installed. A file that cannot be read gives one row with a reason.
-    """
-    pdfs = (
-        check_uploads(files)
-        .where(F.col("reason").isNull() & has_extension(F.col("filename"), ".pdf"))
-        .select("path", "content")
-    )
-
-    def with_pypdf(content: bytes) -> list[str]:
-        import io
+    """Pages of the accepted PDF files among `files`, see `read_pages`."""
+    pdfs = classified(files).where(F.col("pdf").isNotNull())
+    return read_pages(pdfs.select("path", F.col("pdf").alias("content")), extract)
 
-        from pypdf import PdfReader
 
-        texts = []
-        for page in PdfReader(io.BytesIO(content)).pages:
-            try:
-                texts.append(page.extract_text() or "")
-            except Exception:
-                texts.append("")
-        return texts
+def read_pages(pdfs: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """Pages of PDF files (`path, content`) as `path, page_no, page_text, reason`.
 
-    reader = extract or with_pypdf
-    failed = FAILED_PDF
-
-    def pages(batches: Iterator) -> Iterator:
+    `extract` is the caller's reader: the page texts of the bytes of one file. A file that it
+    cannot read, or that has no pages, gives one row with the reason, so none is lost. Files are
+    read and their pages given on one by one; how many contents a task holds is set by
+    `spark.sql.execution.arrow.maxRecordsPerBatch`. Without a reader every PDF file is refused.
+    """
+    reasons = (NO_PAGES, ENCRYPTED_PDF, CORRUPT_PDF, FAILED_PDF)
+
+    def rows(name: str, content: bytes) -> list[tuple]:
+        no_pages, encrypted, corrupt, failed = reasons
+        try:
+            if extract is None:
+                raise RuntimeError("no PDF reader was given")
+            pages = extract(bytes(content))
+        except EncryptedFile:
+            return [(name, 0, None, encrypted)]
+        except CorruptFile as error:
+            return [(name, 0, None, corrupt + str(error))]
+        except Exception as error:
+            return [(name, 0, None, failed + str(error))]
+        return [(name, i, text, None) for i, text in enumerate(pages)] or [(name, 0, None, no_pages)]
+
+    def read(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            rows = []
             for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(name, i, text, None) for i, text in enumerate(reader(bytes(content)))]
-                except Exception as error:
-                    rows.append((name, 0, None, failed + str(error)))
-            yield pd.DataFrame(rows, columns=["path", "page_no", "page_text", "reason"])
+                yield pd.DataFrame(rows(name, content), columns=["path", "page_no", "page_text", "reason"])
 
-    return pdfs.mapInPandas(pages, "path string, page_no int, page_text string, reason string")
+    return pdfs.mapInPandas(read, "path string, page_no int, page_text string, reason string")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemeter.functions.text import WHITESPACE, normalize, squeeze, strip
+from rolemeter.functions.text import WHITESPACE, WS, normalize, squeeze, strip
 from rolemeter.operators.dimensions import lookup_join
 
 MIN_PAGED_CHARS = 20
@@ -96,31 +96,50 @@ def document_sizes(pages: DataFrame) -> DataFrame:
     )
 
 
-def assemble(pages: DataFrame, sizes: DataFrame | None = None, max_chars: int = MAX_ASSEMBLED_CHARS) -> DataFrame:
+def _bound(max_chars: int | None) -> int:
+    return MAX_ASSEMBLED_CHARS if max_chars is None else max_chars
+
+
+def assemble(pages: DataFrame, sizes: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
     """`doc_id, text` of the accepted documents that are short enough to be one value.
 
     Longer ones are excluded before grouping, so a group is bounded by `max_chars`; take them
     from `long_document_lines`.
     """
     sizes = document_sizes(pages) if sizes is None else sizes
-    left_out = sizes.where(F.col("reason").isNotNull() | (F.col("n_chars") > max_chars)).select("doc_id")
+    left_out = sizes.where(F.col("reason").isNotNull() | (F.col("n_chars") > _bound(max_chars))).select("doc_id")
     bounded = lookup_join(
-        pages.where(strip(squeeze(F.col("page_text"))) != ""), left_out, "doc_id", "left_anti", spread_by="page_no"
+        pages.where(strip(squeeze(F.col("page_text"))) != ""), left_out, "doc_id", "left_anti", spread_by=["doc_id", "page_no"]
     )
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "page_text")))
     joined = F.array_join(F.transform(ordered, lambda p: p.page_text), "\n\n")
     return bounded.groupBy("doc_id").agg(joined.alias("joined")).select("doc_id", normalize(F.col("joined")).alias("text"))
 
 
-def any_long(sizes: DataFrame, max_chars: int = MAX_ASSEMBLED_CHARS) -> bool:
+def any_long(sizes: DataFrame, max_chars: int | None = None) -> bool:
     """Whether `assemble` leaves any accepted document out for its size."""
-    return not sizes.where(F.col("reason").isNull() & (F.col("n_chars") > max_chars)).isEmpty()
+    return not sizes.where(F.col("reason").isNull() & (F.col("n_chars") > _bound(max_chars))).isEmpty()
 
 
 def long_document_lines(
-    pages: DataFrame, sizes: DataFrame | None = None, max_chars: int = MAX_ASSEMBLED_CHARS
+    pages: DataFrame, sizes: DataFrame | None = None, max_chars: int | None = None
 ) -> DataFrame:
     """Lines of the accepted documents that `assemble` leaves out for their size."""
     sizes = document_sizes(pages) if sizes is None else sizes
-    long_ones = sizes.where(F.col("reason").isNull() & (F.col("n_chars") > max_chars)).select("doc_id")
-    return page_lines(lookup_join(pages, long_ones, "doc_id", "left_semi", spread_by="page_no"))
+    long_ones = sizes.where(F.col("reason").isNull() & (F.col("n_chars") > _bound(max_chars))).select("doc_id")
+    return page_lines(lookup_join(pages, long_ones, "doc_id", "left_semi", spread_by=["doc_id", "page_no"]))
+
+
+def page_segments(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Whole pages of the accepted documents as pieces of their normalised text.
+
+    `doc_id, segment_no, gap, text`: space is squeezed and runs of blank lines are one, as in the
+    assembled text, where a blank line separates pages.
+    """
+    sizes = document_sizes(pages) if sizes is None else sizes
+    refused = sizes.where(F.col("reason").isNotNull()).select("doc_id")
+    kept = lookup_join(pages, refused, "doc_id", "left_anti", spread_by=["doc_id", "page_no"])
+    text = F.regexp_replace(squeeze(F.col("page_text")), rf"\n{WS}*\n", "\n\n")
+    return kept.select(
+        "doc_id", (F.col("page_no").cast("bigint") * F.lit(1 << 31)).alias("segment_no"), F.lit(True).alias("gap"), text.alias("text")
+    )

@@ -13,8 +13,11 @@ QUERY_KEYWORDS = 6
 
 
 def _roles(documents: DataFrame, column: str) -> DataFrame:
-    """`role, role_ord, profile`; of a repeated role the last profile, at the place of the first."""
-    parsed = documents.select(F.from_json(F.col(column), schemas.PROFILE_JSON).alias("profiles"))
+    """`role, role_ord, profile`; of a repeated role the last profile, at the place of the first.
+
+    Malformed JSON is an error: without its roles every resume would be refused.
+    """
+    parsed = documents.select(F.from_json(F.col(column), schemas.PROFILE_JSON, {"mode": "FAILFAST"}).alias("profiles"))
     return (
         parsed.select(F.posexplode("profiles").alias("pos", "role", "profile"))
         .groupBy("role")
@@ -76,14 +79,10 @@ def query_text(role_skills: DataFrame) -> DataFrame:
 
 
 def role_listing(role_skills: DataFrame) -> DataFrame:
-    """One row per role in file order, with how many skills it has and what they weigh."""
-    return (
-        role_skills.groupBy("role", "role_ord")
-        .agg(
-            F.count("skill").alias("n_skills"),
-            F.coalesce(F.sum(F.when(F.col("skill").isNotNull(), F.size("keywords"))), F.lit(0)).alias("n_keywords"),
-        )
-        .orderBy("role_ord")
+    """One row per role, `role_ord` for its place in the file, with how many skills it has and what they weigh."""
+    return role_skills.groupBy("role", "role_ord").agg(
+        F.count("skill").alias("n_skills"),
+        F.coalesce(F.sum(F.when(F.col("skill").isNotNull(), F.size("keywords"))), F.lit(0)).alias("n_keywords"),
     )
 
 

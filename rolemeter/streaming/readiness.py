@@ -1,17 +1,20 @@
 """Scoring of newly arriving documents.
 
-Scoring is local to a document once the role table is broadcast, so the batch expressions run
-unchanged on a stream: no state, no watermark, no per-batch code on the driver. The file sink
-with its checkpoint writes every document exactly once, also across restarts.
+Where the role table fits a broadcast, scoring is local to a document: the batch expressions run
+unchanged on a stream, and the file sink with its checkpoint writes every document exactly once,
+also across restarts. `run_stream` also writes what was refused, and takes role tables of any
+size: each batch is then a batch job, written under its number, so a repeated one replaces itself.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolemeter.operators.skills import Semantic
-from rolemeter.plans.analysis import analyse, with_plan
+from rolemeter.plans.analysis import analyse, fits_rows, with_plan
+from rolemeter.plans.validation import long_enough, resume_rejects, with_listing
 
 
 def score_stream(
@@ -20,7 +23,12 @@ def score_stream(
     semantic: Semantic = Semantic(),
     curriculum: DataFrame | None = None,
 ) -> DataFrame:
-    """The batch analysis of a stream of `resume_id, target_role, text`."""
+    """The batch analysis of a stream of `resume_id, target_role, text`, as a stream.
+
+    Only for role tables that fit a broadcast; `run_stream` takes the others.
+    """
+    if not fits_rows(role_skills, semantic):
+        raise ValueError("the role table is too large to score row by row; use run_stream")
     scored = analyse(arriving, role_skills, semantic)
     return scored if curriculum is None else with_plan(scored, curriculum)
 
@@ -30,5 +38,35 @@ def write_stream(
 ) -> StreamingQuery:
     """Append scored documents as Parquet; drain what is there and stop unless `every` is given."""
     writer = scored.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start(folder)
+    return writer.trigger(**_trigger(every)).start(folder)
+
+
+def _trigger(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def run_stream(
+    arriving: DataFrame,
+    role_skills: DataFrame,
+    folder: str,
+    checkpoint: str,
+    semantic: Semantic = Semantic(),
+    curriculum: DataFrame | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Score arriving `resume_id, target_role, text` and write results and rejects of every batch.
+
+    `folder/results` and `folder/rejects` are Parquet tables with a partition column `batch`. Every
+    document is in one of them, and one whose role has no skills in both, as in a batch run.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        accepted = analyse(rows.where(long_enough(F.col("text"))), role_skills, semantic)
+        if curriculum is not None:
+            accepted = with_plan(accepted, curriculum)
+        refused = with_listing(resume_rejects(rows, role_skills), role_skills)
+        for name, part in (("results", accepted), ("rejects", refused)):
+            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+
+    writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**_trigger(every)).start()

@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rolemeter.catalog import fixtures
-from rolemeter.plans.analysis import analyse, analyse_large, readiness_of
-from rolemeter.plans.intake import intake
+from rolemeter.catalog import fixtures, queries
+from rolemeter.plans.intake import intake, readiness_of_files
 from rolemeter.plans.validation import known_roles, long_enough
 from rolemeter.sources import files as file_source
 from rolemeter.sources import pages as page_source
@@ -19,6 +18,9 @@ FILES = {
     "g.txt": (b"tiny", "Role EN"),
     "h.txt": (b"a text for nobody at all", "Nobody"),
     "i.txt": (b"a text for an empty role", "Role EMPTY"),
+    "j.pdf": (b"nothing", "Role EN"),
+    "k.pdf": (b"locked", "Role EN"),
+    "l.pdf": (b"broken", "Role EN"),
 }
 
 
@@ -27,7 +29,13 @@ def page_reader():
 
     def reader(content):
         if content == b"bad":
-            raise ValueError("no pages")
+            raise ValueError("odd")
+        if content == b"locked":
+            raise file_source.EncryptedFile
+        if content == b"broken":
+            raise file_source.CorruptFile("no header")
+        if content == b"nothing":
+            return []
         return content.decode().split("|")
 
     return reader
@@ -42,28 +50,38 @@ def test_intake(spark, tmp_path, monkeypatch):
     name = F.element_at(F.split("resume_id", "/"), -1)
 
     found = intake(files, role_skills, page_reader())
+    reasons = {r[0]: r.reason for r in found.rejects.select(name, "reason").collect()}
+    assert reasons["j.pdf"] == "Resume Extraction Error: The PDF document does not contain any pages."
+    assert reasons["k.pdf"].endswith("Please provide an unencrypted PDF.") and reasons["l.pdf"].endswith("file stream: no header")
     rejects = {r[0]: r.stage for r in found.rejects.select(name, "stage").collect()}
     assert rejects == {
         "c.pdf": "parse", "d.pdf": "parse", "e.docx": "upload", "f.txt": "upload", "g.txt": "parse",
-        "h.txt": "role", "i.txt": "plan",
+        "h.txt": "role", "i.txt": "plan", "j.pdf": "parse", "k.pdf": "parse", "l.pdf": "parse",
     }
-    scored = analyse(found.resumes, role_skills, fixtures.SEMANTIC)
+    scored = readiness_of_files(found, role_skills, fixtures.SEMANTIC)
     results = {r[0]: r for r in scored.select(name.alias("name"), "readiness_score", "n_skills").collect()}
     assert set(results) == {"a.txt", "b.pdf", "i.txt"} and results["i.txt"].readiness_score == 0.0
     assert set(results) | set(rejects) == set(FILES)
     assert found.long_segments.isEmpty()
 
-    monkeypatch.setattr(page_source, "MAX_ASSEMBLED_CHARS", 30)
-    monkeypatch.setattr(page_source.assemble, "__defaults__", (None, 30))
-    monkeypatch.setattr(page_source.long_document_lines, "__defaults__", (None, 30))
+    # the same from lines, where every text is too long for one value
+    monkeypatch.setattr(page_source, "MAX_ASSEMBLED_CHARS", 0)
     again = intake(files, role_skills, page_reader())
-    rows = readiness_of(analyse_large(again.long_segments, role_skills, fixtures.SEMANTIC))
-    assert [(r[0], r.readiness_score) for r in rows.select(name, "readiness_score").collect()] == [
-        ("b.pdf", results["b.pdf"].readiness_score)
-    ]
+    assert again.resumes.isEmpty() and {r[0] for r in again.long_resumes.select(name).collect()} == set(results) | {"h.txt"}
+    lines = {r.name: r for r in readiness_of_files(again, role_skills, fixtures.SEMANTIC).select(name.alias("name"), "readiness_score", "n_skills").collect()}
+    assert lines == results
     assert {r[0]: r.stage for r in again.rejects.select(name, "stage").collect()} == rejects
 
 
+def test_files_of_the_tables_are_all_accounted_for(spark, sf_dir):
+    uploads = queries.uploads(spark, sf_dir)
+    accepted = queries.REGISTRY["q_intake_readiness"](spark, sf_dir)
+    refused = queries.REGISTRY["q_intake_rejects"](spark, sf_dir)
+    # a resume of a role without skills is scored and reported
+    both = accepted.join(refused.where("stage = 'plan'"), "path").count()
+    assert accepted.count() + refused.count() - both == uploads.count()
+
+
 def test_known_roles(spark):
     asked = spark.createDataFrame([(1, "Role EN", "some longer text"), (2, "Nobody", "some longer text")], "resume_id int, target_role string, text string")
     assert [r.resume_id for r in known_roles(asked.where(long_enough(F.col("text"))), fixtures.role_skills(spark)).collect()] == [1]

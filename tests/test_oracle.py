@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, comparable
+from rolemeter.catalog.oracle import ORACLE
+from rolemeter.catalog.queries import REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -16,13 +18,13 @@ def db(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, db, sf_dir, name):
-    got = comparable(queries()[name](spark, sf_dir).toPandas())
-    want = comparable(db.execute(oracle_sql()[name]).df())
+    got = comparable(REGISTRY[name](spark, sf_dir).toPandas())
+    want = comparable(db.execute(ORACLE[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want) and len(got) > 0
     assert [str(t) for t in got.dtypes] == [str(t) for t in want.dtypes]
     assert ((got == want) | (got.isna() & want.isna())).all(axis=None)

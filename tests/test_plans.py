@@ -1,6 +1,5 @@
 """Gaps, study plans, validation and reports on a few resumes."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from rolemeter import schemas
@@ -8,7 +7,7 @@ from rolemeter.operators import gaps, report
 from rolemeter.operators.skills import Semantic, skill_rows
 from rolemeter.operators.study_plan import plan_rows, with_study_plan
 from rolemeter.plans.analysis import analyse, with_plan
-from rolemeter.plans.validation import long_enough, resume_rejects
+from rolemeter.plans.validation import long_enough, resume_rejects, with_listing
 
 KEYWORDS_ONLY = Semantic("none")
 
@@ -103,7 +102,7 @@ def test_rejects_and_accepted_are_the_input(spark):
     skills = role(spark, ("a", 0.2, ["x"]))
     rows = [(1, "R", "long enough text"), (2, "R", " short   "), (3, "Nobody", "long enough text"), (4, "Empty", "long enough text"), (5, None, None)]
     asked = spark.createDataFrame(rows, schemas.RESUMES)
-    rejects = {r.resume_id: (r.stage, r.reason) for r in resume_rejects(asked, skills).collect()}
+    rejects = {r.resume_id: (r.stage, r.reason) for r in with_listing(resume_rejects(asked, skills), skills).collect()}
     assert {k: v[0] for k, v in rejects.items()} == {2: "analyse", 3: "role", 4: "plan", 5: "analyse"}
     assert rejects[3][1] == "Invalid target role 'Nobody'. Available roles are: ['R', 'Empty']"
     analysed = analyse(asked.where(long_enough(F.col("text"))), skills, KEYWORDS_ONLY)

@@ -6,13 +6,16 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from rolemeter import schemas
 from rolemeter.catalog import fixtures, queries
 from rolemeter.operators import dimensions, embeddings, long_form
 from rolemeter.operators.dimensions import is_small, lookup_join
 from rolemeter.operators.skills import skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_plan
+from rolemeter.plans.validation import known_roles, long_enough, resume_rejects, with_listing
+from rolemeter.sources import pages as page_source
 from rolemeter.sources.sinks import write_json, write_results
-from rolemeter.streaming.readiness import score_stream, write_stream
+from rolemeter.streaming.readiness import run_stream, score_stream, write_stream
 
 
 def rows(frame):
@@ -57,8 +60,9 @@ def test_long_form_chunks_equal_array_chunks(spark, sf_dir):
 
 def test_segment_offsets_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(long_form, "BLOCK", 4)
+    monkeypatch.setattr(long_form, "PAGE_SHARE", 3)
     counted = spark.range(50).select(
-        (F.col("id") % 2).alias("resume_id"), F.col("id").alias("segment_no"), (F.col("id") % 5).alias("n")
+        (F.col("id") % 2).alias("resume_id"), F.lit("R").alias("target_role"), F.col("id").alias("segment_no"), (F.col("id") % 5).alias("n")
     )
     found = {(r.resume_id, r.segment_no): (r.start, r.n_sentences) for r in long_form.segment_offsets(counted).collect()}
     for odd in (0, 1):
@@ -76,8 +80,9 @@ def test_both_forms_give_the_same_analysis(spark, sf_dir):
     scores = analyse_large(long_form.segments_of(resumes), role_skills, fixtures.SEMANTIC).persist()
     assert rows(skill_rows(flat)) == rows(scores)
     with_skills = flat.where("n_skills > 0")
-    ready = with_skills.select("resume_id", F.col("target_role").alias("role"), "readiness_score", "readiness_tier", "n_skills", "n_gaps")
-    assert rows(ready) == rows(readiness_of(scores))
+    known = known_roles(resumes.select("resume_id", "target_role"), role_skills)
+    ready = flat.select("resume_id", F.col("target_role").alias("role"), "readiness_score", "readiness_tier", "n_skills", "n_gaps")
+    assert rows(ready) == rows(readiness_of(scores, known))
     plans = with_plan(with_skills, fixtures.curriculum(spark)).select("resume_id", "target_role", "study_plan")
     assert rows(plans) == rows(plan_of(scores, fixtures.curriculum(spark)).select("resume_id", "target_role", "study_plan"))
     assert gaps_of(scores).count() == flat.select(F.sum("n_gaps")).first()[0]
@@ -124,9 +129,9 @@ def test_long_paged_documents_score_as_their_text_does(spark, sf_dir):
     named = lambda f: f.select(F.col("doc_id").alias("resume_id"), F.lit("Role FR").alias("target_role"), "*")
     whole = analyse(named(pages.assemble(paged)), fixtures.role_skills(spark), fixtures.SEMANTIC)
     lines = named(pages.long_document_lines(paged, max_chars=0)).select(
-        "resume_id", "target_role", (F.col("page_no") * 100_000 + F.col("line_no")).alias("segment_no"), F.col("line").alias("text")
+        "resume_id", "target_role", pages.line_order().alias("segment_no"), "gap", F.col("line").alias("text")
     )
-    parts = readiness_of(analyse_large(lines, fixtures.role_skills(spark), fixtures.SEMANTIC))
+    parts = readiness_of(analyse_large(lines, fixtures.role_skills(spark), fixtures.SEMANTIC), lines)
     keep = ["resume_id", "readiness_score", "n_skills", "n_gaps"]
     assert rows(whole.select(keep)) == rows(parts.select(keep))
 
@@ -142,8 +147,6 @@ def test_scoring_plan_is_local_to_the_scan(spark, sf_dir):
 
 @pytest.mark.parametrize("name", sorted(queries.REGISTRY))
 def test_no_cross_joins(spark, sf_dir, name):
-    if name == "q_stream_readiness":
-        pytest.skip("runs the stream")
     plan = shown(queries.REGISTRY[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
@@ -188,6 +191,120 @@ def test_stream_continues_where_it_stopped(spark, sf_dir, tmp_path):
     assert rows(streamed) == rows(batch)
 
 
+def two_requests(spark):
+    """One text that asks for two roles which share a skill name, over two unlike chunks."""
+    role_skills = spark.createDataFrame(
+        [("A", 0, "Both", 0, 0.5, "apples pears", ["apples"]), ("A", 0, "Own", 1, 0.5, "plums", ["plums", "red plums"]),
+         ("B", 1, "Both", 0, 1.0, "trains ships", ["ships"]), ("C", 2, None, None, 0.1, "", [])],
+        schemas.ROLE_SKILLS,
+    )
+    text = "apples and pears and apples. plums or pears again here.\ntrains and ships went by. ships and trains again."
+    asked = spark.createDataFrame([(7, r, text) for r in "ABC"], schemas.RESUMES)
+    return asked, role_skills
+
+
+def test_two_roles_of_one_resume_do_not_mix(spark, monkeypatch):
+    asked, role_skills = two_requests(spark)
+    keep = ["target_role", "readiness_score", "n_skills", "n_gaps", "skills"]
+    whole = rows(analyse(asked, role_skills, fixtures.SEMANTIC).select(keep))
+    alone = [row for r in "ABC" for row in rows(analyse(asked.where(F.col("target_role") == r), role_skills, fixtures.SEMANTIC).select(keep))]
+    assert whole == sorted(alone, key=repr)
+    ready = readiness_of(analyse_large(long_form.segments_of(asked), role_skills, fixtures.SEMANTIC), asked)
+    assert {(r.role, r.readiness_score, r.n_skills, r.n_gaps) for r in ready.collect()} == {
+        (r.target_role, r.readiness_score, r.n_skills, r.n_gaps) for r in analyse(asked, role_skills, fixtures.SEMANTIC).collect()
+    }
+    monkeypatch.setattr(dimensions, "MAX_BROADCAST_ROWS", 2)
+    assert rows(analyse(asked, role_skills, fixtures.SEMANTIC).select(keep)) == whole
+
+
+def test_vectors_of_two_roles_do_not_mix(spark):
+    chunks = spark.createDataFrame(
+        [(7, r, i, v) for r in "AB" for i, v in enumerate([[1.0, 0.0], [0.0, 1.0]])],
+        "resume_id long, target_role string, chunk_no int, embedding array<double>",
+    )
+    queries_ = spark.createDataFrame([("A", "Both", [1.0, 0.0]), ("B", "Both", [1.0, 0.0])], "role string, skill string, embedding array<double>")
+    found = embeddings.stored_similarities(chunks, queries_).collect()
+    assert {(r.target_role, r.similarities["Both"]) for r in found} == {("A", 0.5), ("B", 0.5)}
+    asked, role_skills = two_requests(spark)
+    given = spark.createDataFrame([(7, "A", {"Both": 0.9}), (7, "B", {"Both": 0.1})], "resume_id long, target_role string, similarities map<string,double>")
+    scored = skill_rows(analyse(asked, role_skills, fixtures.MODEL_SEMANTIC, given))
+    assert {(r.role, r.semantic_similarity) for r in scored.where("skill = 'Both'").collect()} == {("A", 0.9), ("B", 0.1)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_odd_documents_give_the_same_chunks_from_lines(spark, size):
+    """No sentence, tabs, NBSP, double spaces, lines of 11 to 15 characters, blank space everywhere."""
+    texts = [
+        "", " \n\t\n ", "tiny", "tiny\nbits\n\nof  text\n \n\n", "twelve chars\nfourteen chars", "elevenchars",
+        "a\u00a0b\tc  d\u200b e. Then\u00a0a sentence.\n\n\nAnd  another\tone here! Short. \u2022 bullet sentence here",
+        "x\n" * 400, "x\n\n" * 400, "word " * 300, "- one two three four\n* five six seven eight\n\u2013 nine ten eleven",
+    ]
+    pages_ = spark.createDataFrame(
+        [(i, n, part) for i, t in enumerate(texts) for n, part in enumerate(t.split("\n\n"))], "doc_id long, page_no int, page_text string"
+    )
+    named = lambda f: f.select(F.col("doc_id").alias("resume_id"), F.lit("R").alias("target_role"), "*")
+    everything = page_source.document_sizes(pages_).withColumn("reason", F.lit(None).cast("string"))
+    flat = embeddings.chunk_rows(named(page_source.assemble(pages_, everything)), size).select("resume_id", "chunk")
+    lines = named(page_source.long_document_lines(pages_, everything, max_chars=-1)).select(
+        "resume_id", "target_role", page_source.line_order().alias("segment_no"), "gap", F.col("line").alias("text")
+    )
+    whole_pages = named(page_source.page_segments(pages_, everything)).select("resume_id", "target_role", "segment_no", "gap", "text")
+    filled = rows(flat)
+    # a document of blanks has no line to hold its chunk
+    blank = {r.doc_id for r in everything.where("n_chars = 0").collect()}
+    spoken = [r for r in filled if r.resume_id not in blank]
+    assert rows(long_form.chunk_rows(long_form.prepared(lines), size).select("resume_id", "chunk")) == spoken
+    from_pages = rows(long_form.chunk_rows(long_form.prepared(whole_pages), size).select("resume_id", "chunk"))
+    assert [r for r in from_pages if r.resume_id not in blank] == spoken
+
+
+def test_a_document_of_very_many_pages_is_no_single_window(spark):
+    counted = spark.range(100_000).select(
+        F.lit(1).alias("resume_id"), F.lit("R").alias("target_role"), (F.col("id") * long_form.PAGE_SHARE).alias("segment_no"), F.lit(2).cast("long").alias("n")
+    )
+    found = long_form.segment_offsets(counted)
+    assert found.agg(F.max("start"), F.min("n_sentences"), F.count_distinct("start")).first() == (199_998, 200_000, 100_000)
+    groups = counted.groupBy(F.floor(F.col("segment_no") / (long_form.BLOCK * long_form.PAGE_SHARE))).count()
+    assert groups.count() == 25 and groups.agg(F.max("count")).first()[0] == long_form.BLOCK
+
+
+def test_closest_queries_do_not_depend_on_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    vectors = queries.labelled_vectors(spark, sf_dir)
+    small = rows(embeddings.closest(*vectors))
+    monkeypatch.setattr(dimensions, "MAX_BROADCAST_ROWS", 2)
+    assert small == rows(embeddings.closest(*vectors))
+
+
+def test_a_stream_with_a_large_role_table_equals_the_batch(spark, sf_dir, tmp_path, monkeypatch):
+    asked = queries.texts(spark, sf_dir)
+    role_skills = fixtures.role_skills(spark)
+    accepted = rows(analyse(asked.where(long_enough(F.col("text"))), role_skills, fixtures.SEMANTIC).select("resume_id", "readiness_score"))
+    refused = rows(with_listing(resume_rejects(asked, role_skills), role_skills).select("resume_id", "stage", "reason"))
+    monkeypatch.setattr(dimensions, "MAX_BROADCAST_ROWS", 2)
+    with pytest.raises(ValueError, match="run_stream"):
+        score_stream(queries.document_stream(spark, sf_dir), role_skills, fixtures.SEMANTIC)
+    run_stream(queries.document_stream(spark, sf_dir), role_skills, str(tmp_path / "out"), str(tmp_path / "checkpoint"), fixtures.SEMANTIC).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out/results")).select("resume_id", "readiness_score")) == accepted
+    assert rows(spark.read.parquet(str(tmp_path / "out/rejects")).select("resume_id", "stage", "reason")) == refused
+
+
+def test_shared_storage_is_required_beyond_one_process(spark, monkeypatch):
+    from rolemeter import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Session(), "x")
+    assert session.scratch_dir(Session(), "x", "hdfs://shared/").startswith("hdfs://shared/rolemeter-app/x-")
+    Context.master = "local[4]"
+    assert "rolemeter-" in session.scratch_dir(Session(), "x")
+
+
 def test_scratch_is_under_the_shared_folder(spark):
     from rolemeter.operators.layout import stored
     from rolemeter.session import scratch_dir
