@@ -281,19 +281,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     body, out, evidence, cosines = fresh(keep, "body", "score", "evidence", "cosines")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     width = len(keep)
+    # a kept text is not sent twice
+    place = keep.index(text) if text in keep else width
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         look = judge.look
         for batch in batches:
-            found = [judge.score(look.counts(v.as_py())) for v in batch.column(width)]
+            found = [judge.score(look.counts(v.as_py() or "")) for v in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
                 names=[*keep, out, evidence, cosines],
             )
 
     schema = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), f"`{out}` double", f"`{evidence}` array<bigint>", f"`{cosines}` array<double>"])
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", cut: float = CUT) -> DataFrame:
