@@ -144,12 +144,15 @@ def forest(one: np.ndarray, other: np.ndarray | None, radius: int, parts: slice,
         return []
     label_a = np.arange(len(a))
     label_b = label_a if within else np.arange(len(a), len(a) + len(b))
-    first = np.ascontiguousarray(b[:, 0])
+    # the first half of the parts is within the radius for hardly any pair that is not linked
+    half = [np.ascontiguousarray(b[:, p]) for p in range((a.shape[1] + 1) // 2)]
     out = []
     rows = max(1, AT_ONCE // len(b))
     for at in range(0, len(a), rows):
-        near = np.bitwise_count(a[at : at + rows, 0, None] ^ first[None, :]) <= radius
-        i, j = np.nonzero(near)
+        differ = np.bitwise_count(a[at : at + rows, 0, None] ^ half[0][None, :])
+        for p in range(1, len(half)):
+            differ = differ + np.bitwise_count(a[at : at + rows, p, None] ^ half[p][None, :]).astype(np.uint16)
+        i, j = np.nonzero(differ <= radius)
         i += at
         if within:
             i, j = (x[i < j] for x in (i, j))

@@ -392,3 +392,25 @@ def test_odd_documents_go_through_every_stage(spark, sf_dir):
             docs = kept.persist()
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
         assert packed.where("start = 0").count() == docs.count()
+
+
+@pytest.mark.parametrize(("parts", "radius"), [(2, 20), (4, 42)])
+def test_wide_fingerprints_equal_all_pairs(spark, parts, radius):
+    texts = [*near_texts(groups=25, words=80), "", "one", "two words"]
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    prints = [np.array(simhash.fingerprint(h, parts), dtype=np.int64).view(np.uint64) for h in hashes]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = len(hashes[i]), len(hashes[j])
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= radius and min(a, b) >= 0.8 * max(a, b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    found = simhash.near_groups(frame(spark, texts), words=5, parts=parts, radius=radius, ratio=0.8, tile=16)
+    assert {r.key: r.component_id for r in found.collect()} == {i: find(i) for i in range(len(texts))}
