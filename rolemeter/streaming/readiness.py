@@ -8,12 +8,15 @@ size: each batch is then a batch job, written under its number, so a repeated on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolemeter.operators.skills import Semantic
 from rolemeter.plans.analysis import analyse, fits_rows, with_plan
+from rolemeter.plans.intake import intake, readiness_of_files
 from rolemeter.plans.validation import long_enough, resume_rejects, with_listing
 
 
@@ -60,12 +63,47 @@ def run_stream(
     document is in one of them, and one whose role has no skills in both, as in a batch run.
     """
 
-    def write(rows: DataFrame, batch: int) -> None:
+    def outcome(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         accepted = analyse(rows.where(long_enough(F.col("text"))), role_skills, semantic)
         if curriculum is not None:
             accepted = with_plan(accepted, curriculum)
-        refused = with_listing(resume_rejects(rows, role_skills), role_skills)
-        for name, part in (("results", accepted), ("rejects", refused)):
+        return accepted, resume_rejects(rows, role_skills)
+
+    return _by_batch(arriving, outcome, role_skills, folder, checkpoint, every)
+
+
+def run_file_stream(
+    arriving: DataFrame,
+    role_skills: DataFrame,
+    folder: str,
+    checkpoint: str,
+    extract: Callable[[bytes], list[str]] | None = None,
+    semantic: Semantic = Semantic(),
+    every: str | None = None,
+) -> StreamingQuery:
+    """Take in and score arriving files (`path, filename, content, target_role`), see `plans.intake`.
+
+    `folder/results` has their readiness, `folder/rejects` the files refused at any step.
+    """
+
+    def outcome(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = intake(rows, role_skills, extract)
+        return readiness_of_files(found, role_skills, semantic), found.rejects
+
+    return _by_batch(arriving, outcome, role_skills, folder, checkpoint, every)
+
+
+def _by_batch(
+    arriving: DataFrame,
+    outcome: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    role_skills: DataFrame,
+    folder: str,
+    checkpoint: str,
+    every: str | None,
+) -> StreamingQuery:
+    def write(rows: DataFrame, batch: int) -> None:
+        accepted, refused = outcome(rows)
+        for name, part in (("results", accepted), ("rejects", with_listing(refused, role_skills))):
             part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
 
     writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from rolemeter.catalog import fixtures, queries
 from rolemeter.plans.intake import intake, readiness_of_files
-from rolemeter.plans.validation import known_roles, long_enough
+from rolemeter.plans.validation import known_roles, long_enough, with_listing
 from rolemeter.sources import files as file_source
 from rolemeter.sources import pages as page_source
+from rolemeter.streaming.readiness import run_file_stream
 
 FILES = {
     "a.txt": (b"that with this from\nlong enough text of words", " Role EN "),
@@ -73,6 +74,29 @@ def test_intake(spark, tmp_path, monkeypatch):
     assert {r[0]: r.stage for r in again.rejects.select(name, "stage").collect()} == rejects
 
 
+def test_files_arriving_as_a_stream_equal_the_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, (content, _) in FILES.items():
+        (folder / name).write_bytes(content)
+    role_skills = fixtures.role_skills(spark)
+    asked = F.when(F.col("filename") == "h.txt", "Nobody").otherwise("Role EN")
+    files = lambda streaming: file_source.read_files(spark, str(folder), streaming).withColumn("target_role", asked)
+    run_file_stream(
+        files(True), role_skills, str(tmp_path / "out"), str(tmp_path / "checkpoint"), page_reader(), fixtures.SEMANTIC
+    ).awaitTermination()
+    found = intake(files(False), role_skills, page_reader())
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    scored = ["resume_id", "role", "readiness_score", "n_skills"]
+    assert rows(spark.read.parquet(str(tmp_path / "out/results")).select(scored)) == rows(
+        readiness_of_files(found, role_skills, fixtures.SEMANTIC).select(scored)
+    )
+    refused = ["resume_id", "stage", "reason"]
+    assert rows(spark.read.parquet(str(tmp_path / "out/rejects")).select(refused)) == rows(
+        with_listing(found.rejects, role_skills).select(refused)
+    )
+
+
 def test_files_of_the_tables_are_all_accounted_for(spark, sf_dir):
     uploads = queries.uploads(spark, sf_dir)
     accepted = queries.REGISTRY["q_intake_readiness"](spark, sf_dir)
