@@ -70,8 +70,11 @@ def fingerprint(hashes: np.ndarray, parts: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str, key: str, words: int, parts: int) -> DataFrame:
-    """key, size (shingles), text_hash and the parts f0, f1, ... of every row; null counts as empty."""
+def fingerprints(docs: DataFrame, text: str, key: str, words: int, parts: int, distinct: bool = False) -> DataFrame:
+    """key, text_hash, size (shingles) and the parts f0, f1, ... of every row; null counts as empty.
+
+    With `distinct` a repeated shingle counts once.
+    """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).select("key", F.xxhash64("body").alias("text_hash"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +82,8 @@ def fingerprints(docs: DataFrame, text: str, key: str, words: int, parts: int) -
             sizes, found = [], []
             for value in batch.column(2):
                 hashes = shingle_hashes(value.as_py(), words)
+                if distinct:
+                    hashes = np.unique(hashes)
                 sizes.append(len(hashes))
                 found.append(fingerprint(hashes, parts))
             columns = [pa.array([f[p] for f in found], pa.int64()) for p in range(parts)]
@@ -219,15 +224,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, parts: int = 1, radius: int = 2, ratio: float | None = None, tile: int = TILE,
+    distinct: bool = False,
 ) -> DataFrame:
     """Every row's `key`, `text_hash`, `size`, fingerprint parts and `component_id`.
 
     Fingerprints of 64 bits a part link at `radius` or fewer differing bits and, with `ratio`, shingle
-    counts of at least that ratio. The component is named by its smallest key. Null and empty texts
+    counts of at least that ratio; with `distinct` repeated shingles count once. The component is named by its smallest key. Null and empty texts
     have the fingerprint zero and link like any other. Repeated rows come out one by one, in one
     component. Null keys are no smallest key; a component of null keys alone has the name null.
     """
-    prints = checkpointed(fingerprints(docs, text, key, words, parts))
+    prints = checkpointed(fingerprints(docs, text, key, words, parts, distinct))
     columns = [f"f{p}" for p in range(parts)]
     node = F.col("f0") if parts == 1 and ratio is None else F.xxhash64(*columns, *([] if ratio is None else ["size"]))
     prints = prints.withColumn("id", node)

@@ -414,3 +414,15 @@ def test_wide_fingerprints_equal_all_pairs(spark, parts, radius):
                 parent[max(x, y)] = min(x, y)
     found = simhash.near_groups(frame(spark, texts), words=5, parts=parts, radius=radius, ratio=0.8, tile=16)
     assert {r.key: r.component_id for r in found.collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_repeated_passages_weigh_once_in_the_near_stage(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, line, copied = text(34), text(20), text(400)
+    texts = [
+        f"{text(504)} {' '.join([passage] * 50)}", f"{text(504)} {' '.join([passage] * 50)}",
+        f"{copied} {' '.join([line] * 2)}", f"{copied} {' '.join([line] * 20)}",
+    ]
+    kept = simhash.deduplicated(frame(spark, texts), **corpus_pipeline.NEAR)
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2}
