@@ -5,9 +5,9 @@ Every stage takes what its predecessor kept, written as Parquet and read again.
 1. toxicity: documents that score 0.7 or more go.
 2. exact: of equal texts the row with the largest id stays.
 3. near: of the near-duplicates of a group the document with the smallest id stays. Stages on word
-   shingles take five words and a similarity of 0.8, so fingerprints here have 256 bits over
-   distinct five-word shingles and link at 42 or fewer differing bits (sets of similarity 0.8 give 39 on
-   average) if the counts of shingles have a ratio of 0.8 or more.
+   shingles take five words and a similarity of 0.8: documents link if their sets of distinct
+   shingles have it. Candidates differ in 72 or fewer of 256 bits (sets of similarity 0.8 in 39 on
+   average, with a standard deviation of 6) and have counts of shingles with a ratio of 0.8 or more.
 4. mixing: every document is repeated, or left out, as its source's target weight says.
 5. packing: the pieces of 4096-token sequences, with their ids.
 
@@ -23,7 +23,7 @@ from rolemeter.llm import exact, mixing, packing, simhash, toxicity
 from rolemeter.llm.shared import shipped, table
 from rolemeter.operators.layout import stored
 
-NEAR = {"words": 5, "parts": 4, "radius": 42, "ratio": 0.8, "distinct": True}
+NEAR = {"words": 5, "parts": 4, "radius": 72, "ratio": 0.8, "distinct": True, "exact": True}
 
 
 @shipped

@@ -9,7 +9,13 @@ in numpy, only if their bands can hold a link:
 * by size, where a least similarity is asked for: then the shingle counts have at least that ratio.
 
 A pair of tiles gives no more links than it has nodes: those of a spanning forest, which connect
-what all its links connect. Components are found by alternating star contraction over tables, with
+what all its links connect.
+
+Where links are to be exact, fingerprints only give the candidates. Then a node is a set of shingles;
+nodes that have a candidate are dealt anew, to tiles bounded by their shingles, which carry the sets.
+Two nodes are joined only if the similarity of their sets suffices; pairs joined already are skipped.
+
+Components are found by alternating star contraction over tables, with
 checkpoints; no link, node or component ever goes to the driver.
 """
 
@@ -33,6 +39,9 @@ LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Nodes of a tile, about; and the most comparisons whose results are held at once.
 TILE = 8192
 AT_ONCE = 1 << 16
+#: Shingles of a tile that carries sets, about; and the most sets compared with one at a time.
+SET_TILE = 1 << 19
+SETS_AT_ONCE = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 WORD_BITS, WORDS = 16, 4
@@ -70,26 +79,34 @@ def fingerprint(hashes: np.ndarray, parts: int) -> list[int]:
     return out
 
 
+def set_id(hashes: np.ndarray) -> int:
+    """A signed hash of a sorted set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
 def fingerprints(docs: DataFrame, text: str, key: str, words: int, parts: int, distinct: bool = False) -> DataFrame:
     """key, text_hash, size (shingles) and the parts f0, f1, ... of every row; null counts as empty.
 
-    With `distinct` a repeated shingle counts once.
+    With `distinct` a repeated shingle counts once, and `set_id` tells sets of shingles apart.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).select("key", F.xxhash64("body").alias("text_hash"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found = [], []
+            sizes, found, ids = [], [], []
             for value in batch.column(2):
                 hashes = shingle_hashes(value.as_py(), words)
                 if distinct:
                     hashes = np.unique(hashes)
+                    ids.append(set_id(hashes))
                 sizes.append(len(hashes))
                 found.append(fingerprint(hashes, parts))
             columns = [pa.array([f[p] for f in found], pa.int64()) for p in range(parts)]
+            if distinct:
+                columns.append(pa.array(ids, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *columns], names=names)
 
-    names = ["key", "text_hash", "size", *(f"f{p}" for p in range(parts))]
+    names = ["key", "text_hash", "size", *(f"f{p}" for p in range(parts)), *(["set_id"] if distinct else [])]
     return rows.mapInArrow(run, f"key {kind(docs, key)}, " + ", ".join(f"{n} bigint" for n in names[1:]))
 
 
@@ -126,83 +143,184 @@ def _within(own: list, step: tuple[int, ...], base: int):
     return ok
 
 
-def tiles(nodes: DataFrame, fields: list[str], tile: int) -> DataFrame:
+def tiles(nodes: DataFrame, fields: list[str], tile: int, sets: bool = False) -> DataFrame:
     """Rows (band, chunk, items): the nodes of a band in chunks of about `tile`, by a hash of the node.
 
-    `items` holds the fields of each node end to end. The table of chunk counts has a row a band.
+    `items` holds the fields of each node end to end; with `sets` there is a column `sets` of their
+    shingles, and `tile` counts shingles. The table of chunk counts has a row a band.
     """
-    chunks = nodes.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("chunks"))
+    weight = F.sum("size") if sets else F.count(F.lit(1))
+    chunks = nodes.groupBy("band").agg(F.greatest(F.ceil(weight / tile), F.lit(1)).cast("long").alias("chunks"))
     dealt = nodes.join(F.broadcast(chunks) if is_small(chunks) else chunks, "band")
-    return (
-        dealt.select("band", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.array(*fields).alias("item"))
-        .groupBy("band", "chunk").agg(F.flatten(F.collect_list("item")).alias("items"))
-    )
+    dealt = dealt.select("band", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.struct(F.array(*fields).alias("item"), *(["set"] if sets else [])).alias("node"))
+    made = dealt.groupBy("band", "chunk").agg(F.collect_list("node").alias("nodes"))
+    return made.select("band", "chunk", F.flatten("nodes.item").alias("items"), *([F.col("nodes.set").alias("sets")] if sets else []))
+
 
+def near_pairs(one: np.ndarray, other: np.ndarray | None, radius: int, parts: slice, size: int | None, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs within radius and ratio between two tiles, or within one, block by block.
 
-def forest(one: np.ndarray, other: np.ndarray | None, radius: int, parts: slice, size: int | None, ratio: float) -> list[tuple[int, int]]:
-    """Links (first field to first field) that connect what is linked between two tiles, or within one."""
+    The pairs of one i stand together.
+    """
     within = other is None
     other = one if within else other
-    a, b = one[:, parts].view(np.uint64), other[:, parts].view(np.uint64)
+    order, others = (np.arange(len(x)) if size is None else np.argsort(x[:, size], kind="stable") for x in (one, other))
+    a, b = (np.ascontiguousarray(x[:, parts]).view(np.uint64)[o] for x, o in ((one, order), (other, others)))
     pa_, pb = np.bitwise_count(a).sum(axis=1, dtype=np.int64), np.bitwise_count(b).sum(axis=1, dtype=np.int64)
     if pa_.min() > pb.max() + radius or pb.min() > pa_.max() + radius:
-        return []
-    label_a = np.arange(len(a))
-    label_b = label_a if within else np.arange(len(a), len(a) + len(b))
-    # the first half of the parts is within the radius for hardly any pair that is not linked
-    half = [np.ascontiguousarray(b[:, p]) for p in range((a.shape[1] + 1) // 2)]
+        return
+    # of random fingerprints hardly one is within the radius by its first parts; they have 32 bits a part on average
+    count = a.shape[1]
+    lead = next((p for p in range(1, count) if 32 * p - 12 * math.sqrt(p) >= radius), count)
+    first = [np.ascontiguousarray(b[:, p]) for p in range(lead)]
+    low, high = np.zeros(len(a), dtype=np.int64), np.full(len(a), len(b))
+    if size is not None:
+        s, t = one[order, size], other[others, size]
+        # a little wider than the ratio, which is tested below
+        low, high = np.searchsorted(t, s * (ratio * 0.999)), np.searchsorted(t, s / (ratio * 0.999), "right")
+    at = 0
+    while at < len(a):
+        start = max(int(low[at]), at) if within else int(low[at])
+        end = min(len(a), at + max(1, AT_ONCE // max(1, int(high[at]) - start)))
+        stop = int(high[end - 1])
+        if stop > start:
+            differ = np.bitwise_count(a[at:end, 0, None] ^ first[0][None, start:stop])
+            if lead > 3:
+                differ = differ.astype(np.uint16)
+            for p in range(1, lead):
+                differ += np.bitwise_count(a[at:end, p, None] ^ first[p][None, start:stop])
+            i, j = np.nonzero(differ <= radius)
+            i, j = i + at, j + start
+            if within:
+                i, j = (x[i < j] for x in (i, j))
+            if count > lead and len(i):
+                kept = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
+                i, j = i[kept], j[kept]
+            if size is not None and len(i):
+                kept = np.minimum(s[i], t[j]) >= ratio * np.maximum(s[i], t[j])
+                i, j = i[kept], j[kept]
+            if len(i):
+                yield order[i], others[j]
+        at = end
+
+
+def likeness(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of a sorted set with others; none is empty."""
+    lengths = np.array([len(x) for x in others])
+    joined = np.concatenate(others)
+    same = one[np.minimum(np.searchsorted(one, joined), len(one) - 1)] == joined
+    common = np.add.reduceat(same, np.cumsum(lengths) - lengths, dtype=np.int64)
+    return common / (len(one) + lengths - common)
+
+
+def forest(
+    one: np.ndarray, other: np.ndarray | None, radius: int, parts: slice, size: int | None, ratio: float, sets: tuple[list, list] | None = None,
+) -> list[tuple[int, int]]:
+    """Links (first field to first field) that connect what is linked between two tiles, or within one.
+
+    With `sets`, the shingles of either side, a link needs a similarity of `ratio` as well.
+    """
+    within = other is None
+    other = one if within else other
+    label_a = np.arange(len(one))
+    label_b = label_a if within else np.arange(len(one), len(one) + len(other))
     out = []
-    rows = max(1, AT_ONCE // len(b))
-    for at in range(0, len(a), rows):
-        differ = np.bitwise_count(a[at : at + rows, 0, None] ^ half[0][None, :])
-        for p in range(1, len(half)):
-            differ = differ + np.bitwise_count(a[at : at + rows, p, None] ^ half[p][None, :]).astype(np.uint16)
-        i, j = np.nonzero(differ <= radius)
-        i += at
-        if within:
-            i, j = (x[i < j] for x in (i, j))
-        if a.shape[1] > 1 and len(i):
-            kept = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
-            i, j = i[kept], j[kept]
-        if size is not None and len(i):
-            s, t = one[i, size], other[j, size]
-            kept = np.minimum(s, t) >= ratio * np.maximum(s, t)
-            i, j = i[kept], j[kept]
-        while len(i):
+    for i, j in near_pairs(one, None if within else other, radius, parts, size, ratio):
+        while True:
             apart = label_a[i] != label_b[j]
             i, j = i[apart], j[apart]
-            if len(i):
-                out.append((int(one[i[0], 0]), int(other[j[0], 0])))
-                new, old = label_a[i[0]], label_b[j[0]]
-                label_a[label_a == old] = new
-                if not within:
-                    label_b[label_b == old] = new
+            if not len(i):
+                break
+            x, found = i[0], j[:1]
+            if sets is not None:
+                most = max(1, min(SETS_AT_ONCE, SET_TILE // len(sets[0][x])))
+                tested = int(np.argmin(np.append(i[:most] == x, False)))
+                found = j[:tested][likeness(sets[0][x], [sets[1][y] for y in j[:tested]]) >= ratio]
+                i, j = i[tested:], j[tested:]
+            for y in found:
+                new, old = label_a[x], label_b[y]
+                if new != old:
+                    out.append((int(one[x, 0]), int(other[y, 0])))
+                    label_a[label_a == old] = new
+                    if not within:
+                        label_b[label_b == old] = new
     return out
 
 
-def links(nodes: DataFrame, parts: int, radius: int, ratio: float | None, tile: int) -> DataFrame:
-    """Links (a, b) between node ids that connect all nodes within the radius."""
+def compared(
+    nodes: DataFrame, parts: int, radius: int, ratio: float | None, tile: int, schema: str, found: Callable[..., list[tuple]], sets: bool = False,
+) -> DataFrame:
+    """What `found` gives for all pairs of tiles that can hold a link; it takes what `forest` takes."""
     banded, probes = bands(nodes, parts, radius, ratio)
     fields = ["f0"] if parts == 1 and ratio is None else ["id", *(f"f{p}" for p in range(parts)), *(["size"] if ratio is not None else [])]
-    made = checkpointed(tiles(banded, fields, tile))
-    left = probes(made).select("probe", F.col("band").alias("own"), F.col("chunk").alias("own_chunk"), F.col("items").alias("own_items"))
-    right = made.select(F.col("band").alias("probe"), "chunk", "items")
+    made = checkpointed(tiles(banded, fields, tile, sets))
+    held = ["items", "sets"] if sets else ["items"]
+    left = probes(made).select("probe", F.col("band").alias("own"), F.col("chunk").alias("own_chunk"), *[F.col(c).alias(f"own_{c}") for c in held])
+    right = made.select(F.col("band").alias("probe"), "chunk", *held)
     pairs = left.join(right, "probe").where((F.col("own") != F.col("probe")) | (F.col("own_chunk") <= F.col("chunk")))
     same = (F.col("own") == F.col("probe")) & (F.col("own_chunk") == F.col("chunk"))
     width = len(fields)
     where = slice(0, 1) if width == 1 else slice(1, 1 + parts)
     size = None if ratio is None else width - 1
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def shingles(value: pa.ListScalar) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), dtype="<u8") for x in value.values]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            rows: list[tuple] = []
             for k, within in enumerate(batch.column(0).to_pylist()):
                 one = batch.column(1)[k].values.to_numpy(zero_copy_only=False).reshape(-1, width)
                 other = None if within else batch.column(2)[k].values.to_numpy(zero_copy_only=False).reshape(-1, width)
-                found += forest(one, other, radius, where, size, ratio or 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+                more = []
+                if sets:
+                    own = shingles(batch.column(3)[k])
+                    more.append((own, own if within else shingles(batch.column(4)[k])))
+                rows += found(one, other, radius, where, size, ratio or 0.0, *more)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(len(names))], names=names)
+
+    sent = [*(["own_sets", F.when(~same, F.col("sets")).alias("sets")] if sets else [])]
+    return pairs.select(same.alias("same"), "own_items", "items", *sent).mapInArrow(compare, schema)
+
+
+def links(nodes: DataFrame, parts: int, radius: int, ratio: float | None, tile: int) -> DataFrame:
+    """Links (a, b) between node ids that connect all nodes within the radius."""
+    return compared(nodes, parts, radius, ratio, tile, "a bigint, b bigint", forest)
+
+
+def with_candidates(one: np.ndarray, other: np.ndarray | None, *limits) -> list[tuple[int]]:
+    """The nodes (first fields) that are within the limits of any other."""
+    i_seen = np.zeros(len(one), dtype=bool)
+    j_seen = i_seen if other is None else np.zeros(len(other), dtype=bool)
+    for i, j in near_pairs(one, other, *limits):
+        i_seen[i] = j_seen[j] = True
+    ids = one[i_seen, 0] if other is None else np.concatenate([one[i_seen, 0], other[j_seen, 0]])
+    return [(x,) for x in ids.tolist()]
+
+
+def exact_links(docs: DataFrame, text: str, key: str, words: int, nodes: DataFrame, parts: int, radius: int, ratio: float, tile: int, set_tile: int) -> DataFrame:
+    """Links between node ids that connect all nodes within the radius whose sets have a similarity of `ratio`.
+
+    Only texts of nodes with candidates are read again, one for each node.
+    """
+    close = compared(nodes, parts, radius, ratio, tile, "id bigint", with_candidates).distinct()
+    close = checkpointed(nodes.join(close, "id", "left_semi"))
+    fields = ["id", "size", *(f"f{p}" for p in range(parts))]
+    bodies = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).select("key", F.xxhash64("body").alias("text_hash"), "body")
+    wanted = close.select(*fields, F.col("one.key").alias("own_key"), F.col("one.text_hash").alias("own_hash"))
+    same = F.col("key").eqNullSafe(F.col("own_key")) & (F.col("text_hash") == F.col("own_hash"))
+    read = bodies.join(F.broadcast(wanted) if is_small(wanted) else wanted, same).select(*fields, "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(x.as_py(), words)).astype("<u8").tobytes() for x in batch.column(len(fields))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(made, pa.binary())], names=[*fields, "set"])
 
-    return pairs.select(same.alias("same"), "own_items", "items").mapInArrow(compare, "a bigint, b bigint")
+    with_sets = read.mapInArrow(run, ", ".join(f"{n} bigint" for n in fields) + ", set binary")
+    # repeated rows
+    with_sets = with_sets.groupBy("id").agg(*[F.first(c).alias(c) for c in [*fields[1:], "set"]])
+    return compared(checkpointed(with_sets), parts, radius, ratio, set_tile, "a bigint, b bigint", forest, sets=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,22 +342,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, parts: int = 1, radius: int = 2, ratio: float | None = None, tile: int = TILE,
-    distinct: bool = False,
+    distinct: bool = False, exact: bool = False, set_tile: int = SET_TILE,
 ) -> DataFrame:
     """Every row's `key`, `text_hash`, `size`, fingerprint parts and `component_id`.
 
     Fingerprints of 64 bits a part link at `radius` or fewer differing bits and, with `ratio`, shingle
-    counts of at least that ratio; with `distinct` repeated shingles count once. The component is named by its smallest key. Null and empty texts
+    counts of at least that ratio; with `distinct` repeated shingles count once. With
+    `exact` links need a similarity of `ratio` of the sets of distinct shingles too. The component is named by its smallest key. Null and empty texts
     have the fingerprint zero and link like any other. Repeated rows come out one by one, in one
     component. Null keys are no smallest key; a component of null keys alone has the name null.
     """
+    if exact and not (distinct and ratio):
+        raise ValueError("exact links compare distinct shingles and need a ratio")
     prints = checkpointed(fingerprints(docs, text, key, words, parts, distinct))
     columns = [f"f{p}" for p in range(parts)]
     node = F.col("f0") if parts == 1 and ratio is None else F.xxhash64(*columns, *([] if ratio is None else ["size"]))
-    prints = prints.withColumn("id", node)
-    nodes = prints.groupBy("id").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in columns], F.first("size").alias("size"))
+    prints = prints.withColumn("id", F.col("set_id") if exact else node)
+    nodes = prints.groupBy("id").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in columns], F.first("size").alias("size"), *([F.min(F.struct("key", "text_hash")).alias("one")] if exact else []))
     nodes = checkpointed(nodes)
-    roots = components(links(nodes, parts, radius, ratio, tile))
+    if exact:
+        roots = components(exact_links(docs, text, key, words, nodes, parts, radius, ratio, tile, set_tile))
+    else:
+        roots = components(links(nodes, parts, radius, ratio, tile))
     # a root stands in no row of its own
     members = roots.union(roots.select("root", "root").distinct())
     smallest = members.join(nodes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("component"))

@@ -426,3 +426,24 @@ def test_repeated_passages_weigh_once_in_the_near_stage(spark):
     ]
     kept = simhash.deduplicated(frame(spark, texts), **corpus_pipeline.NEAR)
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("tiles", [{}, {"tile": 16, "set_tile": 2000}])
+def test_near_stage_equals_all_pairs_by_similarity(spark, tiles):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = ["", "one", "two words", "a b c d e f g h", "a b c d e f g h i"]
+    for n in (60, 150, 400):
+        for share in (0.02, 0.05, 0.09, 0.11, 0.13, 0.17, 0.22, 0.3):
+            for _ in range(3):
+                base = [word() for _ in range(n)]
+                changed = int(n * share)
+                texts += [" ".join(base), " ".join(base[: n - changed] + [word() for _ in range(changed)])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                parent[i] = min(parent[i], parent[j])
+    found = {x.key: x.component_id for x in simhash.near_groups(frame(spark, texts), **corpus_pipeline.NEAR, **tiles).collect()}
+    assert found == dict(enumerate(parent)) and len(set(parent)) < len(texts) - 20
