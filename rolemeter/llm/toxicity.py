@@ -4,16 +4,20 @@ A bounded sample of labelled training rows (`max_examples` of each label, by a h
 the terms, the examples and the votes:
 
 * of near copies in the sample, found by the least hash of their five-word shingles, one is used;
-* terms are words and their first 4, 5 and 6 bytes; kept are the `max_terms` that mark the label 1
-  best by the likelihood ratio, are at least four times as frequent under it, and whose ratio
-  chance would not give even once among all terms of the sample;
-* an example is its TF-IDF vector over these terms, of length one. The inverted index holds for each
-  term the examples by number, in blocks, with the largest weight of each block;
-* a text is compared with blocks in the order of the bound those weights give, until no block can
-  hold a nearer example than the nearest `k` found: the outcome is exact;
-* the nearest examples vote by cosine. A vote is weighted so that the sample stands for all labelled
-  rows, and the share of the label 1 among all counts as one further, weak vote. A text without any
-  of the terms gets the share of the label 1 among examples without any.
+* terms are all words of the examples. Besides there are marks: words and first 4, 5 and 6 bytes of
+  words, the `max_terms` that mark the label 1 best by the likelihood ratio, are at least four times
+  as frequent under it, and whose ratio chance would not give even once among all terms of the sample;
+* a text is its TF-IDF vector of length one, with the document frequencies of all documents. In a
+  text that has marks they make up MARKED of the square of the length, however long the text is; in
+  one without, the words alone tell how near it is. The inverted index holds for each term the
+  examples by number, in blocks, with the largest weight of each block;
+* a text of few terms is compared with blocks in the order of the bound those weights give, until no
+  block can hold a nearer example than the nearest `k` found; one of many terms, whose bounds leave
+  nothing out, with all at once. The outcome is exact;
+* the nearest examples vote by cosine, less the farther they are behind the nearest. A vote is
+  weighted so that the sample stands for all labelled rows, and the share of the label 1 among all
+  counts as one further, weak vote. A text without any of the terms gets the share of the label 1
+  among examples without any.
 
 The model is bounded by its parameters, so it can be sent to every task. Scoring is a projection.
 """
@@ -38,6 +42,8 @@ LEAST_RATIO = 30.0
 SHINGLE = 5
 PREFIXES = (4, 5, 6)
 K, BLOCK, WEAK_VOTE, CUT = 15, 64, 0.25, 0.7
+#: Share of the marks in a marked text; how votes fall with the cosine against the nearest; terms up to which blocks are skipped.
+MARKED, SHARPNESS, FEW = 0.9, 8, 12
 #: Sums of cosines are compared after rounding, so their order cannot depend on the order of adding.
 DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -92,12 +98,20 @@ class Terms(dict):
 class Model:
     """The index of the examples, and how they vote. Without examples every score is 0."""
 
-    def __init__(self, terms: list[bytes], examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float]) -> None:
-        """`examples` are (id, label, term counts), `weights` what one of each label stands for."""
+    def __init__(
+        self, terms: list[bytes], examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float],
+        marks: set[int] = frozenset(), seen_in: tuple[int, dict[int, int]] | None = None,
+    ) -> None:
+        """`examples` are (id, label, term counts), `weights` what one of each label stands for.
+
+        `marks` are numbers of terms, `seen_in` the documents in all and those with each term.
+        """
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weights = weights
-        seen = Counter(t for *_, counts in examples for t in counts)
-        self.idf = np.array([math.log((len(examples) + 1) / (seen[i] + 1)) + 1 for i in range(len(terms))])
+        whole, seen = seen_in or (len(examples), Counter(t for *_, counts in examples for t in counts))
+        self.idf = np.array([math.log((whole + 1) / (seen.get(i, 0) + 1)) + 1 for i in range(len(terms))])
+        self.marked = np.zeros(len(terms), dtype=bool)
+        self.marked[list(marks)] = True
         held = sorted((e for e in examples if e[2]), key=lambda e: e[0])
         self.ids = np.array([e[0] for e in held], dtype=np.int64)
         self.labels = np.array([e[1] for e in held], dtype=np.int64)
@@ -111,14 +125,14 @@ class Model:
         blocks = -(-len(held) // BLOCK)
         self.numbers = np.array([n for p in postings for n, _ in p], dtype=np.int64)
         self.impacts = np.array([w for p in postings for _, w in p])
-        self.bounds = np.zeros((len(terms), blocks))
-        self.offsets = np.zeros((len(terms), blocks + 1), dtype=np.int64)
+        self.bounds = np.zeros((len(terms), blocks), dtype=np.float32)
+        self.offsets = np.zeros((len(terms), blocks + 1), dtype=np.int32)
         at = 0
         for t, p in enumerate(postings):
             in_block = np.bincount([n // BLOCK for n, _ in p], minlength=blocks) if p else np.zeros(blocks, dtype=np.int64)
             self.offsets[t] = at + np.concatenate([[0], np.cumsum(in_block)])
             for n, w in p:
-                self.bounds[t, n // BLOCK] = max(w, self.bounds[t, n // BLOCK])
+                self.bounds[t, n // BLOCK] = max(np.nextafter(np.float32(w), np.float32(2)), self.bounds[t, n // BLOCK])
             at += len(p)
         self.remembered: dict[tuple, tuple] = {}
         self.look = Terms(self.terms)
@@ -127,15 +141,37 @@ class Model:
         ones, zeros = sum(labels) * self.weights[1], (len(labels) - sum(labels)) * self.weights[0]
         return ones / (ones + zeros) if labels and ones + zeros else none
 
+    def weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text in order, and its TF-IDF vector of length one over them."""
+        terms = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
+        weights = (1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))) * self.idf[terms]
+        order = np.argsort(terms)
+        terms, weights = terms[order], weights[order]
+        marked = self.marked[terms]
+        both = bool(marked.any()) and not marked.all()
+        for part, share in ((marked, MARKED), (~marked, 1 - MARKED)) if both else ((slice(None), 1.0),):
+            weights[part] *= math.sqrt(share / float((weights[part] ** 2).sum()))
+        return terms, weights
+
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        size = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / size for t, w in raw.items()}
+        terms, weights = self.weighted(counts)
+        return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
     def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the k nearest examples that share a term, ties by number."""
-        vector = self.vector(counts)
-        terms, weights = list(vector), np.array(list(vector.values()))
+        terms, weights = self.weighted(counts)
+        if len(terms) > FEW:
+            spans = [slice(a, b) for a, b in zip(self.offsets[terms, 0].tolist(), self.offsets[terms, -1].tolist(), strict=True)] if len(self.ids) else []
+            if not spans:
+                return np.zeros(0), np.zeros(0, dtype=np.int64)
+            scores = np.bincount(
+                np.concatenate([self.numbers[x] for x in spans]),
+                np.concatenate([self.impacts[x] for x in spans]) * np.repeat(weights, [x.stop - x.start for x in spans]), len(self.ids),
+            ).round(DECIMALS)
+            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            hit = np.flatnonzero((scores >= least) & (scores > 0))
+            order = np.lexsort((hit, -scores[hit]))[:k]
+            return scores[hit][order], hit[order]
         bound = weights @ self.bounds[terms]
         best, numbers = np.zeros(0), np.zeros(0, dtype=np.int64)
         for block in np.argsort(-bound, kind="stable"):
@@ -158,17 +194,17 @@ class Model:
         """The score, the ids of the nearest examples and their cosines."""
         if not counts:
             return self.empty_share, [], []
-        key = tuple(sorted(counts.items()))
+        key = tuple(sorted(counts.items())) if len(counts) <= FEW else None
         known = self.remembered.get(key)
         if known is None:
             cosines, numbers = self.nearest(counts)
             labels = self.labels[numbers]
-            votes = cosines * np.where(labels == 1, self.weights[1], self.weights[0])
+            votes = cosines * (cosines / max(cosines, default=1.0)) ** SHARPNESS * np.where(labels == 1, self.weights[1], self.weights[0])
             known = (
                 float((votes[labels == 1].sum() + WEAK_VOTE * self.share) / (votes.sum() + WEAK_VOTE)),
                 self.ids[numbers].tolist(), cosines.tolist(),
             )
-            if len(self.remembered) < 20_000:
+            if key and len(self.remembered) < 20_000:
                 self.remembered[key] = known
         return known
 
@@ -241,7 +277,7 @@ def likelihood_ratio(ones: Column, zeros: Column, all_ones: int, all_zeros: int)
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
-    """The model. The driver receives `max_terms` terms and the vectors of the sample, no texts."""
+    """The model. The driver receives the words and vectors of the sample, no texts."""
     sample, counts = training_rows(labels, key, label, max_examples)
     bodies = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     # at most twice `max_examples` ids
@@ -253,24 +289,43 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     a, b = F.col("ones"), F.col("zeros")
     share_one, share_zero = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
     ratio = F.round(likelihood_ratio(a, b, ones, zeros), 6)
+    counted = checkpointed(term_counts(examples))
     chosen = (
-        term_counts(examples).where(share_one >= LIFT * share_zero).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+        counted.where(share_one >= LIFT * share_zero).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect()
     )
-    terms = sorted(bytes(r["term"]) for r in chosen)
+    marked = {bytes(r["term"]) for r in chosen}
+    # beginnings end in a star, which no word holds
+    terms = sorted(marked | {bytes(r["term"]) for r in counted.where(~F.endswith("term", F.lit(b"*"))).select("term").collect()})
     known = {t: i for i, t in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Terms(known)
+        look = Terms(sent.value)
         for batch in batches:
             found = [list(look.counts(b).items()) for b in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.map_(pa.int32(), pa.int64()))], names=["key", "label", "counts"])
 
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, found, rows = Terms(sent.value), np.zeros(len(sent.value) + 1, dtype=np.int64), 0
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                has = {t for w in set(words(body)) for t in look[w]}
+                found[np.fromiter(has, dtype=np.int64, count=len(has))] += 1
+                rows += 1
+        # the last place counts the documents
+        found[-1] = rows
+        there = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["term", "documents"])
+
+    seen = {r["term"]: r["n"] for r in bodies.select("body").mapInArrow(frequencies, "term bigint, documents bigint").groupBy("term").agg(F.sum("documents").alias("n")).collect()}
+    whole = seen.pop(len(terms), 0)
     held = [(r["key"], r["label"], r["counts"]) for r in examples.mapInArrow(vectors, "key bigint, label int, counts map<int,bigint>").collect()]
     # what one example of a label stands for, in units of one of the label 1
     stands = [counts.get(v, 0) / max(sizes.get(v, 0), 1) for v in (0, 1)]
     unit = stands[1] or stands[0] or 1.0
-    return Model(terms, sorted(held, key=lambda e: (e[0], e[1], sorted(e[2].items()))), (stands[0] / unit, stands[1] / unit))
+    return Model(terms, sorted(held, key=lambda e: (e[0], e[1], sorted(e[2].items()))), (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (whole, seen))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -447,3 +447,17 @@ def test_near_stage_equals_all_pairs_by_similarity(spark, tiles):
                 parent[i] = min(parent[i], parent[j])
     found = {x.key: x.component_id for x in simhash.near_groups(frame(spark, texts), **corpus_pipeline.NEAR, **tiles).collect()}
     assert found == dict(enumerate(parent)) and len(set(parent)) < len(texts) - 20
+
+
+def test_rare_toxic_text_is_known_by_its_labelled_copy(spark):
+    texts, labels = labelled(spark)
+    texts, labels = list(texts), list(labels)
+    rare = "qqodd sentence nobody else would ever write about zzunseen matters"
+    ids = {v: next(i for i in range(len(texts), 5000) if (zlib.crc32(str(i).encode()) % 3 == 1) == v) for v in (True, False)}
+    texts += ["plain"] * (max(ids.values()) + 1 - len(texts))
+    texts[ids[True]] = texts[ids[False]] = rare
+    labels.append((ids[False], 1))
+    docs = frame(spark, texts)
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}[ids[True]]
+    assert found.evidence[0] == ids[False] and found.cosines[0] == 1.0 and found.score >= toxicity.CUT
