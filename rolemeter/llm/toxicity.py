@@ -95,6 +95,13 @@ class Terms(dict):
         return dict(out)
 
 
+def _arrays(counts: dict[int, int] | np.ndarray) -> np.ndarray:
+    """Terms and their counts as two rows; an array has a row for each term."""
+    if isinstance(counts, dict):
+        counts = np.array(list(counts.items()), dtype=np.int64)
+    return counts.reshape(-1, 2).T
+
+
 class Model:
     """The index of the examples, and how they vote. Without examples every score is 0."""
 
@@ -108,32 +115,33 @@ class Model:
         """
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weights = weights
-        whole, seen = seen_in or (len(examples), Counter(t for *_, counts in examples for t in counts))
-        self.idf = np.array([math.log((whole + 1) / (seen.get(i, 0) + 1)) + 1 for i in range(len(terms))])
+        held = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
+        own = [_arrays(e[2])[0] for e in held]
+        if seen_in is None:
+            seen_in = len(examples), np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *own]), minlength=len(terms))
+        self.idf = np.log((seen_in[0] + 1) / (seen_in[1] + 1)) + 1
         self.marked = np.zeros(len(terms), dtype=bool)
         self.marked[list(marks)] = True
-        held = sorted((e for e in examples if e[2]), key=lambda e: e[0])
         self.ids = np.array([e[0] for e in held], dtype=np.int64)
         self.labels = np.array([e[1] for e in held], dtype=np.int64)
-        rest = [e[1] for e in examples if not e[2]]
+        rest = [e[1] for e in examples if not len(e[2])]
         self.share = self._share([e[1] for e in examples], 0.0)
         self.empty_share = self._share(rest, self.share)
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for n, (_, _, counts) in enumerate(held):
-            for t, w in self.vector(counts).items():
-                postings[t].append((n, w))
         blocks = -(-len(held) // BLOCK)
-        self.numbers = np.array([n for p in postings for n, _ in p], dtype=np.int64)
-        self.impacts = np.array([w for p in postings for _, w in p])
+        found = [self.weighted(e[2]) for e in held]
+        of = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in found)])
+        numbers = np.repeat(np.arange(len(held)), [len(t) for t, _ in found])
+        order = np.lexsort((numbers, of))
+        of, self.numbers = of[order], numbers[order]
+        self.impacts = np.concatenate([np.zeros(0), *(w for _, w in found)])[order]
+        place = of * blocks + self.numbers // BLOCK
         self.bounds = np.zeros((len(terms), blocks), dtype=np.float32)
+        np.maximum.at(self.bounds.ravel(), place, np.nextafter(self.impacts.astype(np.float32), np.float32(2)))
+        ends = np.searchsorted(place, np.arange(len(terms) * blocks), "right").astype(np.int32).reshape(len(terms), blocks)
         self.offsets = np.zeros((len(terms), blocks + 1), dtype=np.int32)
-        at = 0
-        for t, p in enumerate(postings):
-            in_block = np.bincount([n // BLOCK for n, _ in p], minlength=blocks) if p else np.zeros(blocks, dtype=np.int64)
-            self.offsets[t] = at + np.concatenate([[0], np.cumsum(in_block)])
-            for n, w in p:
-                self.bounds[t, n // BLOCK] = max(np.nextafter(np.float32(w), np.float32(2)), self.bounds[t, n // BLOCK])
-            at += len(p)
+        self.offsets[:, 1:] = ends
+        if blocks:
+            self.offsets[1:, 0] = ends[:-1, -1]
         self.remembered: dict[tuple, tuple] = {}
         self.look = Terms(self.terms)
 
@@ -141,10 +149,10 @@ class Model:
         ones, zeros = sum(labels) * self.weights[1], (len(labels) - sum(labels)) * self.weights[0]
         return ones / (ones + zeros) if labels and ones + zeros else none
 
-    def weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def weighted(self, counts: dict[int, int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text in order, and its TF-IDF vector of length one over them."""
-        terms = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))) * self.idf[terms]
+        terms, numbers = _arrays(counts)
+        weights = (1 + np.log(numbers)) * self.idf[terms]
         order = np.argsort(terms)
         terms, weights = terms[order], weights[order]
         marked = self.marked[terms]
@@ -296,14 +304,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     )
     marked = {bytes(r["term"]) for r in chosen}
     # beginnings end in a star, which no word holds
-    terms = sorted(marked | {bytes(r["term"]) for r in counted.where(~F.endswith("term", F.lit(b"*"))).select("term").collect()})
+    terms = sorted(marked.union(counted.where(~F.endswith("term", F.lit(b"*"))).select("term").toArrow()["term"].to_pylist()))
     known = {t: i for i, t in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Terms(sent.value)
         for batch in batches:
-            found = [list(look.counts(b).items()) for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.map_(pa.int32(), pa.int64()))], names=["key", "label", "counts"])
+            found = [np.array(sorted(look.counts(b).items()), dtype="<i8").tobytes() for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.binary())], names=["key", "label", "counts"])
 
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -319,13 +327,16 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         there = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["term", "documents"])
 
-    seen = {r["term"]: r["n"] for r in bodies.select("body").mapInArrow(frequencies, "term bigint, documents bigint").groupBy("term").agg(F.sum("documents").alias("n")).collect()}
-    whole = seen.pop(len(terms), 0)
-    held = [(r["key"], r["label"], r["counts"]) for r in examples.mapInArrow(vectors, "key bigint, label int, counts map<int,bigint>").collect()]
+    counted = bodies.select("body").mapInArrow(frequencies, "term bigint, documents bigint").groupBy("term").agg(F.sum("documents").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1, dtype=np.int64)
+    seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    rows = examples.mapInArrow(vectors, "key bigint, label int, counts binary").toArrow()
+    held = sorted(zip(*(rows[c].to_pylist() for c in ("key", "label", "counts")), strict=True))
+    held = [(k, v, np.frombuffer(c, dtype="<i8").reshape(-1, 2)) for k, v, c in held]
     # what one example of a label stands for, in units of one of the label 1
     stands = [counts.get(v, 0) / max(sizes.get(v, 0), 1) for v in (0, 1)]
     unit = stands[1] or stands[0] or 1.0
-    return Model(terms, sorted(held, key=lambda e: (e[0], e[1], sorted(e[2].items()))), (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (whole, seen))
+    return Model(terms, held, (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (int(seen[-1]), seen[:-1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
