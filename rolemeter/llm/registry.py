@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolemeter.llm import exact, fingerprints, licenses, mixing, packing, secrets, simhash, tokens, toxicity, urls
+from rolemeter.llm import audit, exact, fingerprints, licenses, mixing, packing, secrets, simhash, tokens, toxicity, urls
 from rolemeter.llm.shared import shipped
 
 _QUERIES = {
@@ -16,8 +16,9 @@ _QUERIES = {
     "op8_exact": exact.op8_exact,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_urls": urls.op10_urls,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
 REGISTRY = {name: shipped(query) for name, query in _QUERIES.items()}
 
-ORACLE = {"op5_mixing": mixing.OP5_SQL, "op8_exact": exact.OP8_SQL}
+ORACLE = {"op5_mixing": mixing.OP5_SQL, "op8_exact": exact.OP8_SQL, "op11_filter_audit": audit.OP11_SQL}

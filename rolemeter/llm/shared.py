@@ -9,8 +9,11 @@ import zipfile
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import rolemeter
+from rolemeter.operators.layout import stored
 
 _SHIPPED: set[str] = set()
 
@@ -80,6 +83,22 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def numbered(rows: DataFrame, name: str, purpose: str) -> DataFrame:
+    """The rows, stored, with the column `name`: their number from 0, by partition and place in it.
+
+    Spark's own row ids hold the partition and the place; only the partitions' sizes are added up,
+    one row a partition, which are broadcast. Being stored first, the numbers stay the same when
+    the rows are computed again.
+    """
+    place, part, n, before = fresh([*rows.columns, name], "place", "part", "n", "before")
+    kept = stored(rows.withColumn(place, F.monotonically_increasing_id()), purpose).withColumn(part, F.shiftright(place, 33))
+    sizes = kept.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    number = F.col(before) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(starts), part).select(*rows.columns, number.alias(name))
+
+
 def kind(rows: DataFrame, column: str) -> str:
     """The type of a column, as a schema string."""
     return rows.schema[column].dataType.simpleString()
