@@ -9,18 +9,23 @@ words and the distinct words of a document. With the other filters' flags a docu
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rolemeter.llm.shared import fresh, kind, numbered, table
+from rolemeter.llm.shared import fresh, kind, table
+from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.layout import stored
 
 #: A shard is closed after a document that brings it to so many entries, words or rows.
@@ -32,14 +37,26 @@ FILTERS = "ABCDE"
 MIN_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
 MAX_CAPITAL_PERCENT = 3
-SIGNS = r"[#$%&*|]"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SIGNS = b"#$%&*|"
+#: Bytes that begin no code point of UTF-8.
+CONTINUED = bytes(range(0x80, 0xC0))
 
 
-def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+class Feature(NamedTuple):
+    """A column computed from the UTF-8 bytes of a text in the pass that cuts it into words."""
+
+    name: str
+    kind: str
+    arrow: pa.DataType
+    of: Callable[[bytes], object]
+
+
+def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tuple[Feature, ...] = ()) -> DataFrame:
     """CSR shards whose columns are numbers of the shard's own `words`; one pass over the texts.
 
-    `shard`, an array for each kept column, `indptr`, `codes`, `counts` and `words`. Words are runs of
-    characters other than ASCII whitespace, case kept. A null text has none.
+    `shard`, an array for each kept column and each feature, `indptr`, `codes`, `counts`, `words`. Words are
+    runs of characters other than ASCII whitespace, case kept. A null text has none.
     """
     (body,) = fresh(keep, "body")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
@@ -50,10 +67,12 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame
         numbers: dict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         slices, codes, counts, ends = [], [], [], [0]
+        found = [[] for _ in features]
 
         def out() -> pa.RecordBatch:
             held = [pa.concat_arrays([s.column(c) for s in slices]) for c in range(width)]
-            arrays = [*held, pa.array(ends, pa.int32()), pa.array(codes, pa.int32()), pa.array(counts, pa.int32()), pa.array(numbers, pa.binary())]
+            made_here = [pa.array(values, f.arrow) for values, f in zip(found, features, strict=True)]
+            arrays = [*held, *made_here, *(pa.array(x, pa.int32()) for x in (ends, codes, counts)), pa.array(numbers, pa.binary())]
             return pa.RecordBatch.from_arrays(
                 [pa.array([first + made], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays)], names=names,
             )
@@ -61,60 +80,92 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame
         for batch in batches:
             begin = 0
             for i, value in enumerate(batch.column(width).cast(pa.binary())):
-                found = Counter(value.as_py().split())  # bytes are cut at the six ASCII whitespace characters
-                codes.extend(map(numbers.__getitem__, found))
-                counts.extend(found.values())
+                data = value.as_py()
+                entries = Counter(data.split())  # bytes are cut at the six ASCII whitespace characters
+                codes.extend(map(numbers.__getitem__, entries))
+                counts.extend(entries.values())
                 ends.append(len(codes))
+                for values, f in zip(found, features, strict=True):
+                    values.append(f.of(data))
                 if len(codes) >= SHARD_ENTRIES or len(numbers) >= SHARD_WORDS or len(ends) > SHARD_ROWS:
                     slices.append(batch.slice(begin, i + 1 - begin))
                     yield out()
                     begin, made = i + 1, made + 1
                     numbers.clear()
-                    slices, codes, counts, ends = [], [], [], [0]
+                    slices, codes, counts, ends, found = [], [], [], [0], [[] for _ in features]
             if begin < len(batch):
                 slices.append(batch.slice(begin))
         if slices:
             yield out()
 
-    names = [*fresh(keep, "shard"), *keep, *fresh([*keep, "shard"], "indptr", "codes", "counts", "words")]
-    kinds = ["bigint", *(f"array<{kind(docs, c)}>" for c in keep), "array<int>", "array<int>", "array<int>", "array<binary>"]
+    kept = [*keep, *(f.name for f in features)]
+    names = [*fresh(kept, "shard"), *kept, *fresh([*kept, "shard"], "indptr", "codes", "counts", "words")]
+    kinds = ["bigint", *(f"array<{kind(docs, c)}>" for c in keep), *(f"array<{f.kind}>" for f in features), "array<int>", "array<int>", "array<int>", "array<binary>"]
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def term_matrix(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame, DataFrame]:
+    """`shard`, `code`, `id` of every shard's words, and the dictionary (`word`, `id`).
+
+    The words of all shards are dealt and sorted by word, so one pass numbers the distinct words of
+    a partition; the partitions' sizes, a row each, then make the numbers global.
+    """
+    listed = shards.select(F.col(shard).alias("shard"), F.posexplode(words).alias("code", "word"))
+    dealt = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, last = TaskContext.get().partitionId(), -1, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            column = batch.column(2)
+            new = np.concatenate([[column[0].as_py() != last], pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)])
+            numbers = number + np.cumsum(new)
+            number, last = int(numbers[-1]), column[-1].as_py()
+            first = pc.if_else(pa.array(new), column, pa.scalar(None, pa.binary()))  # the dictionary's entry
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.full(len(batch), part), pa.int64()), pa.array(numbers, pa.int64()), first], names=names)
+
+    names = ["shard", "code", "part", "number", "word"]
+    placed = stored(dealt.mapInArrow(run, "shard bigint, code int, part bigint, number bigint, word binary"), "words")
+    sizes = placed.groupBy("part").agg((F.max("number") + 1).alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    numbered = placed.join(F.broadcast(starts), "part").withColumn("id", F.col("start") + F.col("number"))
+    dictionary = numbered.where(F.col("word").isNotNull()).select(F.col("word").cast("string").alias("word"), "id")
+    return numbered.select("shard", "code", "id"), dictionary
+
+
+def term_matrix(
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), features: tuple[Feature, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix as CSR shards, and its dictionary (`word`, `id`).
 
-    A shard has `shard`, an array for each kept column with the rows' values, `indptr`, `indices`
-    (global ids, dense from 0) and `data` (counts), all arrays. Documents are not cut, so a shard is
+    A shard has `shard`, an array for each kept column and feature with the rows' values, `indptr`,
+    `indices` (global ids, dense from 0) and `data` (counts), all arrays. Documents are not cut, so a shard is
     as large as SHARD_ENTRIES entries and one document. What is shuffled to number the words is a
-    row for each distinct word of a shard; a frequent word has as many rows as there are shards,
-    and a join that adaptive execution splits. Repeated rows are rows of their own; an empty table
-    gives no shards and no words.
+    row for each distinct word of a shard; a frequent word has a row a shard, a few bytes each.
+    Repeated rows are rows of their own; an empty table gives no shards and no words.
     """
-    shards = stored(local_shards(docs, text, keep), "shards")
-    shard, indptr, codes, counts, words = shards.columns[0], *shards.columns[-4:]
-    listed = shards.select(F.col(shard).alias("shard"), F.posexplode(words).alias("code", "word"))
-    dictionary = numbered(listed.select("word").distinct(), "id", "dictionary")
-    ids = listed.join(dictionary, "word").groupBy("shard").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
-    width = len(keep)
+    shards = stored(local_shards(docs, text, keep, features), "shards")
+    shard, *kept, indptr, codes, counts, words = shards.columns
+    numbers, dictionary = _word_numbers(shards, shard, words)
+    ids = numbers.groupBy("shard").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
+    width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                own, local = row.column(width + 4), row.column(width + 2).flatten().to_numpy()
-                pairs = own.flatten()
+                local, pairs = row.column(width + 2).flatten().to_numpy(), row.column(width + 4).flatten()
                 found = np.zeros(len(pairs), dtype=np.int64)
                 if len(pairs):
                     found[pairs.field("code").to_numpy()] = pairs.field("id").to_numpy()
                 indices = pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(found[local], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*row.columns[: width + 2], indices, row.column(width + 3)], names=names)
 
-    names = [shard, *keep, *fresh([shard, *keep], "indptr", "indices", "data")]
-    kinds = ["bigint", *(f"array<{kind(docs, c)}>" for c in keep), "array<int>", "array<bigint>", "array<int>"]
-    joined = shards.join(ids.withColumnRenamed("shard", shard), shard, "left").select(shard, *keep, indptr, codes, counts, "ids")
-    matrix = joined.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
-    return matrix, dictionary.select(F.col("word").cast("string").alias("word"), "id")
+    names = [shard, *kept, *fresh([shard, *kept], "indptr", "indices", "data")]
+    kinds = ["bigint", *(kind(shards, c) for c in kept), "array<int>", "array<bigint>", "array<int>"]
+    joined = shards.join(ids.withColumnRenamed("shard", shard), shard, "left").select(shard, *kept, indptr, codes, counts, "ids")
+    return joined.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))), dictionary
 
 
 def row_counts(matrix: DataFrame) -> DataFrame:
@@ -137,19 +188,25 @@ def row_counts(matrix: DataFrame) -> DataFrame:
     return matrix.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
+def many_capitals(data: bytes) -> bool:
+    return 100 * (len(data) - len(data.translate(None, CAPITALS))) > MAX_CAPITAL_PERCENT * len(data.translate(None, CONTINUED))
+
+
+FLAGS = (
+    Feature("digest", "binary", pa.binary(), lambda data: hashlib.sha256(data).digest()),
+    Feature("capitals", "boolean", pa.bool_(), many_capitals),
+    Feature("signs", "boolean", pa.bool_(), lambda data: len(data.translate(None, SIGNS)) < len(data)),
+)
+
+
 def failures(docs: DataFrame, text: str = "text", key: str = "doc_id", part: str = "lang") -> DataFrame:
-    """`key`, `part`, `digest`, `n_words`, `n_distinct` and `mask` of every document; bit k of the mask: it fails FILTERS[k].
+    """Documents counted by `key`, `part`, `digest`, `n_words`, `n_distinct` and `mask`; bit k of the mask: they fail FILTERS[k].
 
     A null text is empty, a null part the empty string. A text is a copy (E) if an equal one has a
     smaller id; rows of one id are no copies of one another, and a null id is larger than any other.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    wide = docs.select(
-        F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(body, 256)).alias("digest"),
-        (100 * F.regexp_count(body, F.lit("[A-Z]")).cast("long") > MAX_CAPITAL_PERCENT * F.length(body).cast("long")).alias("capitals"),
-        body.rlike(SIGNS).alias("signs"), body.alias("text"),
-    )
-    matrix, _ = term_matrix(wide, "text", ("key", "part", "digest", "capitals", "signs"))
+    named = docs.select(F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(text).alias("text"))
+    matrix, _ = term_matrix(named, "text", ("key", "part"), FLAGS)
     rows = stored(row_counts(matrix), "audit-rows")
     copies = rows.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     copied = F.coalesce(F.col("key") > F.col("first"), F.col("key").isNull() & F.col("first").isNotNull())
@@ -157,9 +214,10 @@ def failures(docs: DataFrame, text: str = "text", key: str = "doc_id", part: str
         F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < MIN_DISTINCT_PERCENT * F.col("n_words"), F.col("capitals"), F.col("signs"), copied,
     ]
     mask = sum((f.cast("int") * (1 << k) for k, f in enumerate(flags)), F.lit(0))
-    # equal texts of a part, most of all repeated rows, are few keys: counted before the join
+    # repeated rows become one before the join
     counted = rows.groupBy("key", "part", "digest", "n_words", "n_distinct", "capitals", "signs").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(copies, "digest", "left").select("key", "part", "digest", "n_words", "n_distinct", mask.alias("mask"), "n")
+    joined = lookup_join(counted, copies, "digest", "left", spread_by="key")
+    return joined.select("key", "part", "digest", "n_words", "n_distinct", mask.alias("mask"), "n")
 
 
 def _orders() -> Column:
@@ -220,7 +278,7 @@ WITH words AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), flags AS (
   SELECT doc_id, part, len(w) < {MIN_WORDS} AS a, 100 * len(list_distinct(w)) < {MIN_DISTINCT_PERCENT} * len(w) AS b,
-    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > {MAX_CAPITAL_PERCENT} * len(t) AS c, regexp_matches(t, '{SIGNS}') AS d,
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > {MAX_CAPITAL_PERCENT} * len(t) AS c, regexp_matches(t, '[{SIGNS.decode()}]') AS d,
     doc_id > min(doc_id) OVER (PARTITION BY t) AS e
   FROM words
 ), marks AS (
