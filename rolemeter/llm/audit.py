@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import permutations
 from typing import NamedTuple
@@ -28,10 +27,8 @@ from rolemeter.llm.shared import fresh, kind, table
 from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.layout import stored
 
-#: A shard is closed after a document that brings it to so many entries, words or rows.
-SHARD_ENTRIES = 1 << 19
-SHARD_WORDS = 1 << 17
-SHARD_ROWS = 1 << 16
+#: A shard is made of at most so many bytes of text, or of one longer text.
+SHARD_BYTES = 1 << 24
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -52,6 +49,29 @@ class Feature(NamedTuple):
     of: Callable[[bytes], object]
 
 
+def encoded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """The texts as a CSR matrix of their own: row ends, word numbers, counts, and the words by number."""
+    pieces = pc.ascii_split_whitespace(texts)  # cut at the six ASCII whitespace characters
+    ends, words = pieces.offsets.to_numpy(), pieces.flatten()
+    filled = pc.not_equal(pc.binary_length(words), 0)  # space at an end of a text gives an empty piece
+    numbered = words.filter(filled).dictionary_encode()
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(ends))[filled.to_numpy(zero_copy_only=False)]
+    keys = np.sort(row << 32 | numbered.indices.to_numpy())
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    entries = keys[starts]
+    return np.searchsorted(entries >> 32, np.arange(len(texts) + 1)), entries & 0xFFFFFFFF, np.diff(np.append(starts, len(keys))), numbered.dictionary
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of consecutive slices of at most `most` bytes, or of a row that has more."""
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1)
+        yield begin, end - begin
+        begin = end
+
+
 def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tuple[Feature, ...] = ()) -> DataFrame:
     """CSR shards whose columns are numbers of the shard's own `words`; one pass over the texts.
 
@@ -63,40 +83,18 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tu
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made = TaskContext.get().partitionId() << 32, 0
-        numbers: dict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        slices, codes, counts, ends = [], [], [], [0]
-        found = [[] for _ in features]
-
-        def out() -> pa.RecordBatch:
-            held = [pa.concat_arrays([s.column(c) for s in slices]) for c in range(width)]
-            made_here = [pa.array(values, f.arrow) for values, f in zip(found, features, strict=True)]
-            arrays = [*held, *made_here, *(pa.array(x, pa.int32()) for x in (ends, codes, counts)), pa.array(numbers, pa.binary())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([first + made], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays)], names=names,
-            )
-
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            begin = 0
-            for i, value in enumerate(batch.column(width).cast(pa.binary())):
-                data = value.as_py()
-                entries = Counter(data.split())  # bytes are cut at the six ASCII whitespace characters
-                codes.extend(map(numbers.__getitem__, entries))
-                counts.extend(entries.values())
-                ends.append(len(codes))
-                for values, f in zip(found, features, strict=True):
-                    values.append(f.of(data))
-                if len(codes) >= SHARD_ENTRIES or len(numbers) >= SHARD_WORDS or len(ends) > SHARD_ROWS:
-                    slices.append(batch.slice(begin, i + 1 - begin))
-                    yield out()
-                    begin, made = i + 1, made + 1
-                    numbers.clear()
-                    slices, codes, counts, ends, found = [], [], [], [0], [[] for _ in features]
-            if begin < len(batch):
-                slices.append(batch.slice(begin))
-        if slices:
-            yield out()
+            for begin, size in slices(batch.column(width), SHARD_BYTES):
+                part = batch.slice(begin, size)
+                texts = part.column(width)
+                made = [pa.array([f.of(t.as_py()) for t in texts.cast(pa.binary())], f.arrow) for f in features]
+                indptr, codes, counts, words = encoded(texts)
+                arrays = [*part.columns[:width], *made, *(pa.array(x.astype(np.int32)) for x in (indptr, codes, counts)), words.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays)], names=names,
+                )
+                number += 1
 
     kept = [*keep, *(f.name for f in features)]
     names = [*fresh(kept, "shard"), *kept, *fresh([*kept, "shard"], "indptr", "codes", "counts", "words")]
@@ -122,16 +120,15 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
             new = np.concatenate([[column[0].as_py() != last], pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)])
             numbers = number + np.cumsum(new)
             number, last = int(numbers[-1]), column[-1].as_py()
-            first = pc.if_else(pa.array(new), column, pa.scalar(None, pa.binary()))  # the dictionary's entry
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.full(len(batch), part), pa.int64()), pa.array(numbers, pa.int64()), first], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.full(len(batch), part)), pa.array(numbers), pa.array(new)], names=names)
 
-    names = ["shard", "code", "part", "number", "word"]
-    placed = stored(dealt.mapInArrow(run, "shard bigint, code int, part bigint, number bigint, word binary"), "words")
+    names = ["shard", "code", "part", "number", "new"]
+    placed = stored(dealt.mapInArrow(run, "shard bigint, code int, part bigint, number bigint, new boolean"), "words")
     sizes = placed.groupBy("part").agg((F.max("number") + 1).alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     numbered = placed.join(F.broadcast(starts), "part").withColumn("id", F.col("start") + F.col("number"))
-    dictionary = numbered.where(F.col("word").isNotNull()).select(F.col("word").cast("string").alias("word"), "id")
-    return numbered.select("shard", "code", "id"), dictionary
+    named = listed.join(numbered.where("new").select("shard", "code", "id"), ["shard", "code"])
+    return numbered.select("shard", "code", "id"), named.select(F.col("word").cast("string").alias("word"), "id")
 
 
 def term_matrix(
@@ -140,8 +137,8 @@ def term_matrix(
     """The document-term matrix as CSR shards, and its dictionary (`word`, `id`).
 
     A shard has `shard`, an array for each kept column and feature with the rows' values, `indptr`,
-    `indices` (global ids, dense from 0) and `data` (counts), all arrays. Documents are not cut, so a shard is
-    as large as SHARD_ENTRIES entries and one document. What is shuffled to number the words is a
+    `indices` (global ids, dense from 0) and `data` (counts), all arrays. Documents are not cut, so a shard holds
+    SHARD_BYTES of text or one longer document. What is shuffled to number the words is a
     row for each distinct word of a shard; a frequent word has a row a shard, a few bytes each.
     Repeated rows are rows of their own; an empty table gives no shards and no words.
     """
