@@ -62,6 +62,20 @@ def encoded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array
     return np.searchsorted(entries >> 32, np.arange(len(texts) + 1)), entries & 0xFFFFFFFF, np.diff(np.append(starts, len(keys))), numbered.dictionary
 
 
+def one_list(values: pa.Array) -> pa.Array:
+    """The values as the one row of a list column."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def packed(numbers: np.ndarray, to: type) -> pa.Array:
+    """The numbers as the one row of a binary column, little-endian."""
+    return pa.array([numbers.astype(np.dtype(to).newbyteorder("<")).tobytes()], pa.binary())
+
+
+def unpacked(column: pa.Array, of: type) -> np.ndarray:
+    return np.frombuffer(column[0].as_py(), dtype=np.dtype(of).newbyteorder("<"))
+
+
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """First row and number of rows of consecutive slices of at most `most` bytes, or of a row that has more."""
     sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
@@ -75,8 +89,8 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tuple[Feature, ...] = ()) -> DataFrame:
     """CSR shards whose columns are numbers of the shard's own `words`; one pass over the texts.
 
-    `shard`, an array for each kept column and each feature, `indptr`, `codes`, `counts`, `words`. Words are
-    runs of characters other than ASCII whitespace, case kept. A null text has none.
+    `shard`, an array for each kept column and each feature, `indptr`, `codes`, `counts` (32-bit integers, packed) and
+    `words`. Words are runs of characters other than ASCII whitespace, case kept. A null text has none.
     """
     (body,) = fresh(keep, "body")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
@@ -90,26 +104,28 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tu
                 texts = part.column(width)
                 made = [pa.array([f.of(t.as_py()) for t in texts.cast(pa.binary())], f.arrow) for f in features]
                 indptr, codes, counts, words = encoded(texts)
-                arrays = [*part.columns[:width], *made, *(pa.array(x.astype(np.int32)) for x in (indptr, codes, counts)), words.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays)], names=names,
+                    [
+                        pa.array([number], pa.int64()), *(one_list(a) for a in (*part.columns[:width], *made)),
+                        *(packed(x, np.int32) for x in (indptr, codes, counts)), one_list(words.cast(pa.binary())),
+                    ], names=names,
                 )
                 number += 1
 
     kept = [*keep, *(f.name for f in features)]
     names = [*fresh(kept, "shard"), *kept, *fresh([*kept, "shard"], "indptr", "codes", "counts", "words")]
-    kinds = ["bigint", *(f"array<{kind(docs, c)}>" for c in keep), *(f"array<{f.kind}>" for f in features), "array<int>", "array<int>", "array<int>", "array<binary>"]
+    kinds = ["bigint", *(f"array<{kind(docs, c)}>" for c in keep), *(f"array<{f.kind}>" for f in features), "binary", "binary", "binary", "array<binary>"]
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame, DataFrame]:
     """`shard`, `code`, `id` of every shard's words, and the dictionary (`word`, `id`).
 
-    The words of all shards are dealt and sorted by word, so one pass numbers the distinct words of
+    The words of all shards are dealt by word and sorted, by hash first as that compares fast, so one pass numbers the distinct words of
     a partition; the partitions' sizes, a row each, then make the numbers global.
     """
     listed = shards.select(F.col(shard).alias("shard"), F.posexplode(words).alias("code", "word"))
-    dealt = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
+    dealt = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions(F.xxhash64("word"), "word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, last = TaskContext.get().partitionId(), -1, None
@@ -136,8 +152,8 @@ def term_matrix(
 ) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix as CSR shards, and its dictionary (`word`, `id`).
 
-    A shard has `shard`, an array for each kept column and feature with the rows' values, `indptr`,
-    `indices` (global ids, dense from 0) and `data` (counts), all arrays. Documents are not cut, so a shard holds
+    A shard has `shard`, an array for each kept column and feature with the rows' values, and packed
+    little-endian `indptr` (32 bits), `indices` (64 bits; global ids, dense from 0) and `data` (counts, 32 bits). Documents are not cut, so a shard holds
     SHARD_BYTES of text or one longer document. What is shuffled to number the words is a
     row for each distinct word of a shard; a frequent word has a row a shard, a few bytes each.
     Repeated rows are rows of their own; an empty table gives no shards and no words.
@@ -152,15 +168,15 @@ def term_matrix(
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                local, pairs = row.column(width + 2).flatten().to_numpy(), row.column(width + 4).flatten()
+                pairs = row.column(width + 4).flatten()
                 found = np.zeros(len(pairs), dtype=np.int64)
                 if len(pairs):
                     found[pairs.field("code").to_numpy()] = pairs.field("id").to_numpy()
-                indices = pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(found[local], pa.int64()))
+                indices = packed(found[unpacked(row.column(width + 2), np.int32)], np.int64)
                 yield pa.RecordBatch.from_arrays([*row.columns[: width + 2], indices, row.column(width + 3)], names=names)
 
     names = [shard, *kept, *fresh([shard, *kept], "indptr", "indices", "data")]
-    kinds = ["bigint", *(kind(shards, c) for c in kept), "array<int>", "array<bigint>", "array<int>"]
+    kinds = ["bigint", *(kind(shards, c) for c in kept), "binary", "binary", "binary"]
     joined = shards.join(ids.withColumnRenamed("shard", shard), shard, "left").select(shard, *kept, indptr, codes, counts, "ids")
     return joined.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))), dictionary
 
@@ -174,8 +190,8 @@ def row_counts(matrix: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                ends = row.column(width + 1).flatten().to_numpy()
-                sums = np.concatenate([[0], np.cumsum(row.column(width + 3).flatten().to_numpy(), dtype=np.int64)])[ends]
+                ends = unpacked(row.column(width + 1), np.int32)
+                sums = np.concatenate([[0], np.cumsum(unpacked(row.column(width + 3), np.int32), dtype=np.int64)])[ends]
                 yield pa.RecordBatch.from_arrays(
                     [*(row.column(c).flatten() for c in range(1, width + 1)), pa.array(np.diff(sums)), pa.array(np.diff(ends).astype(np.int64))], names=names,
                 )
