@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolemeter.llm import audit, exact, fingerprints, licenses, mixing, packing, quality, secrets, simhash, tokens, toxicity, urls
+from rolemeter.llm import audit, exact, fingerprints, licenses, manifest, mixing, packing, quality, secrets, simhash, tokens, toxicity, urls
 from rolemeter.llm.shared import shipped
 
 _QUERIES = {
@@ -17,9 +17,10 @@ _QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_urls": urls.op10_urls,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_manifest": manifest.op12_manifest,
     "op13_quality": quality.op13_quality,
 }
 
 REGISTRY = {name: shipped(query) for name, query in _QUERIES.items()}
 
-ORACLE = {"op5_mixing": mixing.OP5_SQL, "op8_exact": exact.OP8_SQL, "op11_filter_audit": audit.OP11_SQL, "op13_quality": quality.OP13_SQL}
+ORACLE = {"op5_mixing": mixing.OP5_SQL, "op8_exact": exact.OP8_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_manifest": manifest.OP12_SQL, "op13_quality": quality.OP13_SQL}
