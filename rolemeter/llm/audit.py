@@ -28,7 +28,7 @@ from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.layout import stored
 
 #: A shard is made of at most so many bytes of text, or of one longer text.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 22
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -76,6 +76,15 @@ def unpacked(column: pa.Array, of: type) -> np.ndarray:
     return np.frombuffer(column[0].as_py(), dtype=np.dtype(of).newbyteorder("<"))
 
 
+def packed_counts(counts: np.ndarray) -> pa.Array:
+    """Counts in 8 bits if all fit, else 32."""
+    return packed(counts, np.uint8 if not len(counts) or counts.max() < 256 else np.int32)
+
+
+def unpacked_counts(column: pa.Array, entries: int) -> np.ndarray:
+    return unpacked(column, np.uint8 if len(column[0].as_py()) == entries else np.int32)
+
+
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """First row and number of rows of consecutive slices of at most `most` bytes, or of a row that has more."""
     sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
@@ -89,8 +98,7 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tuple[Feature, ...] = ()) -> DataFrame:
     """CSR shards whose columns are numbers of the shard's own `words`; one pass over the texts.
 
-    `shard`, an array for each kept column and each feature, `indptr`, `codes`, `counts` (32-bit integers, packed) and
-    `words`. Words are runs of characters other than ASCII whitespace, case kept. A null text has none.
+    `shard`, an array for each kept column and each feature, packed `indptr`, `codes` and `counts`, and `words`. Words are runs of characters other than ASCII whitespace, case kept. A null text has none.
     """
     (body,) = fresh(keep, "body")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
@@ -107,7 +115,7 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tu
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number], pa.int64()), *(one_list(a) for a in (*part.columns[:width], *made)),
-                        *(packed(x, np.int32) for x in (indptr, codes, counts)), one_list(words.cast(pa.binary())),
+                        packed(indptr, np.int32), packed(codes, np.int32), packed_counts(counts), one_list(words.cast(pa.binary())),
                     ], names=names,
                 )
                 number += 1
@@ -153,7 +161,8 @@ def term_matrix(
     """The document-term matrix as CSR shards, and its dictionary (`word`, `id`).
 
     A shard has `shard`, an array for each kept column and feature with the rows' values, and packed
-    little-endian `indptr` (32 bits), `indices` (64 bits; global ids, dense from 0) and `data` (counts, 32 bits). Documents are not cut, so a shard holds
+    little-endian `indptr` (32 bits), `indices` (64 bits; global ids, dense from 0) and `data`
+    (counts, in 8 bits if all of the shard fit, else 32). Documents are not cut, so a shard holds
     SHARD_BYTES of text or one longer document. What is shuffled to number the words is a
     row for each distinct word of a shard; a frequent word has a row a shard, a few bytes each.
     Repeated rows are rows of their own; an empty table gives no shards and no words.
@@ -191,7 +200,7 @@ def row_counts(matrix: DataFrame) -> DataFrame:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
                 ends = unpacked(row.column(width + 1), np.int32)
-                sums = np.concatenate([[0], np.cumsum(unpacked(row.column(width + 3), np.int32), dtype=np.int64)])[ends]
+                sums = np.concatenate([[0], np.cumsum(unpacked_counts(row.column(width + 3), int(ends[-1])), dtype=np.int64)])[ends]
                 yield pa.RecordBatch.from_arrays(
                     [*(row.column(c).flatten() for c in range(1, width + 1)), pa.array(np.diff(sums)), pa.array(np.diff(ends).astype(np.int64))], names=names,
                 )
