@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with a controlled share of false finds.
 
-Runs of 20 or more characters of a code alphabet are candidates. For each the smallest alphabet
+Runs of 20 or more characters of a code alphabet are candidates, whole, without their marks, or by
+the parts between them. For each the smallest alphabet
 that holds it is inferred (digits, hex, base32, base36, base62, base64 ...), and
 
 * chi-squared over that alphabet and the number of runs of character classes are each compared with
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 LEAST_RUN = 20
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}={{0,2}}")
+PART = re.compile("[A-Za-z0-9]+")
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 RUN_BYTES = bytes(120 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 32 for c in range(256))
 HEX_BYTES = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
@@ -92,7 +96,7 @@ def binomial_at_least(n: int, p: float, k: int) -> float:
 
 
 def battery(run: str) -> tuple[str, float]:
-    """The inferred encoding and the p-value of a run: small if prose would hardly look like it.
+    """The inferred encoding and the p-value of a string: small if prose would hardly look like it.
 
     1.0 for a run that a random string of its encoding would hardly give either.
     """
@@ -144,18 +148,45 @@ def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def tested(run: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p-value) of what a run is taken for: the whole, or its parts between marks.
+
+    A run with marks in it may be a code that has them, one written in groups (its marks are then
+    left out, as in a UUID), or a code behind the words of a path. All are tested, and the p-values multiplied by
+    the number of tests; where a part is the least likely, the parts are the candidates.
+    """
+    body = run.rstrip("=")
+    parts = [m.span() for m in PART.finditer(body)]
+    if len(parts) < 2 and parts == [(0, len(body))]:
+        return [(0, len(run), *battery(run))]
+    joined = "".join(PART.findall(body))
+    whole = [battery(run), *([battery(joined)] if len(joined) >= LEAST_RUN else [])]
+    long_parts = [(s, e, *battery(body[s:e])) for s, e in parts if e - s >= LEAST_RUN]
+    n = len(whole) + len(long_parts)
+    name, p = min(whole, key=lambda x: x[1])
+    if any(x[3] < p for x in long_parts):
+        return [(s, e, x, min(1.0, q * n)) for s, e, x, q in long_parts]
+    return [(0, len(run), name, min(1.0, p * n))]
+
+
 def candidates(text: str, data: bytes, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs that lie inside no base span, with their band and rounded p-value."""
+    """Runs, or their parts, that lie inside no base span, with their band and rounded p-value."""
     if b"x" * LEAST_RUN not in data.translate(RUN_BYTES):
         return []
     out = []
-    covered = sorted((s, e) for s, _, e in base)
+    starts = [s for s, _, _ in base]  # in order; the farthest end so far tells whether any span holds a run
+    farthest = list(accumulate((e for _, _, e in base), max))
+
+    def held(start: int, end: int) -> bool:
+        before = bisect_right(starts, start)
+        return before > 0 and farthest[before - 1] >= end
+
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(s <= start and end <= e for s, e in covered):
-            continue
-        name, p = battery(m[0])
-        out.append({"start": start, "end": end, "encoding": name, "band": band(end - start), "bin": min(MOST_BIN, int(-10 * math.log10(max(p, 1e-60))))})
+        for first, last, name, p in () if held(*m.span()) else tested(m[0]):
+            start, end = m.start() + first, m.start() + last
+            if held(start, end):
+                continue
+            out.append({"start": start, "end": end, "encoding": name, "band": band(end - start), "bin": min(MOST_BIN, int(-10 * math.log10(max(p, 1e-60))))})
     return out
 
 
@@ -165,7 +196,7 @@ CANDIDATE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("en
 
 def scan_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document with its base spans and its tested candidates."""
-    body, base, tested = fresh(keep, "body", "base", "tested")
+    body, base, runs_ = fresh(keep, "body", "base", "tested")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +208,23 @@ def scan_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 found = base_spans(t, data)
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
                 runs.append(candidates(t, data, found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bases, SPAN), pa.array(runs, CANDIDATE)], names=[*keep, base, tested])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bases, SPAN), pa.array(runs, CANDIDATE)], names=[*keep, base, runs_])
 
     schema = ", ".join([
         *(f"`{c}` {kind(docs, c)}" for c in keep), f"`{base}` array<struct<start:bigint,kind:int,end:bigint>>",
-        f"`{tested}` array<struct<start:bigint,end:bigint,encoding:string,band:int,bin:int>>",
+        f"`{runs_}` array<struct<start:bigint,end:bigint,encoding:string,band:int,bin:int>>",
     ])
     return rows.mapInArrow(scan, schema)
 
 
-def thresholds(tested: DataFrame, level: float) -> list[int]:
+def thresholds(runs: DataFrame, level: float) -> list[int]:
     """For each length band the least rounded p-value that counts as a find.
 
-    `tested` has `band` and `bin` of every candidate. What reaches the driver is one count for each
+    `runs` has `band` and `bin` of every candidate. What reaches the driver is one count for each
     band and bin: at most four times 401 rows, whatever the corpus.
     """
     counts = np.zeros((len(BANDS) + 1, MOST_BIN + 1), dtype=np.int64)
-    for b, k, n in tested.groupBy("band", "bin").count().collect():
+    for b, k, n in runs.groupBy("band", "bin").count().collect():
         counts[b, k] = n
     least = []
     for row in counts:
@@ -210,15 +241,19 @@ def secret_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     has no spans; repeated rows are scanned one by one, and each counts as a test of its own.
     """
     (spans,) = fresh(keep, "spans")
-    base, tested = fresh(keep, "base", "tested")
+    base, runs = fresh(keep, "base", "tested")
     scanned = checkpointed(scan_spans(docs, text, keep))
-    least = thresholds(scanned.select(F.explode(tested).alias("c")).select("c.band", "c.bin"), level)
+    least = thresholds(scanned.select(F.explode(runs).alias("c")).select("c.band", "c.bin"), level)
     bound = F.array(*[F.lit(x) for x in least])
-    found = F.filter(tested, lambda c: c["bin"] >= F.element_at(bound, c["band"] + 1))
+    found = F.filter(runs, lambda c: c["bin"] >= F.element_at(bound, c["band"] + 1))
     extra = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.select(*keep, F.array_sort(F.concat(F.col(base), extra)).alias(spans))
 
 
+def _of_kind(k: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == k  # a second parameter would get the element's place
+
+
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans as text."""
     found = secret_scan(table(spark, sf_dir, "documents"))
@@ -228,9 +263,5 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
         names = F.array(*[F.lit(k) for k in KINDS])
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    return found.select(
-        "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda s: s["kind"] == 3)).cast("long").alias("n_random"),
-    )
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts[:3], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), counts[3])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -144,12 +145,47 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert (kind, start, end) == (3, 8, 48)
 
 
-def test_secret_query_digest(spark):
-    from rolemeter.llm.secrets import secret_scan
-
-    assert secret_scan(empty(spark)).isEmpty()
-    assert secret_scan(odd(spark)).count() == len(ODD) + 2
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_secret_query_columns(spark, tmp_path):
+    r = random.Random(12)
+    pieces = ["token=", "abcdef", "password: x9", "AKIA", "ABCDEFGH12345678Z", "0123456789abcdef", "deadbeefdeadbeef", " ", "\n", "é", "𝔘"]
+    texts = [*ODD, *("".join(r.choice(pieces) for _ in range(30)) for _ in range(200))]
+    frame(spark, texts).unionByName(odd(spark).where("doc_id IS NULL OR doc_id = 6")).write.parquet(str(tmp_path / "documents.parquet"))
+    names = ("assign", "access", "hex")
+    found = secrets.op4_secrets(spark, str(tmp_path)).collect()
+    assert len(found) == len(texts) + 3
+    for x in found:
+        spans = plain_secrets("no id here but some words" if x["doc_id"] is None else texts[x["doc_id"]])
+        listed = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
+        assert [x["n_assign"], x["n_access"], x["n_hex"]] == [sum(k == n for _, k, _ in spans) for n in range(3)]
+        assert x["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        every = [tuple(p.split(":")) for p in x["spans"].split(",") if p]
+        assert ",".join(":".join(p) for p in every if p[0] != "random") == listed
+        order = [(int(s), ("assign", "access", "hex", "random").index(k)) for k, s, _ in every]
+        assert order == sorted(order) and x["n_random"] == sum(k == 3 for _, k in order)
+    assert secrets.secret_scan(empty(spark)).isEmpty()
+
+
+def test_groups_and_tokens_behind_paths_are_tested():
+    r = random.Random(7)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    groups = ["-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)) for _ in range(300)]
+    behind = ["config/prod/api-" + "".join(r.choice(base62) for _ in range(32)) for _ in range(300)]
+    alone = [x[16:] for x in behind]
+    p = {k: [min(q for *_, q in secrets.tested(x)) for x in v] for k, v in (("groups", groups), ("behind", behind), ("alone", alone))}
+    share = {k: sum(q < 1e-3 for q in v) / len(v) for k, v in p.items()}
+    assert share["groups"] > 0.9 and share["behind"] > 0.97 and share["alone"] > 0.97
+    assert min(q for x in ("usr-local-lib-python-site-packages-numpy", "characteristically-internationalization") for *_, q in secrets.tested(x)) > 0.1
+    start, end, _, _ = secrets.tested(behind[0])[0]
+    assert (start, end) == (16, 48)
+
+
+def test_many_keys_in_one_text_take_linear_time():
+    r = random.Random(8)
+    text = "\n".join("%032x" % r.getrandbits(128) for _ in range(100_000))
+    started = time.perf_counter()
+    base = secrets.base_spans(text, text.encode())
+    assert secrets.candidates(text, text.encode(), base) == [] and len(base) == 100_000
+    assert time.perf_counter() - started < 5
 
 
 def plain_url(url):
