@@ -16,6 +16,7 @@ from rolemeter.functions.text import normalize, sentences
 from rolemeter.functions.vectors import sparse_vector
 from rolemeter.operators import embeddings, gaps, long_form, report, study_plan
 from rolemeter.operators.dimensions import lookup_join
+from rolemeter.operators.identity import identified
 from rolemeter.operators.layout import computed_once, spread, stored
 from rolemeter.operators.skills import Semantic, skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_focus, with_plan
@@ -429,10 +430,13 @@ def score_table(rows: DataFrame) -> DataFrame:
     )
 
 
+LONG_CHARS = 4000
+
+
 def large_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Skill scores of the long form, and the resumes it was asked about."""
-    asked = resumes(spark, sf_dir)
-    return analyse_large(long_form.segments_of(asked), fixtures.role_skills(spark), fixtures.SEMANTIC), asked
+    """Skill scores of the long form, and the resumes it was asked about. Texts over LONG_CHARS are cut into lines."""
+    asked = identified(resumes(spark, sf_dir))
+    return analyse_large(long_form.segments_of(asked, LONG_CHARS), fixtures.role_skills(spark), fixtures.SEMANTIC), asked
 
 
 @registered("q_large_scores")
@@ -443,7 +447,7 @@ def large_score_rows(spark, sf_dir):
 @registered("q_large_readiness")
 def large_readiness(spark, sf_dir):
     scores, asked = large_scores(spark, sf_dir)
-    return readiness_of(scores, known_roles(asked.select("resume_id", "target_role"), fixtures.role_skills(spark)))
+    return readiness_of(scores, known_roles(asked.drop("text"), fixtures.role_skills(spark)))
 
 
 @registered("q_large_gaps")

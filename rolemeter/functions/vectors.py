@@ -57,7 +57,7 @@ def squared_norm(sorted_buckets: Column) -> Column:
     return let(starts, total)
 
 
-def _with_norm(sorted_buckets: Column) -> Column:
+def with_norm(sorted_buckets: Column) -> Column:
     return let(
         sorted_buckets,
         lambda b: F.struct(b.alias("buckets"), F.sqrt(squared_norm(b).cast("double")).alias("norm")),
@@ -66,7 +66,7 @@ def _with_norm(sorted_buckets: Column) -> Column:
 
 def sparse_vector(text: Column, dim: int) -> Column:
     """Hashed term-count vector of a text as its sorted buckets and its norm."""
-    return _with_norm(term_buckets(text, dim))
+    return with_norm(term_buckets(text, dim))
 
 
 def chunk_vectors(text: Column, size: int, dim: int) -> Column:
@@ -81,7 +81,7 @@ def chunk_vectors(text: Column, size: int, dim: int) -> Column:
         lambda texts: F.transform(texts, lambda t: buckets(tokens(t), dim)),
         lambda _, hashed, i: F.flatten(F.slice(hashed, i + 1, F.lit(size))),
     )
-    return F.transform(gathered, lambda b: _with_norm(F.sort_array(b)))
+    return F.transform(gathered, lambda b: with_norm(F.sort_array(b)))
 
 
 def dense_counts(sorted_buckets: Column, dim: int) -> Column:

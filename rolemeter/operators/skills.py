@@ -20,8 +20,13 @@ from rolemeter.functions.scoring import MODEL_CEILING, MODEL_FLOOR, blend, calib
 from rolemeter.functions.vectors import (
     any_counts, best_mean, chunk_vectors, dense_counts, only_buckets, sparse_cosine, sparse_vector,
 )
+from rolemeter.operators.dimensions import lookup_join
+from rolemeter.operators.identity import document_columns, join_documents
 from rolemeter.sources.profiles import query_text
 
+# Beyond the broadcast bound a role with more skills is as many rows; no row holds a role of any size.
+ROLE_PART = 1024
+
 
 @dataclass(frozen=True)
 class Semantic:
@@ -55,14 +60,19 @@ def prepared_skills(role_skills: DataFrame, semantic: Semantic) -> DataFrame:
     )
 
 
-def role_rows(role_skills: DataFrame, semantic: Semantic) -> DataFrame:
+def role_rows(role_skills: DataFrame, semantic: Semantic, part: int | None = None) -> DataFrame:
     """One row per role with the array of its prepared skills, empty for a role without any.
 
-    For role tables of checked size only.
+    With `part` a role has a row for each so many skills, numbered by `part`.
     """
     entry = F.struct("skill_ord", "skill", "weight", "probes", "counts", "query_norm")
     entries = F.collect_list(F.when(F.col("skill").isNotNull(), entry))
-    rows = prepared_skills(role_skills, semantic).groupBy("role", "role_ord").agg(F.array_sort(entries).alias("skills"))
+    prepared = prepared_skills(role_skills, semantic)
+    keys = ["role", "role_ord"]
+    if part:
+        keys.append("part")
+        prepared = prepared.withColumn("part", F.floor(F.coalesce("skill_ord", F.lit(0)) / part))
+    rows = prepared.groupBy(*keys).agg(F.array_sort(entries).alias("skills"))
     return rows.withColumn("wanted", any_counts(F.transform("skills", lambda s: s.counts)))
 
 
@@ -75,9 +85,9 @@ def features(resumes: DataFrame, semantic: Semantic) -> DataFrame:
     """What scoring needs of a document: lower-cased text and, if hashed, chunk vectors."""
     lowered = F.lower("text").alias("lower_text")
     if semantic.provider != "hashed":
-        return resumes.select("resume_id", "target_role", lowered)
+        return resumes.select(*document_columns(resumes), lowered)
     vectors = vectors_column(semantic.chunk_size, semantic.dim)
-    return resumes.select("resume_id", "target_role", lowered, vectors.alias("vectors"))
+    return resumes.select(*document_columns(resumes), lowered, vectors.alias("vectors"))
 
 
 def hashed_similarity(skill: Column) -> Column:
@@ -143,24 +153,36 @@ def finished(evidence: Column, semantic: Semantic) -> Column:
     ))
 
 
+def with_role(rows: DataFrame, roles: DataFrame, small: bool) -> DataFrame:
+    """Rows joined to the row (or parts) of the role they ask for.
+
+    Beyond the broadcast bound both sides shuffle, once; rows of one role are dealt by their own numbers, so
+    that rows that are all alike are split too.
+    """
+    if small:
+        return rows.join(F.broadcast(roles), F.col("target_role") == F.col("role"), "inner")
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id())
+    return lookup_join(dealt, roles.withColumnRenamed("role", "target_role"), "target_role", "inner", False, "_row").drop("_row")
+
+
 def score_skills(
-    resumes: DataFrame, roles: DataFrame, semantic: Semantic, similarities: DataFrame | None = None
+    resumes: DataFrame, roles: DataFrame, semantic: Semantic, similarities: DataFrame | None = None, small: bool = True
 ) -> DataFrame:
     """`resume_id, target_role, skills` for resumes whose role is in `roles` (see `role_rows`).
 
-    With `similarities` (`resume_id, target_role, similarities`), keywords are matched first, so that the
-    join by resume moves short rows and no texts.
+    A `doc_key` of the resumes and the `part` of the roles are kept. `small` tells whether the
+    roles may be broadcast. With `similarities` (`resume_id, target_role, similarities`, or by
+    `doc_key`), keywords are matched first, so that the join by resume moves short rows and no texts.
     """
-    matched = features(resumes, semantic).join(F.broadcast(roles), F.col("target_role") == F.col("role"), "inner")
+    kept = [*document_columns(resumes), *(["part"] if "part" in roles.columns else [])]
+    matched = with_role(features(resumes, semantic), roles, small)
     if similarities is None:
         if semantic.provider == "hashed":
             relevant = F.transform("vectors", lambda v: only_buckets(v, F.col("wanted")))
-            matched = matched.select("resume_id", "target_role", "lower_text", "skills", relevant.alias("vectors"))
-        return matched.select("resume_id", "target_role", scored_entries(semantic).alias("skills"))
-    evidence = matched.select("resume_id", "target_role", keyword_evidence().alias("evidence"))
-    return evidence.join(similarities, ["resume_id", "target_role"], "left").select(
-        "resume_id", "target_role", given_entries(semantic).alias("skills")
-    )
+            matched = matched.select(*kept, "lower_text", "skills", relevant.alias("vectors"))
+        return matched.select(*kept, scored_entries(semantic).alias("skills"))
+    evidence = matched.select(*kept, keyword_evidence().alias("evidence"))
+    return join_documents(evidence, similarities).select(*kept, given_entries(semantic).alias("skills"))
 
 
 def weighted_mean(skills: Column) -> Column:
@@ -187,7 +209,8 @@ def readiness_column() -> Column:
 
 def skill_rows(scored: DataFrame) -> DataFrame:
     """One row per resume and skill."""
-    return scored.select("resume_id", F.col("target_role").alias("role"), F.inline("skills"))
+    own = [c for c in document_columns(scored) if c != "target_role"]
+    return scored.select(*own, F.col("target_role").alias("role"), F.inline("skills"))
 
 
 def skill_map(skills: Column) -> Column:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemeter.functions.scoring import WEAK_BELOW, gap, tier
 from rolemeter.operators import dimensions
 from rolemeter.operators.dimensions import is_small
+from rolemeter.operators.embeddings import model_similarities
 from rolemeter.operators.gaps import FOCUS_SKILLS, MISSING_SHOWN, heaviest, names, weak_column
-from rolemeter.operators.long_form import KEY, score_rows, segments_of
-from rolemeter.operators.skills import Semantic, readiness_column, role_rows, score_skills
+from rolemeter.operators.identity import DOC_KEY, document_columns, identified, join_documents
+from rolemeter.operators.layout import stored
+from rolemeter.operators.long_form import score_rows
+from rolemeter.operators.skills import ROLE_PART, Semantic, readiness_column, role_rows, score_skills
 from rolemeter.operators.study_plan import with_study_plan
-from rolemeter.plans.validation import known_roles
+
+ANALYSED = [DOC_KEY, "resume_id", "target_role", "skills", "readiness_score", "gaps", "readiness_tier", "n_skills", "n_gaps"]
 
 
 def roll_up(scored: DataFrame) -> DataFrame:
@@ -38,23 +44,32 @@ def analyse(
     semantic: Semantic = Semantic(),
     similarities: DataFrame | None = None,
 ) -> DataFrame:
-    """`resume_id, target_role, skills, readiness_score, gaps, readiness_tier, n_skills, n_gaps`.
+    """`resume_id, target_role, skills, readiness_score, gaps, readiness_tier, n_skills, n_gaps`, and a `doc_key` the resumes have.
 
-    One row per resume whose role is known. With a role table of proven small size it is
-    broadcast, one row per role, and everything else is local to a resume: nothing is
-    shuffled, and a stream works as well. A larger role table goes through the long form.
+    One row per resume whose role is known, whatever its id: everything is local to a resume's row. With
+    a role table of proven small size, which is broadcast, nothing is shuffled, and a stream
+    works as well. A larger one is joined by one salted shuffle. Only where a role has more than
+    ROLE_PART skills are its parts put together again, by a key of the row's own.
     """
     if fits_rows(role_skills, semantic):
         return roll_up(score_skills(resumes, role_rows(role_skills, semantic), semantic, similarities))
-    rows = score_rows(segments_of(resumes), role_skills, semantic, similarities)
-    entry = F.struct(
-        "skill_ord", "skill", "score", "weight", "level", "matched_keywords", "missing_keywords", "semantic_similarity"
-    )
-    # The result has a role's skills in one row, so this gathers what the row holds and no more.
-    per_resume = rows.withColumnRenamed("role", "target_role").groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("skills"))
-    known = known_roles(resumes.select("resume_id", "target_role"), role_skills, small=False)
-    none = F.array().cast(per_resume.schema["skills"].dataType)
-    return roll_up(known.join(per_resume, KEY, "left").withColumn("skills", F.coalesce("skills", none)))
+    roles = stored(role_rows(role_skills, semantic, ROLE_PART), "roles")
+    if roles.where("part > 0").isEmpty():
+        return roll_up(score_skills(resumes, roles.drop("part"), semantic, similarities, small=False))
+    scored = score_skills(identified(resumes), roles, semantic, similarities, small=False)
+    names = document_columns(scored)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "skills")))
+    whole = scored.groupBy(*names).agg(F.flatten(F.transform(ordered, lambda p: p.skills)).alias("skills"))
+    return roll_up(whole.select(*document_columns(resumes), "skills"))
+
+
+def analyse_with_model(
+    resumes: DataFrame, role_skills: DataFrame, embed: Callable, semantic: Semantic, vectors: str | None = None
+) -> DataFrame:
+    """`analyse` with the vectors of a model, see `operators.embeddings`. Every row is a document of its own, whatever its id."""
+    keyed = identified(resumes)
+    similarities = model_similarities(keyed, role_skills, embed, semantic.chunk_size, vectors)
+    return analyse(keyed, role_skills, semantic, similarities).select(*[c for c in ANALYSED if c != DOC_KEY or DOC_KEY in resumes.columns])
 
 
 def with_focus(analysed: DataFrame) -> DataFrame:
@@ -74,29 +89,35 @@ def with_plan(analysed: DataFrame, curriculum: DataFrame) -> DataFrame:
 def analyse_large(segments: DataFrame, role_skills: DataFrame, semantic: Semantic = Semantic()) -> DataFrame:
     """Skill scores of documents and role tables of any size, one row per document and skill.
 
-    Same values as `analyse`. Several results are derived from these rows, so write them to a
-    table first and pass that to the functions below.
+    Same values as `analyse`, with the `doc_key` of the document. Several results are derived from
+    these rows, so write them to a table first and pass that to the functions below.
     """
-    return score_rows(segments, role_skills, semantic)
+    return score_rows(segments, role_skills, semantic, small=fits_rows(role_skills, semantic))
+
+
+def _own(scores: DataFrame) -> list[str]:
+    return [c for c in (DOC_KEY, "resume_id", "role") if c in scores.columns]
 
 
 def readiness_of(scores: DataFrame, documents: DataFrame) -> DataFrame:
     """Readiness, tier and counts from skill scores in rows.
 
-    `documents` holds `resume_id, target_role` of all resumes whose role is known; one whose role
-    has no skills gets 0.0, as in `analyse`.
+    `documents` holds `resume_id, target_role` of all resumes whose role is known, or rather their `doc_key`
+    too, without which rows of one id and role are one; one whose role has no skills gets 0.0, as in `analyse`.
     """
     ordered = F.array_sort(F.collect_list(F.struct("skill_ord", "score", "weight")))
-    rolled = scores.groupBy("resume_id", "role").agg(
+    own = _own(scores)
+    rolled = scores.groupBy(*own).agg(
         ordered.alias("skills"),
         F.count(F.lit(1)).alias("n_skills"),
         F.count_if(F.col("score") < WEAK_BELOW).alias("n_gaps"),
-    )
+    ).withColumnRenamed("role", "target_role")
     none = F.array().cast(rolled.schema["skills"].dataType)
-    asked = documents.select("resume_id", F.col("target_role").alias("role")).distinct()
+    asked = documents.select(*document_columns(documents))
+    asked = asked if DOC_KEY in asked.columns else asked.distinct()
     zero = F.lit(0).cast("bigint")
-    rolled = asked.join(rolled, ["resume_id", "role"], "left").select(
-        "resume_id", "role", F.coalesce("skills", none).alias("skills"),
+    rolled = join_documents(asked, rolled).select(
+        "resume_id", F.col("target_role").alias("role"), F.coalesce("skills", none).alias("skills"),
         F.coalesce("n_skills", zero).alias("n_skills"), F.coalesce("n_gaps", zero).alias("n_gaps"),
     )
     scored = rolled.withColumn("readiness_score", readiness_column())
@@ -107,7 +128,7 @@ def readiness_of(scores: DataFrame, documents: DataFrame) -> DataFrame:
 
 def gaps_of(scores: DataFrame) -> DataFrame:
     """Weak skills with their priority from skill scores in rows."""
-    order = Window.partitionBy("resume_id", "role").orderBy(F.desc("weight"), "score", "skill_ord")
+    order = Window.partitionBy(*_own(scores)).orderBy(F.desc("weight"), "score", "skill_ord")
     weak = scores.where(F.col("score") < WEAK_BELOW)
     return weak.select(
         "resume_id", "role", F.row_number().over(order).alias("priority"), "skill_ord", "skill", "score", "weight",
@@ -117,19 +138,21 @@ def gaps_of(scores: DataFrame) -> DataFrame:
 
 
 def plan_of(scores: DataFrame, curriculum: DataFrame) -> DataFrame:
-    """Study plans from skill scores in rows: `resume_id, target_role, study_plan`."""
-    by_weight = Window.partitionBy("resume_id", "role").orderBy(F.desc("weight"), "skill_ord")
-    by_gap = Window.partitionBy("resume_id", "role").orderBy(F.desc("weight"), "score", "skill_ord")
-
-    def first_three(rows: DataFrame, order, name: str) -> DataFrame:
-        ranked = rows.select("resume_id", "role", "skill", F.row_number().over(order).alias("place"))
-        kept = ranked.where(F.col("place") <= FOCUS_SKILLS).groupBy("resume_id", "role")
-        return kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "skill"))), lambda r: r.skill).alias(name))
-
-    top = first_three(scores, by_weight, "top_names")
-    weak = first_three(scores.where(F.col("score") < WEAK_BELOW), by_gap, "gap_names")
-    none = F.array().cast("array<string>")
-    focused = top.join(weak, ["resume_id", "role"], "left").select(
-        "resume_id", F.col("role").alias("target_role"), "top_names", F.coalesce("gap_names", none).alias("gap_names")
+    """Study plans from skill scores in rows: `resume_id, target_role, study_plan`.
+
+    What is grouped by document is its six first skills at most, by the two orders.
+    """
+    own = _own(scores)
+    by_weight = Window.partitionBy(*own).orderBy(F.desc("weight"), "skill_ord")
+    by_gap = Window.partitionBy(*own).orderBy(F.col("score") >= WEAK_BELOW, F.desc("weight"), "score", "skill_ord")
+    ranked = scores.select(*own, "skill", "score", F.row_number().over(by_weight).alias("top"), F.row_number().over(by_gap).alias("weak"))
+    ranked = ranked.withColumn("weak", F.when(F.col("score") < WEAK_BELOW, F.col("weak")))
+
+    def first_three(place: str):
+        chosen = F.collect_list(F.when(F.col(place) <= FOCUS_SKILLS, F.struct(place, "skill")))
+        return F.transform(F.array_sort(chosen), lambda r: r.skill)
+
+    focused = ranked.where((F.col("top") <= FOCUS_SKILLS) | (F.col("weak") <= FOCUS_SKILLS)).groupBy(*own).agg(
+        first_three("top").alias("top_names"), first_three("weak").alias("gap_names")
     )
-    return with_study_plan(focused, curriculum)
+    return with_study_plan(focused.select("resume_id", F.col("role").alias("target_role"), "top_names", "gap_names"), curriculum)
