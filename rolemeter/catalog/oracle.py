@@ -590,3 +590,15 @@ def _two_roles(form: str, **replaced: tuple[list[str], str]) -> str:
 ORACLE["q_two_roles"] = " UNION ALL ".join(
     f"SELECT * FROM ({body})" for body in (_two_roles("rows"), _two_roles("long"), _two_roles("model", **_MODEL))
 )
+
+
+def _repeated(form: str, **replaced: tuple[list[str], str]) -> str:
+    return statement(["readiness"], f"""
+        SELECT {text(form)} AS form, CASE WHEN resume_id % 10 <> 0 THEN CAST(resume_id - resume_id % 3 AS VARCHAR) ELSE 'none' END AS resume_id, role, readiness_score, n_skills, n_gaps
+        FROM (SELECT *, unnest(range(CASE WHEN resume_id % 7 = 0 THEN 2 ELSE 1 END)) FROM readiness)""", **replaced)
+
+
+# Repeated and null ids change nothing but the id.
+ORACLE["q_repeated_ids"] = " UNION ALL ".join(
+    f"SELECT * FROM ({body})" for body in (*map(_repeated, ("rows", "shuffled", "long", "stream")), _repeated("model", **_MODEL))
+)

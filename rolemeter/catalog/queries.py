@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.identity import identified
 from rolemeter.operators.layout import computed_once, spread, stored
 from rolemeter.operators.skills import Semantic, skill_rows
-from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_focus, with_plan
+from rolemeter.plans.analysis import analyse, analyse_large, analyse_with_model, gaps_of, plan_of, readiness_of, with_focus, with_plan
 from rolemeter.plans.intake import intake, readiness_of_files
 from rolemeter.plans.validation import known_roles, long_enough, resume_rejects, with_listing
 from rolemeter.schemas import VECTORS
@@ -531,6 +532,36 @@ def two_roles_in_every_form(spark, sf_dir):
     return rows.select(*TWO_ROLES).unionByName(long_rows.select(*TWO_ROLES)).unionByName(of_rows("model", by_model).select(*TWO_ROLES))
 
 
+def with_repeats(asked: DataFrame) -> DataFrame:
+    """Resumes whose ids repeat or are null; some rows come twice, alike in everything."""
+    twice = F.explode(F.when(F.col("resume_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    number = F.when(F.col("resume_id") % 10 != 0, F.col("resume_id") - F.col("resume_id") % 3)
+    return asked.withColumn("_twice", twice).drop("_twice").withColumn("resume_id", number)
+
+
+@registered("q_repeated_ids")
+def repeated_ids(spark, sf_dir):
+    """Every row is answered for itself, in every form, where ids repeat or are null."""
+    role_skills = fixtures.role_skills(spark)
+    asked = identified(with_repeats(resumes(spark, sf_dir)))
+    plain = asked.drop("doc_key")
+    scores = stored(analyse_large(long_form.segments_of(asked, LONG_CHARS), role_skills, fixtures.SEMANTIC, small=False), "scores")
+    folder = scratch_dir(spark, "repeated-ids")
+    arriving = with_repeats(document_stream(spark, sf_dir).where(long_enough(F.col("text"))))
+    streamed = score_stream(arriving, role_skills, fixtures.SEMANTIC).selectExpr(*READINESS)
+    write_stream(streamed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    forms = {
+        "rows": analyse(plain, role_skills, fixtures.SEMANTIC).selectExpr(*READINESS),
+        "shuffled": analyse(plain, role_skills, fixtures.SEMANTIC, small=False).selectExpr(*READINESS),
+        "long": readiness_of(scores, known_roles(asked.drop("text"), role_skills)),
+        "stream": spark.read.schema(streamed.schema).parquet(f"{folder}/out"),
+        "model": analyse_with_model(plain, role_skills, letter_model(), fixtures.MODEL_SEMANTIC).selectExpr(*READINESS),
+    }
+    found = [rows.withColumn("form", F.lit(form)) for form, rows in forms.items()]
+    named = F.coalesce(F.col("resume_id").cast("string"), F.lit("none")).alias("resume_id")
+    return reduce(DataFrame.unionByName, found).select("form", named, "role", "readiness_score", "n_skills", "n_gaps")
+
+
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     reader = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet")

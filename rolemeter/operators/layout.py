@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rolemeter.session import scratch_dir
@@ -43,3 +43,10 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_dir(rows.sparkSession, purpose)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def stored_counted(rows: DataFrame, purpose: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`stored`, with aggregates of the rows that were written, counted in the same pass."""
+    seen = Observation(purpose)
+    kept = stored(rows.observe(seen, *[c.alias(name) for name, c in counts.items()]), purpose)
+    return kept, {name: int(seen.get.get(name) or 0) for name in counts}

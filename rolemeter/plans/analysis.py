@@ -43,15 +43,17 @@ def analyse(
     role_skills: DataFrame,
     semantic: Semantic = Semantic(),
     similarities: DataFrame | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """`resume_id, target_role, skills, readiness_score, gaps, readiness_tier, n_skills, n_gaps`, and a `doc_key` the resumes have.
 
     One row per resume whose role is known, whatever its id: everything is local to a resume's row. With
     a role table of proven small size, which is broadcast, nothing is shuffled, and a stream
     works as well. A larger one is joined by one salted shuffle. Only where a role has more than
-    ROLE_PART skills are its parts put together again, by a key of the row's own.
+    ROLE_PART skills are its parts put together again, by a key of the row's own. `small` tells
+    whether the role table may be broadcast; by default it is measured.
     """
-    if fits_rows(role_skills, semantic):
+    if fits_rows(role_skills, semantic) if small is None else small:
         return roll_up(score_skills(resumes, role_rows(role_skills, semantic), semantic, similarities))
     roles = stored(role_rows(role_skills, semantic, ROLE_PART), "roles")
     if roles.where("part > 0").isEmpty():
@@ -86,13 +88,15 @@ def with_plan(analysed: DataFrame, curriculum: DataFrame) -> DataFrame:
     return with_study_plan(with_focus(analysed), curriculum)
 
 
-def analyse_large(segments: DataFrame, role_skills: DataFrame, semantic: Semantic = Semantic()) -> DataFrame:
+def analyse_large(
+    segments: DataFrame, role_skills: DataFrame, semantic: Semantic = Semantic(), small: bool | None = None
+) -> DataFrame:
     """Skill scores of documents and role tables of any size, one row per document and skill.
 
     Same values as `analyse`, with the `doc_key` of the document. Several results are derived from
     these rows, so write them to a table first and pass that to the functions below.
     """
-    return score_rows(segments, role_skills, semantic, small=fits_rows(role_skills, semantic))
+    return score_rows(segments, role_skills, semantic, small=fits_rows(role_skills, semantic) if small is None else small)
 
 
 def _own(scores: DataFrame) -> list[str]:

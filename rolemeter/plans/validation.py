@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolemeter.functions.text import strip
 from rolemeter.operators.dimensions import lookup_join
+from rolemeter.operators.identity import document_columns
 
 MIN_ANALYSIS_CHARS = 10
 
@@ -48,15 +49,15 @@ def known_roles(resumes: DataFrame, role_skills: DataFrame, small: bool | None =
 
 
 def resume_rejects(resumes: DataFrame, role_skills: DataFrame, small: bool | None = None) -> DataFrame:
-    """`resume_id, target_role, stage, reason` of resumes that are too short, ask for an unknown role, or for
+    """`resume_id, target_role, stage, reason`, and a `doc_key` they have, of resumes that are too short, ask for an unknown role, or for
     a role without skills, for which there is no plan. First check wins. `with_listing` completes
     the message about unknown roles.
     """
     roles = role_sizes(role_skills).withColumnRenamed("role", "target_role")
     looked_up = lookup_join(resumes, roles, "target_role", "left", small)
+    own = document_columns(resumes)
     checked = looked_up.select(
-        "resume_id",
-        "target_role",
+        *own,
         F.when(~long_enough(F.col("text")), F.struct(F.lit("analyse").alias("stage"), F.lit(TOO_SHORT).alias("reason")))
         .when(
             F.col("role_skills").isNull(),
@@ -68,4 +69,4 @@ def resume_rejects(resumes: DataFrame, role_skills: DataFrame, small: bool | Non
         .when(F.col("role_skills") == 0, F.struct(F.lit("plan").alias("stage"), F.lit(NO_SKILLS).alias("reason")))
         .alias("refusal"),
     )
-    return checked.where(F.col("refusal").isNotNull()).select("resume_id", "target_role", "refusal.stage", "refusal.reason")
+    return checked.where(F.col("refusal").isNotNull()).select(*own, "refusal.stage", "refusal.reason")

@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, as `--py-files` would.
+
+    Tasks that run Python import it; where it is installed on every machine this changes nothing.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for file in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, file)
+                out.write(path, os.path.join(name, os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
 
 def build_session(app: str = "rolemeter", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on. On a cluster the submitter's settings win."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemeter import schemas
 from rolemeter.functions.text import has_extension, normalize
 from rolemeter.operators.layout import computed_once
+from rolemeter.session import ship
+
+# A page of a file: its text, or a function that reads it.
+Page = str | Callable[[], str]
 
 MIN_TXT_CHARS = 10
 
@@ -93,28 +98,38 @@ def file_rejects(files: DataFrame) -> DataFrame:
     return classified(files).where(F.col("reason").isNotNull()).drop("text", "pdf")
 
 
-def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+def pdf_pages(files: DataFrame, extract: Callable[[bytes], Iterable[Page]] | None = None) -> DataFrame:
     """Pages of the accepted PDF files among `files`, see `read_pages`."""
     pdfs = classified(files).where(F.col("pdf").isNotNull())
     return read_pages(pdfs.select("path", F.col("pdf").alias("content")), extract)
 
 
-def read_pages(pdfs: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """Pages of PDF files (`path, content`) as `path, page_no, page_text, reason`.
+def read_pages(pdfs: DataFrame, extract: Callable[[bytes], Iterable[Page]] | None = None, key: str = "path") -> DataFrame:
+    """Pages of PDF files (`key, content`) as `key, page_no, page_text, reason`.
 
-    `extract` is the caller's reader: the page texts of the bytes of one file. A file that it
-    cannot read, or that has no pages, gives one row with the reason, so none is lost. Files are
-    read and their pages given on one by one; how many contents a task holds is set by
+    `extract` is the caller's reader: the pages of the bytes of one file, each a text or a function that
+    gives it. A page whose function fails is skipped, as if it were empty. A file that cannot be
+    read, or that has no pages, gives one row with the reason, so none is lost, and none stops
+    the job. Files are read and given on one by one; how many contents a task holds is set by
     `spark.sql.execution.arrow.maxRecordsPerBatch`. Without a reader every PDF file is refused.
     """
     reasons = (NO_PAGES, ENCRYPTED_PDF, CORRUPT_PDF, FAILED_PDF)
+    ship(pdfs.sparkSession)
+
+    def text_of(page: Page) -> str | None:
+        if not callable(page):
+            return page
+        try:
+            return page()
+        except Exception:
+            return None
 
-    def rows(name: str, content: bytes) -> list[tuple]:
+    def rows(name, content: bytes) -> list[tuple]:
         no_pages, encrypted, corrupt, failed = reasons
         try:
             if extract is None:
                 raise RuntimeError("no PDF reader was given")
-            pages = extract(bytes(content))
+            pages = [text_of(page) for page in extract(bytes(content))]
         except EncryptedFile:
             return [(name, 0, None, encrypted)]
         except CorruptFile as error:
@@ -123,11 +138,14 @@ def read_pages(pdfs: DataFrame, extract: Callable[[bytes], list[str]] | None = N
             return [(name, 0, None, failed + str(error))]
         return [(name, i, text, None) for i, text in enumerate(pages)] or [(name, 0, None, no_pages)]
 
-    def read(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame(rows(name, content), columns=["path", "page_no", "page_text", "reason"])
-
-    return pdfs.mapInPandas(read, "path string, page_no int, page_text string, reason string")
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                found = rows(name.as_py(), content.as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*found), (batch.schema.types[0], pa.int32(), pa.string(), pa.string()), strict=True)],
+                    names=[key, "page_no", "page_text", "reason"],
+                )
+
+    kind = pdfs.schema[key].dataType.simpleString()
+    return pdfs.select(key, "content").mapInArrow(read, f"`{key}` {kind}, page_no int, page_text string, reason string")

@@ -14,7 +14,7 @@ from rolemeter.operators.skills import skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_plan
 from rolemeter.plans.validation import known_roles, long_enough, resume_rejects, with_listing
 from rolemeter.sources import pages as page_source
-from rolemeter.sources.sinks import write_json, write_results
+from rolemeter.sources.sinks import read_results, write_json, write_results
 from rolemeter.streaming.readiness import run_stream, score_stream, write_stream
 
 
@@ -160,7 +160,7 @@ def test_sinks(spark, sf_dir, tmp_path):
     flat = analyse(queries.resumes(spark, sf_dir), fixtures.role_skills(spark), fixtures.SEMANTIC)
     planned = with_plan(flat, fixtures.curriculum(spark))
     write_results(planned, str(tmp_path / "out"))
-    read = lambda t: spark.read.parquet(str(tmp_path / "out" / t))
+    read = lambda t: read_results(spark, str(tmp_path / "out"), t)
     resumes = read("readiness")
     assert read("skill_gaps").count() == resumes.select(F.sum("n_gaps")).first()[0]
     assert read("skill_scores").count() == resumes.select(F.sum("n_skills")).first()[0]
