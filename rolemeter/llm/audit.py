@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rolemeter.llm.shared import fresh, kind, table
+from rolemeter.llm.shared import fresh, kind, slices, table
 from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.layout import stored
 
@@ -85,16 +85,6 @@ def unpacked_counts(column: pa.Array, entries: int) -> np.ndarray:
     return unpacked(column, np.uint8 if len(column[0].as_py()) == entries else np.int32)
 
 
-def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of consecutive slices of at most `most` bytes, or of a row that has more."""
-    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
-    begin = 0
-    while begin < len(texts):
-        end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1)
-        yield begin, end - begin
-        begin = end
-
-
 def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tuple[Feature, ...] = ()) -> DataFrame:
     """CSR shards whose columns are numbers of the shard's own `words`; one pass over the texts.
 

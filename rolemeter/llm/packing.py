@@ -17,23 +17,23 @@ from __future__ import annotations
 import functools
 import heapq
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolemeter.llm.shared import fresh, kind, table
+from rolemeter.llm.shared import fresh, kind, slices, table
 
 LENGTH = 4096
 END = 2
 WINDOW = 1 << 20
-#: Words of a generation whose ids a task remembers; two generations and two tables take some 80 MB.
-REMEMBERED = 100_000
+#: Lowered words of a generation whose ids a task remembers, two generations of them.
+REMEMBERED = 200_000
 
 
 def vocabulary() -> str:
@@ -43,7 +43,9 @@ def vocabulary() -> str:
 
 
 #: Words that need none of the vocabulary's normalising but lowering: precomposed letters, then marks.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#-]*)")
+SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?%*$&#-]*)$"
+#: Texts are encoded together by so many bytes.
+TOGETHER = 1 << 22
 
 
 class Remembered:
@@ -52,26 +54,53 @@ class Remembered:
     def __init__(self, most: int = REMEMBERED) -> None:
         self.most, self.young, self.old = most, {}, {}
 
-    def absent(self, keys: set) -> list:
+    def absent(self, keys: list) -> list:
         """Make the keys' values ready in `young` and give the keys that have none yet."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        missing = []
-        for k in keys.difference(self.young):
-            value = self.old.get(k)
-            if value is None:
-                missing.append(k)
-            else:
-                self.young[k] = value
+        missing, young = [], self.young
+        for k in keys:
+            if k not in young:
+                value = self.old.get(k)
+                if value is None:
+                    missing.append(k)
+                else:
+                    young[k] = value
         return missing
 
 
+class Ragged:
+    """Arrays of ids, one after another."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids, self.lengths = ids, lengths
+
+    @classmethod
+    def of(cls, values: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(values), dtype="<u4"), np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4)
+
+    def take(self, places: np.ndarray) -> Ragged:
+        """The arrays at these places."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        starts = (np.cumsum(self.lengths) - self.lengths)[places]
+        return Ragged(self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths)
+
+    def and_then(self, other: Ragged) -> Ragged:
+        """Each array followed by the other's of the same place."""
+        n = len(self.lengths)
+        both = Ragged(np.concatenate([self.ids, other.ids]), np.concatenate([self.lengths, other.lengths]))
+        joined = both.take(np.stack([np.arange(n), np.arange(n) + n], axis=1).ravel())
+        return Ragged(joined.ids, self.lengths + other.lengths)
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit bytes.
+    """Token ids of texts.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its
-    blank-separated words in order. Words are encoded once and remembered, and so are the lowered
-    letters of simple words, which differ only in case or the mark that follows them.
+    blank-separated words in order. The distinct words of some megabytes of text are encoded
+    together; of simple words, which differ only in case or the mark that follows them, the lowered letters are,
+    and their ids are remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -86,46 +115,61 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.words, self.letters, self.marks = Remembered(), Remembered(), {"": b""}
+        self.letters = Remembered()
 
     def _merged(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: encoded as one text, and parted where a token ends a word."""
+        """Ids of words of letters: encoded as texts of many words, and parted where a token ends a word."""
         out = []
-        for at in range(0, len(words), 2000):
-            ids = np.array(self.merging.encode(" ".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype="<u4")
+        for found in self.merging.encode_batch_fast([" ".join(words[at : at + 2000]) for at in range(0, len(words), 2000)], add_special_tokens=False):
+            ids = np.array(found.ids, dtype="<u4")
             data, start = ids.tobytes(), 0
             for end in (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist():
                 out.append(data[start:end])
                 start = end
         return out
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[str]) -> Ragged:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def _learn(self, new: list[bytes]) -> None:
-        simple, other = [], []
-        for word in new:
-            m = SIMPLE.fullmatch(text := word.decode())
-            if m:
-                simple.append((word, m[1].lower(), m[2]))
-            else:
-                other.append((word, text))
-        missing = self.letters.absent({x for _, x, _ in simple})
-        self.letters.young.update(zip(missing, self._merged(missing), strict=True))
-        if len(self.marks) > 10_000:
-            self.marks = {"": b""}
-        marks = list({m for _, _, m in simple}.difference(self.marks))
-        self.marks.update(zip(marks, self._plain(marks), strict=True))
-        letters, known = self.letters.young, self.marks
-        self.words.young.update((word, letters[x] + known[m]) for word, x, m in simple)
-        self.words.young.update(zip((w for w, _ in other), self._plain([t for _, t in other]), strict=True))
+        return Ragged.of([array("I", x.ids).tobytes() for x in found])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        self._learn(self.words.absent(set().union(*split)))
-        look = self.words.young.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+    def _lowered(self, letters: list[str]) -> Ragged:
+        missing = self.letters.absent(letters)
+        self.letters.young.update(zip(missing, self._merged(missing), strict=True))
+        return Ragged.of(list(map(self.letters.young.__getitem__, letters)))
+
+    def _words(self, words: pa.Array) -> Ragged:
+        """Ids of different words."""
+        parts = pc.extract_regex(words, SIMPLE)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        parts = parts.drop_null()
+        letters = pc.utf8_lower(parts.field("letters")).dictionary_encode()
+        marks = parts.field("marks").dictionary_encode()
+        first = self._lowered(letters.dictionary.to_pylist()).take(letters.indices.to_numpy())
+        rest = self._plain(marks.dictionary.to_pylist()).take(marks.indices.to_numpy())
+        others = self._plain(words.filter(pa.array(~simple)).to_pylist())
+        joined = first.and_then(rest)
+        both = Ragged(np.concatenate([joined.ids, others.ids]), np.concatenate([joined.lengths, others.lengths]))
+        return both.take(np.argsort(np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), kind="stable"))
+
+    def encoded(self, texts: pa.Array) -> Ragged:
+        """Ids of texts that are encoded together."""
+        pieces = pc.ascii_split_whitespace(texts)
+        words = pieces.flatten()
+        filled = pc.not_equal(pc.binary_length(words), 0)  # space at an end of a text gives an empty piece
+        numbered = words.filter(filled).dictionary_encode()
+        found = self._words(numbered.dictionary).take(numbered.indices.to_numpy())
+        row = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))[filled.to_numpy(zero_copy_only=False)]
+        return Ragged(found.ids, np.bincount(row, weights=found.lengths, minlength=len(texts)).astype(np.int64))
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Token ids of each text, as little-endian 32-bit bytes."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for begin, size in slices(texts, TOGETHER):
+            found = self.encoded(texts.slice(begin, size))
+            start = 0
+            for n in found.lengths.tolist():
+                yield found.ids[start : start + n].tobytes()
+                start += n
 
 
 @functools.cache
@@ -191,25 +235,23 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         held, total = [], 0
         finish = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for k, ids in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist()), strict=True):
-                    ids += finish
-                    held.append([k, ids, len(ids) // 4, 0])
-                    total += len(ids) // 4
-                    if total >= max(window, length):
-                        over, carried = total % length, []
-                        while over:  # the tail of the last documents goes to the next window
-                            last = held[-1]
-                            take = min(over, last[2] - last[3])
-                            carried.insert(0, [last[0], last[1], last[2], last[2] - take])
-                            over -= take
-                            if last[2] - last[3] == take:
-                                held.pop()
-                            else:
-                                held[-1] = [*last, last[2] - take]
-                        yield held
-                        held, total = carried, sum(x[2] - x[3] for x in carried)
+            for k, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1)), strict=True):
+                ids += finish
+                held.append([k, ids, len(ids) // 4, 0])
+                total += len(ids) // 4
+                if total >= max(window, length):
+                    over, carried = total % length, []
+                    while over:  # the tail of the last documents goes to the next window
+                        last = held[-1]
+                        take = min(over, last[2] - last[3])
+                        carried.insert(0, [last[0], last[1], last[2], last[2] - take])
+                        over -= take
+                        if last[2] - last[3] == take:
+                            held.pop()
+                        else:
+                            held[-1] = [*last, last[2] - take]
+                    yield held
+                    held, total = carried, sum(x[2] - x[3] for x in carried)
         if held:
             yield held
 
