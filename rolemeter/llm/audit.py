@@ -29,6 +29,8 @@ from rolemeter.operators.layout import stored
 
 #: A shard is made of at most so many bytes of text, or of one longer text.
 SHARD_BYTES = 1 << 22
+#: So many places of words are put together by shard before a task gives them on.
+PLACES = 1 << 20
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -117,16 +119,29 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tu
 
 
 def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame, DataFrame]:
-    """`shard`, `code`, `id` of every shard's words, and the dictionary (`word`, `id`).
+    """The global numbers of every shard's words, and the dictionary (`word`, `id`).
 
-    The words of all shards are dealt by word and sorted, by hash first as that compares fast, so one pass numbers the distinct words of
-    a partition; the partitions' sizes, a row each, then make the numbers global.
+    The words of all shards are dealt by word and sorted, by hash first as that compares fast, so one pass
+    numbers the distinct words of a partition; the partitions' sizes, a row each, then make the
+    numbers global. What a partition has for a shard is one row or a few, `shard`, `start` and packed
+    `codes` and `numbers` (from `start`), so what goes back to the shards is not a row a word.
     """
     listed = shards.select(F.col(shard).alias("shard"), F.posexplode(words).alias("code", "word"))
     dealt = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions(F.xxhash64("word"), "word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, last = TaskContext.get().partitionId(), -1, None
+        part, number, last, held, rows = TaskContext.get().partitionId(), -1, None, [], 0
+
+        def out() -> pa.RecordBatch:
+            of, codes, numbers, new = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(of, kind="stable")
+            firsts = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0]))
+            groups = np.split(order, firsts[1:])
+            columns = [[packed(x[g], to)[0] for g in groups] for x, to in ((codes, np.int32), (numbers, np.int64), (new, np.uint8))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(of[order][firsts]), pa.array(np.full(len(groups), part)), pa.array(np.full(len(groups), int(numbers[-1]) + 1)), *(pa.array(c, pa.binary()) for c in columns)], names=names,
+            )
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -134,15 +149,31 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
             new = np.concatenate([[column[0].as_py() != last], pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)])
             numbers = number + np.cumsum(new)
             number, last = int(numbers[-1]), column[-1].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.full(len(batch), part)), pa.array(numbers), pa.array(new)], names=names)
-
-    names = ["shard", "code", "part", "number", "new"]
-    placed = stored(dealt.mapInArrow(run, "shard bigint, code int, part bigint, number bigint, new boolean"), "words")
-    sizes = placed.groupBy("part").agg((F.max("number") + 1).alias("n"))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), numbers, new))
+            rows += len(batch)
+            if rows >= PLACES:
+                yield out()
+                held, rows = [], 0
+        if held:
+            yield out()
+
+    names = ["shard", "part", "reached", "codes", "numbers", "new"]
+    placed = stored(dealt.mapInArrow(run, "shard bigint, part bigint, reached bigint, codes binary, numbers binary, new binary"), "words")
+    sizes = placed.groupBy("part").agg(F.max("reached").alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = placed.join(F.broadcast(starts), "part").withColumn("id", F.col("start") + F.col("number"))
-    named = listed.join(numbered.where("new").select("shard", "code", "id"), ["shard", "code"])
-    return numbered.select("shard", "code", "id"), named.select(F.col("word").cast("string").alias("word"), "id")
+    numbered = placed.join(F.broadcast(starts), "part")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                new = unpacked(row.column(4), np.uint8) > 0
+                codes, numbers = unpacked(row.column(2), np.int32)[new], unpacked(row.column(3), np.int64)[new]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row.column(0)[0].as_py())), pa.array(codes), pa.array(numbers + row.column(1)[0].as_py())], names=["shard", "code", "id"])
+
+    first = numbered.select("shard", "start", "codes", "numbers", "new").mapInArrow(entries, "shard bigint, code int, id bigint")
+    named = listed.join(first, ["shard", "code"])
+    return numbered.select("shard", "start", "codes", "numbers"), named.select(F.col("word").cast("string").alias("word"), "id")
 
 
 def term_matrix(
@@ -154,24 +185,26 @@ def term_matrix(
     little-endian `indptr` (32 bits), `indices` (64 bits; global ids, dense from 0) and `data`
     (counts, in 8 bits if all of the shard fit, else 32). Documents are not cut, so a shard holds
     SHARD_BYTES of text or one longer document. What is shuffled to number the words is a
-    row for each distinct word of a shard; a frequent word has a row a shard, a few bytes each.
+    row for each distinct word of a shard; a frequent word has a row a shard, a few bytes each, and
+    what goes back is a row or a few for each shard and partition.
     Repeated rows are rows of their own; an empty table gives no shards and no words.
     """
     shards = stored(local_shards(docs, text, keep, features), "shards")
     shard, *kept, indptr, codes, counts, words = shards.columns
     numbers, dictionary = _word_numbers(shards, shard, words)
-    ids = numbers.groupBy("shard").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
+    ids = numbers.groupBy("shard").agg(F.collect_list(F.struct("start", "codes", "numbers")).alias("ids"))
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                pairs = row.column(width + 4).flatten()
-                found = np.zeros(len(pairs), dtype=np.int64)
-                if len(pairs):
-                    found[pairs.field("code").to_numpy()] = pairs.field("id").to_numpy()
-                indices = packed(found[unpacked(row.column(width + 2), np.int32)], np.int64)
+                local = unpacked(row.column(width + 2), np.int32)
+                found = np.zeros(int(local.max()) + 1 if len(local) else 0, dtype=np.int64)
+                for piece in row.column(width + 4)[0].as_py() or ():
+                    own, numbers_ = (np.frombuffer(piece[c], dtype=t) for c, t in (("codes", "<i4"), ("numbers", "<i8")))
+                    found[own] = numbers_ + piece["start"]
+                indices = packed(found[local], np.int64)
                 yield pa.RecordBatch.from_arrays([*row.columns[: width + 2], indices, row.column(width + 3)], names=names)
 
     names = [shard, *kept, *fresh([shard, *kept], "indptr", "indices", "data")]
