@@ -45,8 +45,9 @@ PREFIXES = (4, 5, 6)
 K, BLOCK, WEAK_VOTE, CUT = 15, 64, 0.25, 0.7
 #: Share of the marks in a marked text; how votes fall with the cosine against the nearest.
 MARKED, SHARPNESS = 0.9, 8
-#: At most so many lists are long, those of terms in more than this share of the examples; texts compared together.
-LONG_LISTS, LONG_SHARE, TOGETHER = 768, 1 / 64, 64
+#: At most so many lists are long, those of terms in more than this share of the examples, for which a block read
+#: whole costs less than its entries one by one; texts compared together.
+LONG_LISTS, LONG_SHARE, TOGETHER = 512, 1 / 20, 64
 #: Sums of cosines are compared after rounding, so their order cannot depend on the order of adding.
 DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -142,9 +143,9 @@ class Model:
         self.long_of = np.full(len(terms), -1, dtype=np.int64)
         self.long_of[self.long] = np.arange(len(self.long))
         in_long = self.long_of[of] >= 0
-        self.dense = np.zeros((len(self.long), blocks, BLOCK))
-        self.dense.reshape(len(self.long), blocks * BLOCK)[self.long_of[of[in_long]], numbers[in_long]] = impacts[in_long]
-        self.bounds = self.dense.max(axis=2, initial=0.0)
+        self.dense = np.zeros((blocks, len(self.long), BLOCK))
+        self.dense[numbers[in_long] // BLOCK, self.long_of[of[in_long]], numbers[in_long] % BLOCK] = impacts[in_long]
+        self.bounds = np.ascontiguousarray(self.dense.max(axis=2, initial=0.0).T)
         # short lists, by term
         order = np.lexsort((numbers[~in_long], of[~in_long]))
         self.numbers, self.impacts = numbers[~in_long][order], impacts[~in_long][order]
@@ -182,22 +183,23 @@ class Model:
         if not n:
             return [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(vectors)
         wide = blocks * BLOCK
+        text = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        terms, weights = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        column = self.long_of[terms]
         heavy = np.zeros((len(vectors), len(self.long)))
-        places, gains = [], []
-        for i, (terms, weights) in enumerate(vectors):
-            column = self.long_of[terms]
-            heavy[i, column[column >= 0]] = weights[column >= 0]
-            for t, w in zip(terms[column < 0].tolist(), weights[column < 0].tolist(), strict=True):
-                a, b = self.starts[t], self.starts[t + 1]
-                places.append(self.numbers[a:b] + i * wide)
-                gains.append(self.impacts[a:b] * w)
+        heavy[text[column >= 0], column[column >= 0]] = weights[column >= 0]
+        text, terms, weights = text[column < 0], terms[column < 0], weights[column < 0]
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        entries = np.repeat(self.starts[terms] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        places = self.numbers[entries] + np.repeat(text * wide, sizes)
+        gains = self.impacts[entries] * np.repeat(weights, sizes)
         shape = (len(vectors), blocks, BLOCK)
-        light = np.bincount(np.concatenate([*places, np.zeros(0, dtype=np.int64)]), np.concatenate([*gains, np.zeros(0)]), len(vectors) * wide).reshape(shape)
+        light = np.bincount(places, gains, len(vectors) * wide).reshape(shape)
         bound = light.max(axis=2) + heavy @ self.bounds
         scores = np.zeros(shape)
 
         def read(texts: np.ndarray, block: int) -> None:
-            scores[texts, block] = (light[texts, block] + heavy[texts] @ self.dense[:, block]).round(DECIMALS)
+            scores[texts, block] = (light[texts, block] + heavy[texts] @ self.dense[block]).round(DECIMALS)
 
         best = bound.argmax(axis=1)
         for block in np.unique(best).tolist():
