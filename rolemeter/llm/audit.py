@@ -137,10 +137,10 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
             order = np.argsort(of, kind="stable")
             firsts = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0]))
             groups = np.split(order, firsts[1:])
-            columns = [[packed(x[g], to)[0] for g in groups] for x, to in ((codes, np.int32), (numbers, np.int64), (new, np.uint8))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(of[order][firsts]), pa.array(np.full(len(groups), part)), pa.array(np.full(len(groups), int(numbers[-1]) + 1)), *(pa.array(c, pa.binary()) for c in columns)], names=names,
-            )
+            base, reached = int(numbers[0]), int(numbers[-1]) + 1  # numbers only grow; PLACES of them fit 32 bits
+            columns = [[packed(x[g], to)[0] for g in groups] for x, to in ((codes, np.int32), (numbers - base, np.int32), (new, np.uint8))]
+            same = [pa.array(np.full(len(groups), x)) for x in (part, base, reached)]
+            return pa.RecordBatch.from_arrays([pa.array(of[order][firsts]), *same, *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
         for batch in batches:
             if not len(batch):
@@ -157,18 +157,18 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
         if held:
             yield out()
 
-    names = ["shard", "part", "reached", "codes", "numbers", "new"]
-    placed = stored(dealt.mapInArrow(run, "shard bigint, part bigint, reached bigint, codes binary, numbers binary, new binary"), "words")
+    names = ["shard", "part", "base", "reached", "codes", "numbers", "new"]
+    placed = stored(dealt.mapInArrow(run, "shard bigint, part bigint, base bigint, reached bigint, codes binary, numbers binary, new binary"), "words")
     sizes = placed.groupBy("part").agg(F.max("reached").alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = placed.join(F.broadcast(starts), "part")
+    numbered = placed.join(F.broadcast(starts), "part").withColumn("start", F.col("start") + F.col("base"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
                 new = unpacked(row.column(4), np.uint8) > 0
-                codes, numbers = unpacked(row.column(2), np.int32)[new], unpacked(row.column(3), np.int64)[new]
+                codes, numbers = unpacked(row.column(2), np.int32)[new], unpacked(row.column(3), np.int32)[new].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row.column(0)[0].as_py())), pa.array(codes), pa.array(numbers + row.column(1)[0].as_py())], names=["shard", "code", "id"])
 
     first = numbered.select("shard", "start", "codes", "numbers", "new").mapInArrow(entries, "shard bigint, code int, id bigint")
@@ -202,8 +202,8 @@ def term_matrix(
                 local = unpacked(row.column(width + 2), np.int32)
                 found = np.zeros(int(local.max()) + 1 if len(local) else 0, dtype=np.int64)
                 for piece in row.column(width + 4)[0].as_py() or ():
-                    own, numbers_ = (np.frombuffer(piece[c], dtype=t) for c, t in (("codes", "<i4"), ("numbers", "<i8")))
-                    found[own] = numbers_ + piece["start"]
+                    own, numbers_ = (np.frombuffer(piece[c], dtype=t) for c, t in (("codes", "<i4"), ("numbers", "<i4")))
+                    found[own] = numbers_.astype(np.int64) + piece["start"]
                 indices = packed(found[local], np.int64)
                 yield pa.RecordBatch.from_arrays([*row.columns[: width + 2], indices, row.column(width + 3)], names=names)
 

@@ -42,6 +42,7 @@ def mixed_texts():
 def test_words_are_numbered_alike_in_all_shards(spark, monkeypatch):
     texts = [t or "" for t in mixed_texts()]
     monkeypatch.setattr(audit, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(audit, "PLACES", 100)
     matrix, dictionary = audit.term_matrix(frame(spark, texts).repartition(3), keep=("doc_id", "Score"))
     words = {r["id"]: r["word"] for r in dictionary.collect()}
     assert sorted(words) == list(range(len(words))) and len(set(words.values())) == len(words)
