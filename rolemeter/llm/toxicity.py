@@ -47,7 +47,7 @@ K, BLOCK, WEAK_VOTE, CUT = 15, 64, 0.25, 0.7
 MARKED, SHARPNESS = 0.9, 8
 #: At most so many lists are long, those of terms in more than this share of the examples, for which a block read
 #: whole costs less than its entries one by one; texts compared together.
-LONG_LISTS, LONG_SHARE, TOGETHER = 512, 1 / 20, 64
+LONG_LISTS, LONG_SHARE, TOGETHER = 512, 1 / 20, 16
 #: Sums of cosines are compared after rounding, so their order cannot depend on the order of adding.
 DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -386,6 +386,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 [*batch.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(ids)), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
                 names=[*keep, out, evidence, cosines],
             )
+        look.clear()  # the worker outlives the task
+        pa.default_memory_pool().release_unused()
 
     ids = to_arrow_type(model.id_type)
     schema = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), f"`{out}` double", f"`{evidence}` array<{model.id_type.simpleString()}>", f"`{cosines}` array<double>"])
