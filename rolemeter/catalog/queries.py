@@ -431,7 +431,7 @@ def score_table(rows: DataFrame) -> DataFrame:
     )
 
 
-LONG_CHARS = 4000
+LONG_CHARS = 16_000
 
 
 def large_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
