@@ -78,6 +78,20 @@ def unpacked(column: pa.Array, of: type) -> np.ndarray:
     return np.frombuffer(column[0].as_py(), dtype=np.dtype(of).newbyteorder("<"))
 
 
+def planes(numbers: np.ndarray) -> pa.Array:
+    """The numbers as the one row of a binary column: the lowest bytes of all, then the next ones, as high bytes are mostly zero and compress."""
+    return pa.array([numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
+
+
+def from_planes(value: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(value, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def steps(numbers: np.ndarray, base: int) -> np.ndarray:
+    """Growing numbers as the step from each to the next, the first from the base."""
+    return np.diff(numbers, prepend=base)
+
+
 def packed_counts(counts: np.ndarray) -> pa.Array:
     """Counts in 8 bits if all fit, else 32."""
     return packed(counts, np.uint8 if not len(counts) or counts.max() < 256 else np.int32)
@@ -90,7 +104,7 @@ def unpacked_counts(column: pa.Array, entries: int) -> np.ndarray:
 def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tuple[Feature, ...] = ()) -> DataFrame:
     """CSR shards whose columns are numbers of the shard's own `words`; one pass over the texts.
 
-    `shard`, an array for each kept column and each feature, packed `indptr`, `codes` and `counts`, and `words`. Words are runs of characters other than ASCII whitespace, case kept. A null text has none.
+    `shard`, an array for each kept column and each feature, packed `indptr`, `codes` (in planes) and `counts`, and `words`. Words are runs of characters other than ASCII whitespace, case kept. A null text has none.
     """
     (body,) = fresh(keep, "body")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
@@ -107,7 +121,7 @@ def local_shards(docs: DataFrame, text: str, keep: tuple[str, ...], features: tu
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number], pa.int64()), *(one_list(a) for a in (*part.columns[:width], *made)),
-                        packed(indptr, np.int32), packed(codes, np.int32), packed_counts(counts), one_list(words.cast(pa.binary())),
+                        packed(indptr, np.int32), planes(codes), packed_counts(counts), one_list(words.cast(pa.binary())),
                     ], names=names,
                 )
                 number += 1
@@ -123,8 +137,8 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
 
     The words of all shards are dealt by word and sorted, by hash first as that compares fast, so one pass
     numbers the distinct words of a partition; the partitions' sizes, a row each, then make the
-    numbers global. What a partition has for a shard is one row or a few, `shard`, `start` and packed
-    `codes` and `numbers` (from `start`), so what goes back to the shards is not a row a word.
+    numbers global. What a partition has for a shard is one row or a few, `shard`, `start`, `codes` and
+    `numbers` (as steps, the first from `start`), so what goes back to the shards is not a row a word.
     """
     listed = shards.select(F.col(shard).alias("shard"), F.posexplode(words).alias("code", "word"))
     dealt = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions(F.xxhash64("word"), "word")
@@ -138,7 +152,10 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
             firsts = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0]))
             groups = np.split(order, firsts[1:])
             base, reached = int(numbers[0]), int(numbers[-1]) + 1  # numbers only grow; PLACES of them fit 32 bits
-            columns = [[packed(x[g], to)[0] for g in groups] for x, to in ((codes, np.int32), (numbers - base, np.int32), (new, np.uint8))]
+            columns = [
+                [planes(codes[g])[0] for g in groups], [planes(steps(numbers[g], base))[0] for g in groups],
+                [packed(np.packbits(new[g]), np.uint8)[0] for g in groups],
+            ]
             same = [pa.array(np.full(len(groups), x)) for x in (part, base, reached)]
             return pa.RecordBatch.from_arrays([pa.array(of[order][firsts]), *same, *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
@@ -167,8 +184,9 @@ def _word_numbers(shards: DataFrame, shard: str, words: str) -> tuple[DataFrame,
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                new = unpacked(row.column(4), np.uint8) > 0
-                codes, numbers = unpacked(row.column(2), np.int32)[new], unpacked(row.column(3), np.int32)[new].astype(np.int64)
+                codes, numbers = from_planes(row.column(2)[0].as_py()), np.cumsum(from_planes(row.column(3)[0].as_py()), dtype=np.int64)
+                new = np.unpackbits(unpacked(row.column(4), np.uint8), count=len(codes)) > 0
+                codes, numbers = codes[new], numbers[new]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row.column(0)[0].as_py())), pa.array(codes), pa.array(numbers + row.column(1)[0].as_py())], names=["shard", "code", "id"])
 
     first = numbered.select("shard", "start", "codes", "numbers", "new").mapInArrow(entries, "shard bigint, code int, id bigint")
@@ -199,11 +217,10 @@ def term_matrix(
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                local = unpacked(row.column(width + 2), np.int32)
+                local = from_planes(row.column(width + 2)[0].as_py())
                 found = np.zeros(int(local.max()) + 1 if len(local) else 0, dtype=np.int64)
                 for piece in row.column(width + 4)[0].as_py() or ():
-                    own, numbers_ = (np.frombuffer(piece[c], dtype=t) for c, t in (("codes", "<i4"), ("numbers", "<i4")))
-                    found[own] = numbers_.astype(np.int64) + piece["start"]
+                    found[from_planes(piece["codes"])] = np.cumsum(from_planes(piece["numbers"]), dtype=np.int64) + piece["start"]
                 indices = packed(found[local], np.int64)
                 yield pa.RecordBatch.from_arrays([*row.columns[: width + 2], indices, row.column(width + 3)], names=names)
 
