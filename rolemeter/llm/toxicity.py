@@ -89,14 +89,11 @@ class Terms(dict):
 
     def counts(self, text: str) -> dict[int, int]:
         """How often each known term occurs in a text."""
-        all_words = words(text)
-        hits = {w: f for w in set(all_words) if (f := self[w])}
-        out: Counter = Counter()
-        if hits:
-            for w in all_words:
-                for t in hits.get(w, ()):
-                    out[t] += 1
-        return dict(out)
+        out: dict[int, int] = {}
+        for word, n in Counter(words(text)).items():
+            for t in self[word]:
+                out[t] = out.get(t, 0) + n
+        return out
 
 
 def _arrays(counts: dict[int, int] | np.ndarray) -> np.ndarray:
