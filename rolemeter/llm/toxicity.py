@@ -47,7 +47,7 @@ K, BLOCK, WEAK_VOTE, CUT = 15, 64, 0.25, 0.7
 MARKED, SHARPNESS = 0.9, 8
 #: At most so many lists are long, those of terms in more than this share of the examples, for which a block read
 #: whole costs less than its entries one by one; texts compared together.
-LONG_LISTS, LONG_SHARE, TOGETHER = 512, 1 / 20, 16
+LONG_LISTS, LONG_SHARE, TOGETHER = 512, 1 / 20, 32
 #: Sums of cosines are compared after rounding, so their order cannot depend on the order of adding.
 DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -95,11 +95,15 @@ class Terms(dict):
                 out[t] = out.get(t, 0) + n
         return out
 
+    def present(self, text: str) -> set[int]:
+        """The known terms that occur in a text."""
+        return set().union(*map(self.__getitem__, set(words(text))))
+
 
 def _arrays(counts: dict[int, int] | np.ndarray) -> np.ndarray:
     """Terms and their counts as two rows; an array has a row for each term."""
     if isinstance(counts, dict):
-        counts = np.array(list(counts.items()), dtype=np.int64)
+        return np.stack([np.fromiter(x, dtype=np.int64, count=len(counts)) for x in (counts.keys(), counts.values())])
     return counts.reshape(-1, 2).T
 
 
@@ -342,7 +346,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         look, found, rows = Terms(sent.value), np.zeros(len(sent.value) + 1, dtype=np.int64), 0
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                has = {t for w in set(words(body)) for t in look[w]}
+                has = look.present(body)
                 found[np.fromiter(has, dtype=np.int64, count=len(has))] += 1
                 rows += 1
         # the last place counts the documents
