@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -62,6 +63,24 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run within send their Python tasks Arrow batches that end at `most` bytes, or with a row that has more.
+
+    Spark holds a batch about twice and a task two of them, so rows that are large make Spark's own bound too wide.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def numbered(rows: DataFrame, name: str, purpose: str) -> DataFrame:
     """The rows, stored, with the column `name`: their number from 0, by partition and place in it.
 

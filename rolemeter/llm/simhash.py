@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolemeter.llm.shared import checkpointed, fresh, kind, table
+from rolemeter.llm.shared import checkpointed, fresh, kind, small_batches, table
 from rolemeter.operators.dimensions import is_small
 
 SEED = 42
@@ -42,6 +42,8 @@ AT_ONCE = 1 << 16
 #: Shingles of a tile that carries sets, about; and the most sets compared with one at a time.
 SET_TILE = 1 << 19
 SETS_AT_ONCE = 64
+#: Bytes of texts or tiles that a task gets at once, unless one row has more.
+SENT = 1 << 23
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 WORD_BITS, WORDS = 16, 4
@@ -354,16 +356,17 @@ def near_groups(
     """
     if exact and not (distinct and ratio):
         raise ValueError("exact links compare distinct shingles and need a ratio")
-    prints = checkpointed(fingerprints(docs, text, key, words, parts, distinct))
-    columns = [f"f{p}" for p in range(parts)]
-    node = F.col("f0") if parts == 1 and ratio is None else F.xxhash64(*columns, *([] if ratio is None else ["size"]))
-    prints = prints.withColumn("id", F.col("set_id") if exact else node)
-    nodes = prints.groupBy("id").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in columns], F.first("size").alias("size"), *([F.min(F.struct("key", "text_hash")).alias("one")] if exact else []))
-    nodes = checkpointed(nodes)
-    if exact:
-        roots = components(exact_links(docs, text, key, words, nodes, parts, radius, ratio, tile, set_tile))
-    else:
-        roots = components(links(nodes, parts, radius, ratio, tile))
+    with small_batches(docs.sparkSession, SENT):  # all that runs Python is checkpointed in here
+        prints = checkpointed(fingerprints(docs, text, key, words, parts, distinct))
+        columns = [f"f{p}" for p in range(parts)]
+        node = F.col("f0") if parts == 1 and ratio is None else F.xxhash64(*columns, *([] if ratio is None else ["size"]))
+        prints = prints.withColumn("id", F.col("set_id") if exact else node)
+        nodes = prints.groupBy("id").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in columns], F.first("size").alias("size"), *([F.min(F.struct("key", "text_hash")).alias("one")] if exact else []))
+        nodes = checkpointed(nodes)
+        if exact:
+            roots = components(exact_links(docs, text, key, words, nodes, parts, radius, ratio, tile, set_tile))
+        else:
+            roots = components(links(nodes, parts, radius, ratio, tile))
     # a root stands in no row of its own
     members = roots.union(roots.select("root", "root").distinct())
     smallest = members.join(nodes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("component"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -486,3 +487,16 @@ def test_rare_toxic_text_is_known_by_its_labelled_copy(spark):
     model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}[ids[True]]
     assert found.evidence[0] == ids[False] and found.cosines[0] == 1.0 and found.score >= toxicity.CUT
+
+
+def test_small_batches_bound_what_a_task_gets_and_leave_the_setting(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: max(r.n for r in spark.createDataFrame([("x" * 1000,)] * 800, "t string").coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect())
+    with shared.small_batches(spark, 50_000):
+        assert sizes() < 100
+    assert sizes() == 800 and spark.conf.get(name, None) is None
+    spark.conf.set(name, "70000")
+    with shared.small_batches(spark, 50_000):
+        pass
+    assert spark.conf.get(name) == "70000"
+    spark.conf.unset(name)
