@@ -8,6 +8,9 @@ in numpy, only if their bands can hold a link:
   the radius in all, so tiles whose counts differ by more are skipped;
 * by size, where a least similarity is asked for: then the shingle counts have at least that ratio.
 
+The pairs of tiles of two bands are dealt by shares of either band's tiles, so no task gets more than
+about SHARE times SHARE pairs of two bands for one key, however many tiles a band has.
+
 A pair of tiles gives no more links than it has nodes: those of a spanning forest, which connect
 what all its links connect.
 
@@ -28,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolemeter.llm.shared import checkpointed, fresh, kind, small_batches, table
@@ -42,6 +45,8 @@ AT_ONCE = 1 << 16
 #: Shingles of a tile that carries sets, about; and the most sets compared with one at a time.
 SET_TILE = 1 << 19
 SETS_AT_ONCE = 64
+#: Tiles of a band that are one share.
+SHARE = 8
 #: Bytes of texts or tiles that a task gets at once, unless one row has more.
 SENT = 1 << 23
 #: Shingles whose bits are counted at once.
@@ -145,18 +150,46 @@ def _within(own: list, step: tuple[int, ...], base: int):
     return ok
 
 
-def tiles(nodes: DataFrame, fields: list[str], tile: int, sets: bool = False) -> DataFrame:
-    """Rows (band, chunk, items): the nodes of a band in chunks of about `tile`, by a hash of the node.
+def joinable(small: DataFrame) -> DataFrame:
+    """A table of a row a band, to be broadcast if it is small."""
+    return F.broadcast(small) if is_small(small) else small
+
+
+def tiles(nodes: DataFrame, fields: list[str], tile: int, sets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (band, chunk, items): the nodes of a band in chunks of about `tile`, by a hash of the node; and (band, chunks).
 
     `items` holds the fields of each node end to end; with `sets` there is a column `sets` of their
-    shingles, and `tile` counts shingles. The table of chunk counts has a row a band.
+    shingles, and `tile` counts shingles.
     """
     weight = F.sum("size") if sets else F.count(F.lit(1))
-    chunks = nodes.groupBy("band").agg(F.greatest(F.ceil(weight / tile), F.lit(1)).cast("long").alias("chunks"))
-    dealt = nodes.join(F.broadcast(chunks) if is_small(chunks) else chunks, "band")
+    chunks = checkpointed(nodes.groupBy("band").agg(F.greatest(F.ceil(weight / tile), F.lit(1)).cast("long").alias("chunks")))
+    dealt = nodes.join(joinable(chunks), "band")
     dealt = dealt.select("band", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.struct(F.array(*fields).alias("item"), *(["set"] if sets else [])).alias("node"))
     made = dealt.groupBy("band", "chunk").agg(F.collect_list("node").alias("nodes"))
-    return made.select("band", "chunk", F.flatten("nodes.item").alias("items"), *([F.col("nodes.set").alias("sets")] if sets else []))
+    return made.select("band", "chunk", F.flatten("nodes.item").alias("items"), *([F.col("nodes.set").alias("sets")] if sets else [])), chunks
+
+
+def tile_pairs(made: DataFrame, chunks: DataFrame, probes: Callable[[DataFrame], DataFrame], held: list[str]) -> DataFrame:
+    """Every tile (own, own_chunk, own_...) beside the tiles of the bands it probes, within its own band each pair once.
+
+    A key is a band that is probed, a share of its tiles and a share of those that probe it. The
+    number of partitions is given, as what a pair costs shows in no table's size.
+    """
+    asking = probes(chunks).groupBy("probe").agg(F.max("chunks").alias("most"))
+    both = chunks.withColumnRenamed("band", "probe").join(asking, "probe")
+    shares = joinable(checkpointed(both.select("probe", *[F.ceil(F.col(c) / SHARE).cast("long").alias(n) for c, n in (("chunks", "shares"), ("most", "own_shares"))])))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    left = probes(made).select("probe", F.col("band").alias("own"), F.col("chunk").alias("own_chunk"), *[F.col(c).alias(f"own_{c}") for c in held])
+    left = left.join(shares, "probe").select(*left.columns, F.pmod("own_chunk", "own_shares").alias("own_share"), every("shares").alias("share"))
+    right = made.select(F.col("band").alias("probe"), "chunk", *held)
+    right = right.join(shares, "probe").select(*right.columns, F.pmod("chunk", "shares").alias("share"), every("own_shares").alias("own_share"))
+    keys = ["probe", "own_share", "share"]
+    n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(n, *keys).join(right.repartition(n, *keys), keys)
+    return pairs.where((F.col("own") != F.col("probe")) | (F.col("own_chunk") <= F.col("chunk")))
 
 
 def near_pairs(one: np.ndarray, other: np.ndarray | None, radius: int, parts: slice, size: int | None, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -255,11 +288,8 @@ def compared(
     """What `found` gives for all pairs of tiles that can hold a link; it takes what `forest` takes."""
     banded, probes = bands(nodes, parts, radius, ratio)
     fields = ["f0"] if parts == 1 and ratio is None else ["id", *(f"f{p}" for p in range(parts)), *(["size"] if ratio is not None else [])]
-    made = checkpointed(tiles(banded, fields, tile, sets))
-    held = ["items", "sets"] if sets else ["items"]
-    left = probes(made).select("probe", F.col("band").alias("own"), F.col("chunk").alias("own_chunk"), *[F.col(c).alias(f"own_{c}") for c in held])
-    right = made.select(F.col("band").alias("probe"), "chunk", *held)
-    pairs = left.join(right, "probe").where((F.col("own") != F.col("probe")) | (F.col("own_chunk") <= F.col("chunk")))
+    made, chunks = tiles(banded, fields, tile, sets)
+    pairs = tile_pairs(checkpointed(made), chunks, probes, ["items", "sets"] if sets else ["items"])
     same = (F.col("own") == F.col("probe")) & (F.col("own_chunk") == F.col("chunk"))
     width = len(fields)
     where = slice(0, 1) if width == 1 else slice(1, 1 + parts)

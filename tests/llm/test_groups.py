@@ -500,3 +500,15 @@ def test_small_batches_bound_what_a_task_gets_and_leave_the_setting(spark):
         pass
     assert spark.conf.get(name) == "70000"
     spark.conf.unset(name)
+
+
+def test_every_pair_of_tiles_meets_once_and_no_key_holds_many(spark):
+    made = spark.createDataFrame([(b, c, [b, c]) for b, n in ((0, 1), (1, 60), (2, 9)) for c in range(n)], "band long, chunk long, items array<long>")
+    chunks = made.groupBy("band").agg(F.count(F.lit(1)).alias("chunks"))
+    probes = lambda t: t.withColumn("probe", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    pairs = simhash.tile_pairs(made, chunks, probes, ["items"])
+    got = Counter((*r.own_items, *r["items"]) for r in pairs.collect())
+    have = [tuple(r["items"]) for r in made.collect()]
+    want = {(*x, *y) for x in have for y in have if (x[0] == y[0] and x[1] <= y[1]) or x[0] + 1 == y[0]}
+    assert set(got) == want and set(got.values()) == {1}
+    assert max(r["count"] for r in pairs.groupBy("own", "probe", "own_share", "share").count().collect()) <= simhash.SHARE**2
