@@ -216,7 +216,9 @@ def near_pairs(one: np.ndarray, other: np.ndarray | None, radius: int, parts: sl
     at = 0
     while at < len(a):
         start = max(int(low[at]), at) if within else int(low[at])
-        end = min(len(a), at + max(1, AT_ONCE // max(1, int(high[at]) - start)))
+        # later rows of a block have wider ranges, so all of its rows are bounded by those of the last
+        most = min(len(a) - at, max(1, AT_ONCE // max(1, int(high[at]) - start)))
+        end = at + max(1, int(np.searchsorted(np.arange(1, most + 1) * (high[at : at + most] - start), AT_ONCE, "right")))
         stop = int(high[end - 1])
         if stop > start:
             differ = np.bitwise_count(a[at:end, 0, None] ^ first[0][None, start:stop])

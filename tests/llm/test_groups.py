@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -512,3 +513,15 @@ def test_every_pair_of_tiles_meets_once_and_no_key_holds_many(spark):
     want = {(*x, *y) for x in have for y in have if (x[0] == y[0] and x[1] <= y[1]) or x[0] + 1 == y[0]}
     assert set(got) == want and set(got.values()) == {1}
     assert max(r["count"] for r in pairs.groupBy("own", "probe", "own_share", "share").count().collect()) <= simhash.SHARE**2
+
+
+def test_a_block_of_comparisons_is_bounded_where_ranges_widen():
+    made = np.random.default_rng(2)
+    one, other = (np.column_stack([made.integers(-(2**62), 2**62, (4096, 5)), np.full(4096, n)]) for n in (1000, 1100))
+    one[0, 5], other[0, 5] = 800, 1000
+    other[7, 1:5] = one[5, 1:5]
+    tracemalloc.start()
+    found = [(i.tolist(), j.tolist()) for i, j in simhash.near_pairs(one, other, 72, slice(1, 5), 5, 0.8)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [([5], [7])] and peak < 8e6
