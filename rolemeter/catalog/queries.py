@@ -564,8 +564,9 @@ def repeated_ids(spark, sf_dir):
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    reader = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet")
-    return normalised(spread(reader.parquet(sf_dir), "doc_id", sized_like=documents))
+    # a stream takes a plain path for a folder; as a pattern it may be a file as well
+    arriving = spark.readStream.schema(documents.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    return normalised(spread(arriving, "doc_id", sized_like=documents))
 
 
 @registered("q_stream_rejects")

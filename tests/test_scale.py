@@ -331,3 +331,17 @@ def test_hot_role_and_duplicate_texts_stay_spread(spark, sf_dir):
     )
     scored = analyse(same, fixtures.role_skills(spark), fixtures.SEMANTIC)
     assert scored.select("readiness_score").distinct().count() == 1 and scored.rdd.getNumPartitions() == 16
+
+
+@pytest.mark.parametrize("files", [0, 2])
+def test_documents_arrive_from_a_file_or_a_folder_of_files(spark, tmp_path, files):
+    """With 0 files the table is one Parquet file, else a folder of so many."""
+    texts = ["", "Data engineer with Python and SQL.", "Knows Kubernetes and Docker well.", None]
+    table = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts) for lang in ["en", "xx"]], "doc_id long, text string, lang string")
+    path = tmp_path / "documents.parquet"
+    table.repartition(files or 1).write.parquet(str(path if files else tmp_path / "made"))
+    if not files:
+        next((tmp_path / "made").glob("part-*.parquet")).rename(path)
+    for streamed, plain in (("q_stream_rejects", "q_rejects"), ("q_stream_readiness", "q_readiness")):
+        found = [rows(queries.REGISTRY[name](spark, str(tmp_path))) for name in (streamed, plain)]
+        assert found[0] and found[0] == found[1]
