@@ -103,8 +103,8 @@ def kind(rows: DataFrame, column: str) -> str:
 
 
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of consecutive slices of at most `most` bytes, or of a row that has more."""
-    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
+    """First row and number of rows of consecutive slices of at most `most` bytes, or of a row that has more. A null has none."""
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)])
     begin = 0
     while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1)

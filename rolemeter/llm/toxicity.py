@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, LongType
 
-from rolemeter.llm.shared import checkpointed, fresh, kind, table
+from rolemeter.llm.shared import checkpointed, fresh, kind, slices, small_batches, table
 
 MAX_EXAMPLES, MAX_TERMS, LIFT = 2048, 512, 4.0
 #: Twice the log likelihood ratio; beyond it lies 4e-8 of what chance gives one term.
@@ -53,6 +53,8 @@ DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 REMEMBERED = 200_000
 FLUSH = 300_000
+#: Bytes of text that a Python task is sent, and sends back, at once.
+SENT = 8 << 20
 
 
 def words(text: str) -> list[bytes]:
@@ -222,17 +224,27 @@ class Model:
     def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of([self.weighted(counts)], k)[0]
 
-    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, list, list[float]]]:
-        """For each text the score, the ids of the nearest examples and their cosines."""
-        out: list = [(self.empty_share, [], [])] * len(counts)
-        filled = [i for i, c in enumerate(counts) if c]
-        for at in range(0, len(filled), TOGETHER):
-            part = filled[at : at + TOGETHER]
-            for i, (cosines, numbers) in zip(part, self.nearest_of([self.weighted(counts[i]) for i in part]), strict=True):
+    def scores(self, counts: Iterable[dict[int, int]]) -> list[tuple[float, list, list[float]]]:
+        """For each text the score, the ids of the nearest examples and their cosines. Counts are held of TOGETHER texts at once."""
+        out: list = []
+        filled: list[tuple[int, dict[int, int]]] = []
+
+        def vote() -> None:
+            for (i, _), (cosines, numbers) in zip(filled, self.nearest_of([self.weighted(c) for _, c in filled]), strict=True):
                 labels = self.labels[numbers]
                 votes = cosines * (cosines / max(cosines, default=1.0)) ** SHARPNESS * np.where(labels == 1, self.weights[1], self.weights[0])
                 share = float((votes[labels == 1].sum() + WEAK_VOTE * self.share) / (votes.sum() + WEAK_VOTE))
                 out[i] = share, [self.ids[x] for x in numbers.tolist()], cosines.tolist()
+            filled.clear()
+
+        for i, c in enumerate(counts):
+            out.append((self.empty_share, [], []))
+            if c:
+                filled.append((i, c))
+            if len(filled) == TOGETHER:
+                vote()
+        if filled:
+            vote()
         return out
 
     def score(self, counts: dict[int, int]) -> tuple[float, list, list[float]]:
@@ -313,57 +325,58 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     copies; an id of labels without a document is none. Ties decide nothing: of near copies the
     one with the smallest id serves, and all examples as near as the last that votes vote too.
     """
-    sample, counts = training_rows(labels, key, label, max_examples)
-    bodies = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    # at most twice `max_examples` ids
-    examples = checkpointed(without_copies(bodies.join(F.broadcast(sample), "key").select("key", "label", "body")))
-    sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
-    if not zeros + ones:
-        return Model([], [], (1.0, 1.0), id_type=docs.schema[key].dataType)
-    a, b = F.col("ones"), F.col("zeros")
-    share_one, share_zero = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
-    ratio = F.round(likelihood_ratio(a, b, ones, zeros), 6)
-    counted = checkpointed(term_counts(examples))
-    chosen = (
-        counted.where(share_one >= LIFT * share_zero).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect()
-    )
-    marked = {bytes(r["term"]) for r in chosen}
-    # beginnings end in a star, which no word holds
-    terms = sorted(marked.union(counted.where(~F.endswith("term", F.lit(b"*"))).select("term").toArrow()["term"].to_pylist()))
-    known = {t: i for i, t in enumerate(terms)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Terms(sent.value)
-        for batch in batches:
-            found = [np.array(sorted(look.counts(b).items()), dtype="<i8").tobytes() for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "label", "counts"])
-
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, found, rows = Terms(sent.value), np.zeros(len(sent.value) + 1, dtype=np.int64), 0
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                has = look.present(body)
-                found[np.fromiter(has, dtype=np.int64, count=len(has))] += 1
-                rows += 1
-        # the last place counts the documents
-        found[-1] = rows
-        there = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["term", "documents"])
-
-    counted = bodies.select("body").mapInArrow(frequencies, "term bigint, documents bigint").groupBy("term").agg(F.sum("documents").alias("n")).toArrow()
-    seen = np.zeros(len(terms) + 1, dtype=np.int64)
-    seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    rows = examples.mapInArrow(vectors, f"key {kind(examples, 'key')}, label int, counts binary").toArrow()
-    held = sorted(zip(*(rows[c].to_pylist() for c in ("key", "label", "counts")), strict=True))
-    held = [(k, v, np.frombuffer(c, dtype="<i8").reshape(-1, 2)) for k, v, c in held]
-    # what one example of a label stands for, in units of one of the label 1
-    stands = [counts.get(v, 0) / max(sizes.get(v, 0), 1) for v in (0, 1)]
-    unit = stands[1] or stands[0] or 1.0
-    return Model(terms, held, (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (int(seen[-1]), seen[:-1]), docs.schema[key].dataType)
+    with small_batches(docs.sparkSession, SENT):
+        sample, counts = training_rows(labels, key, label, max_examples)
+        bodies = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+        # at most twice `max_examples` ids
+        examples = checkpointed(without_copies(bodies.join(F.broadcast(sample), "key").select("key", "label", "body")))
+        sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
+        zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
+        if not zeros + ones:
+            return Model([], [], (1.0, 1.0), id_type=docs.schema[key].dataType)
+        a, b = F.col("ones"), F.col("zeros")
+        share_one, share_zero = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
+        ratio = F.round(likelihood_ratio(a, b, ones, zeros), 6)
+        counted = checkpointed(term_counts(examples))
+        chosen = (
+            counted.where(share_one >= LIFT * share_zero).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+            .orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect()
+        )
+        marked = {bytes(r["term"]) for r in chosen}
+        # beginnings end in a star, which no word holds
+        terms = sorted(marked.union(counted.where(~F.endswith("term", F.lit(b"*"))).select("term").toArrow()["term"].to_pylist()))
+        known = {t: i for i, t in enumerate(terms)}
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = Terms(sent.value)
+            for batch in batches:
+                found = [np.array(sorted(look.counts(b).items()), dtype="<i8").tobytes() for b in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "label", "counts"])
+
+        sent = docs.sparkSession.sparkContext.broadcast(known)
+
+        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look, found, rows = Terms(sent.value), np.zeros(len(sent.value) + 1, dtype=np.int64), 0
+            for batch in batches:
+                for body in batch.column(0):
+                    has = look.present(body.as_py())
+                    found[np.fromiter(has, dtype=np.int64, count=len(has))] += 1
+                    rows += 1
+            # the last place counts the documents
+            found[-1] = rows
+            there = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["term", "documents"])
+
+        counted = bodies.select("body").mapInArrow(frequencies, "term bigint, documents bigint").groupBy("term").agg(F.sum("documents").alias("n")).toArrow()
+        seen = np.zeros(len(terms) + 1, dtype=np.int64)
+        seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
+        rows = examples.mapInArrow(vectors, f"key {kind(examples, 'key')}, label int, counts binary").toArrow()
+        held = sorted(zip(*(rows[c].to_pylist() for c in ("key", "label", "counts")), strict=True))
+        held = [(k, v, np.frombuffer(c, dtype="<i8").reshape(-1, 2)) for k, v, c in held]
+        # what one example of a label stands for, in units of one of the label 1
+        stands = [counts.get(v, 0) / max(sizes.get(v, 0), 1) for v in (0, 1)]
+        unit = stands[1] or stands[0] or 1.0
+        return Model(terms, held, (stands[0] / unit, stands[1] / unit), {known[t] for t in marked}, (int(seen[-1]), seen[:-1]), docs.schema[key].dataType)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -382,11 +395,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         judge = sent.value
         look = judge.look
         for batch in batches:
-            found = judge.scores([look.counts(v.as_py() or "") for v in batch.column(place)])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(ids)), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
-                names=[*keep, out, evidence, cosines],
-            )
+            for begin, n in slices(batch.column(place), SENT):
+                part = batch.slice(begin, n)
+                found = judge.scores(look.counts(v.as_py() or "") for v in part.column(place))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(ids)), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
+                    names=[*keep, out, evidence, cosines],
+                )
         look.clear()  # the worker outlives the task
         pa.default_memory_pool().release_unused()
 

@@ -525,3 +525,28 @@ def test_a_block_of_comparisons_is_bounded_where_ranges_widen():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == [([5], [7])] and peak < 8e6
+
+
+def test_scores_hold_the_counts_of_few_texts_at_once(monkeypatch):
+    r = random.Random(8)
+    terms = [f"w{i}".encode() for i in range(60)]
+    asked = [{r.randrange(60): r.randint(1, 4) for _ in range(r.choice([0, 3, 9]))} for _ in range(3 * toxicity.TOGETHER + 5)]
+    model = toxicity.Model(terms, [(i, i % 2, c) for i, c in enumerate(asked[:40])], (1.0, 1.0))
+    taken, judged, nearest = [], [], toxicity.Model.nearest_of
+
+    def given():
+        for c in asked:
+            taken.append(bool(c))
+            yield c
+
+    def seen(self, vectors, *rest):
+        judged.append(len(vectors))
+        assert sum(taken) - sum(judged) < toxicity.TOGETHER
+        return nearest(self, vectors, *rest)
+
+    monkeypatch.setattr(toxicity.Model, "nearest_of", seen)
+    found = model.scores(given())
+    monkeypatch.undo()
+    assert sum(judged) == sum(map(bool, asked)) and max(judged) == toxicity.TOGETHER
+    assert [(round(s, 8), e) for s, e, _ in found] == [(round(s, 8), e) for s, e, _ in map(model.score, asked)]
+    assert list(shared.slices(pa.array(["abc", None, "d", "efgh"]), 4)) == [(0, 3), (3, 1)]
