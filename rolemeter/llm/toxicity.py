@@ -53,7 +53,7 @@ DECIMALS = 9
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 REMEMBERED = 200_000
 FLUSH = 300_000
-#: Bytes of text that a Python task is sent, and sends back, at once.
+#: Bytes of text that a Python task of `learn` is sent, and one of `score` takes up and sends back, at once.
 SENT = 8 << 20
 
 
