@@ -23,12 +23,13 @@ The model is bounded by its parameters, so it can be sent to every task. Scoring
 
 from __future__ import annotations
 
-import math
+import functools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ REMEMBERED = 200_000
 FLUSH = 300_000
 #: Bytes of text that a Python task of `learn` is sent, and one of `score` takes up and sends back, at once.
 SENT = 8 << 20
+#: Bytes of text whose words are looked up together.
+READ = 1 << 22
 
 
 def words(text: str) -> list[bytes]:
@@ -97,16 +100,50 @@ class Terms(dict):
                 out[t] = out.get(t, 0) + n
         return out
 
-    def present(self, text: str) -> set[int]:
-        """The known terms that occur in a text."""
-        return set().union(*map(self.__getitem__, set(words(text))))
+    @functools.cached_property
+    def sets(self) -> list[tuple[int | None, pa.Array, np.ndarray]]:
+        """Known words, then known beginnings of each length, with their numbers."""
+        out = []
+        for n in (None, *PREFIXES):
+            own = [t for t in self.known if (len(t) == n + 1 if n else True) and t.endswith(b"*") == bool(n)]
+            out.append((n, pa.array([t[:n] for t in own], pa.binary()), np.array([self.known[t] for t in own], dtype=np.int64)))
+        return [x for x in out if len(x[1])]
+
+    def counted(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For consecutive texts: where the terms of each begin, and of the last end; the terms in order; how often each occurs.
+
+        The words of some megabytes of text are looked up together.
+        """
+        width = max(1, len(self.known))
+        for begin, n in slices(texts, READ):
+            plain = [t.lower().encode().translate(WORD_BYTES) for t in texts.slice(begin, n).fill_null("").to_pylist()]
+            pieces = pc.ascii_split_whitespace(pa.array(plain, pa.string()))
+            offsets = pieces.offsets.to_numpy()
+            found = pieces.flatten().cast(pa.binary())
+            keys = [np.zeros(0, dtype=np.int64)]
+            for size, known, numbers in self.sets:
+                at = pc.index_in(pc.binary_slice(found, 0, size) if size else found, value_set=known)
+                if size:  # a whole word is no beginning
+                    at = pc.if_else(pc.greater(pc.binary_length(found), size), at, None)
+                place = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                keys.append((np.searchsorted(offsets, place, "right") - 1) * width + numbers[at.drop_null().to_numpy()])
+            keys, times = np.unique(np.concatenate(keys), return_counts=True)
+            yield np.searchsorted(keys, np.arange(n + 1) * width), keys % width, times
 
 
 def _arrays(counts: dict[int, int] | np.ndarray) -> np.ndarray:
-    """Terms and their counts as two rows; an array has a row for each term."""
+    """Terms in order and their counts as two rows; an array has them already."""
     if isinstance(counts, dict):
-        return np.stack([np.fromiter(x, dtype=np.int64, count=len(counts)) for x in (counts.keys(), counts.values())])
-    return counts.reshape(-1, 2).T
+        return np.array(sorted(counts.items()), dtype=np.int64).reshape(-1, 2).T
+    return counts
+
+
+def count_arrays(look: Terms, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The known terms of each text and their counts, as two rows."""
+    for starts, terms, times in look.counted(texts):
+        both = np.stack([terms, times])
+        for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield both[:, begin:end]
 
 
 class Model:
@@ -122,8 +159,9 @@ class Model:
         """
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weights, self.id_type = weights, id_type
-        held = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
-        own = [_arrays(e[2])[0] for e in held]
+        examples = [(i, y, _arrays(c)) for i, y, c in examples]
+        held = sorted((e for e in examples if e[2].size), key=lambda e: e[0])
+        own = [e[2][0] for e in held]
         if seen_in is None:
             seen_in = len(examples), np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *own]), minlength=len(terms))
         self.idf = np.log((seen_in[0] + 1) / (seen_in[1] + 1)) + 1
@@ -131,11 +169,11 @@ class Model:
         self.marked[list(marks)] = True
         self.ids = [e[0] for e in held]
         self.labels = np.array([e[1] for e in held], dtype=np.int64)
-        rest = [e[1] for e in examples if not len(e[2])]
+        rest = [e[1] for e in examples if not e[2].size]
         self.share = self._share([e[1] for e in examples], 0.0)
         self.empty_share = self._share(rest, self.share)
         blocks = -(-len(held) // BLOCK)
-        found = [self.weighted(e[2]) for e in held]
+        found = self.weighted_of([e[2] for e in held])
         of = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in found)])
         numbers = np.repeat(np.arange(len(held)), [len(t) for t, _ in found])
         impacts = np.concatenate([np.zeros(0), *(w for _, w in found)])
@@ -159,17 +197,24 @@ class Model:
         ones, zeros = sum(labels) * self.weights[1], (len(labels) - sum(labels)) * self.weights[0]
         return ones / (ones + zeros) if labels and ones + zeros else none
 
-    def weighted(self, counts: dict[int, int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a text in order, and its TF-IDF vector of length one over them."""
-        terms, numbers = _arrays(counts)
+    def weighted_of(self, counts: list[dict[int, int] | np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The terms of each text in order, and its TF-IDF vector of length one over them."""
+        if not counts:
+            return []
+        arrays = [_arrays(c) for c in counts]
+        sizes = np.array([a.shape[1] for a in arrays])
+        terms, numbers = np.concatenate(arrays, axis=1)
         weights = (1 + np.log(numbers)) * self.idf[terms]
-        order = np.argsort(terms)
-        terms, weights = terms[order], weights[order]
-        marked = self.marked[terms]
-        both = bool(marked.any()) and not marked.all()
-        for part, share in ((marked, MARKED), (~marked, 1 - MARKED)) if both else ((slice(None), 1.0),):
-            weights[part] *= math.sqrt(share / float((weights[part] ** 2).sum()))
-        return terms, weights
+        part = 2 * np.repeat(np.arange(len(arrays)), sizes) + self.marked[terms]
+        squares = np.bincount(part, weights**2, 2 * len(arrays)).reshape(-1, 2)
+        both = (squares > 0).all(axis=1, keepdims=True)
+        shares = np.where(both, (1 - MARKED, MARKED), 1.0)
+        weights *= np.sqrt(shares / np.where(squares > 0, squares, 1.0)).ravel()[part]
+        ends = np.cumsum(sizes)[:-1]
+        return list(zip(np.split(terms, ends), np.split(weights, ends), strict=True))
+
+    def weighted(self, counts: dict[int, int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.weighted_of([counts])[0]
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         terms, weights = self.weighted(counts)
@@ -224,13 +269,13 @@ class Model:
     def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of([self.weighted(counts)], k)[0]
 
-    def scores(self, counts: Iterable[dict[int, int]]) -> list[tuple[float, list, list[float]]]:
+    def scores(self, counts: Iterable[dict[int, int] | np.ndarray]) -> list[tuple[float, list, list[float]]]:
         """For each text the score, the ids of the nearest examples and their cosines. Counts are held of TOGETHER texts at once."""
         out: list = []
-        filled: list[tuple[int, dict[int, int]]] = []
+        filled: list[tuple[int, np.ndarray]] = []
 
         def vote() -> None:
-            for (i, _), (cosines, numbers) in zip(filled, self.nearest_of([self.weighted(c) for _, c in filled]), strict=True):
+            for (i, _), (cosines, numbers) in zip(filled, self.nearest_of(self.weighted_of([c for _, c in filled])), strict=True):
                 labels = self.labels[numbers]
                 votes = cosines * (cosines / max(cosines, default=1.0)) ** SHARPNESS * np.where(labels == 1, self.weights[1], self.weights[0])
                 share = float((votes[labels == 1].sum() + WEAK_VOTE * self.share) / (votes.sum() + WEAK_VOTE))
@@ -239,7 +284,8 @@ class Model:
 
         for i, c in enumerate(counts):
             out.append((self.empty_share, [], []))
-            if c:
+            c = _arrays(c)
+            if c.size:
                 filled.append((i, c))
             if len(filled) == TOGETHER:
                 vote()
@@ -350,7 +396,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = Terms(sent.value)
             for batch in batches:
-                found = [np.array(sorted(look.counts(b).items()), dtype="<i8").tobytes() for b in batch.column(2).to_pylist()]
+                found = [c.astype("<i8").tobytes() for c in count_arrays(look, batch.column(2))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "label", "counts"])
 
         sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -358,10 +404,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look, found, rows = Terms(sent.value), np.zeros(len(sent.value) + 1, dtype=np.int64), 0
             for batch in batches:
-                for body in batch.column(0):
-                    has = look.present(body.as_py())
-                    found[np.fromiter(has, dtype=np.int64, count=len(has))] += 1
-                    rows += 1
+                rows += batch.num_rows
+                for _, has, _ in look.counted(batch.column(0)):
+                    found += np.bincount(has, minlength=len(found))
             # the last place counts the documents
             found[-1] = rows
             there = np.flatnonzero(found)
@@ -372,7 +417,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
         rows = examples.mapInArrow(vectors, f"key {kind(examples, 'key')}, label int, counts binary").toArrow()
         held = sorted(zip(*(rows[c].to_pylist() for c in ("key", "label", "counts")), strict=True))
-        held = [(k, v, np.frombuffer(c, dtype="<i8").reshape(-1, 2)) for k, v, c in held]
+        held = [(k, v, np.frombuffer(c, dtype="<i8").reshape(2, -1)) for k, v, c in held]
         # what one example of a label stands for, in units of one of the label 1
         stands = [counts.get(v, 0) / max(sizes.get(v, 0), 1) for v in (0, 1)]
         unit = stands[1] or stands[0] or 1.0
@@ -397,7 +442,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         for batch in batches:
             for begin, n in slices(batch.column(place), SENT):
                 part = batch.slice(begin, n)
-                found = judge.scores(look.counts(v.as_py() or "") for v in part.column(place))
+                found = judge.scores(count_arrays(look, part.column(place)))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:width], pa.array([round(f[0], DECIMALS) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(ids)), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
                     names=[*keep, out, evidence, cosines],

@@ -550,3 +550,18 @@ def test_scores_hold_the_counts_of_few_texts_at_once(monkeypatch):
     assert sum(judged) == sum(map(bool, asked)) and max(judged) == toxicity.TOGETHER
     assert [(round(s, 8), e) for s, e, _ in found] == [(round(s, 8), e) for s, e, _ in map(model.score, asked)]
     assert list(shared.slices(pa.array(["abc", None, "d", "efgh"]), 4)) == [(0, 3), (3, 1)]
+
+
+def test_words_looked_up_together_are_counted_as_those_of_each_text(monkeypatch):
+    r = random.Random(12)
+    letters = ["a", "B", "ab", "abc", "abcd", "abcde", "abcdefg", "İ", "Σ", "ß", " ", " ", "*", "\x1c", "\u2003", "7", "\n", "𝔘"]
+    texts = [None, "", " \n ", *("".join(r.choice(letters) for _ in range(r.randint(0, 80))) for _ in range(300))]
+    found = sorted({t for x in texts for w in toxicity.words(x or "") for t in toxicity.terms_of(w)})
+    for terms in (found, found[::3], [t for t in found if b"*" in t], []):
+        look = toxicity.Terms({t: i for i, t in enumerate(terms)})
+        want = [sorted(look.counts(x or "").items()) for x in texts]
+        for size in (1, 500, 1 << 20):
+            monkeypatch.setattr(toxicity, "READ", size)
+            for begin in (0, 2):  # of a slice, too
+                got = [list(zip(*c.tolist(), strict=True)) for c in toxicity.count_arrays(look, pa.array(texts, pa.string()).slice(begin))]
+                assert got == want[begin:]
