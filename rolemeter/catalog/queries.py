@@ -19,7 +19,7 @@ from rolemeter.operators import embeddings, gaps, long_form, report, study_plan
 from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.identity import identified
 from rolemeter.operators.layout import computed_once, spread, stored
-from rolemeter.operators.skills import Semantic, skill_rows
+from rolemeter.operators.skills import Semantic, skill_rows, with_vectors
 from rolemeter.plans.analysis import analyse, analyse_large, analyse_with_model, gaps_of, plan_of, readiness_of, with_focus, with_plan
 from rolemeter.plans.intake import intake, readiness_of_files
 from rolemeter.plans.validation import known_roles, long_enough, resume_rejects, with_listing
@@ -492,10 +492,9 @@ def model_provider(spark, sf_dir):
     return skill_rows(scored).select("resume_id", "skill", "score", "semantic_similarity")
 
 
-def two_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def two_roles() -> Column:
     """Every resume asks for its role and for one by its number."""
-    both = F.array_distinct(F.array("target_role", role_by_number("resume_id")))
-    return resumes(spark, sf_dir).withColumn("target_role", F.explode(both))
+    return F.array_distinct(F.array("target_role", role_by_number("resume_id")))
 
 
 TWO_ROLES = ["form", "resume_id", "role", "readiness_score", "n_skills", "n_gaps", "n_hits", "gap_order", "week1_focus"]
@@ -504,8 +503,10 @@ TWO_ROLES = ["form", "resume_id", "role", "readiness_score", "n_skills", "n_gaps
 @registered("q_two_roles")
 def two_roles_in_every_form(spark, sf_dir):
     """One resume scored against two roles: row form, long form, and vectors of a model."""
-    asked = stored(two_roles(spark, sf_dir), "two-roles")
     role_skills, curriculum = fixtures.role_skills(spark), fixtures.curriculum(spark)
+    # a text is normalised, hashed and cut into chunks once, whatever number of roles and forms it is scored in
+    found = stored(with_vectors(resumes(spark, sf_dir), role_skills, fixtures.SEMANTIC), "two-roles")
+    asked = found.withColumn("target_role", F.explode(two_roles()))
     focus = F.array_join(F.get("study_plan", F.lit(0)).focus_skills, "|")
 
     def of_rows(form: str, analysed_: DataFrame) -> DataFrame:
@@ -526,7 +527,7 @@ def two_roles_in_every_form(spark, sf_dir):
     for part in (weak, hits, plans):
         long_rows = long_rows.join(part, ["resume_id", "role"], "left")
     long_rows = long_rows.fillna({"gap_order": "", "week1_focus": "", "n_hits": 0}).withColumn("form", F.lit("long"))
-    similarities = embeddings.model_similarities(asked, role_skills, letter_model())
+    similarities = embeddings.model_similarities(found, role_skills, letter_model(), roles=two_roles())
     by_model = analyse(asked, role_skills, fixtures.MODEL_SEMANTIC, similarities)
     rows = of_rows("rows", analyse(asked, role_skills, fixtures.SEMANTIC))
     return rows.select(*TWO_ROLES).unionByName(long_rows.select(*TWO_ROLES)).unionByName(of_rows("model", by_model).select(*TWO_ROLES))

@@ -128,10 +128,12 @@ def _exists(spark: SparkSession, folder: str) -> bool:
 
 
 def model_similarities(
-    resumes: DataFrame, role_skills: DataFrame, embed: Callable, size: int = 3, vectors: str | None = None
+    resumes: DataFrame, role_skills: DataFrame, embed: Callable, size: int = 3, vectors: str | None = None, roles: Column | None = None
 ) -> DataFrame:
     """`resume_id, target_role, similarities` computed by a model, by `doc_key` if the resumes have one.
 
+    With `roles`, an array made of the other two columns, a resume asks for each of these, and is cut into chunks once.
+
     `embed` maps a text column to a vector column, typically a `predict_batch_udf`, which loads
     the model once per Python worker. Equal chunks, and equal queries, are embedded once; `vectors`
     names a folder that keeps their vectors for later runs.
@@ -140,6 +142,8 @@ def model_similarities(
         query_text(role_skills.where(F.col("skill").isNotNull())).select("role", "skill", "query_text"), "query_text", embed, vectors
     )
     chunk_vectors = embedded_once(chunk_rows(resumes, size), "chunk", embed, vectors)
+    if roles is not None:
+        chunk_vectors = chunk_vectors.withColumn("target_role", F.explode(roles))
     return as_map(best_chunks(chunk_similarities(chunk_vectors, queries)))
 
 

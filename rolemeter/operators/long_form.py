@@ -40,12 +40,13 @@ HEAD_SEGMENTS = FALLBACK_CHARS // 2 + 1
 def segments_of(resumes: DataFrame, longest: int | None = None) -> DataFrame:
     """Plain resumes as documents of one segment, each row one of its own, whatever its id.
 
-    With `longest`, texts of more characters become segments of a line each.
+    With `longest`, texts of more characters become segments of a line each. Without, `vectors` they have are kept.
     """
     keyed = resumes if DOC_KEY in resumes.columns else resumes.withColumn(DOC_KEY, F.monotonically_increasing_id())
     own = document_columns(keyed)
     short = keyed if longest is None else keyed.where(F.length("text") <= longest)
-    whole = short.select(*own, F.lit(0).cast("bigint").alias("segment_no"), F.lit(True).alias("gap"), "text", F.lit(True).alias("whole"))
+    given = _given(short) if longest is None else []
+    whole = short.select(*own, F.lit(0).cast("bigint").alias("segment_no"), F.lit(True).alias("gap"), "text", F.lit(True).alias("whole"), *given)
     if longest is None:
         return whole
     if DOC_KEY not in resumes.columns:
@@ -55,6 +56,10 @@ def segments_of(resumes: DataFrame, longest: int | None = None) -> DataFrame:
     return whole.unionByName(lines.select("doc_id.*", line_order().alias("segment_no"), "gap", F.col("line").alias("text"), F.lit(False).alias("whole")))
 
 
+def _given(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c == "vectors"]
+
+
 def document_key(segments: DataFrame) -> DataFrame:
     """Segments with a `doc_key`; without one, it stands for the resume and its role, nulls included."""
     if DOC_KEY in segments.columns:
@@ -93,19 +98,22 @@ def segment_offsets(counted: DataFrame) -> DataFrame:
     return placed.select(*key, "segment_no", start.alias("start"), "n_sentences")
 
 
-def prepared(segments: DataFrame) -> DataFrame:
+def prepared(segments: DataFrame, pieces_only: bool = False) -> DataFrame:
     """Segments with their document's key and the number of their sentences, stored, as scoring reads them several times.
 
     Texts are pieces of a normalised document: a plain resume, or pages or lines as
     `sources.pages` gives them. `gap` tells whether a blank line comes before a segment, `whole`
-    whether it is all of its document.
+    whether it is all of its document. With `pieces_only`, sentences are counted only of those that are not.
     """
     if "n" in segments.columns:
         return segments
     keyed = document_key(segments)
     gap = F.col("gap") if "gap" in segments.columns else F.lit(True).alias("gap")
     whole = F.col("whole") if "whole" in segments.columns else F.lit(False).alias("whole")
-    return stored(keyed.select(*document_columns(keyed), "segment_no", gap, "text", whole, F.size(sentences(F.col("text"))).alias("n")), "segments")
+    n = F.size(sentences(F.col("text")))
+    if pieces_only and "whole" in segments.columns:
+        n = F.when(~F.col("whole"), n)
+    return stored(keyed.select(*document_columns(keyed), "segment_no", gap, "text", whole, n.alias("n"), *_given(keyed)), "segments")
 
 
 def documents_of(cut: DataFrame) -> DataFrame:
@@ -274,7 +282,7 @@ def score_rows(
 
     `small` tells whether the role table may be broadcast.
     """
-    cut = prepared(segments)
+    cut = prepared(segments, pieces_only=True)
     roles = stored(role_rows(role_skills, semantic, ROLE_PART), "roles")
     scored = score_skills(cut.where("whole"), roles, semantic, similarities, small)
     pieces = cut.where(~F.col("whole"))

@@ -22,6 +22,7 @@ from rolemeter.functions.vectors import (
 )
 from rolemeter.operators.dimensions import lookup_join
 from rolemeter.operators.identity import document_columns, join_documents
+from rolemeter.operators.layout import computed_once
 from rolemeter.sources.profiles import query_text
 
 # Beyond the broadcast bound a role with more skills is as many rows; no row holds a role of any size.
@@ -81,12 +82,25 @@ def vectors_column(size: int, dim: int) -> Column:
     return chunk_vectors(F.col("text"), size, dim)
 
 
+def with_vectors(resumes: DataFrame, role_skills: DataFrame, semantic: Semantic) -> DataFrame:
+    """Resumes with the `vectors` that scoring needs of a text, for those who score it several times.
+
+    Only buckets that some skill of the role table has are kept; the norms are those of the whole.
+    """
+    places = role_rows(role_skills, semantic, ROLE_PART).select(F.posexplode("wanted").alias("place", "seen"))
+    seen = F.array_sort(F.collect_list(F.struct("place", "seen")))
+    wanted = places.groupBy("place").agg(F.bool_or("seen").alias("seen")).agg(F.transform(seen, lambda p: p.seen).alias("wanted"))
+    whole = resumes.withColumn("vectors", vectors_column(semantic.chunk_size, semantic.dim))
+    relevant = F.transform("vectors", lambda v: only_buckets(v, F.col("wanted")))
+    return whole.crossJoin(F.broadcast(wanted)).select(*resumes.columns, relevant.alias("vectors"))
+
+
 def features(resumes: DataFrame, semantic: Semantic) -> DataFrame:
-    """What scoring needs of a document: lower-cased text and, if hashed, chunk vectors."""
+    """What scoring needs of a document: lower-cased text and, if hashed, chunk vectors, unless it has them (see `with_vectors`)."""
     lowered = F.lower("text").alias("lower_text")
     if semantic.provider != "hashed":
         return resumes.select(*document_columns(resumes), lowered)
-    vectors = vectors_column(semantic.chunk_size, semantic.dim)
+    vectors = F.col("vectors") if "vectors" in resumes.columns else vectors_column(semantic.chunk_size, semantic.dim)
     return resumes.select(*document_columns(resumes), lowered, vectors.alias("vectors"))
 
 
@@ -179,7 +193,8 @@ def score_skills(
     if similarities is None:
         if semantic.provider == "hashed":
             relevant = F.transform("vectors", lambda v: only_buckets(v, F.col("wanted")))
-            matched = matched.select(*kept, "lower_text", "skills", relevant.alias("vectors"))
+            # once a row, not once a skill
+            matched = computed_once(matched.select(*kept, "lower_text", "skills", "wanted", "vectors"), "vectors", relevant)
         return matched.select(*kept, scored_entries(semantic).alias("skills"))
     evidence = matched.select(*kept, keyword_evidence().alias("evidence"))
     return join_documents(evidence, similarities).select(*kept, given_entries(semantic).alias("skills"))

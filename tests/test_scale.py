@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rolemeter import schemas
 from rolemeter.catalog import fixtures, queries
-from rolemeter.operators import dimensions, embeddings, long_form
+from rolemeter.operators import dimensions, embeddings, long_form, skills
 from rolemeter.operators.dimensions import is_small, lookup_join
 from rolemeter.operators.skills import skill_rows
 from rolemeter.plans.analysis import analyse, analyse_large, gaps_of, plan_of, readiness_of, with_plan
@@ -217,6 +217,31 @@ def test_two_roles_of_one_resume_do_not_mix(spark, monkeypatch):
     assert rows(analyse(asked, role_skills, fixtures.SEMANTIC).select(keep)) == whole
 
 
+def test_vectors_of_a_text_serve_all_roles_and_forms(spark, monkeypatch):
+    asked, role_skills = two_requests(spark)
+    more = asked.unionByName(asked.limit(1).withColumn("text", F.lit("")).withColumn("resume_id", F.lit(8).cast("bigint")))
+    keep = ["resume_id", "target_role", "readiness_score", "n_skills", "n_gaps", "skills"]
+    by_skill = ["resume_id", "role", "skill", "score", "semantic_similarity"]
+    whole = rows(analyse(more, role_skills, fixtures.SEMANTIC).select(keep))
+    long_rows = rows(analyse_large(long_form.segments_of(more), role_skills, fixtures.SEMANTIC).select(by_skill))
+    kept = skills.with_vectors(more, role_skills, fixtures.SEMANTIC).persist()
+    assert kept.count() == more.count()
+
+    def again(*_):
+        raise AssertionError("hashed again")
+
+    monkeypatch.setattr(skills, "vectors_column", again)
+    assert rows(analyse(kept, role_skills, fixtures.SEMANTIC).select(keep)) == whole
+    assert rows(analyse_large(long_form.segments_of(kept), role_skills, fixtures.SEMANTIC).select(by_skill)) == long_rows
+    # one chunk for all roles
+    letters = lambda c: F.transform(F.array(*map(F.lit, "aeiou")), lambda x: F.length(F.regexp_replace(c, F.concat(F.lit("[^"), x, F.lit("]")), "")).cast("double"))
+    all_roles = F.array(*map(F.lit, "ABC"))
+    each = embeddings.model_similarities(asked, role_skills, letters)
+    once = embeddings.model_similarities(asked.where("target_role = 'A'"), role_skills, letters, roles=all_roles)
+    plain = lambda found: sorted((r.resume_id, r.target_role, sorted(r.similarities.items())) for r in found.collect())
+    assert plain(once) == plain(each) and len(plain(each)) > 1
+
+
 def test_vectors_of_two_roles_do_not_mix(spark):
     chunks = spark.createDataFrame(
         [(7, r, i, v) for r in "AB" for i, v in enumerate([[1.0, 0.0], [0.0, 1.0]])],
