@@ -18,7 +18,7 @@ import functools
 import heapq
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ END = 2
 WINDOW = 1 << 20
 #: Lowered words of a generation whose ids a task remembers, two generations of them.
 REMEMBERED = 200_000
+#: The same of other words, which differ more and come again less.
+OTHERS = 20_000
 
 
 def vocabulary() -> str:
@@ -100,7 +102,7 @@ class Encoder:
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its
     blank-separated words in order. The distinct words of some megabytes of text are encoded
     together; of simple words, which differ only in case or the mark that follows them, the lowered letters are,
-    and their ids are remembered.
+    and their ids are remembered, as are those of the other words.
     """
 
     def __init__(self, path: str) -> None:
@@ -115,7 +117,7 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.letters = Remembered()
+        self.letters, self.words = Remembered(), Remembered(OTHERS)
 
     def _merged(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters: encoded as texts of many words, and parted where a token ends a word."""
@@ -128,14 +130,13 @@ class Encoder:
                 start = end
         return out
 
-    def _plain(self, texts: list[str]) -> Ragged:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return Ragged.of([array("I", x.ids).tobytes() for x in found])
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lowered(self, letters: list[str]) -> Ragged:
-        missing = self.letters.absent(letters)
-        self.letters.young.update(zip(missing, self._merged(missing), strict=True))
-        return Ragged.of(list(map(self.letters.young.__getitem__, letters)))
+    def _remembered(self, memory: Remembered, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> Ragged:
+        missing = memory.absent(words)
+        memory.young.update(zip(missing, encode(missing), strict=True))
+        return Ragged.of(list(map(memory.young.__getitem__, words)))
 
     def _words(self, words: pa.Array) -> Ragged:
         """Ids of different words."""
@@ -144,9 +145,9 @@ class Encoder:
         parts = parts.drop_null()
         letters = pc.utf8_lower(parts.field("letters")).dictionary_encode()
         marks = parts.field("marks").dictionary_encode()
-        first = self._lowered(letters.dictionary.to_pylist()).take(letters.indices.to_numpy())
-        rest = self._plain(marks.dictionary.to_pylist()).take(marks.indices.to_numpy())
-        others = self._plain(words.filter(pa.array(~simple)).to_pylist())
+        first = self._remembered(self.letters, letters.dictionary.to_pylist(), self._merged).take(letters.indices.to_numpy())
+        rest = Ragged.of(self._plain(marks.dictionary.to_pylist())).take(marks.indices.to_numpy())
+        others = self._remembered(self.words, words.filter(pa.array(~simple)).to_pylist(), self._plain)
         joined = first.and_then(rest)
         both = Ragged(np.concatenate([joined.ids, others.ids]), np.concatenate([joined.lengths, others.lengths]))
         return both.take(np.argsort(np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), kind="stable"))
