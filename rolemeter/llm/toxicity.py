@@ -57,7 +57,7 @@ FLUSH = 300_000
 #: Bytes of text that a Python task of `learn` is sent, and one of `score` takes up and sends back, at once.
 SENT = 8 << 20
 #: Bytes of text whose words are looked up together.
-READ = 1 << 22
+READ = 1 << 21
 
 
 def words(text: str) -> list[bytes]:
