@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,9 +33,14 @@ def strip(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """NBSP to space, zero-width space dropped, space/tab runs to one space; null to ''."""
-    mapped = F.translate(F.coalesce(text, F.lit("")), "\u00a0\u200b", " ")
-    return F.regexp_replace(mapped, r"[ \t]{2,}|\t", " ")
+    """NBSP to space, zero-width space dropped, space/tab runs to one space; null to ''.
+
+    Texts with nothing to replace, which a plain search tells, are left as they are.
+    """
+    text = F.coalesce(text, F.lit(""))
+    mapped = F.translate(text, "\u00a0\u200b", " ")
+    odd = reduce(lambda found, piece: found | F.contains(text, F.lit(piece)), ["\t", "\u00a0", "\u200b"], F.contains(text, F.lit("  ")))
+    return F.when(odd, F.regexp_replace(mapped, r"[ \t]{2,}|\t", " ")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
@@ -104,7 +110,7 @@ def chunks(text: Column, size: int = 3) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def has_extension(name: Column, *extensions: str) -> Column:

@@ -11,25 +11,16 @@ from rolemeter.functions.text import per_chunk, tokens
 TOP_CHUNKS = 2
 
 
-def _digit(hexadecimal: Column, place: int) -> Column:
-    """Value of one hex digit: the low four bits of its character, and 9 more for a letter."""
-    code = F.ascii(F.substring(hexadecimal, place, 1))
-    return code.bitwiseAND(F.lit(15)) + F.shiftright(code, 6) * 9
-
-
 def buckets(words: Column, dim: int) -> Column:
     """Bucket of each word: the first 32 bits of its md5, modulo the dimension.
 
-    The digits are decoded one by one, as `conv` costs several times the md5 itself. Of a power
-    of two only the last digits decide.
+    Of a power of two only the last digits decide.
     """
     power_of_two = dim & (dim - 1) == 0
     n = max(1, -(-(dim.bit_length() - 1) // 4)) if power_of_two else 8
 
     def decode(digest: Column) -> Column:
-        value = _digit(digest, 9 - n).cast("bigint" if n == 8 else "int")
-        for place in range(10 - n, 9):
-            value = value * 16 + _digit(digest, place)
+        value = F.conv(F.substring(digest, 9 - n, n), 16, 10).cast("bigint" if n == 8 else "int")
         return value if dim == 16 ** n else (value % F.lit(dim)).cast("int")
 
     return F.transform(F.transform(words, lambda w: F.md5(w.cast("binary"))), decode)

@@ -40,12 +40,12 @@ HEAD_SEGMENTS = FALLBACK_CHARS // 2 + 1
 def segments_of(resumes: DataFrame, longest: int | None = None) -> DataFrame:
     """Plain resumes as documents of one segment, each row one of its own, whatever its id.
 
-    With `longest`, texts of more characters become segments of a line each. Without, `vectors` they have are kept.
+    With `longest`, texts of more characters become segments of a line each. Whole texts keep `vectors` they have.
     """
     keyed = resumes if DOC_KEY in resumes.columns else resumes.withColumn(DOC_KEY, F.monotonically_increasing_id())
     own = document_columns(keyed)
     short = keyed if longest is None else keyed.where(F.length("text") <= longest)
-    given = _given(short) if longest is None else []
+    given = _given(keyed)
     whole = short.select(*own, F.lit(0).cast("bigint").alias("segment_no"), F.lit(True).alias("gap"), "text", F.lit(True).alias("whole"), *given)
     if longest is None:
         return whole
@@ -53,7 +53,8 @@ def segments_of(resumes: DataFrame, longest: int | None = None) -> DataFrame:
         raise ValueError("cut into lines, resumes need the doc_key that identified() gives them")
     long = keyed.where(F.length("text") > longest)
     lines = page_lines(long.select(F.struct(*own).alias("doc_id"), F.lit(0).alias("page_no"), F.col("text").alias("page_text")))
-    return whole.unionByName(lines.select("doc_id.*", line_order().alias("segment_no"), "gap", F.col("line").alias("text"), F.lit(False).alias("whole")))
+    none = [F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in given]
+    return whole.unionByName(lines.select("doc_id.*", line_order().alias("segment_no"), "gap", F.col("line").alias("text"), F.lit(False).alias("whole"), *none))
 
 
 def _given(rows: DataFrame) -> list[str]:

@@ -143,6 +143,11 @@ def test_calibration_defaults(values):
     assert values(S.calibrate, [0.1, 0.2, 0.65, 0.9], "double") == [0.0, 0.0, 1.0, 1.0]
 
 
+def test_texts_with_nothing_to_squeeze_are_left_as_they_are(values):
+    odd = ["a  b", "a\tb", "a\u00a0b", "a\u200bb", "a \u200b b", "a \u00a0\t b"]
+    assert values(X.squeeze, ["", "a b\nc", None, *odd], "string") == ["", "a b\nc", "", "a b", "a b", "a b", "ab", "a b", "a b"]
+
+
 @pytest.mark.parametrize("dim", [1, 2, 16, 100, 256, 4096, 5000])
 def test_buckets_are_the_first_32_bits_of_md5(spark, dim):
     words = spark.range(500).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))

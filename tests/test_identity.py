@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 
 from rolemeter import schemas
 from rolemeter.catalog import fixtures, queries
-from rolemeter.operators import embeddings, long_form
+from rolemeter.operators import embeddings, long_form, skills
 from rolemeter.operators.identity import identified, join_documents
 from rolemeter.plans import analysis
 from rolemeter.plans.analysis import analyse, analyse_large, analyse_with_model, gaps_of, plan_of, readiness_of, with_plan
@@ -62,6 +62,36 @@ def test_every_row_is_answered_for_itself_in_every_form(spark, monkeypatch):
     assert rows(readiness_of(parts, known_roles(keyed.drop("text"), role_skills)).select(KEEP)) == want
 
 
+def test_whole_texts_keep_their_vectors_beside_texts_cut_into_lines(spark, monkeypatch):
+    asked, role_skills = repeats(spark), fixtures.role_skills(spark)
+    want = ready(analyse(asked, role_skills, fixtures.SEMANTIC))
+    keyed = identified(skills.with_vectors(asked, role_skills, fixtures.SEMANTIC))
+    cut = long_form.segments_of(keyed, 90).select("whole", F.col("vectors").isNotNull().alias("given")).distinct().collect()
+    assert {(r.whole, r.given) for r in cut} == {(True, True), (False, False)}
+
+    def again(*_):
+        raise AssertionError("hashed again")
+
+    monkeypatch.setattr(skills, "vectors_column", again)
+    for longest in (None, 90, 0):
+        scores = analyse_large(long_form.segments_of(keyed, longest), role_skills, fixtures.SEMANTIC, small=False)
+        assert rows(readiness_of(scores, known_roles(keyed.drop("text"), role_skills)).select(KEEP)) == want
+
+
+def test_repeated_ids_hash_a_text_once_a_source(spark, sf_dir, monkeypatch):
+    hashed, column = [], skills.vectors_column
+
+    def counted(*parameters):
+        hashed.append(parameters)
+        return column(*parameters)
+
+    monkeypatch.setattr(skills, "vectors_column", counted)
+    found = queries.REGISTRY["q_repeated_ids"](spark, sf_dir).groupBy("form").count().collect()
+    assert len(found) == 5 and len({r["count"] for r in found}) == 1
+    # the stored texts and those of the stream, whatever number of forms and rows
+    assert len(hashed) == 2
+
+
 def test_vectors_of_a_model_do_not_mix_rows_of_one_id(spark):
     asked, role_skills = repeats(spark), fixtures.role_skills(spark)
     model = queries.letter_model()
